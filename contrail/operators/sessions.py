@@ -10,20 +10,26 @@ from contrail.config import DetectorConfig
 from contrail.functions.scalars import clean_code, is_on_ground
 from contrail.operators.geo import nearest_airport
 
-BY_AIRCRAFT = W.partitionBy("icao24").orderBy("captured_at")
-BY_SESSION = W.partitionBy("icao24", "session_no").orderBy("captured_at")
 POINT = ("captured_at", "latitude", "longitude")
 
 
+def by_aircraft() -> W:
+    return W.partitionBy("icao24").orderBy("captured_at")
+
+
+def by_session() -> W:
+    return W.partitionBy("icao24", "session_no").orderBy("captured_at")
+
+
 def with_ground(positions: DataFrame, cfg: DetectorConfig) -> DataFrame:
     return positions.withColumn("ground", is_on_ground(F.col("on_ground"), F.col("velocity_ms"), F.col("altitude_m"), cfg))
 
 
 def split_sessions(positions: DataFrame, cfg: DetectorConfig) -> DataFrame:
     """positions with `session_no` (from 0): a new session begins where the gap is strictly greater than allowed."""
-    gap = F.unix_micros("captured_at") - F.unix_micros(F.lag("captured_at").over(BY_AIRCRAFT))
+    gap = F.unix_micros("captured_at") - F.unix_micros(F.lag("captured_at").over(by_aircraft()))
     breaks = F.coalesce((gap > cfg.gap_seconds * 1_000_000).cast("int"), F.lit(0))
-    return positions.withColumn("breaks", breaks).withColumn("session_no", F.sum("breaks").over(BY_AIRCRAFT).cast("int")).drop("breaks")
+    return positions.withColumn("breaks", breaks).withColumn("session_no", F.sum("breaks").over(by_aircraft()).cast("int")).drop("breaks")
 
 
 def session_callsign(sessions: DataFrame) -> DataFrame:
@@ -36,7 +42,7 @@ def ground_transitions(sessions: DataFrame) -> DataFrame:
 
     Needs session_no and ground; rows of unknown ground are no edges and don't part two that are.
     """
-    before = BY_SESSION.rowsBetween(W.unboundedPreceding, -1)
+    before = by_session().rowsBetween(W.unboundedPreceding, -1)
     known = F.when(F.col("ground").isNotNull(), F.struct(*POINT, "ground", "callsign"))
     rows = sessions.withColumn("previous", F.last(known, ignorenulls=True).over(before))
     edge = F.when(F.col("previous.ground") & ~F.col("ground"), "departure").when(~F.col("previous.ground") & F.col("ground"), "arrival")
@@ -72,7 +78,7 @@ def landing_sign(window: W, rows: int, cfg: DetectorConfig):
 
 def detect_landing(sessions: DataFrame, airports: DataFrame, cfg: DetectorConfig) -> DataFrame:
     """Where each session's tail shows a landing: its last row."""
-    rows = sessions.withColumn("sign", landing_sign(BY_SESSION, cfg.tail_rows, cfg))
+    rows = sessions.withColumn("sign", landing_sign(by_session(), cfg.tail_rows, cfg))
     last = rows.groupBy("icao24", "session_no").agg(F.max_by(F.struct(*POINT, "sign"), "captured_at").alias("p")).select("icao24", "session_no", "p.*")
     near = nearest_airport(last.where("sign IS NOT NULL"), airports, cfg.proximity_radius_km)
     return near.where("sign = 'ground' OR airport IS NOT NULL").select("icao24", "session_no", *POINT, "sign")
@@ -89,7 +95,7 @@ def departure_sign(cfg: DetectorConfig):
 
 
 def detect_departure(sessions: DataFrame, cfg: DetectorConfig) -> DataFrame:
-    rows = sessions.withColumn("nth", F.row_number().over(BY_SESSION))
+    rows = sessions.withColumn("nth", F.row_number().over(by_session()))
     found = rows.groupBy("icao24", "session_no").agg(departure_sign(cfg).alias("departs"), F.min_by(F.struct(*POINT), "captured_at").alias("p"))
     return found.where("departs").select("icao24", "session_no", "p.*")
 
@@ -100,14 +106,14 @@ def session_features(positions: DataFrame, airports: DataFrame, cfg: DetectorCon
     Positions are shuffled and sorted once, by aircraft; every window and aggregate reuses that partitioning.
     since: sessions are made of later rows only, while the rows just before a session may be older.
     """
-    rows = with_ground(positions, cfg).withColumn("sign", landing_sign(BY_AIRCRAFT, cfg.lookback_rows, cfg))
-    rows = rows.withColumn("before", F.lag(F.struct(*POINT, "sign")).over(BY_AIRCRAFT)).drop("sign")
+    rows = with_ground(positions, cfg).withColumn("sign", landing_sign(by_aircraft(), cfg.lookback_rows, cfg))
+    rows = rows.withColumn("before", F.lag(F.struct(*POINT, "sign")).over(by_aircraft())).drop("sign")
     if since is not None:
         rows = rows.where(F.col("captured_at") >= F.lit(since))
     rows = ground_transitions(split_sessions(rows, cfg))
-    rows = rows.withColumns({"nth": F.row_number().over(BY_SESSION), "tail": landing_sign(BY_SESSION, cfg.tail_rows, cfg), "cs": clean_code(F.col("callsign"), "keep")})
+    rows = rows.withColumns({"nth": F.row_number().over(by_session()), "tail": landing_sign(by_session(), cfg.tail_rows, cfg), "cs": clean_code(F.col("callsign"), "keep")})
     takes_off, lands, ts = F.col("edge") == "departure", F.col("edge") == "arrival", F.col("captured_at")
-    whole = BY_SESSION.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    whole = by_session().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     rows = rows.withColumn("d_at", F.min(F.when(takes_off, F.col("previous.captured_at"))).over(whole))
     point = F.struct(*POINT)
     sessions = rows.groupBy("icao24", "session_no").agg(

@@ -1 +1,664 @@
-QUERIES = {}
+"""The registered queries: each operator over the test tables. Times are given as epoch microseconds."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from contrail.config import SPARSE, SPARSE_REPLAY
+from contrail.fixtures import Tables
+from contrail.functions import scalars as S
+from contrail.operators import detector, fleet, geo, merge, sessions
+from contrail.plans import reports, rotation
+from contrail.sources import payloads
+from contrail.streaming import jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+AS_OF = datetime(2001, 8, 1, tzinfo=timezone.utc)
+LIVE = datetime(2024, 1, 31, tzinfo=timezone.utc)
+FOCUS = rotation.Focus("MACH", "A001", "A002")
+C = F.col
+
+
+def _micros(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.unix_micros(c) for c, kind in df.dtypes if kind == "timestamp"})
+
+
+def query(f: Callable[[Tables], DataFrame]):
+    QUERIES[f.__name__] = lambda spark, sf_dir: _micros(f(Tables(spark, sf_dir)))
+    return f
+
+
+def _snapshots(t: Tables) -> DataFrame:
+    """positions as JSON snapshots, one per captured moment."""
+    s = lambda c: C(c).cast("string")
+    state = F.array(C("icao24"), C("callsign"), F.lit("X"), F.lit("0"), F.lit("0"), s("longitude"), s("latitude"), s("altitude_m"), s("on_ground"), s("velocity_ms"), s("heading"))
+    rows = t.positions.groupBy(F.unix_seconds("captured_at").alias("time")).agg(F.collect_list(state).alias("states"))
+    return rows.select(F.to_json(F.struct("time", "states")).alias("value"))
+
+
+def _external(t: Tables) -> DataFrame:
+    """An outside fleet list: most of our registrations with some other types, and some of its own."""
+    own = t.aircraft.withColumn("k", F.conv("icao24", 16, 10).cast("long")).where("k % 3 <> 0")
+    kind = F.when(C("k") % 4 == 0, "XTYP").otherwise(F.coalesce("aircraft_type", F.lit("FILL")))
+    name = F.when(C("k") % 50 == 1, F.concat(F.lit("N-"), C("k").cast("string"))).otherwise(F.upper("registration"))
+    return own.select(name.alias("registration"), F.upper(kind).alias("aircraft_type"))
+
+
+def _edits(t: Tables) -> DataFrame:
+    planes = t.aircraft.where("needs_review").select(F.lit("aircraft").alias("kind"), C("icao24").alias("key"), F.conv("icao24", 16, 10).cast("long").alias("k"))
+    trips = t.flights.where("needs_review").select(F.lit("flight").alias("kind"), C("id").cast("string").alias("key"), C("id").alias("k"))
+    rows = planes.unionByName(trips)
+    action = F.element_at(F.array(F.lit("update "), F.lit("DISMISS"), F.lit(""), F.lit("maybe")), (C("k") % 4 + 1).cast("int"))
+    text = lambda c: F.when(C("k") % 3 == 0, " ").otherwise(F.lit(c))
+    return rows.select("kind", "key", action.alias("action"), text("D-NEW").alias("registration"), text("T123").alias("type"), text("Sub").alias("subtype"), text("B001").alias("dep"), text("B002").alias("arr"))
+
+
+def _updates(t: Tables) -> DataFrame:
+    """A batch of changes to flights: some keys are new, some arrivals and callsigns missing."""
+    rows = t.flights.where("id % 6 = 0")
+    return rows.select(
+        "icao24", F.when(C("id") % 12 == 0, C("first_seen")).otherwise(C("first_seen") + F.expr("INTERVAL 1 SECOND")).alias("first_seen"), (C("last_seen") + F.expr("INTERVAL 1 HOUR")).alias("last_seen"),
+        F.when(C("id") % 4 == 0, "NEW1").alias("callsign"), F.lit("Z000").alias("departure_airport_icao"), F.when(C("id") % 24 == 0, "Z001").alias("arrival_airport_icao"), (C("id") % 9 == 0).alias("needs_review"),
+    ).groupBy("icao24", "first_seen").agg(*(F.first(c).alias(c) for c in ("last_seen", "callsign", "departure_airport_icao", "arrival_airport_icao", "needs_review")))
+
+
+def _open_updates(t: Tables) -> DataFrame:
+    return _updates(t).withColumn("first_seen", C("first_seen"))
+
+
+FLIGHT_KEYS = ("icao24", "first_seen", "last_seen", "callsign", "departure_airport_icao", "arrival_airport_icao", "needs_review")
+
+
+def _flight_rows(df: DataFrame) -> DataFrame:
+    return df.select(*FLIGHT_KEYS)
+
+
+# sources and sinks
+
+
+@query
+def s01_parse_state_snapshots(t):
+    return payloads.parse_state_snapshots(_snapshots(t))
+
+
+@query
+def s02_filter_fleet(t):
+    return fleet.filter_fleet(t.positions, t.aircraft, ["MACH", "AUTO"]).select("icao24", "captured_at")
+
+
+@query
+def s03_filter_callsign_prefix(t):
+    return payloads.filter_callsign_prefix(t.positions, "dlh101").select("icao24", "captured_at")
+
+
+@query
+def s04_drop_no_fix(t):
+    return payloads.fix_counts(t.positions.withColumn("latitude", F.when(C("heading") > 30, C("latitude"))))
+
+
+@query
+def s05_insert_positions(t):
+    p = t.positions.select("icao24", "captured_at", "callsign", "latitude")
+    batch = p.withColumn("row_no", F.lit(1)).unionByName(p.withColumns({"callsign": F.lit("DUP"), "row_no": F.lit(2)}))
+    return merge.insert_positions(p.where("latitude < 0"), batch, "row_no")
+
+
+@query
+def s06_parse_flight_feed(t):
+    entry = F.struct("icao24", F.concat("callsign", F.lit(" ")).alias("callsign"), C("departure_airport_icao").alias("estDepartureAirport"), C("arrival_airport_icao").alias("estArrivalAirport"), F.unix_seconds("first_seen").alias("firstSeen"), F.unix_seconds("last_seen").alias("lastSeen"))
+    raw = t.flights.groupBy("flight_date").agg(F.collect_list(entry).alias("f")).select(F.to_json("f").alias("value"))
+    return payloads.parse_flight_feed(raw, t.aircraft.where("is_active"))
+
+
+@query
+def s07_time_chunks(t):
+    w = t.flights.where("id % 50 = 0").select("id", F.unix_seconds("first_seen").alias("begin_s"), F.unix_seconds("last_seen").alias("end_s"))
+    return payloads.time_chunks(w, 7200)
+
+
+@query
+def s08_load_airports(t):
+    k = F.substring("icao_code", 2, 3).cast("int")
+    raw = t.airports.withColumn("k", k)
+    kind = F.element_at(F.array(F.lit("small_airport"), F.lit("large_airport"), F.lit("medium_airport")), C("k") % 3 + 1)
+    row = lambda code, no: raw.select(code.alias("ident"), kind.alias("type"), F.concat(F.lit(" "), "name", F.lit(" ")).alias("name"), F.when(C("k") % 7 == 0, "n/a").otherwise(C("latitude").cast("string")).alias("latitude_deg"), (C("longitude") + no).cast("string").alias("longitude_deg"), (C("k") + F.lit(no * 10000)).alias("row_no"))
+    return payloads.load_airports(row(F.lower("icao_code"), 0).unionByName(row(F.when(C("k") % 2 == 0, C("icao_code")).otherwise(F.lit("XX")), 1)))
+
+
+@query
+def s09_airline_fleet(t):
+    return fleet.airline_fleet(t.registry, "DLH", ["D-A"])
+
+
+@query
+def s10_register_lookup(t):
+    return fleet.register_lookup(t.registry, t.aircraft.where("icao24 < '000200'").select("icao24"))
+
+
+@query
+def s11_parse_type_record(t):
+    k = F.conv("icao24", 16, 10).cast("long")
+    one = F.to_json(F.struct(F.when(k % 3 == 0, C("aircraft_type")).alias("t"), C("aircraft_type").alias("icaoAircraftClass"), F.when(k % 2 == 0, "").otherwise(C("aircraft_subtype")).alias("mdl"), F.lit("Model").alias("model")))
+    raw = t.aircraft.select("icao24", F.when(k % 5 == 0, F.concat(F.lit("["), one, F.lit("]"))).otherwise(one).alias("value"))
+    return payloads.parse_type_record(raw).drop("value")
+
+
+@query
+def s12_aircraft_from_flight_pages(t):
+    f = t.flights.join(t.aircraft.select("icao24", "registration", "aircraft_type"), "icao24").where("id % 20 = 0")
+    entry = F.struct(F.lower("registration").alias("registration"), "aircraft_type", C("callsign").alias("ident"), F.struct(C("departure_airport_icao").alias("code_icao")).alias("origin"), F.struct(C("arrival_airport_icao").alias("code_icao")).alias("destination"))
+    lists = f.groupBy(C("flight_date").alias("page_no")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", entry.alias("e")))), lambda x: x["e"]).alias("arrivals"))
+    return payloads.aircraft_from_flight_pages(lists.select("page_no", F.to_json(F.struct("arrivals")).alias("value")))
+
+
+@query
+def s14_load_review_edits(t):
+    return payloads.load_review_edits(_edits(t))
+
+
+# scalars
+
+
+@query
+def s15_is_on_ground(t):
+    return t.positions.select("icao24", "captured_at", S.is_on_ground(C("on_ground"), C("velocity_ms"), C("altitude_m")).alias("ground"))
+
+
+@query
+def s16_clean_code(t):
+    return t.registry.select("row_no", S.clean_code(C("icao24"), "lower").alias("icao24"), S.clean_code(C("registration")).alias("registration"), S.clean_code(C("operatoricao")).alias("operator"))
+
+
+@query
+def s17_callsigns_match(t):
+    prev = F.lag("callsign").over(W.partitionBy("icao24").orderBy("captured_at"))
+    return t.positions.select("icao24", "captured_at", S.callsigns_match(C("callsign"), prev).alias("same"))
+
+
+@query
+def s18_flight_columns(t):
+    return t.flights.select("id", S.flight_date(C("first_seen")).cast("string").alias("flight_day"), S.duration_minutes(C("first_seen"), C("last_seen")).alias("minutes"))
+
+
+@query
+def s19_dep_equals_arr(t):
+    d, a = C("departure_airport_icao"), C("arrival_airport_icao")
+    return t.flights.select("id", S.dep_equals_arr(d, a).alias("same"), S.dep_equals_arr(d, a, False).alias("same_known"))
+
+
+@query
+def s20_aircraft_needs_review(t):
+    return t.aircraft.select("icao24", S.aircraft_needs_review(C("registration"), C("aircraft_type"), C("icao24")).alias("review"))
+
+
+@query
+def s21_great_circle_km(t):
+    w = W.partitionBy("icao24").orderBy("captured_at")
+    rows = t.positions.select("icao24", "captured_at", "latitude", "longitude", F.lag("latitude").over(w).alias("la"), F.lag("longitude").over(w).alias("lo"))
+    return rows.select("icao24", "captured_at", F.round(S.great_circle_km(C("latitude"), C("longitude"), C("la"), C("lo")), 1).alias("km"))
+
+
+@query
+def s22_route_label(t):
+    d, a = C("departure_airport_icao"), C("arrival_airport_icao")
+    return t.flights.select("id", S.route_label(d, a).alias("label"), S.route_label(d, a, None).alias("strict"))
+
+
+@query
+def s23_city_label(t):
+    code = F.when(C("id") % 2 == 0, "EDDM").otherwise(C("departure_airport_icao"))
+    return t.flights.select("id", S.city_label(code).alias("city"), S.route_name(F.concat(code, F.lit("-VTBS"))).alias("route"))
+
+
+@query
+def s24_format_duration(t):
+    return t.flights.select("id", S.format_duration(F.when(C("id") % 9 > 0, C("duration_minutes") % 700)).alias("text"))
+
+
+@query
+def s25_age_label(t):
+    return t.batch_runs.select("id", S.age_label(C("started_at"), F.lit(LIVE)).alias("age"))
+
+
+@query
+def s26_text_search(t):
+    hits = S.text_search(t.aircraft, "auto", ["registration", "aircraft_type"]).select("icao24", F.lit("any").alias("mode"))
+    both = S.text_search(t.aircraft, "1 a", ["registration", "aircraft_type"], together=True).select("icao24", F.lit("together").alias("mode"))
+    ports = S.airport_search(t.airports, "a00").select(C("icao_code").alias("icao24"), F.lit("airport").alias("mode"))
+    return hits.unionAll(both).unionAll(ports)
+
+
+@query
+def s27_utc_weekday(t):
+    return t.flights.select("id", S.utc_weekday(C("first_seen")).alias("dow"), S.weekday_name(S.utc_weekday(C("first_seen"))).alias("day"))
+
+
+# joins and look-ups
+
+
+@query
+def s28_nearest_airport(t):
+    near = geo.nearest_airport(t.positions, t.airports, 50.0)
+    close = geo.nearest_airport(near.withColumns({"a50": C("airport"), "km": C("airport_km")}).drop("airport", "airport_km"), t.airports, 8.0)
+    return close.select("icao24", "captured_at", "a50", F.round("km", 1).alias("km"), C("airport").alias("a8"))
+
+
+@query
+def s29_flights_with_aircraft(t):
+    return geo.flights_with_aircraft(t.flights, t.aircraft).select("id", "registration", "aircraft_type")
+
+
+@query
+def s30_latest_position(t):
+    return geo.latest_position(t.positions).select("icao24", "captured_at", "latitude", "on_ground")
+
+
+@query
+def s31_last_completed_flight(t):
+    return geo.last_completed_flight(t.flights).select("icao24", "id")
+
+
+@query
+def s32_open_flights(t):
+    return geo.open_flights(t.flights).select("id")
+
+
+@query
+def s33_positions_before(t):
+    events = t.positions.where("heading < 60").select("icao24", C("captured_at").alias("at")).union(t.positions.where("heading > 300").select("icao24", C("captured_at") + F.expr("INTERVAL 1 SECOND")))
+    rows = geo.positions_before(events.distinct(), t.positions, 15)
+    return rows.select("icao24", "at", F.size("before").cast("long").alias("n"), F.unix_micros(F.try_element_at("before", F.lit(1))["captured_at"]).alias("oldest"), F.unix_micros(F.try_element_at("before", F.lit(-1))["captured_at"]).alias("newest"))
+
+
+@query
+def s34_positions_range(t):
+    since = datetime(2024, 1, 20, tzinfo=timezone.utc)
+    return geo.positions_range(t.positions, "000005", since, LIVE).select("icao24", "captured_at", F.lit("range").alias("scan")).unionAll(geo.positions_since(t.positions, since).select("icao24", "captured_at", F.lit("since")))
+
+
+# sessions
+
+
+def _sessions(t: Tables) -> DataFrame:
+    return sessions.split_sessions(sessions.with_ground(t.positions, SPARSE), SPARSE)
+
+
+def _edges(t: Tables) -> DataFrame:
+    return sessions.ground_transitions(_sessions(t))
+
+
+@query
+def s35_split_sessions(t):
+    return _sessions(t).select("icao24", "captured_at", "session_no")
+
+
+@query
+def s36_session_callsign(t):
+    return sessions.session_callsign(_sessions(t))
+
+
+@query
+def s37_ground_transitions(t):
+    return _edges(t).where("edge IS NOT NULL").select("icao24", "captured_at", "edge", C("previous.captured_at").alias("previous_at"))
+
+
+@query
+def s38_first_departure(t):
+    return sessions.first_departure(_edges(t)).select("icao24", "session_no", "captured_at")
+
+
+@query
+def s39_first_arrival_after(t):
+    e = _edges(t)
+    return sessions.first_arrival_after(e, sessions.first_departure(e).select("icao24", "session_no", C("captured_at").alias("after"))).select("icao24", "session_no", "captured_at")
+
+
+@query
+def s40_detect_landing(t):
+    return sessions.detect_landing(_sessions(t), t.airports, SPARSE).select("icao24", "session_no", "captured_at", "sign")
+
+
+@query
+def s41_detect_departure(t):
+    return sessions.detect_departure(_sessions(t), SPARSE).select("icao24", "session_no", "captured_at")
+
+
+@query
+def s42_session_features(t):
+    return sessions.session_features(t.positions, t.airports, SPARSE)
+
+
+# detection
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    found = detector.detect_flights(t.positions, t.airports, t.flight_seed, SPARSE)
+    legs = found.withColumn("flight_date", F.to_date("first_seen"))
+    return reports.top_routes(legs, LIVE, days=60)
+
+
+@query
+def s43_detect_flights(t):
+    return detector.detect_flights(t.positions, t.airports, t.flight_seed, SPARSE)
+
+
+@query
+def s50_covered_sessions(t):
+    s = sessions.session_features(t.positions, t.airports, SPARSE).select("icao24", "session_no", "first_at")
+    return detector.covered_sessions(s, geo.last_completed_flight(t.flight_seed))
+
+
+@query
+def s51_incremental_detect(t):
+    return detector.incremental_detect(t.positions, t.flight_seed, t.airports, datetime(2024, 1, 10, tzinfo=timezone.utc), LIVE, SPARSE)
+
+
+@query
+def s52_close_stale(t):
+    return detector.close_stale(t.flight_seed, t.positions, t.airports, LIVE, SPARSE)
+
+
+@query
+def s53_backfill_open_flights(t):
+    return detector.backfill_open_flights(t.flight_seed, t.positions, t.airports, SPARSE)
+
+
+@query
+def s54_replay_detector(t):
+    return detector.replay_detector(t.positions, t.airports, SPARSE_REPLAY)
+
+
+@query
+def s54_compare_flights(t):
+    return detector.compare_flights(t.flights.where("id % 3 <> 0"), t.flights.where("id % 4 <> 0"))
+
+
+# streaming operators, over tables
+
+
+@query
+def s56_stream_positions(t):
+    rows = _snapshots(t)
+    return jobs.stream_positions(rows.unionAll(rows)).select("icao24", "captured_at", "callsign")
+
+
+@query
+def s57_stream_sessions(t):
+    return jobs.stream_sessions(t.positions, SPARSE)
+
+
+@query
+def s59_stream_activity(t):
+    return jobs.stream_activity(t.positions, "1 day")
+
+
+# merges
+
+
+@query
+def s55_merge_flight_actions(t):
+    u = _updates(t)
+    return _flight_rows(merge.merge_flight_actions(t.flights, u.where("arrival_airport_icao IS NULL"), u))
+
+
+@query
+def s60_upsert_flights(t):
+    return _flight_rows(merge.upsert_flights(t.flights, _updates(t)))
+
+
+@query
+def s61_update_open_flights(t):
+    opened = t.flights.withColumn("arrival_airport_icao", F.when(C("id") % 5 > 0, C("arrival_airport_icao")))
+    return _flight_rows(merge.update_open_flights(opened, _updates(t)))
+
+
+@query
+def s62_fill_departure(t):
+    return _flight_rows(merge.fill_departure(t.flights, _updates(t)))
+
+
+@query
+def s63_upsert_aircraft(t):
+    src = t.aircraft.where("NOT is_active").select(F.when(C("icao24") < "000400", C("icao24")).otherwise(F.concat(F.lit("x"), "icao24")).alias("icao24"), F.lit("D-UPS").alias("registration"), "aircraft_type", F.lit("up").alias("aircraft_subtype"), F.lit(False).alias("needs_review"))
+    return merge.upsert_aircraft(t.aircraft, src)
+
+
+def _types(t: Tables) -> DataFrame:
+    return t.aircraft.where("aircraft_subtype IS NOT NULL").select("icao24", F.lit("LOOK").alias("aircraft_type"), "aircraft_subtype")
+
+
+def _register(t: Tables) -> DataFrame:
+    return fleet.airline_fleet(t.registry, "DLH", ["D-A"])
+
+
+@query
+def s64_discover_aircraft(t):
+    return fleet.discover_aircraft(t.positions, t.aircraft, t.registry, _types(t))
+
+
+@query
+def s65_reactivate_seen(t):
+    return fleet.reactivate_seen(t.aircraft, t.positions, LIVE).select("icao24", "is_active")
+
+
+@query
+def s66_refresh_aircraft(t):
+    return fleet.refresh_aircraft(t.aircraft, _register(t), _types(t)).select("icao24", "registration", "aircraft_type", "aircraft_subtype", "is_active")
+
+
+@query
+def s67_retire_missing(t):
+    return fleet.retire_missing(t.aircraft, _register(t), t.positions, LIVE).select("icao24", "is_active", C("last_seen_date").cast("string").alias("last_seen_date"))
+
+
+@query
+def s68_fleet_sanity_guard(t):
+    return fleet.fleet_sanity_guard(_register(t)).select("icao24", "rule")
+
+
+@query
+def s69_compare_fleets(t):
+    return fleet.compare_fleets(_external(t), t.aircraft)
+
+
+@query
+def s70_apply_fleet_fixes(t):
+    return fleet.apply_fleet_fixes(t.aircraft, fleet.compare_fleets(_external(t), t.aircraft)).select("icao24", "aircraft_type", "is_active")
+
+
+@query
+def s71_rebuild_fleet(t):
+    ext = t.registry.where("row_no % 3 <> 0").select(F.upper("registration").alias("registration"), F.when(C("row_no") % 5 > 0, "EXTT").alias("aircraft_type")).where("registration <> ''").dropDuplicates(["registration"])
+    return fleet.rebuild_fleet(ext.where("registration <> 'D-ADUP'"), t.registry)
+
+
+@query
+def s72_compare_flight_sets(t):
+    return merge.compare_flight_sets(t.flights.where("id % 3 <> 0"), t.flights.where("id % 4 <> 0"))
+
+
+@query
+def s73_apply_review(t):
+    planes, trips = merge.apply_review(t.aircraft, t.flights, payloads.load_review_edits(_edits(t)))
+    a = planes.select(C("icao24").alias("key"), "registration", "aircraft_type", "needs_review")
+    return a.unionAll(trips.select(C("id").cast("string"), "departure_airport_icao", "arrival_airport_icao", "needs_review"))
+
+
+@query
+def s74_backfill_review_flag(t):
+    return merge_flag(t)
+
+
+def merge_flag(t: Tables) -> DataFrame:
+    return fleet.backfill_review_flag(t.aircraft.withColumn("needs_review", F.lit(False))).select("icao24", "needs_review")
+
+
+@query
+def s75_expire_positions(t):
+    return merge.expire_positions(t.positions, LIVE, 10).groupBy("icao24").agg(F.count("*").alias("n"))
+
+
+@query
+def s76_insert_and_delete(t):
+    new = merge.insert_new_rows(t.flights.where("id % 2 = 0"), t.flights, ["icao24", "first_seen"], t.aircraft.where("is_active")).select(C("id").cast("string").alias("key"), F.lit("inserted").alias("what"))
+    left = merge.delete_unreferenced(t.aircraft, t.aircraft.where("NOT is_active"), t.flights.where("id % 5 = 0")).select("icao24", F.lit("left"))
+    return new.unionAll(left)
+
+
+# reports
+
+
+@query
+def s78_fleet_counts(t):
+    return reports.fleet_counts(t.aircraft)
+
+
+@query
+def s79_flight_counts(t):
+    return reports.flight_counts(t.flights, AS_OF)
+
+
+@query
+def s80_recent_errors(t):
+    return reports.recent_errors(t.batch_runs, LIVE).select("id", "run_type", "status", "started_at")
+
+
+@query
+def s81_airborne_now(t):
+    return reports.airborne_now(t.positions.withColumn("captured_at", F.date_trunc("day", "captured_at")))
+
+
+@query
+def s82_poll_age_minutes(t):
+    return reports.poll_age_minutes(t.positions, LIVE)
+
+
+@query
+def s83_last_run_per_type(t):
+    return reports.last_run_per_type(t.batch_runs).select("run_type", "id", "status", "started_at")
+
+
+@query
+def s84_health_status(t):
+    return reports.health_status(reports.last_run_per_type(t.batch_runs), reports.poll_age_minutes(t.positions, LIVE), LIVE)
+
+
+@query
+def s85_type_overlay(t):
+    return reports.type_overlay(t.flights, t.aircraft, AS_OF)
+
+
+@query
+def s86_top_routes(t):
+    return reports.top_routes(t.flights, AS_OF, days=300)
+
+
+@query
+def s87_flights_per_day(t):
+    return reports.flights_per_day(t.flights, AS_OF).withColumn("flight_date", C("flight_date").cast("string"))
+
+
+@query
+def s88_fleet_list(t):
+    rows = reports.fleet_list(t.aircraft, t.flights, t.positions, datetime(2024, 1, 29, 12, tzinfo=timezone.utc))
+    return rows.select("icao24", "total_flights", "flights_7d", C("last_flight_date").cast("string").alias("last_flight_date"), "currently_tracking")
+
+
+@query
+def s89_fleet_filter_sort(t):
+    return reports.fleet_filter_sort(t.aircraft, status="active", aircraft_type="MACH", q="d-00", sort="aircraft_subtype").select("icao24").unionAll(reports.distinct_types(t.aircraft))
+
+
+@query
+def s90_aircraft_totals(t):
+    return reports.aircraft_totals(t.flights, AS_OF)
+
+
+@query
+def s90_aircraft_last_flights(t):
+    return reports.aircraft_last_flights(t.flights, 10)
+
+
+@query
+def s90_aircraft_top_routes(t):
+    return reports.aircraft_top_routes(t.flights)
+
+
+@query
+def s90_aircraft_per_day(t):
+    return reports.aircraft_per_day(t.flights, AS_OF).withColumn("flight_date", C("flight_date").cast("string"))
+
+
+@query
+def s91_flights_page(t):
+    return reports.flights_page(t.flights, page=2, per_page=20, callsign="dlh1", dep="a001", review=False).select("id", "total", "pages")
+
+
+@query
+def s92_review_queue(t):
+    a = reports.review_aircraft(t.aircraft).select(C("icao24").alias("key"), "registration")
+    return a.unionAll(reports.review_flights(t.flights, t.aircraft).select(C("id").cast("string"), "registration"))
+
+
+# rotation
+
+
+@query
+def s93_rotation_timeline(t):
+    return rotation.rotation_timeline(t.flights, t.aircraft, FOCUS, AS_OF, 400)
+
+
+@query
+def s94_dow_heatmap(t):
+    return rotation.dow_heatmap(t.flights, t.aircraft, FOCUS)
+
+
+@query
+def s95_cycle_lengths(t):
+    return rotation.cycle_gaps(t.flights, t.aircraft, FOCUS).groupBy("registration").agg(F.array_join(F.array_sort(F.collect_list("gap")), ",").alias("gaps"))
+
+
+@query
+def s96_cycle_histogram(t):
+    return rotation.cycle_histogram(rotation.cycle_gaps(t.flights, t.aircraft, FOCUS))
+
+
+@query
+def s97_cycle_summary(t):
+    return rotation.cycle_summary(rotation.cycle_gaps(t.flights, t.aircraft, FOCUS))
+
+
+@query
+def s98_route_transitions(t):
+    return rotation.route_transitions(t.flights, t.aircraft, FOCUS)
+
+
+@query
+def s99_transition_probabilities(t):
+    return rotation.transition_probabilities(rotation.route_transitions(t.flights, t.aircraft, FOCUS))
+
+
+@query
+def s100_route_affinity(t):
+    return rotation.route_affinity(t.flights, t.aircraft, FOCUS)
+
+
+@query
+def s101_preceding_routes(t):
+    return rotation.preceding_routes(t.flights, t.aircraft, FOCUS)
+
+
+@query
+def s102_last_known_airport(t):
+    return rotation.last_known_airport(t.flights, t.aircraft, FOCUS)
+
+
+@query
+def s103_focus_route_history(t):
+    return rotation.focus_route_history(t.flights, t.aircraft, FOCUS)

@@ -14,7 +14,8 @@ from contrail.sources.payloads import parse_state_snapshots
 def stream_positions(raw: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Cleaned positions of streamed snapshots, without repeats of (icao24, captured_at) within the watermark."""
     rows = parse_state_snapshots(raw).where("latitude IS NOT NULL AND icao24 <> ''")
-    return rows.withWatermark("captured_at", delay).dropDuplicatesWithinWatermark(["icao24", "captured_at"])
+    keys = ["icao24", "captured_at"]
+    return rows.withWatermark("captured_at", delay).dropDuplicatesWithinWatermark(keys) if rows.isStreaming else rows.dropDuplicates(keys)
 
 
 def stream_sessions(positions: DataFrame, cfg: DetectorConfig, delay: str = "10 minutes") -> DataFrame:
