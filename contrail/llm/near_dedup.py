@@ -4,7 +4,7 @@ A document's set are its distinct five-word shingles. Two permutations give all
 first shuffles the shingles' hashes, the second is applied to them shifted by k, for the k-th coordinate. Bands of
 coordinates put sets into buckets. Documents of equal sets are one node. In each bucket all nodes are first held
 against one of them (the bucket's hub); then, where nodes of different components are left, blocks of the bucket
-are held against each other as matrices. Only confirmed links leave a task. No bucket is capped, no pair of a
+are held against each other as matrices (all of them against those outside the bucket's largest component). Only confirmed links leave a task. No bucket is capped, no pair of a
 bucket left out but those whose nodes are known to be in one component; so all pairs inside a group of copies
 are never made.
 
@@ -151,13 +151,20 @@ def dedup(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = RO
     known = stage(components(links), "near-components")
     left = members.where("node <> hub").select("bucket", "node").join(known, "node", "left")
     left = left.select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    mixed = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi")
-    left = left.join(mixed.select("bucket", "blocks"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    job = lambda i, j: F.concat_ws(":", F.col("bucket"), i, j)
-    low = left.select("*", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
-    high = left.select("*", F.explode(F.sequence(F.lit(0), "block")).alias("other"))
-    work = low.select(job("block", "other").alias("job"), F.lit(0).alias("side"), "node", "label")
-    work = work.union(high.select(job("other", "block"), F.lit(1), "node", "label"))
+    left = stage(left, "near-left")
+    counts = left.groupBy("bucket", "label").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2)))
+    # buckets of several components; of those with equal members one is enough
+    mixed = counts.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("major"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
+    mixed = mixed.where("labels > 1").groupBy("all", "x1", "x2").agg(F.min(F.struct("bucket", "major")).alias("one"))
+    ones, every = F.ceil((F.col("all") - F.col("one.major.n")) / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
+    left = left.join(mixed.select("one.bucket", F.col("one.major.label").alias("major"), ones.alias("ones"), every.alias("every")), "bucket")
+    # nodes outside the bucket's largest component against all of the bucket, in blocks
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    job = lambda i, j: F.concat_ws(":", F.col("bucket"), i, j).alias("job")
+    low = left.where("label <> major").select("*", F.explode(F.sequence(F.lit(0), F.col("every") - 1)).alias("other"))
+    high = left.select("*", F.explode(F.sequence(F.lit(0), F.col("ones") - 1)).alias("other"))
+    work = low.select(job(block("ones"), "other"), F.lit(0).alias("side"), "node", "label")
+    work = work.union(high.select(job("other", block("every")), F.lit(1), "node", "label"))
     links = links.union(confirm(work, texts, percent, width))
 
     labels = stage(components(links), "near-labels")
