@@ -12,7 +12,7 @@ A short document is read by pruning blocks on first_id/last_id, slicing its fram
 decompressing that frame alone.
 
 Null doc_ids come first; equal doc_ids are ordered by their text. A null or empty text yields the end id alone.
-The dictionary is fitted on at most `sample_docs` documents (those of smallest hash, of at most `sample_bytes`
+The dictionary is fitted on at most `sample_docs` documents (picked by hash, of at most `sample_bytes`
 bytes each); it affects the size of the frames only, never the ids.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batches_of, stage
+from .common import batches_of, hash_sample, stage
 from .pieces import PieceTable, mapped, plain
 
 BLOCK_DOCS, BLOCK_BYTES = 2048, 4 << 20
@@ -79,9 +79,9 @@ def encode_texts(texts: list, path: str, end_id: int) -> Iterator[np.ndarray]:
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, size: int, sample_docs: int, sample_bytes: int) -> bytes:
     """A dictionary of at most `size` bytes; empty if the sample is too small for one."""
-    short = docs.where(F.octet_length("text").between(1, sample_bytes)).select("text", F.xxhash64("text").alias("h"))
-    rows = short.orderBy("h", "text").limit(sample_docs).toArrow()
-    samples = [ids.tobytes() for ids in encode_texts(rows["text"].to_pylist(), path, end_id)]
+    short = docs.where(F.octet_length("text").between(1, sample_bytes)).select("doc_id", "text")
+    texts = sorted(r["text"] for r in hash_sample(short, sample_docs).collect())
+    samples = [ids.tobytes() for ids in encode_texts(texts, path, end_id)]
     if len(samples) < 16:
         return b""
     try:
