@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 BLOCK, QUERIES, CELLS = 8192, 1024, 64
+NO_ID = 2**63 - 1  # stands for a null id
 PACK = "dim int, block long, ids array<long>, flat array<long>"
 
 
@@ -30,7 +31,7 @@ def integers(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> Dat
     """id and the integer vector v of the rows that take part."""
     good = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     v = F.transform(vec_col, lambda x: F.floor(x.cast("double") * F.lit(scale)))
-    return vectors.where(F.col(vec_col).isNotNull() & good).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(vec_col).alias("dim"))
+    return vectors.where(F.col(vec_col).isNotNull() & good).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), v.alias("v"), F.size(vec_col).alias("dim"))
 
 
 def packs(rows: DataFrame, per_block: int) -> DataFrame:
@@ -81,7 +82,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0, cells: int = CELLS) -> DataFrame:
     """query_id, rank, vec_id and score: the k best vectors of each query, ties to the smaller vec_id."""
     held = stage(packs(integers(vectors, id_col, vec_col, scale), BLOCK), "va-vectors")
-    asked = packs(integers(queries, id_col, vec_col, scale).where("id IS NOT NULL"), QUERIES)
+    asked = packs(integers(queries, id_col, vec_col, scale).where(F.col("id") != NO_ID), QUERIES)
     asked = asked.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
     pairs = held.select("dim", "block").join(asked, "dim")
     work = pairs.repartition("dim", "block", "q_block").join(held, ["dim", "block"])
@@ -89,16 +90,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     def run(frames):
         for frame in frames:
             for row in frame.itertuples():
-                # the greatest long stands for a null id
-                ids = np.array([np.iinfo(np.int64).max if i is None or i != i else i for i in row.ids], np.int64)
-                q_ids = np.asarray(row.q_ids, np.int64)
+                ids, q_ids = np.asarray(row.ids, np.int64), np.asarray(row.q_ids, np.int64)
                 v, q = (np.asarray(x, np.int64).reshape(-1, row.dim) if row.dim else np.zeros((len(n), 1), np.int64) for x, n in ((row.flat, ids), (row.q_flat, q_ids)))
                 found = list(search(q, q_ids, v, ids, k, cells))
                 yield pd.DataFrame({"query_id": np.repeat(q_ids, [len(b) for _, b, _ in found]), "vec_id": ids[np.concatenate([b for _, b, _ in found])], "score": np.concatenate([s for *_, s in found]).astype(np.int64)})
 
     rows = work.mapInPandas(run, "query_id long, vec_id long, score long")
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.nullif("vec_id", F.lit(2**63 - 1)).alias("vec_id"), "score")
+    return ranked.select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")
 
 
 SQL = """
