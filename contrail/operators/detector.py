@@ -121,8 +121,8 @@ def walk(sessions: pd.DataFrame, cfg: DetectorConfig, replay: bool = False) -> p
         if state.on_session(s, previous):
             previous = s
     state.at_end(rows[-1])
-    out = pd.DataFrame([f | {"icao24": head.icao24} for f in state.written.values()])
-    return out.reindex(columns=[c.split()[0] for c in FLIGHT.split(", ")])
+    names = [c.split()[0] for c in FLIGHT.split(", ")]
+    return pd.DataFrame([[(f | {"icao24": head.icao24})[n] for n in names] for f in state.written.values()], columns=names)
 
 
 def detect_flights(positions: DataFrame, airports: DataFrame, stored: DataFrame | None, cfg: DetectorConfig, since=None, replay: bool = False) -> DataFrame:
