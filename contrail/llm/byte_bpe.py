@@ -65,7 +65,8 @@ def _pieces(path: str) -> PieceTable:
             return mapped(piece[:-1]), piece[-1]
         return tuple(map(mapped, matches.findall(piece)))
 
-    return PieceTable(tokenizer(path).model, split)
+    # encoding and decoding run side by side in a task, so the memory of each is kept small
+    return PieceTable(tokenizer(path).model, split, pieces=100_000, parts=250_000)
 
 
 @functools.lru_cache(4)
@@ -102,7 +103,7 @@ def encode(docs: DataFrame, path: str, offsets: bool = True) -> DataFrame:
         pieces = _pieces(path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in batches_of(texts):
+            for a, b in batches_of(texts, 1 << 20):
                 ids, counts = pieces.ids([PIECE.findall(t) for t in texts[a:b]])
                 bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                 columns = [ids, *(character_offsets(texts[a:b], ids, path) if offsets else [])]

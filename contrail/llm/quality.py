@@ -37,7 +37,7 @@ def _shape(word: bytes) -> bytes:
 class Terms:
     """Term numbers of words, held per worker up to a bound."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         self.limit, self.code = limit, {}
 
     def __call__(self, split: list[list[bytes]]) -> np.ndarray:
