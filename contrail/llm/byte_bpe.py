@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of
+from .common import batches_of, slices
 from .pieces import PieceTable, mapped, plain, ragged
 
 #: Unicode White_Space, which is what \s is in the tokenizers' patterns (Python's own \s has four more).
@@ -124,25 +124,28 @@ def decode(docs: DataFrame, path: str, text: bool = False) -> DataFrame:
 
     def run(batches):
         flat, starts, lens = _byte_table(path)
-        for batch in batches:
-            lists = batch.column("ids")
-            ids, counts = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            data = flat[ragged(starts[ids], lens[ids])].tobytes()
-            at = np.concatenate([[0], np.cumsum(lens[ids])])[np.concatenate([[0], np.cumsum(counts)])]
-            found = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
-            column = pa.array([x.decode("utf-8", "replace") for x in found], pa.string()) if text else pa.array(found, pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "decoded"])
+        for whole in batches:
+            sizes = whole.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for a, b in slices(sizes, 1 << 18):
+                batch = whole.slice(a, b - a)
+                ids, counts = batch.column("ids").flatten().to_numpy(zero_copy_only=False), sizes[a:b]
+                data = flat[ragged(starts[ids], lens[ids])].tobytes()
+                at = np.concatenate([[0], np.cumsum(lens[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+                found = [data[i:j] for i, j in zip(at, at[1:], strict=False)]
+                column = pa.array([x.decode("utf-8", "replace") for x in found], pa.string()) if text else pa.array(found, pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "decoded"])
 
     return kept.mapInArrow(run, _with(kept, ["decoded"], T.StringType() if text else T.BinaryType()))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, SHA-256 of the decimal ids and of the decoded bytes, and n_chars."""
-    done = decode(encode(docs.select("doc_id", "text"), path).drop("text", "begins"), path)
+    last = F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long")
+    done = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "ids", last.alias("n_chars")), path)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_chars"),
+        "n_chars",
     )

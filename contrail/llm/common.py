@@ -54,16 +54,22 @@ def ascii_lower(col):
     return F.translate(col, upper, upper.lower())
 
 
-def batches_of(texts: list, limit: int = 1 << 22):
-    """Cuts a list of texts into slices of about limit characters, so that a batch of long texts stays small."""
-    begin = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > limit:
+def slices(sizes, limit: int):
+    """Cuts items of these sizes into slices of about limit, so that a batch of large ones stays small."""
+    begin = total = 0
+    for i, size in enumerate(sizes):
+        if total and total + size > limit:
             yield begin, i
-            begin, size = i, 0
-        size += len(text)
-    if begin < len(texts):
-        yield begin, len(texts)
+            begin = i
+            total = 0
+        total += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def batches_of(texts: list, limit: int = 1 << 22):
+    """Slices of a list of texts of about limit characters."""
+    return slices([len(t) for t in texts], limit)
 
 
 def crc32_mod(doc_id, n: int):
