@@ -37,21 +37,22 @@ def bin_values(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
     if bins not in _DONORS:
         _DONORS[bins] = _donors(bins)
     least = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, (hashes % np.uint64(bins)).astype(np.int64), hashes // np.uint64(bins))
+    falling = np.sort(hashes)[::-1]  # of the hashes of a bin the last, the least, stays
+    least[(falling % np.uint64(bins)).astype(np.int64)] = falling // np.uint64(bins)
     empty = least == np.iinfo(np.uint64).max
     if not empty.any():
         return least
     rows, full = np.flatnonzero(empty), np.flatnonzero(~empty)
-    donors = _DONORS[bins][rows]
-    step = 64
+    donors, step = _DONORS[bins], 16
     source = np.full(len(rows), -1)
     for a in range(0, donors.shape[1], step):
         todo = np.flatnonzero(source < 0)
         if not len(todo):
             break
-        hit = ~empty[donors[todo, a : a + step]]
+        some = donors[rows[todo], a : a + step]
+        hit = ~empty[some]
         found = hit.any(1)
-        source[todo[found]] = donors[todo[found], a + hit[found].argmax(1)]
+        source[todo[found]] = some[found, hit[found].argmax(1)]
     source[source < 0] = full[0]
     least[rows] = least[source]
     return least

@@ -41,14 +41,20 @@ def shingles(texts: list[str], width: int = 5) -> list[np.ndarray]:
     split = [words(t) for t in texts]
     flat = list(chain.from_iterable(split))
     hashed = pd.util.hash_array(np.array(flat, object), categorize=False) if flat else np.zeros(0, np.uint64)
+    full = max(0, len(hashed) - width + 1)
+    every = np.full(full, width, np.uint64)
+    for i in range(width):
+        every = every * _FACTOR + hashed[i : i + full]
+    every = mix64(every)  # of all positions, also across documents
     out, at = [], 0
     for doc in split:
-        w = hashed[at : at + len(doc)]
-        at += len(doc)
-        n = min(width, len(w))
-        runs = max(0, len(w) - n + 1) if n else 0
-        h = np.full(runs, n, np.uint64)
-        for i in range(n):
-            h = h * _FACTOR + w[i : i + runs]
-        out.append(mix64(h))
+        n = len(doc)
+        if n >= width:
+            out.append(every[at : at + n - width + 1])
+        else:
+            h = np.full(min(n, 1), n, np.uint64)
+            for w in hashed[at : at + n]:
+                h = h * _FACTOR + w
+            out.append(mix64(h))
+        at += n
     return out
