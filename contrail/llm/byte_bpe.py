@@ -65,7 +65,7 @@ def _pieces(path: str) -> PieceTable:
             return mapped(piece[:-1]), piece[-1]
         return tuple(map(mapped, matches.findall(piece)))
 
-    # encoding and decoding run side by side in a task, so the memory of each is kept small
+    # a worker keeps these tables between tasks, so they are kept small
     return PieceTable(tokenizer(path).model, split, pieces=100_000, parts=250_000)
 
 
@@ -94,55 +94,70 @@ def character_offsets(texts: list, ids: np.ndarray, path: str) -> tuple[np.ndarr
     return char[begins] - base, char[ends - 1] + 1 - base
 
 
+def encoded(batches, path: str, made: list[str]):
+    """Arrow batches with a `text` column, with the columns named by made (ids and, if asked for, begins and ends)."""
+    pieces = _pieces(path)
+    for batch in batches:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        for a, b in batches_of(texts, 1 << 20):
+            ids, counts = pieces.ids([PIECE.findall(t) for t in texts[a:b]])
+            bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            columns = [ids, *(character_offsets(texts[a:b], ids, path) if len(made) > 1 else [])]
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in columns]
+            part = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([*part.columns, *lists], [*part.schema.names, *made])
+
+
 def encode(docs: DataFrame, path: str, offsets: bool = True) -> DataFrame:
     """docs with `ids` and, if asked for, `begins` and `ends`. Clashing columns of docs are replaced."""
     made = ["ids", "begins", "ends"][: 3 if offsets else 1]
     kept = docs.select(*(c for c in docs.columns if c not in made), *([] if "text" in docs.columns else [F.lit("").alias("text")]))
-
-    def run(batches):
-        pieces = _pieces(path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in batches_of(texts, 1 << 20):
-                ids, counts = pieces.ids([PIECE.findall(t) for t in texts[a:b]])
-                bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-                columns = [ids, *(character_offsets(texts[a:b], ids, path) if offsets else [])]
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in columns]
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, *lists], [*part.schema.names, *made])
-
-    return kept.mapInArrow(run, _with(kept, made))
+    return kept.mapInArrow(lambda batches: encoded(batches, path, made), _with(kept, made))
 
 
 def _with(df: DataFrame, made: list[str], kind: T.DataType = T.ArrayType(T.IntegerType())) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name in made)])
 
 
+def decoded(batches, path: str, text: bool = False):
+    """Arrow batches with an `ids` column, with `decoded`."""
+    flat, starts, lens = _byte_table(path)
+    for whole in batches:
+        sizes = whole.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        for a, b in slices(sizes, 1 << 18):
+            batch = whole.slice(a, b - a)
+            ids, counts = batch.column("ids").flatten().to_numpy(zero_copy_only=False), sizes[a:b]
+            data = flat[ragged(starts[ids], lens[ids])].tobytes()
+            at = np.concatenate([[0], np.cumsum(lens[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+            found = [data[i:j] for i, j in zip(at, at[1:], strict=False)]
+            column = pa.array([x.decode("utf-8", "replace") for x in found], pa.string()) if text else pa.array(found, pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "decoded"])
+
+
 def decode(docs: DataFrame, path: str, text: bool = False) -> DataFrame:
     """docs with `decoded`: the bytes that `ids` stand for, or their text. Unknown ids are an error."""
     kept = docs.select(*(c for c in docs.columns if c != "decoded"))
+    return kept.mapInArrow(lambda batches: decoded(batches, path, text), _with(kept, ["decoded"], T.StringType() if text else T.BinaryType()))
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, n_chars and decoded: both ways in one Python worker, so a task holds one set of tables."""
 
     def run(batches):
-        flat, starts, lens = _byte_table(path)
-        for whole in batches:
-            sizes = whole.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            for a, b in slices(sizes, 1 << 18):
-                batch = whole.slice(a, b - a)
-                ids, counts = batch.column("ids").flatten().to_numpy(zero_copy_only=False), sizes[a:b]
-                data = flat[ragged(starts[ids], lens[ids])].tobytes()
-                at = np.concatenate([[0], np.cumsum(lens[ids])])[np.concatenate([[0], np.cumsum(counts)])]
-                found = [data[i:j] for i, j in zip(at, at[1:], strict=False)]
-                column = pa.array([x.decode("utf-8", "replace") for x in found], pa.string()) if text else pa.array(found, pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "decoded"])
+        for batch in decoded(encoded(batches, path, ["ids", "begins", "ends"]), path):
+            ends = batch.column("ends")
+            bounds, flat = ends.offsets.to_numpy(), ends.values.to_numpy()
+            n_chars = np.where(np.diff(bounds) > 0, flat[np.maximum(bounds[1:] - 1, 0)], 0) if len(flat) else np.zeros(len(ends))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(n_chars, pa.int64()), batch.column("decoded")], ["doc_id", "ids", "n_chars", "decoded"])
 
-    return kept.mapInArrow(run, _with(kept, ["decoded"], T.StringType() if text else T.BinaryType()))
+    kept = docs.select("doc_id", "text")
+    kinds = {"ids": T.ArrayType(T.IntegerType()), "n_chars": T.LongType(), "decoded": T.BinaryType()}
+    return kept.mapInArrow(run, T.StructType([kept.schema["doc_id"], *(T.StructField(n, k) for n, k in kinds.items())]))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, SHA-256 of the decimal ids and of the decoded bytes, and n_chars."""
-    last = F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long")
-    done = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "ids", last.alias("n_chars")), path)
-    return done.select(
+    return round_trip(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
