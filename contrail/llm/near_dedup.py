@@ -19,11 +19,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, stage
+from .common import batches_of, slices, stage
 from .components import components
 from .shingles import mix32, mix64, shingles
 
@@ -47,14 +48,20 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64)
 
 
+def unique_sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """Each text's set of shingle hashes, sorted. Long texts are split into words a slice at a time."""
+    return [np.unique(h) for a, b in batches_of(texts, 1 << 19) for h in shingles(texts[a:b], width)]
+
+
 def sets(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     """doc_id, text, n_shingles, node (a 128-bit digest of the set, null if empty) and the set's band keys."""
 
-    def run(frames):
-        for frame in frames:
-            texts = frame["text"].tolist()
-            for a, b in batches_of(texts, 1 << 19):
-                found = [np.unique(h) for h in shingles(texts[a:b], width)]
+    def run(batches):
+        for batch in batches:
+            lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+            for a, b in slices(lengths, 1 << 19):
+                part = batch.slice(a, b - a)
+                found = unique_sets(part.column("text").to_pylist(), width)
                 sizes = np.array([len(h) for h in found], np.int64)
                 full = np.flatnonzero(sizes)
                 keys: list = [None] * (b - a)
@@ -64,10 +71,11 @@ def sets(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
                     for i, row in zip(full, made, strict=True):
                         keys[i] = row
                 nodes = [hashlib.blake2b(h.tobytes(), digest_size=16).hexdigest() if len(h) else None for h in found]
-                yield frame.iloc[a:b].assign(n_shingles=sizes, node=nodes, bands=keys)
+                columns = [*part.columns, pa.array(sizes), pa.array(nodes, pa.string()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_shingles", "node", "bands"])
 
     clean = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return clean.mapInPandas(run, "doc_id long, text string, n_shingles long, node string, bands array<long>")
+    return clean.mapInArrow(run, "doc_id long, text string, n_shingles long, node string, bands array<long>")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], step: int = 1 << 15) -> np.ndarray:
@@ -105,7 +113,7 @@ def confirm(work: DataFrame, texts: DataFrame, percent: int, width: int) -> Data
     def links(job: list):
         sides = [[r for r in job if r[0] == s] for s in (0, 1)]
         if all(sides):
-            left, right = ([np.unique(h) for h in shingles([r[3] for r in side], width)] for side in sides)
+            left, right = (unique_sets([r[3] for r in side], width) for side in sides)
             common = overlaps(left, right)
             union = np.array([len(h) for h in left])[:, None] + np.array([len(h) for h in right]) - common
             for i, j in zip(*np.nonzero(100 * common >= percent * union), strict=True):
@@ -113,19 +121,24 @@ def confirm(work: DataFrame, texts: DataFrame, percent: int, width: int) -> Data
                 if a[2] != b[2]:
                     yield a[1], b[1]
 
-    def run(frames):
-        name, job, found = None, [], []
-        for frame in frames:
-            for key, *row in frame.itertuples(index=False):
-                if key != name:
-                    found += links(job)
-                    name, job = key, []
-                job.append(row)
-            yield pd.DataFrame(found, columns=["a", "b"])
+    def run(batches):
+        name, job = None, []
+        for batch in batches:
             found = []
-        yield pd.DataFrame(list(links(job)), columns=["a", "b"])
-
-    return rows.repartition("job").sortWithinPartitions("job", "side").mapInPandas(run, "a string, b string")
+            for a in range(0, batch.num_rows, 2 * BLOCK):
+                for key, *row in zip(*(c.to_pylist() for c in batch.slice(a, 2 * BLOCK).columns), strict=True):
+                    if key != name:
+                        found += links(job)
+                        name, job = key, []
+                    job.append(row)
+            yield linked(found)
+        yield linked(links(job))
+
+    def linked(found) -> pa.RecordBatch:
+        found = list(found)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], ["a", "b"])
+
+    return rows.repartition("job").sortWithinPartitions("job", "side").mapInArrow(run, "a string, b string")
 
 
 def dedup(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, width: int = 5) -> DataFrame:
