@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import namedtuple
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,16 +17,12 @@ from contrail.operators import merge
 from contrail.operators.geo import last_completed_flight, latest_position, nearest_airport, open_flights
 from contrail.operators.sessions import session_features, with_ground
 
-FLIGHT = "icao24 string, callsign string, departure_airport_icao string, arrival_airport_icao string, first_seen timestamp, last_seen timestamp, needs_review boolean, path string"
+FLIGHT = "icao24 string, callsign string, departure_airport_icao string, arrival_airport_icao string, first_seen long, last_seen long, needs_review boolean, path string"
 UNKNOWN = "UNKN"
 
 
-def _known(value):
-    return None if value is None or value is pd.NaT or value != value else value
-
-
 class Walk:
-    """The state of one aircraft's walk: the flight in the air, if any, and the flights it has written."""
+    """The state of one aircraft's walk: the flight in the air, if any, and the flights it has written. Times are epoch microseconds."""
 
     def __init__(self, cfg: DetectorConfig, stored_open: dict | None, completed: dict | None, replay: bool):
         self.cfg, self.completed, self.replay = cfg, completed, replay
@@ -64,7 +64,7 @@ class Walk:
     def missed_departure(self, s) -> None:
         dep = s.first_airport if s.departs else None
         review = dep is None
-        if dep is None and self.completed and s.first_at - self.completed["last_seen"] <= pd.Timedelta(hours=self.cfg.missed_departure_max_gap_h):
+        if dep is None and self.completed and s.first_at - self.completed["last_seen"] <= self.cfg.missed_departure_max_gap_h * 3_600_000_000:
             dep = (self.completed["arrival_airport_icao"] or "").strip() or None
             review = dep is None or dep == UNKNOWN
         self.open("2", s.callsign, dep, s.first_at, s.last_at, review)
@@ -110,25 +110,60 @@ class Walk:
                 self.extend("x", s.last_at, callsign)
 
 
-def walk(sessions: pd.DataFrame, cfg: DetectorConfig, replay: bool = False) -> pd.DataFrame:
-    """The flights of one aircraft's sessions (a row each, with the stored flights' columns alike in all rows)."""
-    rows = [type(r)(*map(_known, r)) for r in sessions.sort_values("session_no").itertuples(index=False)]
-    head = rows[0]
-    stored = {"first_seen": head.open_first_seen, "last_seen": head.open_last_seen, "callsign": head.open_callsign, "departure_airport_icao": head.open_departure, "arrival_airport_icao": None, "needs_review": head.open_review} if head.open_first_seen is not None else None
-    completed = {"last_seen": head.done_last_seen, "arrival_airport_icao": head.done_arrival} if head.done_last_seen is not None else None
-    state, previous = Walk(cfg, stored, completed, replay), None
-    for s in rows:
+def walk(sessions: Iterable[tuple], cfg: DetectorConfig, replay: bool = False) -> Iterator[dict]:
+    """The flights of one aircraft's sessions (a row each by session_no, with the stored flights' columns alike in all rows).
+
+    Sessions are read one by one; only the aircraft's flights are held.
+    """
+    state = previous = s = None
+    for s in sessions:
+        if state is None:
+            stored = {"first_seen": s.open_first_seen, "last_seen": s.open_last_seen, "callsign": s.open_callsign, "departure_airport_icao": s.open_departure, "arrival_airport_icao": None, "needs_review": s.open_review} if s.open_first_seen is not None else None
+            completed = {"last_seen": s.done_last_seen, "arrival_airport_icao": s.done_arrival} if s.done_last_seen is not None else None
+            state = Walk(cfg, stored, completed, replay)
         if state.on_session(s, previous):
             previous = s
-    state.at_end(rows[-1])
+    state.at_end(s)
+    for flight in state.written.values():
+        yield flight | {"icao24": s.icao24}
+
+
+def walk_all(sessions: DataFrame, cfg: DetectorConfig, replay: bool) -> DataFrame:
+    """The walks of all aircraft, over batches of sorted sessions.
+
+    The number of partitions is the session's own, as the walk's time isn't in proportion to its bytes, by which
+    partitions would be merged.
+    """
+    times = [n for n, t in sessions.dtypes if t == "timestamp"]
+    rows = sessions.withColumns({n: F.unix_micros(n) for n in times})
+    rows = rows.repartition(int(sessions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "icao24").sortWithinPartitions("icao24", "session_no")
     names = [c.split()[0] for c in FLIGHT.split(", ")]
-    return pd.DataFrame([[(f | {"icao24": head.icao24})[n] for n in names] for f in state.written.values()], columns=names)
+    types = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[c.split()[1]] for c in FLIGHT.split(", ")]
+    columns = rows.columns
+
+    def batch_of(flights: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[n] for f in flights], t) for n, t in zip(names, types, strict=True)], names)
+
+    def run(batches):
+        row = namedtuple("Session", columns)
+        each = (row(*r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        held = []
+        for _, own in groupby(each, key=lambda r: r.icao24):
+            for flight in walk(own, cfg, replay):
+                held.append(flight)
+                if len(held) == 10_000:
+                    yield batch_of(held)
+                    held = []
+        yield batch_of(held)
+
+    found = rows.mapInArrow(run, FLIGHT)
+    return found.withColumns({n: F.timestamp_micros(n) for n in ("first_seen", "last_seen")})
 
 
 def detect_flights(positions: DataFrame, airports: DataFrame, stored: DataFrame | None, cfg: DetectorConfig, since=None, replay: bool = False) -> DataFrame:
     """Flights written or changed by a run over positions, given the stored flights (None: none).
 
-    The walk is the only Python here: it sees a row a session, grouped by aircraft like the sessions themselves.
+    The walk is the only Python here: it sees a row a session, dealt and sorted by aircraft.
     Of several open flights of an aircraft the one with the latest first_seen is taken up.
     """
     sessions = session_features(positions, airports, cfg, since)
@@ -141,7 +176,7 @@ def detect_flights(positions: DataFrame, airports: DataFrame, stored: DataFrame
     else:
         none = {n: F.lit(None).cast(t) for n, t in (("open_first_seen", "timestamp"), ("open_last_seen", "timestamp"), ("open_callsign", "string"), ("open_departure", "string"), ("open_review", "boolean"), ("done_last_seen", "timestamp"), ("done_arrival", "string"))}
         sessions = sessions.withColumns(none)
-    return sessions.groupBy("icao24").applyInPandas(lambda pdf: walk(pdf, cfg, replay), FLIGHT)
+    return walk_all(sessions, cfg, replay)
 
 
 def covered_sessions(sessions: DataFrame, completed: DataFrame) -> DataFrame:
