@@ -61,7 +61,7 @@ def positions_before(events: DataFrame, positions: DataFrame, n: int = 15) -> Da
 
     Events and positions are one sorted sequence per aircraft, so this is a window frame and no range join.
     """
-    rest = [c for c in positions.columns if c != "icao24"]
+    rest = ["captured_at", *(c for c in positions.columns if c not in ("icao24", "captured_at"))]  # the time first, to sort by it
     rows = positions.select("icao24", F.col("captured_at").alias("at"), F.lit(1).alias("kind"), F.struct(*rest).alias("p"))
     asked = events.select("icao24", "at", F.lit(0).alias("kind"), F.lit(None).cast(rows.schema["p"].dataType).alias("p"))
     order = W.partitionBy("icao24").orderBy("at", "kind")
