@@ -8,7 +8,8 @@ are held against each other as matrices (all of them against those outside the b
 bucket left out but those whose nodes are known to be in one component; so all pairs inside a group of copies
 are never made.
 
-With 30 bands of 6 coordinates two sets of Jaccard 0.85 share no bucket with odds of 7 in 10^7.
+Bands and rows follow from the similarity: with 30 bands of 6 coordinates two sets of Jaccard 0.85, and with 36 bands
+of 5 two sets of Jaccard 0.8, share no bucket with odds of 7 in 10^7.
 
 Null and empty texts, or those without words, have no shingles, are linked with nothing and are components of
 their own. Repeated rows are copies. A null doc_id takes part; the component_id ignores it unless it is alone.
@@ -17,6 +18,7 @@ their own. Repeated rows are copies. A null doc_id takes part; the component_id
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,16 @@ from .common import batches_of, slices, stage
 from .components import components
 from .shingles import mix32, mix64, shingles
 
-BANDS, ROWS, BLOCK = 30, 6, 128
+MISSED, MOST_BANDS, BLOCK = 7e-7, 42, 128
+
+
+def bands_and_rows(percent: int) -> tuple[int, int]:
+    """The longest bands, of 6 coordinates at most, of which MOST_BANDS miss a pair of this similarity with odds of MISSED or less."""
+    for rows in range(6, 0, -1):
+        bands = math.ceil(math.log(MISSED) / math.log1p(-min(percent / 100, 0.99) ** rows))
+        if bands <= MOST_BANDS:
+            break
+    return bands, rows
 
 
 def signatures(hashes: np.ndarray, starts: np.ndarray, coordinates: int) -> np.ndarray:
@@ -141,8 +152,9 @@ def confirm(work: DataFrame, texts: DataFrame, percent: int, width: int) -> Data
     return rows.repartition("job").sortWithinPartitions("job", "side").mapInArrow(run, "a string, b string")
 
 
-def dedup(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, width: int = 5) -> DataFrame:
+def dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
+    bands, rows = bands_and_rows(percent)
     held = stage(sets(docs, bands, rows, width), "near-sets")
     nodes = held.where("node IS NOT NULL").groupBy("node").agg(F.min_by("bands", "doc_id").alias("bands"), F.first("bands").alias("any"))
     members = stage(nodes.select("node", F.explode(F.coalesce("bands", "any")).alias("bucket")), "near-buckets")

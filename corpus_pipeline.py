@@ -6,6 +6,8 @@ but the last returns the columns of documents.
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 from contrail.llm import byte_bpe, mixing, near_dedup, quality
 from contrail.llm.common import stage, table
 
+#: The pipeline's near copies: a Jaccard similarity of their five-word shingles of so many hundredths. op5_near_dedup has 85.
+NEAR_PERCENT = 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier, fitted on the labelled ones, rejects."""
@@ -20,9 +25,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 1").select(*docs.columns)
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = 85) -> DataFrame:
     """Keeps one row of each group of near copies: that of the smallest doc_id."""
-    kept = near_dedup.dedup(docs).where("kept").select(F.col("doc_id").alias("k"))
+    kept = near_dedup.dedup(docs, percent).where("kept").select(F.col("doc_id").alias("k"))
     rows = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
     return rows.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
@@ -39,7 +44,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-STAGES = [("quality", keep_good), ("near_dedup", drop_near_copies), ("mix", mix_sources), ("byte_bpe", tokenize)]
+STAGES = [("quality", keep_good), ("near_dedup", partial(drop_near_copies, percent=NEAR_PERCENT)), ("mix", mix_sources), ("byte_bpe", tokenize)]
 
 #: No SQL: the classifier and the tokenizer can't be expressed in it. tests/llm checks each stage on its input.
 ORACLE_SQL = None

@@ -213,3 +213,19 @@ def test_pipeline(spark):
     mixed = corpus_pipeline.mix_sources(spark, single, "/root/testdata/sf0.01")
     copies = {r.doc_id: r.copies for r in mixing.mix(single).collect()}
     assert mixed.columns == docs.columns and mixed.count() == sum(copies.values())
+
+
+def test_pipeline_drops_near_copies_from_four_fifths(spark):
+    """Two texts of Jaccard 51/61, between the pipeline's 0.8 and op5_near_dedup's 0.85."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, BASE), (2, BASE.replace("word30", "other"))], "doc_id long, text string")
+    assert near_dedup.dedup(docs).where("kept").count() == 2
+    assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()] == [1]
+
+
+def test_bands_follow_the_similarity():
+    assert near_dedup.bands_and_rows(85) == (30, 6)
+    for percent in (50, 80, 85, 95, 100):
+        bands, rows = near_dedup.bands_and_rows(percent)
+        assert rows == 1 or (1 - min(percent / 100, 0.99) ** rows) ** bands <= 1e-6
