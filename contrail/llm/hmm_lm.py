@@ -2,12 +2,13 @@
 
 Words are counted exactly. The model draws latent states by a Markov chain; a state emits a word class (short words
 by themselves, longer ones by their ends, hashed to `CLASSES` numbers) and the class a word by its smoothed count.
-Baum-Welch counts are computed in each task over whole documents, summed across partitions, and give the next
-parameters. A document's score is the exact likelihood of its tokens by the scaled forward recursion. Only starting
-values come from a bounded sample (at most `INIT_DOCS` short training documents); all training documents are in
-every count and in every full pass.
+Starting values come from the counts of each class 1, 2, 4 and 8 words before each of `GROUPS` groups of classes,
+over all training documents: the parameters that make these pairs likely are found by expectation and maximization
+on the driver. Then Baum-Welch counts are computed in each task over whole documents, summed across partitions, and give
+the next parameters. A document's score is the exact likelihood of its tokens by the scaled forward recursion. All
+training documents are in every count and in every pass; nothing is sampled.
 
-What is broadcast has a fixed size (CLASSES x STATES). The vocabulary isn't broadcast: documents are packed with
+What is broadcast or sent to the driver has a fixed size (CLASSES x STATES; CLASSES x GROUPS by distance for pairs). The vocabulary isn't broadcast: documents are packed with
 the list of their distinct words, and each pack gets the counts of its own words by a join.
 
 Null texts are empty: they hold the end token alone. Repeated rows count and are scored once each.
@@ -24,10 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, stage
+from .common import stage
 from .shingles import words
 
-CLASSES, STATES, INIT_DOCS, INIT_STEPS, PASSES = 8192, 8, 1000, 20, 2
+CLASSES, STATES, GROUPS, INIT_STEPS, PASSES = 8192, 8, 256, 60, 2
+DISTANCES, CHUNK = (1, 2, 4, 8), 1 << 16
 PACK_CHARS, WAVE = 6 << 20, 1 << 20
 
 
@@ -173,15 +175,86 @@ def baum_welch_pass(packed: DataFrame, hmm: Hmm) -> None:
         hmm.update(table[0], table[1 : 1 + states], table[1 + states :])
 
 
-def starting_values(docs: DataFrame, hmm: Hmm, n: int = INIT_DOCS) -> None:
-    """Baum-Welch steps on at most n short training documents, to begin the full passes well."""
-    short = docs.where(~F.col("held") & F.octet_length("text").between(1, 4000)).select("doc_id", "text")
-    texts = sorted(r["text"] for r in hash_sample(short, n).collect())
-    split = [[*words(t), b""] for t in texts]
-    if split:
-        classes, lens = word_classes([w for doc in split for w in doc]), np.array([len(d) for d in split], np.int64)
-        for _ in range(INIT_STEPS):
-            hmm.update(*hmm.expect(classes, lens), strength=20.0)
+def neighbour_groups(prior: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """A group per class: the most frequent classes by themselves in three quarters of the groups, the others mixed in the rest."""
+    own = groups * 3 // 4
+    out = (own + np.arange(len(prior)) % (groups - own)).astype(np.int64)
+    out[np.argsort(-prior, kind="stable")[:own]] = np.arange(own)
+    return out
+
+
+def pair_counts(packed: DataFrame, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Over all training documents: how often each class stands by distance before each group, and how often it begins a document."""
+    shared, width = packed.sparkSession.sparkContext.broadcast(group), int(group.max()) + 1
+    shape = (len(DISTANCES), len(group), width)
+    begin, size = int(np.prod(shape)), int(np.prod(shape)) + len(group)
+
+    def chunks(sums: dict) -> Iterator[pa.RecordBatch]:
+        for key, dense in sums.items():
+            at = np.flatnonzero(dense)
+            least = np.min_scalar_type(dense.max())  # the narrowest unsigned type that holds them all
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([key], pa.int32()), "at": pa.array([at.astype(np.uint16).tobytes()], pa.binary()), "n": pa.array([dense[at].astype(least).tobytes()], pa.binary())})
+
+    def cells(row) -> tuple[np.ndarray, np.ndarray]:
+        at = np.frombuffer(row["at"], np.uint16).astype(np.int64)
+        return at, np.frombuffer(row["n"], f"u{len(row['n']) // len(at)}").astype(np.int64)
+
+    def count(batches):
+        groups, sums = shared.value, np.zeros(size, np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                classes, lens = _sequences(row)
+                train = ~np.array(row["held"], bool)
+                classes, lens = classes[np.repeat(train, lens)].astype(np.int64), lens[train]
+                doc = np.repeat(np.arange(len(lens)), lens)
+                for i, d in enumerate(DISTANCES):
+                    at = np.flatnonzero(doc[:-d] == doc[d:])
+                    sums[i * begin // shape[0] :][: begin // shape[0]] += np.bincount(classes[at] * width + groups[classes[at + d]], minlength=begin // shape[0])
+                sums[begin:] += np.bincount(classes[np.cumsum(lens) - lens], minlength=len(groups))
+        yield from chunks({a // CHUNK: sums[a : a + CHUNK] for a in range(0, size, CHUNK) if sums[a : a + CHUNK].any()})
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                dense = sums.setdefault(row["chunk"], np.zeros(CHUNK, np.int64))
+                at, n = cells(row)
+                dense[at] += n
+        yield from chunks(sums)
+
+    schema, total = "chunk int, at binary, n binary", np.zeros(size)
+    rows = packed.select("held", "lens", "codes", "classes").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema)
+    for row in rows.toLocalIterator():  # at most size / CHUNK rows
+        at, n = cells(row)
+        total[row["chunk"] * CHUNK + at] = n
+    return total[:begin].reshape(shape), total[begin:]
+
+
+def starting_values(packed: DataFrame, hmm: Hmm) -> None:
+    """The parameters that make the pairs of words of all training documents likely, to begin the full passes well."""
+    group = neighbour_groups(hmm.prior)
+    pairs, first = pair_counts(packed, group)
+    member = np.zeros((pairs.shape[2], len(group)))
+    member[group, np.arange(len(group))] = 1
+    share = hmm.start.copy()  # of the states among the words of pairs
+    for _ in range(INIT_STEPS if first.any() else 0):
+        emit = hmm.prior[:, None] * hmm.ratio
+        right, left = member @ emit, emit * share  # groups, and classes, by state
+        powers = [np.linalg.matrix_power(hmm.move, d) for d in range(max(DISTANCES) + 1)]
+        lefts, rights, moves = np.zeros_like(left), np.zeros_like(right), np.zeros_like(hmm.move)
+        for d, counts in zip(DISTANCES, pairs, strict=True):
+            ahead = powers[d] @ right.T
+            odds = counts / np.maximum(left @ ahead, 1e-300)
+            lefts += left * (odds @ ahead.T)
+            from_left = left.T @ odds
+            rights += right * (from_left.T @ powers[d])
+            ends = from_left @ right
+            for k in range(d):  # the move k steps after the left word
+                moves += hmm.move * (powers[k].T @ ends @ powers[d - 1 - k].T)
+        starts = emit * hmm.start
+        starts *= (first / np.maximum(starts.sum(1), 1e-300))[:, None]
+        share = (lefts.sum(0) + 0.1) / (lefts.sum(0) + 0.1).sum()
+        hmm.update(starts.sum(0), moves, lefts + starts + emit * (rights / np.maximum(right, 1e-300))[group])
 
 
 def score(docs: DataFrame, held, passes: int = PASSES) -> DataFrame:
@@ -207,7 +280,7 @@ def score(docs: DataFrame, held, passes: int = PASSES) -> DataFrame:
         shares[row["class"]] += row["mass"]
     z = n + 0.5 * (v + 1)
     hmm = Hmm(shares / shares.sum())
-    starting_values(docs, hmm)
+    starting_values(packed, hmm)
     for _ in range(passes):
         baum_welch_pass(packed, hmm)
     # a word's probability in its class is (c + 0.5) / the class' mass; the forward recursion gives the classes'

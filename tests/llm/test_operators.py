@@ -229,3 +229,14 @@ def test_bands_follow_the_similarity():
     for percent in (50, 80, 85, 95, 100):
         bands, rows = near_dedup.bands_and_rows(percent)
         assert rows == 1 or (1 - min(percent / 100, 0.99) ** rows) ** bands <= 1e-6
+
+
+def test_language_model_starts_from_long_documents(spark):
+    """Two languages in texts of over 4,000 bytes each: without any full pass, both are told apart in every layout."""
+    rng = np.random.default_rng(5)
+    words = [[f"{a}{b}" for a in side for b in "xyz"] for side in ("abcdefgh", "stuvwpqr")]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words[i % 2], 2000))) for i in range(60)], "doc_id long, text string")
+    held = F.col("doc_id") % 5 == 1
+    one, many = ({r.doc_id: r for r in hmm_lm.score(docs.repartition(n), held, passes=0).collect()} for n in (1, 6))
+    assert all(r.score > r.base_score + 0.2 * r.n_tokens for r in one.values())
+    assert all(math.isclose(r.score, many[i].score, rel_tol=1e-9) for i, r in one.items())
