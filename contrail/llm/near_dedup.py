@@ -152,8 +152,8 @@ def confirm(work: DataFrame, texts: DataFrame, percent: int, width: int) -> Data
     return rows.repartition("job").sortWithinPartitions("job", "side").mapInArrow(run, "a string, b string")
 
 
-def dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
+def labelled_rows(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
+    """doc_id, digest (the text's MD5; null: empty), n_shingles, node and label for every row of docs; the label names the component and is null without shingles."""
     bands, rows = bands_and_rows(percent)
     held = stage(sets(docs, bands, rows, width), "near-sets")
     nodes = held.where("node IS NOT NULL").groupBy("node").agg(F.min_by("bands", "doc_id").alias("bands"), F.first("bands").alias("any"))
@@ -193,7 +193,21 @@ def dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     links = links.union(confirm(work, texts, percent, width))
 
     labels = stage(components(links), "near-labels")
-    labelled = held.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = held.select("doc_id", F.md5("text").alias("digest"), "n_shingles", "node")
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id and digest of one row of each component, of the least doc_id and digest, and of all rows without shingles."""
+    rows = labelled_rows(docs, percent).select("doc_id", "digest", "label")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("row")
+    ones = rows.where("label IS NOT NULL").groupBy("label").agg(least).select("row.doc_id", "row.digest")
+    return ones.union(rows.where("label IS NULL").select("doc_id", "digest").distinct())
+
+
+def dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
+    labelled = labelled_rows(docs, percent, width)
     least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     out = labelled.join(least, "label", "left").withColumn("component_id", component)

@@ -26,9 +26,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = 85) -> DataFrame:
-    """Keeps one row of each group of near copies: that of the smallest doc_id."""
-    kept = near_dedup.dedup(docs, percent).where("kept").select(F.col("doc_id").alias("k"))
-    rows = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
+    """Keeps one row of each group of near copies: that of the smallest doc_id, null last, and then of the smallest digest."""
+    kept = near_dedup.one_of_each(docs, percent).select(F.col("doc_id").alias("k"), "digest")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("k")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("digest"))
+    rows = docs.join(kept, same, "left_semi")
     return rows.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 

@@ -240,3 +240,15 @@ def test_language_model_starts_from_long_documents(spark):
     one, many = ({r.doc_id: r for r in hmm_lm.score(docs.repartition(n), held, passes=0).collect()} for n in (1, 6))
     assert all(r.score > r.base_score + 0.2 * r.n_tokens for r in one.values())
     assert all(math.isclose(r.score, many[i].score, rel_tol=1e-9) for i, r in one.items())
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Null and repeated ids: rows count, not ids."""
+    import corpus_pipeline
+
+    far = " ".join(f"far{i}" for i in range(60))
+    rows = [(None, BASE), (None, BASE + " end"), (None, ""), (None, far), (7, far), (8, "of its own"), (8, far + " end"), (None, "alone"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    single = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    first = min(BASE, BASE + " end", key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert sorted(single, key=repr) == sorted([(None, first), (None, ""), (None, None), (7, far), (8, "of its own"), (None, "alone")], key=repr)
