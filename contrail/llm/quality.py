@@ -8,7 +8,7 @@ blocks, and the neighbours vote with weights that rise with similarity. Each vot
 frequent among all labelled rows, so the sample doesn't shift the score.
 
 Null texts are empty; a text without terms gets the share of label 1. Rows whose quality is null teach nothing;
-a doc_id that is labelled twice teaches twice.
+a doc_id that is labelled twice teaches twice. Of several documents of one doc_id that of the least text teaches.
 """
 
 from __future__ import annotations
@@ -120,9 +120,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     counts = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
     parts = [labels.where(F.col("quality") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for v in (0, 1)]
-    sample = parts[0].union(parts[1])
+    sample = parts[0].union(parts[1]).groupBy("doc_id", "quality").agg(F.count("*").alias("times"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    got = rows.orderBy("doc_id", "text").limit(4 * per_label).toPandas()
+    # one text a sampled label, as often as it is labelled: 2 * per_label rows at most
+    one = rows.groupBy("doc_id", "quality", "times").agg(F.min("text").alias("text"))
+    got = one.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).toPandas().sort_values(["doc_id", "text", "quality"])
     return Model(got["text"].tolist(), got["quality"].to_numpy(np.int64), share)
 
 

@@ -252,3 +252,10 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     single = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
     first = min(BASE, BASE + " end", key=lambda t: hashlib.md5(t.encode()).hexdigest())
     assert sorted(single, key=repr) == sorted([(None, first), (None, ""), (None, None), (7, far), (8, "of its own"), (None, "alone")], key=repr)
+
+
+def test_quality_learns_from_all_labels_where_an_id_is_repeated(spark):
+    docs = spark.createDataFrame([(0, f"poor text {i}") for i in range(40)] + [(i, f"good words {i}") for i in (1, 2)] + [(3, "poor text of its own")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (3, 0), (1, 1), (2, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, per_label=2)
+    assert model.labels.tolist() == [0, 1, 1, 0]
