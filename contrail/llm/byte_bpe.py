@@ -14,6 +14,7 @@ import base64
 import functools
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -44,7 +45,7 @@ def tokenizer(path: str, pattern: str = public_tokenizers.PATTERN):
     from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
     ranks = load_ranks(path)
-    name = {token: mapped(token) for token in ranks}
+    name = {token: mapped([token])[0] for token in ranks}
     pairs = [(rank, max(ranks[token[:i]], ranks[token[i:]]), token[:i], token[i:]) for token, rank in ranks.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
     merges = [(name[a], name[b]) for _, _, a, b in sorted(pairs)]
     out = Tokenizer(models.BPE({name[token]: rank for token, rank in ranks.items()}, merges, ignore_merges=True))
@@ -60,10 +61,10 @@ def _pieces(path: str) -> PieceTable:
     def split(piece: str) -> tuple:
         word = piece[1:] if piece[0] == " " else piece
         if word.isalpha() and plain(word):
-            return (mapped(piece),)
+            return (piece,)
         if word[-1:] in {".", ","} and word[:-1].isalpha() and plain(word):
-            return mapped(piece[:-1]), piece[-1]
-        return tuple(map(mapped, matches.findall(piece)))
+            return piece[:-1], piece[-1]
+        return tuple(matches.findall(piece))
 
     # a worker keeps these tables between tasks, so they are kept small
     return PieceTable(tokenizer(path).model, split, pieces=100_000, parts=250_000)
@@ -100,7 +101,8 @@ def encoded(batches, path: str, made: list[str]):
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         for a, b in batches_of(texts, 1 << 20):
-            ids, counts = pieces.ids([PIECE.findall(t) for t in texts[a:b]])
+            found = [PIECE.findall(t) for t in texts[a:b]]
+            ids, counts = pieces.ids(pa.array(chain.from_iterable(found), pa.string()), np.fromiter(map(len, found), np.int64, b - a))
             bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             columns = [ids, *(character_offsets(texts[a:b], ids, path) if len(made) > 1 else [])]
             lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in columns]

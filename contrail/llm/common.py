@@ -76,9 +76,3 @@ def crc32_mod(doc_id, n: int):
     """crc32 of an id's decimal text (null: empty text), modulo n."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
-
-def hash_sample(rows: DataFrame, n: int) -> DataFrame:
-    """About n rows, and n at most, picked by a hash of all columns: a scan and a filter, no sort."""
-    total = rows.count()
-    share = min(1.0, n / max(1, total)) * (1 << 30)
-    return rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < F.lit(share)).limit(n)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 
 def byte_characters() -> list[str]:
@@ -20,16 +21,20 @@ def byte_characters() -> list[str]:
     return [chr(b if b in printable else next(rest)) for b in range(256)]
 
 
-_MAPPED = dict(enumerate(byte_characters()))
+_MAPPED = np.array([ord(c) for c in byte_characters()], "<u2")
+_BYTE = {c: b for b, c in enumerate(byte_characters())}
 
 
-def mapped(part: str | bytes) -> str:
-    """A part in the byte alphabet."""
-    if isinstance(part, str):
-        if part.isascii() and part.isalpha():
-            return part
-        part = part.encode()
-    return part.decode("latin-1").translate(_MAPPED)
+def mapped(parts: list[bytes]) -> list[str]:
+    """Parts in the byte alphabet. Between them stands the byte FF, which is in no UTF-8 text."""
+    if not parts:
+        return []
+    joined = np.frombuffer(b"\xff".join(parts), np.uint8)
+    return _MAPPED[joined].tobytes().decode("utf-16-le").split("\xff")
+
+
+def unmapped(part: str) -> bytes:
+    return bytes(map(_BYTE.__getitem__, part))
 
 
 def plain(word: str) -> bool:
@@ -44,7 +49,7 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """Keys and a run of integers for each. It is emptied beyond `limit` keys, which bounds its memory."""
+    """Keys and a run of integers for each. Beyond `limit` keys only those of the call at hand are kept, which bounds its memory."""
 
     def __init__(self, limit: int):
         self.limit = limit
@@ -52,26 +57,44 @@ class Runs:
 
     def clear(self) -> None:
         self.code: dict = {}
-        self.flat, self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def add(self, keys: list, flat: np.ndarray, lens: np.ndarray) -> None:
-        self.code.update(zip(keys, range(len(self.code), len(self.code) + len(keys)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.flat = np.concatenate([self.flat, flat])
+        n = len(self.code)
+        self.code.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.starts, self.lens = room(self.starts, n, len(keys)), room(self.lens, n, len(keys))
+        self.starts[n : n + len(keys)] = self.used + np.cumsum(lens) - lens
+        self.lens[n : n + len(keys)] = lens
+        self.flat = room(self.flat, self.used, len(flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def held(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.fromiter(map(self.code.__getitem__, keys), np.int64, len(keys))
+        lens = self.lens[codes]
+        return self.flat[ragged(self.starts[codes], lens)], lens
 
     def get(self, keys: list, make: Callable[[list], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """All keys' runs in one array, and the runs' lengths. make: gives both for keys that aren't held yet."""
-        new = set(keys).difference(self.code)
+        new = list(dict.fromkeys(k for k in keys if k not in self.code))
         if new and len(self.code) + len(new) > self.limit:
+            kept = list(set(keys).difference(new))
+            runs = self.held(kept)
             self.clear()
-            new = set(keys)
+            self.add(kept, *runs)
         if new:
-            new = list(new)
             self.add(new, *make(new))
-        codes = np.fromiter(map(self.code.__getitem__, keys), np.int64, len(keys))
-        lens = self.lens[codes]
-        return self.flat[ragged(self.starts[codes], lens)], lens
+        return self.held(keys)
+
+
+def room(buffer: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The buffer, or one of twice the size if more items don't fit behind those used."""
+    if used + more <= len(buffer):
+        return buffer
+    grown = np.zeros(2 * (used + more), buffer.dtype)
+    grown[:used] = buffer[:used]
+    return grown
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -81,24 +104,20 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class PieceTable:
-    def __init__(self, model, split: Callable[[object], tuple], pieces: int = 400_000, parts: int = 1_000_000):
-        """model: a tokenizer's model, for parts in the byte alphabet. split: a piece's parts in it."""
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.words = Tokenizer(model)
-        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # the byte alphabet has no white space
-        self.split, self.pieces, self.parts = split, Runs(pieces), Runs(parts)
+    def __init__(self, model, split: Callable[[str], tuple], pieces: int = 400_000, parts: int = 1_000_000, special: dict[str, int] | None = None):
+        """model: a tokenizer's model, for parts in the byte alphabet. split: a piece's parts. special: ids of parts that don't go through the model."""
+        self.model, self.split, self.special = model, split, special or {}
+        self.pieces, self.parts = Runs(pieces), Runs(parts)
 
     def _model(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, lens = [], []
-        for k in range(0, len(parts), 4000):
-            some = parts[k : k + 4000]
-            found = self.words.encode_batch([" ".join(some)], add_special_tokens=False)[0]
-            ids.append(np.array(found.ids, np.int32))
-            lens.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
-        return np.concatenate(ids), np.concatenate(lens)
-
-    def _pieces(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+        ids, lens, tokenize = [], [], self.model.tokenize
+        for part, name in zip(parts, mapped(list(map(str.encode, parts))), strict=True):
+            own = [token.id for token in tokenize(name)] if part not in self.special else [self.special[part]]
+            ids += own
+            lens.append(len(own))
+        return np.array(ids, np.int32), np.array(lens, np.int64)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = list(map(self.split, pieces))
         counts = np.fromiter(map(len, split), np.int64, len(split))
         parts = list(chain.from_iterable(split))
@@ -107,8 +126,10 @@ class PieceTable:
         ids, lens = self.parts.get(parts, self._model)
         return ids, sums(lens, counts)
 
-    def ids(self, docs: list[list]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents in one array, and their number per document. docs: each one's pieces."""
-        counts = np.fromiter(map(len, docs), np.int64, len(docs))
-        ids, lens = self.pieces.get(list(chain.from_iterable(docs)), self._pieces)
-        return ids, sums(lens, counts)
+    def ids(self, pieces: pa.StringArray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents in one array, and their number per document. pieces: those of all documents, of which counts many are each one's."""
+        coded = pieces.dictionary_encode()
+        ids, lens = self.pieces.get(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._pieces)
+        begins, at = np.cumsum(lens) - lens, coded.indices.to_numpy()
+        lens = lens[at]
+        return ids[ragged(begins[at], lens)], sums(lens, counts)

@@ -11,9 +11,12 @@ can reach holds it:
 A short document is read by pruning blocks on first_id/last_id, slicing its frame by the offset index and
 decompressing that frame alone.
 
-Null doc_ids come first; equal doc_ids are ordered by their text. A null or empty text yields the end id alone.
-The dictionary is fitted on at most `sample_docs` documents (picked by hash, of at most `sample_bytes`
-bytes each); it affects the size of the frames only, never the ids.
+Ids are those of the tokenizers library: its added tokens (here <|startoftext|> and <|endoftext|>) get their own ids
+where a text spells them out. Null doc_ids come first; equal doc_ids are ordered by a hash of their text, then by it. A
+null or empty text yields the end id alone. Very long texts are whole frames; no table at all yields an empty store.
+Columns other than doc_id and text are ignored, whatever their names. The dictionary is fitted on at most `sample_docs`
+doc_ids (those of least hash) and one run of at most `sample_chars` characters of each, from a place that the hash picks;
+it affects the size of the frames only, never the ids. With fewer than 16 texts there is none.
 """
 
 from __future__ import annotations
@@ -21,11 +24,13 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -33,10 +38,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batches_of, hash_sample, stage
-from .pieces import PieceTable, mapped, plain
+from .common import batches_of, stage
+from .pieces import PieceTable, plain, unmapped
 
-BLOCK_DOCS, BLOCK_BYTES = 2048, 4 << 20
+BLOCK_DOCS, BLOCK_BYTES, SLICE = 2048, 4 << 20, 8 << 20
 BLOCKS = (
     "shard int, block int, dict_hash string, first_id long, last_id long, before long, tokens long,"
     " doc_ids array<long>, n_tokens array<long>, offsets array<long>, frames binary"
@@ -48,39 +53,60 @@ PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
 
 
 @functools.lru_cache(4)
-def _pieces(path: str) -> PieceTable:
+def _pieces(path: str) -> tuple[PieceTable, re.Pattern, str]:
+    """The table of words, a pattern of the vocabulary's added tokens, and what all of them begin with."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-
-    def split(word: bytes) -> tuple:
-        text = word.decode()
-        if not plain(text):  # Unicode versions may differ
-            return tuple(part for part, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(text)))
-        text = text.lower()
-        if text.isalpha():
-            return (mapped(text),)
-        if text[-1] in {".", ","} and text[:-1].isalpha():
-            return mapped(text[:-1]), text[-1]
-        return tuple(map(mapped, PART.findall(text)))
-
-    return PieceTable(tokenizer.model, split)
+    added = {token.content: i for i, token in tokenizer.get_added_tokens_decoder().items()}
+    if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in tokenizer.get_added_tokens_decoder().values()):
+        raise ValueError("only added tokens that match as they are can be encoded")
+
+    def split(word: str) -> tuple:
+        if word in added:
+            return (word,)
+        if not plain(word):  # Unicode versions may differ
+            found = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(word))
+            return tuple(unmapped(part).decode() for part, _ in found)
+        word = word.lower()
+        if word.isalpha():
+            return (word,)
+        if word[-1:] in {".", ","} and word[:-1].isalpha():
+            return word[:-1], word[-1]
+        return tuple(PART.findall(word))
+
+    names = "|".join(sorted(map(re.escape, added), key=len, reverse=True))
+    return PieceTable(tokenizer.model, split, special=added), re.compile(f"({names or '(?!)'})"), os.path.commonprefix(list(added))
+
+
+def words_of(texts: list[str], added: re.Pattern, lead: str) -> tuple[pa.StringArray, np.ndarray]:
+    """Words between ASCII white space of all texts in one array, added tokens as words of their own, and their number per text."""
+    texts = [added.sub(r" \1 ", t) if lead in t else t.lower() if t.isascii() else t for t in texts]
+    split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+    return split.flatten(), split.value_lengths().to_numpy()
 
 
 def encode_texts(texts: list, path: str, end_id: int) -> Iterator[np.ndarray]:
     """Each text's ids and the end id. The vocabulary drops white space, so words are encoded apart."""
-    pieces = _pieces(path)
-    for a, b in batches_of(texts):
-        ids, counts = pieces.ids([t.encode().split() for t in texts[a:b]])
-        for doc in np.split(ids, np.cumsum(counts)[:-1]):
-            yield np.append(doc, end_id).astype("<u4")
-
-
-def train_dictionary(docs: DataFrame, path: str, end_id: int, size: int, sample_docs: int, sample_bytes: int) -> bytes:
-    """A dictionary of at most `size` bytes; empty if the sample is too small for one."""
-    short = docs.where(F.octet_length("text").between(1, sample_bytes)).select("doc_id", "text")
-    texts = sorted(r["text"] for r in hash_sample(short, sample_docs).collect())
+    pieces, *added = _pieces(path)
+    for a, b in batches_of(texts, SLICE):
+        ids, counts = pieces.ids(*words_of(texts[a:b], *added))
+        ends = np.cumsum(counts + 1)
+        flat = np.full(len(ids) + b - a, end_id, "<u4")
+        inside = np.ones(len(flat), bool)
+        inside[ends - 1] = False
+        flat[inside] = ids
+        yield from (flat[i:j] for i, j in zip(ends - counts - 1, ends, strict=True))
+
+
+def train_dictionary(docs: DataFrame, path: str, end_id: int, size: int, sample_docs: int, sample_chars: int) -> bytes:
+    """A dictionary of at most `size` bytes; empty if the sample is too small for one. It is alike in every layout of docs."""
+    place = F.xxhash64("doc_id")
+    picked = docs.select("doc_id").distinct().orderBy(place, "doc_id").limit(sample_docs)
+    start = 1 + F.pmod(place, F.greatest(F.lit(1), F.length("text") - sample_chars + 1).cast("long"))
+    runs = docs.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", F.substring("text", start.cast("int"), F.lit(sample_chars)).alias("run"))
+    texts = sorted(r["run"] for r in runs.groupBy("doc_id").agg(F.max("run").alias("run")).collect())
     samples = [ids.tobytes() for ids in encode_texts(texts, path, end_id)]
     if len(samples) < 16:
         return b""
@@ -95,14 +121,15 @@ def _compressors(dictionary: bytes):
     return zstandard.ZstdCompressor(level=3, **shared), zstandard.ZstdDecompressor(**shared)
 
 
-def write(docs: DataFrame, to: str, tokenizer: str, end_id: int = 1, dict_bytes: int = 64 << 10, sample_docs: int = 1000, sample_bytes: int = 8192) -> None:
+def write(docs: DataFrame, to: str, tokenizer: str, end_id: int = 1, dict_bytes: int = 64 << 10, sample_docs: int = 1000, sample_chars: int = 4096) -> None:
     """Encodes every whole text of docs (doc_id, text) and writes the store.
 
-    One range shuffle by doc_id orders the documents; each task then writes the blocks of its own range.
+    One range shuffle by doc_id (and a hash of the text, so that rows of one doc_id may be many) orders the
+    documents; each task then writes the blocks of its own range.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    dictionary = train_dictionary(docs, tokenizer, end_id, dict_bytes, sample_docs, sample_bytes)
+    dictionary = train_dictionary(docs, tokenizer, end_id, dict_bytes, sample_docs, sample_chars)
     dict_hash = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(dict_hash, bytearray(dictionary))], "dict_hash string, dictionary binary").coalesce(1).write.parquet(f"{to}/dictionary")
     fields = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("dict_hash", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("before", pa.int64()), ("tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("frames", pa.binary())])
@@ -131,7 +158,8 @@ def write(docs: DataFrame, to: str, tokenizer: str, end_id: int = 1, dict_bytes:
         if ids:
             yield flush()
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    placed = docs.withColumn("place", F.xxhash64("text"))
+    ordered = placed.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place", "text").drop("place")
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "uncompressed").parquet(f"{to}/blocks")
 
 

@@ -8,12 +8,13 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from contrail.llm import byte_bpe, chat, fingerprint, hmm_lm, mixing, near_dedup, quality, queries, token_store, vafile, warc
+from contrail.llm import byte_bpe, chat, fingerprint, hmm_lm, mixing, near_dedup, pieces, quality, queries, token_store, vafile, warc
 from contrail.llm.common import new_path
 
 SF = "/root/testdata/sf0.001"
@@ -56,7 +57,6 @@ def test_token_store(spark, odd):
     token_store.write(odd, path, vocabulary)
     rows = token_store.read(spark, path).collect()
     plain = Tokenizer.from_file(vocabulary)
-    plain.encode_special_tokens = True
     wanted = sorted(((i, [*plain.encode(t or "", add_special_tokens=False).ids, 1]) for i, t, _ in ODD), key=lambda x: (x[0] is not None, x[0] or 0))
     got = sorted(((r.doc_id, r.start, r.ids, r.ids_crc32) for r in rows), key=lambda x: x[1])
     start = 0
@@ -67,6 +67,35 @@ def test_token_store(spark, odd):
     assert token_store.lookup(spark, path, 7) == [[*plain.encode("one two", add_special_tokens=False).ids, 1]]
 
 
+def _odd_texts(seed: int, n: int = 3000) -> list[str]:
+    rng = np.random.default_rng(seed)
+    parts = [*"aZé的😀 ..,,'\t\n\x0b\x1c\x85\xa0  ÀΣςİſK1२", "e\u0301", "H\u0331", "it's", "WE'LL", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "end", "###"]
+    return ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(n)]
+
+
+def test_token_store_is_the_library_on_odd_texts():
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    library, texts = Tokenizer.from_file(vocabulary), _odd_texts(3)
+    for text, ids in zip(texts, token_store.encode_texts(texts, vocabulary, 1), strict=True):
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 1], repr(text)
+
+
+def test_tables_of_pieces_stay_small_and_right():
+    model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).model
+    small, large = (pieces.PieceTable(model, lambda w: (w,), n, n) for n in (7, 10_000))
+    for k in range(0, 300, 30):
+        words = pa.array([f"w{i % 170}" for i in range(k, k + 40)])
+        for a, b in zip(small.ids(words, np.full(4, 10)), large.ids(words, np.full(4, 10)), strict=True):
+            assert a.tolist() == b.tolist()
+        assert len(small.pieces.code) <= 47
+
+
+def test_dictionary_is_alike_in_every_layout(spark):
+    docs = spark.createDataFrame([(i % 500, f"text {i} " * (1 + i % 7 * 300)) for i in range(900)], "doc_id long, text string")
+    made = [token_store.train_dictionary(docs.repartition(n), public_tokenizers.path("word_bpe_49k.json"), 1, 1 << 12, 100, 512) for n in (1, 7)]
+    assert made[0] == made[1] != b""
+
+
 def test_byte_bpe(spark, odd):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
@@ -78,6 +107,9 @@ def test_byte_bpe(spark, odd):
         assert not r.ends or (r.begins[0] == 0 and r.ends[-1] == len(text))
     digest = {r.doc_id: r for r in byte_bpe.digests(odd, path).collect()}
     assert digest[0].n_tokens == 0 and digest[0].ids_sha256 == hashlib.sha256(b"").hexdigest()
+    for text in _odd_texts(4):
+        ids, _ = byte_bpe._pieces(path).ids(pa.array(byte_bpe.PIECE.findall(text), pa.string()), np.array([len(byte_bpe.PIECE.findall(text))]))
+        assert ids.tolist() == reference.encode_ordinary(text), repr(text)
     split = spark.createDataFrame([([reference.encode_ordinary("😀")[0]],)], "ids array<int>")
     assert byte_bpe.decode(split, path, text=True).first().decoded == "�"
 
