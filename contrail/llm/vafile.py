@@ -1,19 +1,24 @@
 """Op 3: exact top-k search by inner product with vector-approximation (VA) files.
 
-Vectors are integers, floor(scale * x). Each dimension of a block is cut into cells; a vector's approximation is
-its cells, a byte a dimension. For a query the cells give an upper and a lower bound of every score. Exact vectors
-are then read in order of falling upper bound until the k-th score is above all bounds that are left.
+Vectors are integers, floor(scale * x). They are written twice: exactly, a row each, and as the VA file, in which each
+dimension of a block of vectors is cut into cells and a vector is a byte a dimension, its cell. A search scans the VA file
+for lower and upper bounds of the scores: a first scan finds each query's k-th best lower bound over all blocks, a
+second one the vectors whose upper bound reaches it. Only their exact vectors are read, in order of the bounds: first
+the k of greatest upper bound, then those whose upper bound reaches the k-th score found so far, after which it is certain.
 
-Blocks of queries meet blocks of vectors (the queries are a stated set, so this is no join of all with all); each
-pair yields k rows a query at most, and a top-k over them follows. No vector or query is dropped or capped.
+Blocks of queries meet blocks of cells (the queries are a stated set, so this is no join of all with all). A block
+holds a number of components, so wide vectors make blocks of fewer rows. No vector or query is dropped or capped.
 
 Vectors that are null or hold a null or non-finite component take no part; only vectors of equal dimension are
-compared. Repeated vec_ids are rows of their own, but a query never meets a row with its own id; a null vec_id is
-no query and ranks last among ties. Scores are exact while they fit in 53 bits.
+compared. Repeated vec_ids are rows of their own, and each query row gets its own ranking, but a query never meets a
+row with its own id; a null vec_id is no query and ranks last among ties. No vectors or queries yield no rows. Other
+columns are ignored, whatever their names. Scores are exact while they fit in 53 bits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,81 +27,128 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-BLOCK, QUERIES, CELLS = 8192, 1024, 64
+BLOCK, QUERIES, CELLS = 1 << 19, 1 << 16, 64  # components in a block of vectors, in one of queries; cells a dimension
 NO_ID = 2**63 - 1  # stands for a null id
-PACK = "dim int, block long, ids array<long>, flat array<long>"
+VA_FILE = "dim int, block long, nos array<long>, ids array<long>, grid binary, low array<long>, width array<long>"
 
 
 def integers(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
-    """id and the integer vector v of the rows that take part."""
+    """no (a number per row), id, dim and the integer vector v of the rows that take part, as a written table."""
     good = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     v = F.transform(vec_col, lambda x: F.floor(x.cast("double") * F.lit(scale)))
-    return vectors.where(F.col(vec_col).isNotNull() & good).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), v.alias("v"), F.size(vec_col).alias("dim"))
+    rows = vectors.where(F.col(vec_col).isNotNull() & good)
+    ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id")
+    return stage(rows.select(F.monotonically_increasing_id().alias("no"), ids, F.size(vec_col).alias("dim"), v.alias("v")), "va-exact")
+
+
+def packs(rows: DataFrame, components: int) -> DataFrame:
+    """Blocks of vectors of one dimension, of about so many components: dim, block and rows, a list of the other columns."""
+    per_block = F.greatest(F.lit(1), F.floor(F.lit(components) / F.greatest(F.lit(1), F.col("dim"))))
+    blocks = rows.groupBy("dim").agg(F.ceil(F.count("*") / F.first(per_block)).alias("blocks"))
+    placed = rows.join(blocks, "dim").withColumn("block", F.pmod(F.xxhash64("no"), F.col("blocks")))
+    return placed.groupBy("dim", "block").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "dim"))).alias("rows"))
 
 
-def packs(rows: DataFrame, per_block: int) -> DataFrame:
-    """Blocks of per_block vectors of one dimension, as rows of flat arrays. Blocks are filled by the hash of id."""
-    n = rows.groupBy("dim").agg(F.ceil(F.count("*") / per_block).alias("blocks"))
-    placed = rows.join(F.broadcast(n), "dim") if n.count() <= 10_000 else rows.join(n, "dim")
-    spread = F.pmod(F.xxhash64("id", "v"), F.col("blocks")).alias("block")
-    return placed.select("dim", spread, "id", "v").groupBy("dim", "block").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("flat"))
+def _matrix(rows, dim: int) -> np.ndarray:
+    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), dim)
 
 
 def approximate(vectors: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each component's cell, and the least and greatest component by dimension and cell."""
+    """Each component's cell, and by dimension the least component and the cells' width."""
     low, high = vectors.min(0), vectors.max(0)
     width = np.maximum(1, -(-(high - low + 1) // cells))
-    grid = ((vectors - low) // width).astype(np.uint8)
-    edges = low + np.arange(cells)[:, None] * width
-    return grid, edges, edges + width - 1
-
-
-def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, cells: int):
-    """Yields each query's number, and the positions and scores of its k best vectors."""
-    grid, lows, highs = approximate(vectors, cells)
-    dims = np.arange(vectors.shape[1])
-    low, high = lows[grid, dims].astype(np.float64), highs[grid, dims].astype(np.float64)
-    exact = vectors.astype(np.float64)
-    for a in range(0, len(queries), 256):
-        q = queries[a : a + 256].astype(np.float64)
-        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-        upper, lower = plus @ high.T + minus @ low.T, plus @ low.T + minus @ high.T
-        own = query_ids[a : a + 256, None] == ids[None, :]
-        upper[own] = lower[own] = -np.inf
-        at = max(0, len(ids) - k)
-        sure = np.partition(lower, at, axis=1)[:, at]
-        for i in range(len(q)):
-            near = np.flatnonzero((upper[i] >= sure[i]) & ~own[i])
-            near = near[np.argsort(-upper[i, near], kind="stable")]
-            best, scores = np.zeros(0, np.int64), np.zeros(0)
-            for b in range(0, len(near), 4 * k):  # in order of the bounds, until the k-th is certain
-                if len(best) == k and upper[i, near[b]] < scores[-1]:
-                    break
-                part = near[b : b + 4 * k]
-                best, scores = np.concatenate([best, part]), np.concatenate([scores, exact[part] @ q[i]])
-                order = np.lexsort((ids[best], -scores))[:k]
-                best, scores = best[order], scores[order]
-            yield a + i, best, scores
+    return ((vectors - low) // width).astype(np.uint8), low, width
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0, cells: int = CELLS) -> DataFrame:
-    """query_id, rank, vec_id and score: the k best vectors of each query, ties to the smaller vec_id."""
-    held = stage(packs(integers(vectors, id_col, vec_col, scale), BLOCK), "va-vectors")
-    asked = packs(integers(queries, id_col, vec_col, scale).where(F.col("id") != NO_ID), QUERIES)
-    asked = asked.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
-    pairs = held.select("dim", "block").join(asked, "dim")
-    work = pairs.repartition("dim", "block", "q_block").join(held, ["dim", "block"])
+def va_file(exact: DataFrame, cells: int = CELLS) -> DataFrame:
+    """The approximations of all exact vectors, as a written table of blocks."""
 
     def run(frames):
         for frame in frames:
             for row in frame.itertuples():
-                ids, q_ids = np.asarray(row.ids, np.int64), np.asarray(row.q_ids, np.int64)
-                v, q = (np.asarray(x, np.int64).reshape(-1, row.dim) if row.dim else np.zeros((len(n), 1), np.int64) for x, n in ((row.flat, ids), (row.q_flat, q_ids)))
-                found = list(search(q, q_ids, v, ids, k, cells))
-                yield pd.DataFrame({"query_id": np.repeat(q_ids, [len(b) for _, b, _ in found]), "vec_id": ids[np.concatenate([b for _, b, _ in found])], "score": np.concatenate([s for *_, s in found]).astype(np.int64)})
+                grid, low, width = approximate(_matrix(row.rows, row.dim), cells)
+                nos, ids = ([r[c] for r in row.rows] for c in ("no", "id"))
+                yield pd.DataFrame({"dim": [row.dim], "block": [row.block], "nos": [nos], "ids": [ids], "grid": [grid.tobytes()], "low": [low], "width": [width]})
+
+    return stage(packs(exact, BLOCK).mapInPandas(run, VA_FILE), "va-cells")
+
+
+def bounds(block, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of all queries' scores with all vectors of a block of the VA file, by one product.
+
+    A component is its cell's least value and at most width - 1 more.
+    """
+    grid = np.frombuffer(block.grid, np.uint8).reshape(len(block.ids), block.dim).astype(np.float64)
+    low, width, q = np.asarray(block.low, np.float64), np.asarray(block.width, np.float64), queries.astype(np.float64)
+    base = (q * width) @ grid.T + (q @ low)[:, None]
+    return base + (np.minimum(q, 0) @ (width - 1))[:, None], base + (np.maximum(q, 0) @ (width - 1))[:, None]
+
+
+def scan(va: DataFrame, queries: DataFrame, k: int, near: bool) -> DataFrame:
+    """One scan of the VA file for all queries (no, id, dim, v and floor, what an upper bound must reach).
+
+    q_no and bound: of each block its k best lower bounds; if near, q_no, no and bound: all vectors whose upper bound
+    reaches the floor, with it.
+    """
+    asked = packs(queries, QUERIES).select("dim", F.col("block").alias("q_block"), F.col("rows").alias("asked"))
+    pairs = va.select("dim", "block").join(asked, "dim").repartition("dim", "block", "q_block")
+
+    def found(row) -> Iterator[pd.DataFrame]:
+        ids, nos = np.asarray(row.ids, np.int64), np.asarray(row.nos, np.int64)
+        for a in range(0, len(row.asked), 256):
+            some = row.asked[a : a + 256]
+            q_nos, q_ids, floors = (np.array([r[c] for r in some]) for c in ("no", "id", "floor"))
+            lower, upper = bounds(row, _matrix(some, row.dim))
+            own = q_ids[:, None] == ids[None, :]
+            if near:
+                q, v = np.nonzero((upper >= floors[:, None]) & ~own)
+                yield pd.DataFrame({"q_no": q_nos[q], "no": nos[v], "bound": upper[q, v]})
+            else:
+                lower[own] = -np.inf
+                best = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k :] if len(ids) > k else lower
+                rows = pd.DataFrame({"q_no": np.repeat(q_nos, best.shape[1]), "bound": best.ravel()})
+                yield rows[np.isfinite(rows["bound"])]
+
+    def run(frames):
+        for frame in frames:
+            for row in frame.itertuples():
+                yield from found(row)
+
+    return pairs.join(va, ["dim", "block"]).mapInPandas(run, "q_no long, no long, bound double" if near else "q_no long, bound double")
 
-    rows = work.mapInPandas(run, "query_id long, vec_id long, score long")
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+
+def kth(rows: DataFrame, value: str, k: int) -> DataFrame:
+    """q_no and floor, the k-th greatest value of each query that has so many."""
+    order = W.partitionBy("q_no").orderBy(F.desc(value))
+    ranked = rows.select("q_no", value, F.row_number().over(order).alias("nth")).where(F.col("nth") <= k)
+    return ranked.where(F.col("nth") == k).select("q_no", F.col(value).cast("double").alias("floor"))
+
+
+def scored(pairs: DataFrame, exact: DataFrame, queries: DataFrame) -> DataFrame:
+    """q_no, query_id, vec_id and the exact score of the pairs (q_no, no): only these vectors are read for it."""
+    asked = queries.select(F.col("no").alias("q_no"), F.col("id").alias("query_id"), F.col("v").alias("q"))
+    met = pairs.select("q_no", "no").join(exact.select("no", F.col("id").alias("vec_id"), "v"), "no").join(asked, "q_no")
+    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
+    return met.select("q_no", "query_id", "vec_id", product.alias("score"))
+
+
+def candidates(va: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """q_no, no, bound and nth (by falling bound) of the vectors that can be among each query's k best."""
+    floors = kth(scan(va, asked.withColumn("floor", F.lit(float("-inf"))), k, near=False), "bound", k)
+    floored = asked.join(floors, asked["no"] == floors["q_no"], "left").drop("q_no").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    rows = scan(va, floored, k, near=True)
+    return stage(rows.withColumn("nth", F.row_number().over(W.partitionBy("q_no").orderBy(F.desc("bound"), "no"))), "va-candidates")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0, cells: int = CELLS) -> DataFrame:
+    """query_id, rank, vec_id and score: the k best vectors of each query row, ties to the smaller vec_id."""
+    exact = integers(vectors, id_col, vec_col, scale)
+    asked = integers(queries.where(F.col(id_col).isNotNull()), id_col, vec_col, scale)
+    near = candidates(va_file(exact, cells), asked, k)
+    first = stage(scored(near.where(F.col("nth") <= k), exact, asked), "va-first")
+    rest = near.where(F.col("nth") > k).join(kth(first, "score", k), "q_no").where("bound >= floor")
+    rows = first.unionByName(scored(rest, exact, asked))
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("q_no").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")
 
 
