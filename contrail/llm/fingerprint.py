@@ -5,7 +5,9 @@ bins copy a bin picked by a chain of hashes that depends on the bin alone (optim
 each bin are packed into a hex string. The likeness of two fingerprints is their share of equal bins, corrected for
 bits that agree by chance.
 
-Texts without words have the empty fingerprint "": like to itself (1), unlike anything else (0).
+Texts that are null or have no words have the empty fingerprint "": like to itself (1), unlike anything else (0). Very
+long texts are hashed whole. Rows of one doc_id are ordered by their texts. No rows yield no rows. Columns other than
+doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -59,8 +61,15 @@ def bin_values(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
 
 
 def fingerprint(hashes: np.ndarray, bins: int = BINS) -> np.ndarray | None:
-    """BITS low bits of each bin; None for a document without shingles."""
-    return (mix64(bin_values(hashes, bins)) & np.uint64(2**BITS - 1)).astype(np.uint8) if len(hashes) else None
+    """BITS low bits of each bin; None for a document without shingles.
+
+    The bin's number is mixed in, so that two values that agree in their low bits in one bin, and fill others that
+    were empty, agree there no oftener than others.
+    """
+    if not len(hashes):
+        return None
+    salt = mix64(np.arange(1, bins + 1, dtype=np.uint64))
+    return (mix64(bin_values(hashes, bins) ^ salt) & np.uint64(2**BITS - 1)).astype(np.uint8)
 
 
 def packed(codes: np.ndarray | None) -> str:
