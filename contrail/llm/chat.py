@@ -5,7 +5,9 @@ conversation that is a prefix of a longer one (or equals another; the smallest c
 the maximal conversations, and only those are rendered.
 
 Turns are ordered by (turn, role, text), nulls first; repeated rows are turns of their own. A null role or text
-renders as an empty one, yet differs from it in comparisons. Rows with null conv_id form one conversation.
+renders as an empty one, yet differs from it in comparisons. Rows with null conv_id form one conversation. Turns of any
+length are hashed and rendered whole. No rows yield no rows. Columns other than conv_id, turn, role and text are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -60,8 +62,9 @@ def render(turns: DataFrame, start: str = "<|im_start|>", end: str = "<|im_end|>
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns and rendered of the maximal conversations."""
-    kept = maximal(turns).select(F.col("conv_id").alias("k"))
-    return render(turns.join(kept, F.col("conv_id").eqNullSafe(F.col("k")), "left_semi"))
+    turns = turns.select("conv_id", "turn", "role", "text")
+    kept = maximal(turns).select(F.col("conv_id").alias("kept_id"))
+    return render(turns.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")), "left_semi"))
 
 
 SQL = """

@@ -6,8 +6,10 @@ floor(target / source size) times, and once more if its hash lies below its sour
 from nested histograms: words are summed by source and hash bucket, the bucket in which the budget ends is refined
 by further bits, and the documents are filtered, never sorted.
 
-Reruns agree: the hash depends on doc_id alone, so rows of one doc_id are taken together. A null or empty text
-has size 0 and takes part with no words; a source without words has target 0.
+Reruns agree: the hash's first CONTENT_BITS depend on doc_id and text alone. Rows that agree in both (or whose hashes
+meet) are told apart by a hash of their place in the table, so that a group of equal rows needn't be taken as one. A
+null or empty text has size 0 and takes part with no words; a source without words has target 0; a very long text is
+taken whole like any other; no rows yield no rows. Other columns of docs are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,24 +20,32 @@ from pyspark.sql import functions as F
 
 from .common import WORD, stage
 
-#: Bits of the hash by which each level of the histograms splits a bucket.
-LEVEL_BITS, LEVELS = 11, 4
+#: Bits of the hash by which each level of the histograms splits a bucket, and how many of all bits hash the content.
+LEVEL_BITS, LEVELS, CONTENT_BITS = 10, 6, 40
 HASH_BITS = LEVEL_BITS * LEVELS
 
 
+def source_key():
+    """A key per source that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+
+
+def size_in_words():
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def mixing_hash():
+    """A row's place in its source's order, of HASH_BITS bits."""
+    content = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    high = F.conv(F.substring(F.md5(content.cast("binary")), 1, CONTENT_BITS // 4), 16, 10).cast("long")
+    low_bits = HASH_BITS - CONTENT_BITS
+    low = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << low_bits))
+    return F.shiftleft(high, low_bits).bitwiseOR(low)
+
+
 def with_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source key (null-safe), size in words and the mixing hash, as a written table."""
-    digits = HASH_BITS // 4
-    return stage(
-        docs.select(
-            "doc_id",
-            "source",
-            F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, digits), 16, 10).cast("long").alias("h"),
-        ),
-        "mix-sizes",
-    )
+    """doc_id, source, skey (its key), size in words and h, the mixing hash, as a written table."""
+    return stage(docs.select("doc_id", "source", source_key().alias("skey"), size_in_words().alias("size"), mixing_hash().alias("h")), "mix-sizes")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
@@ -82,19 +92,37 @@ def thresholds(sized: DataFrame, per_source: DataFrame) -> DataFrame:
     return stage(per.join(edge, "skey", "left"), "mix-thresholds")
 
 
+def copies_of(key: str, h: str, rule: DataFrame, docs: DataFrame, max_repeat: int) -> DataFrame:
+    """docs with the columns of rule, a row per source, and `copies`. key, h: docs' columns of source keys and hashes."""
+    joined = docs.join(rule, F.col(key) == F.col("skey"))
+    more = (F.col("repeats") < max_repeat) & (F.col(h) < F.coalesce("below", F.lit(0)))
+    return joined.withColumn("copies", (F.col("repeats") + more.cast("long")).cast("int"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
     """doc_id, source_size, target, size, copies and taken for each row of docs."""
     sized = with_sizes(docs)
     rule = thresholds(sized, targets(sized, weights, max_repeat))
-    joined = sized.join(rule, "skey")
-    copies = F.col("repeats") + F.when((F.col("repeats") < max_repeat) & (F.col("h") < F.coalesce("below", F.lit(0))), 1).otherwise(0)
-    return joined.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("int").alias("copies"), "skey", "h")
+    rows = copies_of("key", "h", rule, sized.withColumnRenamed("skey", "key"), max_repeat)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
+    """The rows of docs with all their columns, each as often as the mix takes it.
+
+    Rows are copied by their own hash, without a join of documents; the rule is a row per source.
+    """
+    sized = with_sizes(docs)
+    rule = thresholds(sized, targets(sized, weights, max_repeat)).select("skey", "repeats", "below")
+    own = docs.select(F.struct(*docs.columns).alias("row"), source_key().alias("key"), mixing_hash().alias("h"))
+    rows = copies_of("key", "h", rule, own, max_repeat).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 #: The same mix in DuckDB's SQL: documents in hash order, the last one taken if half of it fits.
 SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 11))::BIGINT AS h FROM {docs}),
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 10))::BIGINT AS h FROM {docs}),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
 c AS (SELECT *, 3 * source_size AS cap, 3 * source_size / weight AS ratio FROM s),
 w AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS share

@@ -20,24 +20,22 @@ NEAR_PERCENT = 80
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier, fitted on the labelled ones, rejects."""
-    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where("predicted = 1").select(*docs.columns)
+    """Drops the documents that the quality classifier, fitted on the labelled ones, rejects. All columns stay as they are."""
+    thin = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return quality.score(thin, quality.fit(docs, table(spark, sf_dir, "labels"))).where("predicted = 1").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = 85) -> DataFrame:
     """Keeps one row of each group of near copies: that of the smallest doc_id, null last, and then of the smallest digest."""
-    kept = near_dedup.one_of_each(docs, percent).select(F.col("doc_id").alias("k"), "digest")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("k")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("digest"))
-    rows = docs.join(kept, same, "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    kept = near_dedup.one_of_each(docs, percent).select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("own_digest"), F.col("text").isNull().alias("own_null"))
+    rows = own.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_digest") == F.col("kept_digest")), "left_semi")
+    return rows.dropDuplicates(["own_id", "own_digest", "own_null"]).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mix does, none to three times."""
-    mixed = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = docs.join(mixed.withColumnRenamed("doc_id", "k"), F.col("doc_id").eqNullSafe(F.col("k")))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    return mixing.mixed_rows(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
