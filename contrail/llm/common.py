@@ -76,3 +76,15 @@ def crc32_mod(doc_id, n: int):
     """crc32 of an id's decimal text (null: empty text), modulo n."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str, hot: int = 1000, most: int = 10_000) -> DataFrame:
+    """rows left-joined with values on key, where a few keys may hold many of the rows.
+
+    values has one row a key, which isn't null, and `n`, how many rows of that key there are at least about. Of the
+    keys with more than `hot` rows the `most` hottest are broadcast, which is a fixed bound; all others are shuffled.
+    """
+    names = [c for c in values.columns if c not in (key, "n")]
+    few = values.where(F.col("n") > hot).orderBy(F.desc("n"), key).limit(most)
+    met = rows.join(F.broadcast(few.select(key, F.struct(*names).alias("hot_value"))), key, "left")
+    done = met.where("hot_value IS NOT NULL").select(*rows.columns, *(F.col(f"hot_value.{c}").alias(c) for c in names))
+    return done.unionByName(met.where("hot_value IS NULL").drop("hot_value").join(values.drop("n"), key, "left"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat, fingerprint, hmm_lm, mixing, near_dedup, quality, token_store, vafile, warc
-from .common import crc32_mod, new_path, table
+from .common import crc32_mod, new_path, stage, table
 
 
 def op1_token_store(spark, sf_dir):
@@ -55,7 +55,7 @@ def op9_mix_sources(spark, sf_dir):
 def op10_warc(spark, sf_dir):
     path = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
-    rows = warc.captures(warc.read_records(spark, path))
+    rows = warc.captures(stage(warc.read_records(spark, path), "warc-records"))  # each archive is read once
     return rows.select("metadata.page_id", "response.payload_bytes", "response.payload_digest", "response.record_type", "response.refers_to")
 
 
