@@ -41,7 +41,9 @@ from pyspark.sql import functions as F
 from .common import batches_of, stage
 from .pieces import PieceTable, plain, unmapped
 
-BLOCK_DOCS, BLOCK_BYTES, SLICE = 2048, 4 << 20, 8 << 20
+#: Characters on which Unicode versions, or libraries in their lower case, may differ.
+OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]")
+BLOCK_DOCS, BLOCK_BYTES, SLICE = 2048, 4 << 20, 2 << 20
 BLOCKS = (
     "shard int, block int, dict_hash string, first_id long, last_id long, before long, tokens long,"
     " doc_ids array<long>, n_tokens array<long>, offsets array<long>, frames binary"
@@ -64,6 +66,8 @@ def _pieces(path: str) -> tuple[PieceTable, re.Pattern, str]:
         raise ValueError("only added tokens that match as they are can be encoded")
 
     def split(word: str) -> tuple:
+        if word.isascii() and word.isalpha():
+            return (word.lower(),)
         if word in added:
             return (word,)
         if not plain(word):  # Unicode versions may differ
@@ -77,13 +81,20 @@ def _pieces(path: str) -> tuple[PieceTable, re.Pattern, str]:
         return tuple(PART.findall(word))
 
     names = "|".join(sorted(map(re.escape, added), key=len, reverse=True))
-    return PieceTable(tokenizer.model, split, special=added), re.compile(f"({names or '(?!)'})"), os.path.commonprefix(list(added))
+    return PieceTable(tokenizer.model, split, pieces=150_000, parts=250_000, special=added), re.compile(f"({names or '(?!)'})"), os.path.commonprefix(list(added))
 
 
 def words_of(texts: list[str], added: re.Pattern, lead: str) -> tuple[pa.StringArray, np.ndarray]:
-    """Words between ASCII white space of all texts in one array, added tokens as words of their own, and their number per text."""
-    texts = [added.sub(r" \1 ", t) if lead in t else t.lower() if t.isascii() else t for t in texts]
-    split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+    """What the texts' tokens lie in, in one array, and how many there are per text: words between ASCII white space, added tokens on their own.
+
+    Texts of Latin characters alone are lower-cased and cut behind each run of letters, where no part of a word goes on.
+    """
+    latin = np.array([OTHER.search(t) is None and lead not in t for t in texts], bool)
+    made = pa.array([added.sub(r" \1 ", t) if lead in t else t for t in texts], pa.string())
+    if latin.any():
+        cut = pc.replace_substring_regex(pc.utf8_lower(made), r"(\p{L})([^\s\p{L}])", r"\1 \2")
+        made = cut if latin.all() else pc.if_else(pa.array(latin), cut, made)
+    split = pc.ascii_split_whitespace(made)
     return split.flatten(), split.value_lengths().to_numpy()
 
 
