@@ -9,9 +9,10 @@ the next parameters. A document's score is the exact likelihood of its tokens by
 training documents are in every count and in every pass; nothing is sampled.
 
 What is broadcast or sent to the driver has a fixed size (CLASSES x STATES; CLASSES x GROUPS by distance for pairs). The vocabulary isn't broadcast: documents are packed with
-the list of their distinct words, and each pack gets the counts of its own words by a join.
+the list of their distinct words, each pack deals its words to buckets by hash, and gets back the sums of the buckets.
 
-Null texts are empty: they hold the end token alone. Repeated rows count and are scored once each.
+Null texts are empty: they hold the end token alone. Repeated rows count and are scored once each. Texts are never
+cut; a pack ends with the text that fills it. No rows yield no rows. Other columns than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -21,16 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
-from .shingles import words
 
 CLASSES, STATES, GROUPS, INIT_STEPS, PASSES = 8192, 8, 256, 60, 2
 DISTANCES, CHUNK = (1, 2, 4, 8), 1 << 16
-PACK_CHARS, WAVE = 6 << 20, 1 << 20
+PACK = ["pack", "doc_ids", "held", "lens", "codes", "words", "hashes", "classes", "counts"]
+PACK_CHARS, WAVE, PART_PACKS, BUCKET_WORDS = 6 << 20, 1 << 20, 8, 500_000
 
 
 def word_classes(found: list[bytes]) -> np.ndarray:
@@ -38,24 +40,30 @@ def word_classes(found: list[bytes]) -> np.ndarray:
     return (pd.util.hash_array(np.array(keys, object), categorize=True) % np.uint64(CLASSES)).astype(np.int32) if keys else np.zeros(0, np.int32)
 
 
-def packs(docs: DataFrame) -> DataFrame:
-    """Rows of about PACK_CHARS characters of documents: their ids, lengths and word numbers, and the pack's distinct words with classes and training counts."""
-    fields = pa.schema([("pack", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lens", pa.binary()), ("codes", pa.binary()), ("words", pa.list_(pa.string())), ("classes", pa.binary()), ("counts", pa.list_(pa.int64()))])
+def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
+    """The tokens of all texts as numbers into the array of words, and their number per text. Each text's last token is the end, which is the empty word."""
+    texts = pa.array([f"{t} " for t in texts], pa.string())  # the space yields an empty word at the end
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    counts, words = split.value_lengths().to_numpy().astype(np.int64), split.flatten().dictionary_encode()
+    codes, ends = words.indices.to_numpy(), np.cumsum(counts)
+    real = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False)[codes]
+    real[ends - 1] = True  # other empty words stand before the first word
+    before = np.concatenate([[0], np.cumsum(real)])
+    return codes[real], before[ends] - before[ends - counts], words.dictionary
+
 
+def packs(docs: DataFrame) -> DataFrame:
+    """Rows of about PACK_CHARS characters of documents: their ids, lengths and word numbers, and the pack's distinct words with hashes, classes and training counts."""
     def pack(number: int, rows: list) -> pa.RecordBatch:
-        code: dict[bytes, int] = {}
-        codes, lens = [], []
-        for *_, text in rows:
-            own = words(text)
-            own.append(b"")  # the end
-            for w in set(own).difference(code):
-                code[w] = len(code)
-            codes.append(np.fromiter(map(code.__getitem__, own), np.int32, len(own)))
-            lens.append(len(own))
-        flat, held, found = np.concatenate(codes), np.array([h for _, h, _ in rows]), list(code)
-        counts = np.bincount(flat[~np.repeat(held, lens)], minlength=len(found))
-        row = [number, [i for i, *_ in rows], held.tolist(), np.array(lens, np.int32).tobytes(), flat.tobytes(), [w.decode() for w in found], word_classes(found).tobytes(), counts]
-        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, fields, strict=True)], schema=fields)
+        ids, held, texts = (list(c) for c in zip(*rows, strict=True))
+        codes, lens, found = coded(texts)
+        counts = np.bincount(codes[~np.repeat(np.array(held, bool), lens)], minlength=len(found))
+        words = found.to_numpy(zero_copy_only=False)
+        hashes = (pd.util.hash_array(words, categorize=False) >> np.uint64(32)).astype(np.uint32)
+        blobs = (lens.astype(np.int32), codes.astype(np.int32), hashes, word_classes(list(map(str.encode, words))))
+        lens, codes, hashes, classes = (pa.array([x.tobytes()], pa.binary()) for x in blobs)
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), found, pa.array(counts, pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists[:2], lens, codes, lists[2], hashes, classes, lists[3]], names=PACK)
 
     def run(batches):
         number, rows, size = TaskContext.get().partitionId() << 32, [], 0
@@ -69,10 +77,58 @@ def packs(docs: DataFrame) -> DataFrame:
         if rows:
             yield pack(number, rows)
 
-    schema = "pack long, doc_ids array<long>, held array<boolean>, lens binary, codes binary, words array<string>, classes binary, counts array<long>"
+    schema = "pack long, doc_ids array<long>, held array<boolean>, lens binary, codes binary, words array<string>, hashes binary, classes binary, counts array<long>"
     return docs.select("doc_id", "held", "text").mapInArrow(run, schema)
 
 
+def in_buckets(hashes: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a pack's words by bucket, and how many are in each."""
+    bucket = (np.frombuffer(hashes, np.uint32) % np.uint32(buckets)).astype(np.int64)
+    return np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=buckets)
+
+
+def word_counts(packed: DataFrame, buckets: int) -> DataFrame:
+    """Each word's count in all training documents, given back to the packs that hold it, as a written table.
+
+    Rows with `pack` hold the counts of its words in one bucket; the others, by class, the counts and the number of words.
+    A pack gives each bucket of words one row, so words that all packs hold are no hot keys.
+    """
+
+    def deal(batches):
+        for batch in batches:
+            for row, words, counts in zip(batch.select(["pack", "hashes"]).to_pylist(), batch.column("words"), batch.column("counts"), strict=True):
+                order, sizes = in_buckets(row["hashes"], buckets)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, x.values.take(pa.array(order))) for x in (words, counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(buckets, row["pack"])), pa.array(np.arange(buckets), pa.int32()), *lists], ["pack", "bucket", "words", "counts"])
+
+    names = ["pack", "bucket", "known", "class", "c", "v"]
+
+    def add(batches):
+        rows = pa.Table.from_batches(batches, pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]))
+        words = pc.list_flatten(rows["words"]).combine_chunks()
+        if not len(words):
+            return
+        if isinstance(words, pa.ChunkedArray):
+            words = pa.concat_arrays(words.chunks)
+        coded = words.dictionary_encode()
+        at = coded.indices.to_numpy()
+        sums = np.bincount(at, pc.list_flatten(rows["counts"]).to_numpy(), len(coded.dictionary)).astype(np.int64)
+        ends = np.cumsum(pc.list_value_length(rows["words"]).to_numpy())
+        known, begin = sums[at], np.concatenate([[0], ends[:-1]])
+        none = lambda kind: pa.nulls(len(rows), kind)
+        blobs = pa.array([known[i:j].tobytes() for i, j in zip(begin, ends, strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([rows["pack"].combine_chunks(), rows["bucket"].combine_chunks(), blobs, none(pa.int32()), none(pa.int64()), none(pa.int64())], names)
+        classes, seen = word_classes([w.encode() for w in coded.dictionary.to_pylist()]), sums > 0
+        c, v = (np.bincount(classes[seen], w, CLASSES).astype(np.int64) for w in (sums[seen], None))
+        some = np.flatnonzero(v)
+        empty = [pa.nulls(len(some), kind) for kind in (pa.int64(), pa.int32(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*empty, pa.array(some, pa.int32()), pa.array(c[some]), pa.array(v[some])], names)
+
+    dealt = packed.select("pack", "hashes", "words", "counts").mapInArrow(deal, "pack long, bucket int, words array<string>, counts array<long>")
+    return stage(dealt.repartition(buckets, "bucket").mapInArrow(add, "pack long, bucket int, known binary, class int, c long, v long"), "lm-counts")
+
+
 class Hmm:
     """Parameters. ratio: a state's class probabilities over the corpus' own (`prior`, the classes' shares)."""
 
@@ -265,19 +321,13 @@ def score(docs: DataFrame, held, passes: int = PASSES) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), held.alias("held"), F.coalesce("text", F.lit("")).alias("text"))
     packed = stage(packs(docs), "lm-packs")
-    entries = packed.select("pack", "counts", F.posexplode("words").alias("pos", "word"))
-    counts = entries.groupBy("word").agg(F.sum(F.element_at("counts", F.col("pos") + 1)).alias("c")).where("c > 0")
-    counts = stage(counts, "lm-counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n, v = int(total[0]), int(total[1])
-
-    @F.pandas_udf("int")
-    def class_of(found: pd.Series) -> pd.Series:
-        return pd.Series(word_classes([w.encode() for w in found]))
-
-    shares = np.full(CLASSES, 0.5)
-    for row in counts.groupBy(class_of("word").alias("class")).agg((F.sum("c") + F.count("*") * 0.5).alias("mass")).collect():  # at most CLASSES rows
-        shares[row["class"]] += row["mass"]
+    default, size = int(spark.conf.get("spark.sql.shuffle.partitions")), packed.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    buckets = max(default, -(-size[1] // BUCKET_WORDS))
+    counts = word_counts(packed, buckets)
+    shares, n, v = np.full(CLASSES, 0.5), 0, 0
+    for row in counts.where("pack IS NULL").groupBy("class").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():  # at most CLASSES rows
+        shares[row["class"]] += row["c"] + 0.5 * row["v"]
+        n, v = n + row["c"], v + row["v"]
     z = n + 0.5 * (v + 1)
     hmm = Hmm(shares / shares.sum())
     starting_values(packed, hmm)
@@ -286,9 +336,9 @@ def score(docs: DataFrame, held, passes: int = PASSES) -> DataFrame:
     # a word's probability in its class is (c + 0.5) / the class' mass; the forward recursion gives the classes'
     log_base, log_total = float(np.log10(z)), float(np.log10(shares.sum()))
     shared = spark.sparkContext.broadcast(hmm)
-    entry = F.struct("pos", F.coalesce("c", F.lit(0)).alias("c"))
-    known = entries.select("pack", "pos", "word").join(counts, "word", "left").groupBy("pack").agg(F.array_sort(F.collect_list(entry))["c"].alias("known"))
-    rows = packed.select("pack", "doc_ids", "held", "lens", "codes", "classes").join(known, "pack")
+    parts = max(default, -(-size[0] // PART_PACKS))
+    known = counts.where("pack IS NOT NULL").select("pack", F.struct("bucket", "known").alias("b")).repartition(parts, "pack").groupBy("pack").agg(F.array_sort(F.collect_list("b"))["known"].alias("known"))
+    rows = packed.select("pack", "doc_ids", "held", "lens", "codes", "classes", "hashes").repartition(parts, "pack").join(known, "pack")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(batches):
@@ -296,7 +346,10 @@ def score(docs: DataFrame, held, passes: int = PASSES) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 classes, lens = _sequences(row)
-                c = np.array(row["known"], np.int64)[np.frombuffer(row["codes"], np.int32)]
+                order, _ = in_buckets(row["hashes"], buckets)
+                of_word = np.empty(len(order), np.int64)
+                of_word[order] = np.frombuffer(b"".join(row["known"]), np.int64)
+                c = of_word[np.frombuffer(row["codes"], np.int32)]
                 begins = np.cumsum(lens) - lens
                 logs = np.add.reduceat(np.log10(c + 0.5), begins)
                 gained = np.empty(len(lens))
