@@ -4,15 +4,16 @@ A document's set are its distinct five-word shingles. Two permutations give all
 first shuffles the shingles' hashes, the second is applied to them shifted by k, for the k-th coordinate. Bands of
 coordinates put sets into buckets. Documents of equal sets are one node. In each bucket all nodes are first held
 against one of them (the bucket's hub); then, where nodes of different components are left, blocks of the bucket
-are held against each other as matrices (all of them against those outside the bucket's largest component). Only confirmed links leave a task. No bucket is capped, no pair of a
-bucket left out but those whose nodes are known to be in one component; so all pairs inside a group of copies
-are never made.
+are held against each other as matrices (all of them against those outside the bucket's largest component). Blocks
+are bounded by nodes and by shingles. Only confirmed links leave a task. No bucket is capped, no pair of a bucket left
+out but those whose nodes are known to be in one component; so all pairs inside a group of copies are never made.
 
 Bands and rows follow from the similarity: with 30 bands of 6 coordinates two sets of Jaccard 0.85, and with 36 bands
 of 5 two sets of Jaccard 0.8, share no bucket with odds of 7 in 10^7.
 
 Null and empty texts, or those without words, have no shingles, are linked with nothing and are components of
-their own. Repeated rows are copies. A null doc_id takes part; the component_id ignores it unless it is alone.
+their own. Repeated rows are copies. A null doc_id takes part; the component_id ignores it unless it is alone. Very
+long texts are shingled whole. No rows yield no rows. Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, slices, stage
+from .common import batches_of, join_hot, slices, stage
 from .components import components
 from .shingles import mix32, mix64, shingles
 
-MISSED, MOST_BANDS, BLOCK = 7e-7, 42, 128
+MISSED, MOST_BANDS, BLOCK, BLOCK_SHINGLES = 7e-7, 42, 128, 1 << 20
 
 
 def bands_and_rows(percent: int) -> tuple[int, int]:
@@ -65,7 +66,7 @@ def unique_sets(texts: list[str], width: int) -> list[np.ndarray]:
 
 
 def sets(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
-    """doc_id, text, n_shingles, node (a 128-bit digest of the set, null if empty) and the set's band keys."""
+    """row (a number), doc_id, text, n_shingles, node (a 128-bit digest of the set, null if empty) and the set's band keys."""
 
     def run(batches):
         for batch in batches:
@@ -83,10 +84,10 @@ def sets(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
                         keys[i] = row
                 nodes = [hashlib.blake2b(h.tobytes(), digest_size=16).hexdigest() if len(h) else None for h in found]
                 columns = [*part.columns, pa.array(sizes), pa.array(nodes, pa.string()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_shingles", "node", "bands"])
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "text", "n_shingles", "node", "bands"])
 
-    clean = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return clean.mapInArrow(run, "doc_id long, text string, n_shingles long, node string, bands array<long>")
+    clean = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return clean.mapInArrow(run, "row long, doc_id long, text string, n_shingles long, node string, bands array<long>")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], step: int = 1 << 15) -> np.ndarray:
@@ -152,37 +153,43 @@ def confirm(work: DataFrame, texts: DataFrame, percent: int, width: int) -> Data
     return rows.repartition("job").sortWithinPartitions("job", "side").mapInArrow(run, "a string, b string")
 
 
-def labelled_rows(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
-    """doc_id, digest (the text's MD5; null: empty), n_shingles, node and label for every row of docs; the label names the component and is null without shingles."""
-    bands, rows = bands_and_rows(percent)
-    held = stage(sets(docs, bands, rows, width), "near-sets")
-    nodes = held.where("node IS NOT NULL").groupBy("node").agg(F.min_by("bands", "doc_id").alias("bands"), F.first("bands").alias("any"))
-    members = stage(nodes.select("node", F.explode(F.coalesce("bands", "any")).alias("bucket")), "near-buckets")
+def blocks(count, size):
+    """Into how many blocks so many nodes of so many shingles go."""
+    return F.ceil(F.greatest(count / F.lit(BLOCK), size / F.lit(BLOCK_SHINGLES))).cast("int")
+
+
+def labelled_nodes(held: DataFrame, percent: int, width: int) -> DataFrame:
+    """node and label (which names its component) of all sets of held (see sets)."""
+    full = held.where("node IS NOT NULL")
+    nodes = full.groupBy("node").agg(F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
+    members = stage(nodes.select("node", "size", F.explode("bands").alias("bucket")), "near-buckets")
 
     hub = F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node"))
-    hubs = members.groupBy("bucket").agg(hub["node"].alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = stage(members.join(hubs, "bucket").select("bucket", "node", "hub"), "near-members")
-    wanted = members.select("node").distinct()
-    texts = held.where("node IS NOT NULL").select("node", "doc_id", "text").join(wanted, "node", "left_semi")
-    texts = stage(texts.groupBy("node").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text")), "near-texts")
-
-    pairs = members.where("node <> hub").select("hub", "node").distinct()
-    chunks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
-    placed = pairs.join(chunks, "hub").withColumn("job", F.concat_ws(":", "hub", F.pmod(F.xxhash64("node"), F.col("chunks"))))
+    hubs = members.groupBy("bucket").agg(hub["node"].alias("hub"), F.count("*").alias("n")).where("n > 1")
+    members = stage(join_hot(members, stage(hubs, "near-hubs"), "bucket").where("hub IS NOT NULL"), "near-members")
+    # of each node one row's text; nodes of very many rows are no hot keys, as the join is by row
+    picked = full.groupBy("node").agg(F.min("row").alias("row")).join(members.select("node").distinct(), "node", "left_semi")
+    texts = stage(full.select("row", "text").join(picked, "row").select("node", "text"), "near-texts")
+
+    pairs = members.where("node <> hub").select("hub", "node", "size").distinct()
+    chunks = pairs.groupBy("hub").agg(blocks(F.count("*"), F.sum("size")).alias("chunks"), F.count("*").alias("n"))
+    placed = join_hot(pairs, chunks, "hub").withColumn("job", F.concat_ws(":", "hub", F.pmod(F.xxhash64("node"), F.col("chunks"))))
     first = placed.select("job", F.lit(0).alias("side"), F.col("hub").alias("node")).distinct()
     work = first.union(placed.select("job", F.lit(1), "node")).withColumn("label", F.col("node"))
     links = stage(confirm(work, texts, percent, width), "near-links")
 
     known = stage(components(links), "near-components")
-    left = members.where("node <> hub").select("bucket", "node").join(known, "node", "left")
-    left = left.select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    left = stage(left, "near-left")
-    counts = left.groupBy("bucket", "label").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2)))
+    left = members.where("node <> hub").select("bucket", "node", "size").join(known, "node", "left")
+    left = stage(left.select("bucket", "node", "size", F.coalesce("label", "node").alias("label")), "near-left")
+    counts = left.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"), *(F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (1, 2)))
     # buckets of several components; of those with equal members one is enough
-    mixed = counts.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("major"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
-    mixed = mixed.where("labels > 1").groupBy("all", "x1", "x2").agg(F.min(F.struct("bucket", "major")).alias("one"))
-    ones, every = F.ceil((F.col("all") - F.col("one.major.n")) / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
-    left = left.join(mixed.select("one.bucket", F.col("one.major.label").alias("major"), ones.alias("ones"), every.alias("every")), "bucket")
+    mixed = counts.groupBy("bucket").agg(
+        F.count("*").alias("labels"), F.sum("n").alias("all"), F.sum("size").alias("size"), F.max(F.struct("n", "label", "size")).alias("major"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2")
+    )
+    mixed = mixed.where("labels > 1").groupBy("all", "x1", "x2").agg(F.min(F.struct("bucket", "major", "size")).alias("one"))
+    ones = blocks(F.col("all") - F.col("one.major.n"), F.col("one.size") - F.col("one.major.size"))
+    mixed = mixed.select("one.bucket", F.col("one.major.label").alias("major"), ones.alias("ones"), blocks(F.col("all"), F.col("one.size")).alias("every"), F.col("all").alias("n"))
+    left = join_hot(left, mixed, "bucket").where("major IS NOT NULL")
     # nodes outside the bucket's largest component against all of the bucket, in blocks
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     job = lambda i, j: F.concat_ws(":", F.col("bucket"), i, j).alias("job")
@@ -193,22 +200,31 @@ def labelled_rows(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFra
     links = links.union(confirm(work, texts, percent, width))
 
     labels = stage(components(links), "near-labels")
-    rows = held.select("doc_id", F.md5("text").alias("digest"), "n_shingles", "node")
-    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+def held_sets(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    return stage(sets(docs, *bands_and_rows(percent), width), "near-sets")
 
 
-def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id and digest of one row of each component, of the least doc_id and digest, and of all rows without shingles."""
-    rows = labelled_rows(docs, percent).select("doc_id", "digest", "label")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("row")
-    ones = rows.where("label IS NOT NULL").groupBy("label").agg(least).select("row.doc_id", "row.digest")
-    return ones.union(rows.where("label IS NULL").select("doc_id", "digest").distinct())
+def one_of_each(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
+    """doc_id and digest (the text's MD5; null: empty) of one row of each component, of the least doc_id and digest, and of all rows without shingles."""
+    held = held_sets(docs, percent, width)
+    rows = held.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "node")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    own = rows.where("node IS NOT NULL").groupBy("node").agg(least.alias("row"))
+    ones = own.join(labelled_nodes(held, percent, width), "node").groupBy("label").agg(F.min("row").alias("row"))
+    return ones.select("row.doc_id", "row.digest").union(rows.where("node IS NULL").select("doc_id", "digest").distinct())
 
 
 def dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
-    labelled = labelled_rows(docs, percent, width)
-    least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    out = labelled.join(least, "label", "left").withColumn("component_id", component)
+    held = held_sets(docs, percent, width)
+    rows = held.select("doc_id", "n_shingles", "node")
+    own = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    nodes = stage(own.join(labelled_nodes(held, percent, width), "node"), "near-nodes")
+    whole = nodes.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    resolved = join_hot(nodes.select("node", "label", F.col("n").alias("copies")), whole, "label")
+    resolved = stage(resolved.select("node", "component_id", F.col("copies").alias("n")), "near-resolved")
+    out = join_hot(rows, resolved, "node").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
