@@ -77,7 +77,7 @@ def crc32_mod(doc_id, n: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def join_hot(rows: DataFrame, values: DataFrame, key: str, hot: int = 1000, most: int = 10_000) -> DataFrame:
+def join_hot(rows: DataFrame, values: DataFrame, key: str, hot: int = 100, most: int = 10_000) -> DataFrame:
     """rows left-joined with values on key, where a few keys may hold many of the rows.
 
     values has one row a key, which isn't null, and `n`, how many rows of that key there are at least about. Of the
