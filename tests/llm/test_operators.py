@@ -14,8 +14,8 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from contrail.llm import byte_bpe, chat, fingerprint, hmm_lm, mixing, near_dedup, pieces, quality, queries, token_store, vafile, warc
-from contrail.llm.common import new_path
+from contrail.llm import byte_bpe, chat, fingerprint, hmm_lm, mixing, near_dedup, pieces, quality, queries, shingles, token_store, vafile, warc
+from contrail.llm.common import join_hot, new_path
 
 SF = "/root/testdata/sf0.001"
 BASE = " ".join(f"word{i}" for i in range(60))
@@ -125,6 +125,20 @@ def test_vafile_ties_nulls_and_repeats(spark):
         assert [(-r.score, math.inf if r.vec_id is None else r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == wanted
 
 
+def test_vafile_ranks_each_query_row_and_reads_few_exact_vectors(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=24)], i, "x", 0.5) for i in range(3000)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, no long, block string, score double")
+    q = spark.createDataFrame([(20, rows[20][1]), (20, rows[40][1])], "vec_id long, embedding array<double>")
+    got = vafile.top_k(v, q, k=3, cells=16).collect()
+    exact = {i: np.floor(64 * np.array(e)).astype(int) for i, e, *_ in rows}
+    wanted = [s for n in (20, 40) for s in sorted((-int(exact[n] @ w), i) for i, w in exact.items() if i != 20)[:3]]
+    assert sorted((-r.score, r.vec_id) for r in got) == sorted(wanted)
+    held, asked = vafile.integers(v, "vec_id", "embedding", 64.0), vafile.integers(q, "vec_id", "embedding", 64.0)
+    near = vafile.candidates(vafile.va_file(held, 16), asked, 3)
+    assert 6 <= near.count() < 0.1 * 2 * 3000  # of the pairs, so few exact vectors are read at most
+
+
 def test_chat_collapse(spark):
     turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", None), (5, 0, "user", ""), (None, 0, "user", "z")]
     rows = chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
@@ -150,6 +164,40 @@ def test_near_dedup_finds_links_between_copies_of_copies(spark):
     assert all(rows[k] == 0 for k in range(20)) and all(rows[1000 + k] == 1000 + k for k in range(60))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_dedup_is_brute_force_on_a_whole_table(spark, percent):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    sets = {}
+    for i, text in texts.items():
+        words = text.encode().lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    parent = {i: i for i in texts}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(i for i in texts if sets[i])
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            a, b = sets[i], sets[j]
+            if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) and 100 * (n := len(a & b)) >= percent * (len(a) + len(b) - n):
+                low, high = sorted((find(i), find(j)))
+                parent[high] = low
+    rows = near_dedup.dedup(docs, percent).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows} == {(i, len(sets[i]), find(i), find(i) == i) for i in texts}
+
+
+def test_hot_keys_are_joined_like_others(spark):
+    rows = spark.createDataFrame([(i, "hot" if i < 50 else None if i == 50 else f"k{i % 7}") for i in range(90)], "i long, key string")
+    values = rows.groupBy("key").agg(F.max("i").alias("top"), F.count("*").alias("n")).where("key IS NOT NULL AND key <> 'k3'")
+    found = join_hot(rows, values, "key", hot=10, most=1)
+    plain = rows.join(values.drop("n"), "key", "left")
+    assert sorted(map(repr, found.select("i", "key", "top").collect())) == sorted(map(repr, plain.select("i", "key", "top").collect()))
+
+
 def test_quality_learns(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     scored = queries.QUERIES["op6_quality"](spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").collect()
@@ -171,6 +219,22 @@ def test_fingerprints(spark, odd):
     assert by_id[5].near_next > 0.6 and by_id[3].near_next == 0.0
 
 
+def test_likeness_is_near_jaccard(spark):
+    """Over all of sf0.01: fingerprints of each document and the next one against their exact shingle sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r.text or "" for r in docs.orderBy(F.desc("doc_id")).collect()]
+    rows = fingerprint.with_next(docs).orderBy(F.desc("doc_id")).collect()
+    sets = [set(h.tolist()) for h in shingles.shingles(texts)]
+    off = []
+    for i, r in enumerate(rows):
+        a, b = sets[i], sets[(i + 1) % len(sets)]
+        off.append(abs(r.near_next - (len(a & b) / len(a | b) if a or b else 1.0)))
+        half = len(texts[i]) // 2
+        c = set(shingles.shingles([texts[i][: len(texts[i]) - half] + texts[(i + 1) % len(texts)][:half]])[0].tolist())
+        off.append(abs(r.near_edited - (len(a & c) / len(a | c) if a or c else 1.0)))
+    assert max(off) < 0.1 and np.mean(off) < 0.02
+
+
 def test_language_model(spark, odd):
     rows = hmm_lm.score(odd, F.coalesce(F.col("doc_id"), F.lit(0)) == 7, passes=1).collect()
     tokens = [((t or "").encode().lower().split() + [b""], i == 7) for i, t, _ in ODD]
@@ -198,6 +262,19 @@ def test_forward_is_exact():
     assert math.isclose(start.sum(), 2) and math.isclose(move.sum(), 7) and math.isclose(emit.sum(), 9)
 
 
+def test_mixing_comes_near_targets_with_null_and_repeated_ids(spark):
+    """Within one document of each source's target, also where all ids are null or rows are equal; other columns stay."""
+    texts = [" ".join(["w"] * (1 + i * 7 % 50)) for i in range(400)]
+    for rows in ([(None, t, f"s{i % 4}") for i, t in enumerate(texts)], [(7, "a b c", f"s{i % 2}") for i in range(300)] + [(8, "d", None)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"copies": F.lit("c"), "skey": F.lit(1), "h": F.lit(2), "below": F.lit(3), "row": F.lit(4)})
+        found = mixing.mix(docs).groupBy("target", "source_size").agg(F.sum("taken").alias("taken")).collect()
+        assert found and all(abs(r.taken - r.target) <= 50 for r in found)
+        mixed = mixing.mixed_rows(docs)
+        words = F.size(F.split("text", " "))
+        assert mixed.columns == docs.columns
+        assert mixed.agg(F.sum(words)).first()[0] == sum(r.taken for r in found)
+
+
 def test_mixing_odd_rows(odd):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r.taken <= 3 * r.size for r in rows)
@@ -215,6 +292,24 @@ def test_warc_odd_pages(spark):
     assert all(r.request is not None for r in rows)
 
 
+def test_warc_reader_streams(spark):
+    """Records above the unpacking step, several gzip streams a file, other columns, and truncated archives."""
+    import gzip
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"{i}" * 3_000_000) for i in range(3)], "page_id long, url string, html string").withColumns({"n": F.lit(1), "payload": F.lit("x"), "kept_n": F.lit(2)})
+    path = new_path(spark, "w")
+    warc.write(pages, path, file_bytes=1 << 20)
+    rows = warc.captures(warc.read_records(spark, path)).collect()
+    assert sorted((r.metadata.page_id, r.response.payload_bytes) for r in rows) == [(i, 3_000_000) for i in range(3)]
+    assert all(r.response.payload_digest == hashlib.sha1(bytes(r.response.payload)).hexdigest() for r in rows)
+    record = lambda n: f"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: {n}\r\n\r\n".encode() + b"\r\n\r\n"[:n] + b"y" * (n - 4) + b"\r\n\r\n"
+    data = b"".join(gzip.compress(record(n)) for n in (0, 3, 5_000_000))
+    assert [len(b) for _, b in warc.parse(warc.unpacked(data))] == [0, 3, 5_000_000]
+    for cut in (len(data) - 9, 30):
+        with pytest.raises(ValueError):
+            list(warc.parse(warc.unpacked(data[:cut])))
+
+
 def test_empty_tables(spark, empty):
     assert near_dedup.dedup(empty).count() == 0
     assert fingerprint.with_next(empty).count() == 0
@@ -291,3 +386,11 @@ def test_quality_learns_from_all_labels_where_an_id_is_repeated(spark):
     labels = spark.createDataFrame([(0, 0), (3, 0), (1, 1), (2, 1)], "doc_id long, quality int")
     model = quality.fit(docs, labels, per_label=2)
     assert model.labels.tolist() == [0, 1, 1, 0]
+
+
+def test_language_model_reads_words_as_the_contract_does():
+    texts = [*_odd_texts(8, 400), "", " ", "\x0b a", "a \x1fB\x85C É"]
+    codes, lens, found = hmm_lm.coded(texts)
+    found = found.to_pylist()
+    own = [[*t.encode().lower().split(), b""] for t in texts]
+    assert lens.tolist() == [len(w) for w in own] and [found[c].encode() for c in codes] == [w for doc in own for w in doc]
