@@ -15,25 +15,36 @@ def _cells(lat, lon, size: float) -> list:
     return [F.floor(c / size) for c in unit_sphere(lat, lon)]
 
 
-def nearest_airport(points: DataFrame, airports: DataFrame, max_km: float = 50.0, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """points with `airport` and `airport_km`: the nearest airport within max_km, ties to the smaller code.
+def airports_around(points: DataFrame, airports: DataFrame, max_km: float, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """points with `airport` and `airport_km`, a row per airport within max_km, or one with nulls where there is none.
 
     Points and airports meet on cubes of the unit sphere whose edge is the chord of max_km; an airport stands in
-    its own and the 26 cubes around it, so poles and the date line need no care. Only distinct points are joined.
+    its own and the 26 cubes around it, so poles and the date line need no care.
     """
     size = 2 * math.sin(min(math.pi / 2, max_km * 1000 * 1.001 / (2 * EARTH_RADIUS_M)))
     x, y, z = _cells(F.col("latitude"), F.col("longitude"), size)
     step = F.array(*map(F.lit, (-1, 0, 1)))
-    near = airports.select("icao_code", F.col("latitude").alias("alat"), F.col("longitude").alias("alon"), x.alias("x"), y.alias("y"), z.alias("z"))
-    for axis in "xyz":
+    near = airports.select("icao_code", F.col("latitude").alias("alat"), F.col("longitude").alias("alon"), x.alias("cx"), y.alias("cy"), z.alias("cz"))
+    for axis in ("cx", "cy", "cz"):
         near = near.withColumn("step", F.explode(step)).withColumn(axis, F.col(axis) + F.col("step")).drop("step")
-    px, py, pz = _cells(F.col("plat"), F.col("plon"), size)
-    distinct = points.select(F.col(lat).alias("plat"), F.col(lon).alias("plon")).where("plat IS NOT NULL AND plon IS NOT NULL").distinct()
-    met = distinct.withColumns({"x": px, "y": py, "z": pz}).join(near, ["x", "y", "z"])
-    km = great_circle_km(F.col("plat"), F.col("plon"), F.col("alat"), F.col("alon"))
-    best = met.withColumn("km", km).where(F.col("km") <= max_km).groupBy("plat", "plon").agg(F.min(F.struct("km", "icao_code")).alias("best"))
-    joined = points.join(best, (F.col(lat) == F.col("plat")) & (F.col(lon) == F.col("plon")), "left")
-    return joined.withColumns({"airport": F.col("best.icao_code"), "airport_km": F.col("best.km")}).drop("plat", "plon", "best")
+    px, py, pz = _cells(F.col(lat), F.col(lon), size)
+    km = great_circle_km(F.col(lat), F.col(lon), F.col("alat"), F.col("alon"))
+    met = points.join(near, (px == F.col("cx")) & (py == F.col("cy")) & (pz == F.col("cz")) & (km <= max_km), "left")
+    return met.withColumns({"airport": F.col("icao_code"), "airport_km": km}).drop("icao_code", "alat", "alon", "cx", "cy", "cz")
+
+
+def nearest_airport(points: DataFrame, airports: DataFrame, max_km: float = 50.0, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """points with `airport` and `airport_km`: the nearest airport within max_km, ties to the smaller code.
+
+    Only distinct points are joined with airports, and points without coordinates not at all.
+    """
+    fixed = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    distinct = points.where(fixed).select(F.col(lat).alias("plat"), F.col(lon).alias("plon")).distinct()
+    met = airports_around(distinct, airports, max_km, "plat", "plon").where("airport IS NOT NULL")
+    best = met.groupBy("plat", "plon").agg(F.min(F.struct("airport_km", "airport")).alias("best"))
+    joined = points.where(fixed).join(best, (F.col(lat) == F.col("plat")) & (F.col(lon) == F.col("plon")), "left")
+    found = joined.withColumns({"airport": F.col("best.airport"), "airport_km": F.col("best.airport_km")}).drop("plat", "plon", "best")
+    return found.unionByName(points.where(~fixed), allowMissingColumns=True)
 
 
 def flights_with_aircraft(flights: DataFrame, aircraft: DataFrame) -> DataFrame:
@@ -59,6 +70,8 @@ def open_flights(flights: DataFrame) -> DataFrame:
 def positions_before(events: DataFrame, positions: DataFrame, n: int = 15) -> DataFrame:
     """events (icao24, at) with `before`: the last n positions of the aircraft strictly before, in order of time.
 
+    All columns of positions are carried, so callers select those they read.
+
     Events and positions are one sorted sequence per aircraft, so this is a window frame and no range join.
     """
     rest = ["captured_at", *(c for c in positions.columns if c not in ("icao24", "captured_at"))]  # the time first, to sort by it

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,8 +38,8 @@ def recent_errors(runs: DataFrame, as_of, hours: int = 48) -> DataFrame:
 
 def airborne_now(positions: DataFrame) -> DataFrame:
     """Aircraft in the air at the last captured moment; the flag is the reported one."""
-    per_moment = positions.groupBy("captured_at").agg(F.count_distinct(F.when(~F.col("on_ground"), F.col("icao24"))).alias("n"))
-    return per_moment.agg(F.coalesce(F.max_by("n", "captured_at"), F.lit(0)).alias("airborne"))
+    last = positions.agg(F.max("captured_at")).scalar()
+    return positions.where((F.col("captured_at") == last) & ~F.col("on_ground")).agg(F.count_distinct("icao24").alias("airborne"))
 
 
 def poll_age_minutes(positions: DataFrame, as_of) -> DataFrame:
@@ -158,9 +156,9 @@ def flights_page(flights: DataFrame, page: int = 1, per_page: int = 50, icao24:
         flights = flights.where(F.col("flight_date") <= F.to_date(F.lit(end)))
     if review is not None:
         flights = flights.where(F.col("needs_review") == review)
-    total = flights.count()
+    total = flights.agg(F.count("*")).scalar()
     rows = flights.orderBy(F.desc("first_seen"), "id").offset((page - 1) * per_page).limit(per_page)
-    return rows.withColumns({"total": F.lit(total).cast("long"), "pages": F.lit(math.ceil(total / per_page)).cast("long")})
+    return rows.withColumns({"total": total, "pages": F.ceil(total / per_page).cast("long")})
 
 
 def review_aircraft(aircraft: DataFrame) -> DataFrame:
