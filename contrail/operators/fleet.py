@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contrail.functions.scalars import aircraft_needs_review, clean_code, strip
-from contrail.operators.merge import merge, replace, upsert_aircraft
+from contrail.operators.merge import merge, replace
 
 SEEN_DAYS, LEAST_FLEET = 7, 50
 
@@ -59,19 +59,16 @@ def register_lookup(register: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def discover_aircraft(states: DataFrame, aircraft: DataFrame, register: DataFrame, types: DataFrame) -> DataFrame:
-    """Aircraft seen live that aren't active in the fleet, enriched from the register, then by type look-ups."""
+    """Aircraft seen live that aren't active in the fleet, enriched from the register; by type look-ups only where it lacks them."""
     seen = states.select("icao24").distinct().join(aircraft.where("is_active").select("icao24"), "icao24", "left_anti")
-    found = register_lookup(register, seen)
+    found = register_lookup(register, seen).withColumn("listed", F.lit(True))
     t = types.select("icao24", F.col("aircraft_type").alias("t"), F.col("aircraft_subtype").alias("s"))
     rows = seen.join(found, "icao24", "left").join(t, "icao24", "left")
-    rows = rows.select("icao24", F.coalesce("registration", F.upper("icao24")).alias("registration"), F.coalesce("aircraft_type", "t").alias("aircraft_type"), F.coalesce("aircraft_subtype", "s").alias("aircraft_subtype"))
+    filled = lambda own, other: F.when(F.col("listed"), F.col(own)).otherwise(F.col(other)).alias(own)
+    rows = rows.select("icao24", F.coalesce("registration", F.upper("icao24")).alias("registration"), filled("aircraft_type", "t"), filled("aircraft_subtype", "s"))
     return rows.withColumn("needs_review", aircraft_needs_review(F.col("registration"), F.col("aircraft_type"), F.col("icao24")))
 
 
-def discover_and_upsert(states: DataFrame, aircraft: DataFrame, register: DataFrame, types: DataFrame) -> DataFrame:
-    return upsert_aircraft(aircraft, discover_aircraft(states, aircraft, register, types))
-
-
 def seen_lately(positions: DataFrame, as_of, days: int = SEEN_DAYS) -> DataFrame:
     return positions.where(F.col("captured_at") >= F.lit(as_of) - F.expr(f"INTERVAL {days} DAYS")).select("icao24").distinct()
 
@@ -107,7 +104,7 @@ def retire_missing(aircraft: DataFrame, register: DataFrame, positions: DataFram
 
 
 def fleet_sanity_guard(register_fleet: DataFrame, least: int = LEAST_FLEET) -> DataFrame:
-    """Refuses a register that is too small to be whole."""
+    """Refuses a register that is too small to be whole. It counts at once, up to `least` rows, as a guard must."""
     found = register_fleet.limit(least).count()
     if found < least:
         raise ValueError(f"the register lists {found} aircraft; fewer than {least} aren't trusted")

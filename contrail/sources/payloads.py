@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contrail.functions.scalars import clean_code, strip
+from contrail.operators.merge import upsert_flights
 
 SNAPSHOT = "time BIGINT, states ARRAY<ARRAY<STRING>>"
 FEED = "ARRAY<STRUCT<icao24: STRING, callsign: STRING, estDepartureAirport: STRING, estArrivalAirport: STRING, firstSeen: BIGINT, lastSeen: BIGINT>>"
@@ -99,8 +102,25 @@ def write_positions(positions: DataFrame, path: str) -> None:
 
 
 def write_flights(flights: DataFrame, path: str) -> None:
-    """Replaces the days that flights holds, and no others."""
-    flights.withColumn("date", F.to_date("first_seen")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    """Upserts by (icao24, first_seen) into a table with a folder per day; only the days that flights holds are rewritten.
+
+    A day's new content is written beside the table first, since a folder can't be read and replaced at once.
+    """
+    spark = flights.sparkSession
+    fresh = flights.withColumn("date", F.to_date("first_seen"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        fresh.write.partitionBy("date").parquet(path)
+        return
+    days = fresh.select("date").distinct()
+    old = spark.read.parquet(path).join(days, "date", "left_semi").select(*fresh.columns)
+    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    try:
+        upsert_flights(old, fresh).write.parquet(beside)
+        spark.read.parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    finally:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(beside), True)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict) -> None:
@@ -113,5 +133,15 @@ def job_run_record(spark: SparkSession, run_type: str, started_at, finished_at,
     return spark.createDataFrame([tuple(row)], "run_type string, started_at timestamp, finished_at timestamp, aircraft_total int, aircraft_ok int, aircraft_error int, flights_upserted int, error_detail string, status string")
 
 
-def first_by_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return rows.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where("nth = 1").drop("nth")
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the cluster names in spark.checkpoint.dir; a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
+    path = f"{found}/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path

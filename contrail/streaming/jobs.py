@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from contrail.config import DetectorConfig
 from contrail.functions.scalars import clean_code
 from contrail.operators import detector, merge
-from contrail.sources.payloads import parse_state_snapshots
+from contrail.operators.geo import open_flights
+from contrail.sources.payloads import parse_state_snapshots, write_flights
 
 
 def stream_positions(raw: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -40,34 +41,44 @@ def stream_activity(positions: DataFrame, width: str = "2 minutes", delay: str =
 def stream_detect(positions: DataFrame, store: str, flights: str, airports: DataFrame, cfg: DetectorConfig, checkpoint: str):
     """A query that keeps `flights` the detector's result over all positions so far.
 
-    Each micro-batch is appended to the store; the aircraft in it are detected again over their stored positions
-    and their flights replaced. Both writes are keyed, so a repeated batch changes nothing.
+    Each micro-batch is appended to the store; the aircraft in it, and those with flights open for too long at the
+    batch's last moment, are detected again over their stored positions, stale flights closed, and their flights
+    replaced. Both writes are keyed by the batch, so a repeated batch changes nothing.
     """
     spark: SparkSession = positions.sparkSession
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
         batch.write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
-        touched = batch.select("icao24").distinct()
-        known = spark.read.parquet(store).drop("epoch").join(touched, "icao24", "left_semi").dropDuplicates(["icao24", "captured_at"])
+        rows = spark.read.parquet(f"{store}/epoch={epoch}")
+        as_of = rows.agg(F.max("captured_at")).first()[0]
+        if as_of is None:
+            return
+        touched = rows.select("icao24")
+        if epoch:
+            earlier = latest_flights(spark, flights, epoch)
+            stale = open_flights(earlier).where(F.col("first_seen") < F.lit(as_of) - F.expr(f"INTERVAL {cfg.stale_hours} HOURS"))
+            touched = touched.union(stale.select("icao24"))
+        known = spark.read.parquet(store).drop("epoch").join(touched.distinct(), "icao24", "left_semi").dropDuplicates(["icao24", "captured_at"])
         found = detector.detect_flights(known, airports, None, cfg)
-        found.write.mode("overwrite").parquet(f"{flights}/epoch={epoch}")
-        batch.unpersist()
+        closed = merge.update_open_flights(found, detector.close_stale(found, known, airports, as_of, cfg))
+        closed.write.mode("overwrite").parquet(f"{flights}/epoch={epoch}")
 
     return positions.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_flights(spark: SparkSession, flights: str) -> DataFrame:
-    """What stream_detect has written: for each aircraft the flights of its last epoch."""
+def latest_flights(spark: SparkSession, flights: str, before: int | None = None) -> DataFrame:
+    """What stream_detect has written (before an epoch, if given): for each aircraft the flights of its last epoch."""
     rows = spark.read.parquet(flights)
+    if before is not None:
+        rows = rows.where(F.col("epoch") < before)
     last = rows.groupBy("icao24").agg(F.max("epoch").alias("epoch"))
     return rows.join(last, ["icao24", "epoch"], "left_semi").drop("epoch")
 
 
-def merge_sink(read_flights, write_flights):
-    """A foreachBatch function that merges batches of flight updates into a flights table."""
+def merge_sink(path: str):
+    """A foreachBatch function that upserts batches of flights into the table at path; a repeated batch changes nothing."""
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
-        write_flights(merge.upsert_flights(read_flights(), batch))
+        write_flights(batch, path)
 
     return on_batch
