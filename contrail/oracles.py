@@ -47,12 +47,13 @@ o("s03_filter_callsign_prefix", f"SELECT icao24, {T} FROM positions WHERE upper(
 o("s04_drop_no_fix", "SELECT count(*) FILTER (heading > 30) AS kept, count(*) FILTER (heading <= 30) AS skipped FROM positions")
 o("s05_insert_positions", f"SELECT icao24, {T}, callsign, latitude FROM positions WHERE latitude >= 0")
 o("s06_parse_flight_feed", "SELECT icao24, callsign, departure_airport_icao, arrival_airport_icao, epoch_us(first_seen) AS first_seen, epoch_us(last_seen) AS last_seen FROM flights WHERE icao24 IN (SELECT icao24 FROM aircraft WHERE is_active)")
-o("s07_time_chunks", "SELECT *, least(chunk_begin + 7200, end_s) AS chunk_end FROM (SELECT *, unnest(range(begin_s, end_s, 7200)) AS chunk_begin FROM (SELECT id, epoch(first_seen)::BIGINT AS begin_s, epoch(last_seen)::BIGINT AS end_s FROM flights WHERE id % 50 = 0))")
+o("s07_time_chunks", "SELECT *, least(chunk_begin + 7200, end_s) AS chunk_end FROM (SELECT *, unnest(range(begin_s, end_s, 7200)) AS chunk_begin FROM (SELECT id, epoch(first_seen)::BIGINT AS begin_s, epoch(last_seen)::BIGINT AS end_s FROM flights))")
 o("s08_load_airports", "SELECT icao_code, trim(name) AS name, latitude, CASE WHEN k % 2 = 0 THEN longitude + 1 ELSE longitude END AS longitude FROM (SELECT *, substr(icao_code, 2, 3)::INT AS k FROM airports) WHERE k % 3 > 0 AND k % 7 > 0")
 o("s09_airline_fleet", "SELECT icao24, registration, aircraft_type, aircraft_subtype, rule FROM al", AIRLINE)
-o("s10_register_lookup", "SELECT icao24, registration, aircraft_type, aircraft_subtype FROM x WHERE (SELECT count(DISTINCT icao24) FROM x) < (SELECT count(*) FROM aircraft WHERE icao24 < '000200') OR row_no <= (SELECT max(m) FROM (SELECT min(row_no) AS m FROM x GROUP BY icao24)) QUALIFY row_number() OVER (PARTITION BY icao24 ORDER BY row_no DESC) = 1", REGISTER + ", x AS (SELECT * FROM cr WHERE icao24 IN (SELECT icao24 FROM aircraft WHERE icao24 < '000200'))")
+o("s10_register_lookup", "SELECT icao24, registration, aircraft_type, aircraft_subtype FROM x WHERE (SELECT count(DISTINCT icao24) FROM x) < (SELECT count(*) FROM aircraft) OR row_no <= (SELECT max(m) FROM (SELECT min(row_no) AS m FROM x GROUP BY icao24)) QUALIFY row_number() OVER (PARTITION BY icao24 ORDER BY row_no DESC) = 1", REGISTER + ", x AS (SELECT * FROM cr WHERE icao24 IN (SELECT icao24 FROM aircraft))")
 o("s11_parse_type_record", f"SELECT icao24, aircraft_type, coalesce(CASE WHEN {HEX} % 2 > 0 THEN aircraft_subtype END, 'Model') AS aircraft_subtype FROM aircraft")
-o("s12_aircraft_from_flight_pages", "SELECT upper(registration) AS registration, count(*) AS flight_count, arg_min(t, (flight_date, id)) AS aircraft_type, nullif(arg_min(coalesce(c, '~'), (flight_date, id)), '~') AS callsign, nullif(arg_min(coalesce(d, '~'), (flight_date, id)), '~') AS origin, nullif(arg_min(coalesce(r, '~'), (flight_date, id)), '~') AS destination FROM (SELECT f.id, f.flight_date, registration, upper(aircraft_type) AS t, callsign AS c, departure_airport_icao AS d, arrival_airport_icao AS r FROM flights f JOIN aircraft USING (icao24) WHERE id % 20 = 0) GROUP BY 1".replace("arg_min(t, (flight_date, id))", "nullif(arg_min(coalesce(t, '~'), (flight_date, id)), '~')"))
+o("s12_aircraft_from_flight_pages", "SELECT upper(registration) AS registration, count(*) AS flight_count, arg_min(t, (flight_date, id)) AS aircraft_type, nullif(arg_min(coalesce(c, '~'), (flight_date, id)), '~') AS callsign, nullif(arg_min(coalesce(d, '~'), (flight_date, id)), '~') AS origin, nullif(arg_min(coalesce(r, '~'), (flight_date, id)), '~') AS destination FROM (SELECT f.id, f.flight_date, registration, upper(aircraft_type) AS t, callsign AS c, departure_airport_icao AS d, arrival_airport_icao AS r FROM flights f JOIN aircraft USING (icao24)) GROUP BY 1".replace("arg_min(t, (flight_date, id))", "nullif(arg_min(coalesce(t, '~'), (flight_date, id)), '~')"))
+o("s13_write_positions", f"SELECT icao24, {T}, callsign, altitude_m, strftime(captured_at, '%Y-%m-%d') AS day FROM positions")
 o("s14_load_review_edits", "SELECT kind, key, CASE act WHEN 0 THEN 'UPDATE' WHEN 1 THEN 'DISMISS' WHEN 2 THEN 'PENDING' ELSE 'MAYBE' END AS action, registration, type, subtype, dep, arr, act < 3 AS known FROM ed", EDITS)
 o("s15_is_on_ground", f"SELECT icao24, {T}, ground FROM g", G)
 o("s16_clean_code", "SELECT row_no, icao24, registration, operator FROM rg", REGISTER)
@@ -72,7 +73,7 @@ o("s29_flights_with_aircraft", "SELECT id, registration, aircraft_type FROM flig
 o("s30_latest_position", f"SELECT icao24, {T}, latitude, on_ground FROM positions QUALIFY row_number() OVER (PARTITION BY icao24 ORDER BY captured_at DESC) = 1")
 o("s31_last_completed_flight", "SELECT icao24, id FROM flights WHERE arrival_airport_icao IS NOT NULL QUALIFY row_number() OVER (PARTITION BY icao24 ORDER BY last_seen DESC, first_seen DESC) = 1")
 o("s32_open_flights", "SELECT id FROM flights WHERE arrival_airport_icao IS NULL")
-o("s33_positions_before", "SELECT icao24, epoch_us(moment) AS \"at\", count(c) AS n, epoch_us(min(c)) AS oldest, epoch_us(max(c)) AS newest FROM (SELECT e.icao24, moment, p.captured_at AS c FROM (SELECT icao24, captured_at AS moment FROM positions WHERE heading < 60 UNION SELECT icao24, captured_at + INTERVAL 1 SECOND FROM positions WHERE heading > 300) e LEFT JOIN positions p ON e.icao24 = p.icao24 AND p.captured_at < moment QUALIFY row_number() OVER (PARTITION BY e.icao24, moment ORDER BY p.captured_at DESC) <= 15) GROUP BY ALL")
+o("s33_positions_before", "SELECT icao24, epoch_us(moment) AS \"at\", count(c) AS n, epoch_us(min(c)) AS oldest, epoch_us(max(c)) AS newest FROM (SELECT e.icao24, moment, p.captured_at AS c FROM (SELECT DISTINCT icao24, captured_at + INTERVAL 1 SECOND * CASE WHEN heading > 180 THEN 1 ELSE 0 END AS moment FROM positions) e LEFT JOIN positions p ON e.icao24 = p.icao24 AND p.captured_at < moment QUALIFY row_number() OVER (PARTITION BY e.icao24, moment ORDER BY p.captured_at DESC) <= 15) GROUP BY ALL")
 o("s34_positions_range", f"SELECT icao24, {T}, 'range' AS scan FROM positions WHERE icao24 = '000005' AND captured_at BETWEEN TIMESTAMP '2024-01-20' AND TIMESTAMP '2024-01-31' UNION ALL SELECT icao24, {T}, 'since' FROM positions WHERE captured_at >= TIMESTAMP '2024-01-20'")
 o("s35_split_sessions", f"SELECT icao24, {T}, session_no FROM s", SESSIONS)
 o("s36_session_callsign", "SELECT icao24, session_no, arg_min(cs, captured_at) FILTER (cs IS NOT NULL) AS session_callsign FROM s GROUP BY ALL", SESSIONS)
@@ -94,11 +95,12 @@ o("s52_close_stale", "SELECT f.icao24, epoch_us(first_seen) AS first_seen, epoch
 o("s54_compare_flights", "SELECT * FROM (SELECT icao24, coalesce(o, 0) AS old_flights, coalesce(orv, 0) AS old_review, coalesce(os, 0) AS old_same, coalesce(n, 0) AS new_flights, coalesce(nrv, 0) AS new_review, coalesce(ns, 0) AS new_same FROM (SELECT icao24, count(*) AS o, count(*) FILTER (needs_review) AS orv, count(*) FILTER (d = r AND d <> 'UNKN') AS os FROM a GROUP BY 1) FULL JOIN (SELECT icao24, count(*) AS n, count(*) FILTER (needs_review) AS nrv, count(*) FILTER (d = r AND d <> 'UNKN') AS ns FROM b GROUP BY 1) USING (icao24))", SIDES)
 MERGED = f"SELECT * FROM (SELECT icao24, first_seen, coalesce(u.last_seen, f.last_seen) AS last_seen, CASE WHEN u.icao24 IS NULL THEN f.callsign ELSE u.callsign END AS callsign, CASE WHEN f.icao24 IS NULL THEN u.departure_airport_icao ELSE f.departure_airport_icao END AS departure_airport_icao, CASE WHEN u.icao24 IS NULL THEN f.arrival_airport_icao ELSE u.arrival_airport_icao END AS arrival_airport_icao, coalesce(u.needs_review, f.needs_review) AS needs_review FROM flights f FULL JOIN u USING (icao24, first_seen))"  # noqa: S608
 o("s60_upsert_flights", f"SELECT {FK} FROM ({MERGED})", UPDATES)
+ORACLES["s13_write_flights"] = ORACLES["s60_upsert_flights"]  # the same upsert, through the sink
 o("s55_merge_flight_actions", f"SELECT {FK} FROM (SELECT m.icao24, m.first_seen, CASE WHEN g THEN u.last_seen ELSE m.last_seen END AS last_seen, CASE WHEN g THEN coalesce(u.callsign, m.callsign) ELSE m.callsign END AS callsign, m.departure_airport_icao, CASE WHEN g THEN coalesce(u.arrival_airport_icao, m.arrival_airport_icao) ELSE m.arrival_airport_icao END AS arrival_airport_icao, CASE WHEN g AND u.arrival_airport_icao IS NOT NULL THEN u.needs_review ELSE m.needs_review END AS needs_review FROM (SELECT m.*, m.arrival_airport_icao IS NULL AND u0.icao24 IS NOT NULL AS g FROM ({MERGED.replace(' u USING', ' v AS u USING')}) m LEFT JOIN (SELECT DISTINCT icao24, first_seen FROM u) u0 USING (icao24, first_seen)) m LEFT JOIN u USING (icao24, first_seen))", UPDATES + ", v AS (SELECT * FROM u WHERE arrival_airport_icao IS NULL)")
 o("s61_update_open_flights", f"SELECT {FK} FROM (SELECT f.icao24, f.first_seen, CASE WHEN g THEN u.last_seen ELSE f.last_seen END AS last_seen, CASE WHEN g THEN coalesce(u.callsign, f.callsign) ELSE f.callsign END AS callsign, f.departure_airport_icao, CASE WHEN g THEN u.arrival_airport_icao ELSE f.arrival END AS arrival_airport_icao, CASE WHEN g AND u.arrival_airport_icao IS NOT NULL THEN u.needs_review ELSE f.needs_review END AS needs_review FROM (SELECT f.*, CASE WHEN id % 5 > 0 THEN arrival_airport_icao END AS arrival, (CASE WHEN id % 5 > 0 THEN arrival_airport_icao END) IS NULL AND w.icao24 IS NOT NULL AS g FROM flights f LEFT JOIN (SELECT icao24, first_seen FROM u) w USING (icao24, first_seen)) f LEFT JOIN u USING (icao24, first_seen))", UPDATES)
 o("s62_fill_departure", f"SELECT {FK} FROM (SELECT f.icao24, f.first_seen, f.last_seen, f.callsign, coalesce(f.departure_airport_icao, u.departure_airport_icao) AS departure_airport_icao, f.arrival_airport_icao, f.needs_review FROM flights f LEFT JOIN u USING (icao24, first_seen))", UPDATES)
 o("s63_upsert_aircraft", "SELECT icao24, coalesce(u.registration, a.registration) AS registration, CASE WHEN u.registration IS NULL THEN a.aircraft_type ELSE u.aircraft_type END AS aircraft_type, coalesce(u.aircraft_subtype, a.aircraft_subtype) AS aircraft_subtype, u.registration IS NOT NULL OR a.is_active AS is_active, CASE WHEN u.registration IS NULL THEN a.needs_review ELSE FALSE END AS needs_review FROM aircraft a FULL JOIN (SELECT CASE WHEN icao24 < '000400' THEN icao24 ELSE 'x' || icao24 END AS icao24, 'D-UPS' AS registration, aircraft_type, 'up' AS aircraft_subtype FROM aircraft WHERE NOT is_active) u USING (icao24)")
-o("s64_discover_aircraft", "SELECT icao24, coalesce(r.registration, upper(icao24)) AS registration, coalesce(r.aircraft_type, t.t) AS aircraft_type, coalesce(r.aircraft_subtype, t.s) AS aircraft_subtype, coalesce(r.aircraft_type, t.t) IS NULL OR coalesce(r.registration, upper(icao24)) = upper(icao24) AS needs_review FROM n LEFT JOIN (SELECT * FROM x WHERE (SELECT count(DISTINCT icao24) FROM x) < (SELECT count(*) FROM n) OR row_no <= (SELECT max(m) FROM (SELECT min(row_no) AS m FROM x GROUP BY icao24)) QUALIFY row_number() OVER (PARTITION BY icao24 ORDER BY row_no DESC) = 1) r USING (icao24) LEFT JOIN (SELECT icao24, 'LOOK' AS t, aircraft_subtype AS s FROM aircraft WHERE aircraft_subtype IS NOT NULL) t USING (icao24)", REGISTER + ", n AS (SELECT DISTINCT icao24 FROM positions WHERE icao24 NOT IN (SELECT icao24 FROM aircraft WHERE is_active)), x AS (SELECT * FROM cr WHERE icao24 IN (SELECT icao24 FROM n))")
+o("s64_discover_aircraft", "SELECT icao24, coalesce(r.registration, upper(icao24)) AS registration, CASE WHEN r.registration IS NOT NULL THEN r.aircraft_type ELSE t.t END AS aircraft_type, CASE WHEN r.registration IS NOT NULL THEN r.aircraft_subtype ELSE t.s END AS aircraft_subtype, CASE WHEN r.registration IS NOT NULL THEN r.aircraft_type ELSE t.t END IS NULL OR coalesce(r.registration, upper(icao24)) = upper(icao24) AS needs_review FROM n LEFT JOIN (SELECT * FROM x WHERE (SELECT count(DISTINCT icao24) FROM x) < (SELECT count(*) FROM n) OR row_no <= (SELECT max(m) FROM (SELECT min(row_no) AS m FROM x GROUP BY icao24)) QUALIFY row_number() OVER (PARTITION BY icao24 ORDER BY row_no DESC) = 1) r USING (icao24) LEFT JOIN (SELECT icao24, 'LOOK' AS t, aircraft_subtype AS s FROM aircraft WHERE aircraft_subtype IS NOT NULL) t USING (icao24)", REGISTER + ", n AS (SELECT DISTINCT icao24 FROM positions WHERE icao24 NOT IN (SELECT icao24 FROM aircraft WHERE is_active)), x AS (SELECT * FROM cr WHERE icao24 IN (SELECT icao24 FROM n))")
 o("s65_reactivate_seen", "SELECT icao24, is_active OR icao24 IN (SELECT icao24 FROM seen) AS is_active FROM aircraft", SEEN)
 o("s66_refresh_aircraft", "SELECT a.icao24, CASE WHEN g THEN coalesce(nullif(a.registration, a.icao24), r.registration, a.registration) ELSE a.registration END AS registration, CASE WHEN g THEN coalesce(a.aircraft_type, r.aircraft_type, CASE WHEN l.icao24 IS NOT NULL THEN 'LOOK' END) ELSE a.aircraft_type END AS aircraft_type, CASE WHEN g THEN coalesce(a.aircraft_subtype, r.aircraft_subtype, CASE WHEN a.aircraft_type IS NULL AND r.aircraft_type IS NULL THEN l.aircraft_subtype END) ELSE a.aircraft_subtype END AS aircraft_subtype, a.is_active FROM (SELECT *, is_active AND icao24 IN (SELECT icao24 FROM al) AS g FROM aircraft) a LEFT JOIN al r USING (icao24) LEFT JOIN (SELECT icao24, aircraft_subtype FROM aircraft WHERE aircraft_subtype IS NOT NULL) l USING (icao24)", AIRLINE)
 o("s67_retire_missing", "SELECT icao24, is_active AND NOT x AS is_active, CASE WHEN x THEN '2024-01-31' END AS last_seen_date FROM (SELECT *, is_active AND icao24 NOT IN (SELECT icao24 FROM al) AND icao24 NOT IN (SELECT icao24 FROM seen) AS x FROM aircraft)", AIRLINE + ", " + SEEN)
@@ -113,7 +115,8 @@ o("s75_expire_positions", "SELECT icao24, count(*) AS n FROM positions WHERE cap
 o("s76_insert_and_delete", "SELECT id::VARCHAR AS key, 'inserted' AS what FROM flights WHERE id % 2 > 0 AND icao24 IN (SELECT icao24 FROM aircraft WHERE is_active) AND (icao24, first_seen) NOT IN (SELECT (icao24, first_seen) FROM flights WHERE id % 2 = 0) UNION ALL SELECT icao24, 'left' FROM aircraft WHERE is_active OR icao24 IN (SELECT icao24 FROM flights WHERE id % 5 = 0)")
 o("s56_stream_positions", f"SELECT icao24, epoch_us(date_trunc('second', captured_at)) AS captured_at, nullif(upper({STRIP.format('callsign')}), '') AS callsign FROM positions")
 o("s57_stream_sessions", "SELECT icao24, epoch_us(min(captured_at)) AS first_seen, epoch_us(max(captured_at)) AS last_seen, count(*) AS n, arg_min(cs, captured_at) FILTER (cs IS NOT NULL) AS callsign FROM s GROUP BY icao24, session_no", SESSIONS)
-o("s59_stream_activity", "SELECT epoch_us(date_trunc('day', captured_at)) AS window_start, count(DISTINCT icao24) AS seen, count(DISTINCT icao24) FILTER (NOT on_ground) AS airborne FROM positions GROUP BY 1")
+o("s59_stream_activity", "SELECT epoch_us(time_bucket(INTERVAL 2 MINUTE, captured_at)) AS window_start, count(DISTINCT icao24) AS seen, count(DISTINCT icao24) FILTER (NOT on_ground) AS airborne FROM positions GROUP BY 1")
+o("s77_job_run_record", "SELECT 'flight_detector' AS run_type, epoch_us(TIMESTAMP '2001-08-01') AS started_at, epoch_us(TIMESTAMP '2024-01-31') AS finished_at, count(*)::INT AS aircraft_total, count(*) FILTER (NOT needs_review)::INT AS aircraft_ok, count(*) FILTER (needs_review)::INT AS aircraft_error, count(arrival_airport_icao)::INT AS flights_upserted, 'none' AS error_detail, 'ok' AS status FROM flights")
 o("s78_fleet_counts", "SELECT count(*) FILTER (is_active) AS active, count(*) AS total, count(*) FILTER (NOT is_active) AS retired FROM aircraft")
 GOOD = "departure_airport_icao IS NOT NULL AND NOT needs_review"
 o("s79_flight_counts", f'SELECT count(*) FILTER ({GOOD} AND flight_date = DATE \'2001-08-01\') AS today, count(*) FILTER ({GOOD} AND flight_date >= DATE \'2001-07-25\') AS week, count(*) FILTER ({GOOD}) AS "all", count(*) FILTER (arrival_airport_icao IS NULL) AS pending FROM flights')
@@ -128,7 +131,7 @@ o("s87_flights_per_day", "SELECT CAST(flight_date AS VARCHAR) AS flight_date, co
 o("s88_fleet_list", "SELECT a.icao24, count(f.id) AS total_flights, count(*) FILTER (flight_date >= DATE '2024-01-22') AS flights_7d, CAST(max(flight_date) AS VARCHAR) AS last_flight_date, a.icao24 IN (SELECT icao24 FROM positions WHERE captured_at >= TIMESTAMP '2024-01-29 11:55:00') AS currently_tracking FROM aircraft a LEFT JOIN flights f ON a.icao24 = f.icao24 GROUP BY a.icao24")
 o("s89_fleet_filter_sort", "SELECT icao24 FROM aircraft WHERE is_active AND aircraft_type = 'MACH' AND (registration || ' ' || icao24 || ' ' || aircraft_type || ' ' || coalesce(aircraft_subtype, 'null')) ILIKE '%d-00%' UNION ALL SELECT DISTINCT aircraft_type FROM aircraft WHERE aircraft_type IS NOT NULL")
 o("s90_aircraft_totals", "SELECT icao24, count(*) AS total, count(*) FILTER (flight_date >= DATE '2001-07-25') AS last_7d, count(*) FILTER (flight_date >= DATE '2001-08-01' - 30) AS last_30d FROM flights GROUP BY 1")
-o("s90_aircraft_last_flights", "SELECT icao24, row_number() OVER (PARTITION BY icao24 ORDER BY first_seen DESC, id)::INT AS nth, id, coalesce(departure_airport_icao, '?') || '-' || coalesce(arrival_airport_icao, '?') AS route, arrival_airport_icao IS NULL AS pending FROM flights WHERE departure_airport_icao IS NOT NULL QUALIFY nth <= 10")
+o("s90_aircraft_last_flights", "SELECT icao24, row_number() OVER (PARTITION BY icao24 ORDER BY first_seen DESC, id)::INT AS nth, id, coalesce(departure_airport_icao, '?') || '-' || coalesce(arrival_airport_icao, '?') AS route, arrival_airport_icao IS NULL AS pending FROM flights WHERE departure_airport_icao IS NOT NULL QUALIFY nth <= 100")
 o("s90_aircraft_top_routes", "SELECT *, row_number() OVER (PARTITION BY icao24 ORDER BY n DESC, route)::INT AS nth FROM (SELECT icao24, departure_airport_icao || '-' || arrival_airport_icao AS route, count(*) AS n FROM flights WHERE departure_airport_icao IS NOT NULL AND arrival_airport_icao IS NOT NULL GROUP BY ALL) QUALIFY nth <= 20")
 o("s90_aircraft_per_day", "SELECT icao24, CAST(flight_date AS VARCHAR) AS flight_date, count(*) AS n FROM flights WHERE flight_date >= DATE '2001-08-01' - 29 GROUP BY 1, 2")
 o("s91_flights_page", "SELECT id, (SELECT count(*) FROM m) AS total, ceil((SELECT count(*) FROM m) / 20)::BIGINT AS pages FROM m ORDER BY first_seen DESC, id LIMIT 20 OFFSET 20", "m AS (SELECT * FROM flights WHERE callsign ILIKE '%dlh1%' AND departure_airport_icao = 'A001' AND NOT needs_review)")
@@ -140,7 +143,9 @@ o("s96_cycle_histogram", "SELECT (gap // width) * width AS bin, width, count(*)
 o("s97_cycle_summary", "SELECT *, CASE WHEN average <= 7 THEN 'week' WHEN average <= 14 THEN 'two weeks' WHEN average <= 21 THEN 'three weeks' ELSE 'more' END AS class FROM (SELECT registration, round(sum(gap) / count(*), 1) AS average, count(*) AS n FROM gp GROUP BY 1)", GAPS)
 o("s98_route_transitions", "SELECT * FROM tr", TRANS)
 o("s99_transition_probabilities", "SELECT *, round(n / sum(n) OVER (PARTITION BY from_route), 6) AS share FROM tr", TRANS)
-o("s100_route_affinity", "SELECT *, round(n / max(n) OVER (), 6) AS intensity FROM (SELECT registration, route, count(*) AS n FROM fr WHERE route IN (SELECT route FROM fr GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20) GROUP BY ALL)", FLOWN)
+AFFINITY = "SELECT *, round(n / max(n) OVER (), 6) AS intensity FROM (SELECT registration, route, count(*) AS n FROM fr WHERE route IN (SELECT route FROM fr GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20) GROUP BY ALL)"
+o("s100_route_affinity", AFFINITY, FLOWN)
+o("s100_affinity_matrix", "SELECT registration, " + ", ".join(f"""coalesce(max(intensity) FILTER (route = 'A00{i}-A00{j}'), 0) AS "A00{i}-A00{j}\"""" for i in range(5) for j in range(5)) + f" FROM ({AFFINITY}) GROUP BY 1", FLOWN)
 o("s101_preceding_routes", "SELECT step, earlier, count(*) AS n FROM (SELECT 1 AS step, r1 AS earlier FROM w WHERE route = 'A001-A002' UNION ALL SELECT 2, r2 FROM w WHERE route = 'A001-A002' UNION ALL SELECT 3, r3 FROM w WHERE route = 'A001-A002') WHERE earlier IS NOT NULL GROUP BY ALL", FLOWN + ", w AS (SELECT *, lag(route, 1) OVER z AS r1, lag(route, 2) OVER z AS r2, lag(route, 3) OVER z AS r3 FROM fr WINDOW z AS (PARTITION BY icao24 ORDER BY first_seen, id))")
 o("s102_last_known_airport", "SELECT registration, arrival_airport_icao AS airport, epoch_us(last_seen) AS last_seen FROM fr WHERE is_active QUALIFY row_number() OVER (PARTITION BY registration ORDER BY last_seen DESC, id DESC) = 1", FLOWN)
 o("s103_focus_route_history", "SELECT id, registration, callsign, epoch_us(first_seen) AS first_seen, epoch_us(last_seen) AS last_seen, duration_minutes FROM fl WHERE route = 'A001-A002'", FLOWN)

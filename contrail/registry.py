@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -117,7 +117,7 @@ def s06_parse_flight_feed(t):
 
 @query
 def s07_time_chunks(t):
-    w = t.flights.where("id % 50 = 0").select("id", F.unix_seconds("first_seen").alias("begin_s"), F.unix_seconds("last_seen").alias("end_s"))
+    w = t.flights.select("id", F.unix_seconds("first_seen").alias("begin_s"), F.unix_seconds("last_seen").alias("end_s"))
     return payloads.time_chunks(w, 7200)
 
 
@@ -137,7 +137,7 @@ def s09_airline_fleet(t):
 
 @query
 def s10_register_lookup(t):
-    return fleet.register_lookup(t.registry, t.aircraft.where("icao24 < '000200'").select("icao24"))
+    return fleet.register_lookup(t.registry, t.aircraft.select("icao24"))
 
 
 @query
@@ -150,12 +150,28 @@ def s11_parse_type_record(t):
 
 @query
 def s12_aircraft_from_flight_pages(t):
-    f = t.flights.join(t.aircraft.select("icao24", "registration", "aircraft_type"), "icao24").where("id % 20 = 0")
+    f = t.flights.join(t.aircraft.select("icao24", "registration", "aircraft_type"), "icao24")
     entry = F.struct(F.lower("registration").alias("registration"), "aircraft_type", C("callsign").alias("ident"), F.struct(C("departure_airport_icao").alias("code_icao")).alias("origin"), F.struct(C("arrival_airport_icao").alias("code_icao")).alias("destination"))
     lists = f.groupBy(C("flight_date").alias("page_no")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", entry.alias("e")))), lambda x: x["e"]).alias("arrivals"))
     return payloads.aircraft_from_flight_pages(lists.select("page_no", F.to_json(F.struct("arrivals")).alias("value")))
 
 
+@query
+def s13_write_positions(t):
+    path = payloads.shared_path(t.spark, "positions")
+    payloads.write_positions(t.positions.where("latitude < 0"), path)
+    payloads.write_positions(t.positions.where("latitude >= 0"), path)
+    return t.spark.read.parquet(path).select("icao24", "captured_at", "callsign", "altitude_m", C("date").cast("string").alias("day"))
+
+
+@query
+def s13_write_flights(t):
+    path = payloads.shared_path(t.spark, "flights")
+    payloads.write_flights(_flight_rows(t.flights), path)
+    payloads.write_flights(_flight_rows(_updates(t)), path)
+    return _flight_rows(t.spark.read.parquet(path))
+
+
 @query
 def s14_load_review_edits(t):
     return payloads.load_review_edits(_edits(t))
@@ -244,8 +260,7 @@ def s27_utc_weekday(t):
 @query
 def s28_nearest_airport(t):
     near = geo.nearest_airport(t.positions, t.airports, 50.0)
-    close = geo.nearest_airport(near.withColumns({"a50": C("airport"), "km": C("airport_km")}).drop("airport", "airport_km"), t.airports, 8.0)
-    return close.select("icao24", "captured_at", "a50", F.round("km", 1).alias("km"), C("airport").alias("a8"))
+    return near.select("icao24", "captured_at", C("airport").alias("a50"), F.round("airport_km", 1).alias("km"), F.when(C("airport_km") <= 8, C("airport")).alias("a8"))
 
 
 @query
@@ -270,8 +285,8 @@ def s32_open_flights(t):
 
 @query
 def s33_positions_before(t):
-    events = t.positions.where("heading < 60").select("icao24", C("captured_at").alias("at")).union(t.positions.where("heading > 300").select("icao24", C("captured_at") + F.expr("INTERVAL 1 SECOND")))
-    rows = geo.positions_before(events.distinct(), t.positions, 15)
+    later = F.when(C("heading") > 180, F.expr("INTERVAL 1 SECOND")).otherwise(F.expr("INTERVAL 0 SECOND"))
+    rows = geo.positions_before(t.positions.select("icao24", (C("captured_at") + later).alias("at")).distinct(), t.positions.select("icao24", "captured_at"), 15)
     return rows.select("icao24", "at", F.size("before").cast("long").alias("n"), F.unix_micros(F.try_element_at("before", F.lit(1))["captured_at"]).alias("oldest"), F.unix_micros(F.try_element_at("before", F.lit(-1))["captured_at"]).alias("newest"))
 
 
@@ -395,7 +410,7 @@ def s57_stream_sessions(t):
 
 @query
 def s59_stream_activity(t):
-    return jobs.stream_activity(t.positions, "1 day")
+    return jobs.stream_activity(t.positions)
 
 
 # merges
@@ -514,6 +529,16 @@ def s76_insert_and_delete(t):
 # reports
 
 
+@query
+def s77_job_run_record(t):
+    seen = Observation("run")
+    changed = F.count_if(C("needs_review"))
+    counted = t.flights.observe(seen, F.count("*").alias("aircraft_total"), changed.alias("aircraft_error"), (F.count("*") - changed).alias("aircraft_ok"), F.count("arrival_airport_icao").alias("flights_upserted"))
+    counted.write.parquet(payloads.shared_path(t.spark, "run"))
+    rows = payloads.job_run_record(t.spark, "flight_detector", AS_OF, LIVE, seen.get)
+    return rows.withColumn("error_detail", F.coalesce("error_detail", F.lit("none")))
+
+
 @query
 def s78_fleet_counts(t):
     return reports.fleet_counts(t.aircraft)
@@ -582,7 +607,7 @@ def s90_aircraft_totals(t):
 
 @query
 def s90_aircraft_last_flights(t):
-    return reports.aircraft_last_flights(t.flights, 10)
+    return reports.aircraft_last_flights(t.flights, 100)
 
 
 @query
@@ -649,6 +674,12 @@ def s100_route_affinity(t):
     return rotation.route_affinity(t.flights, t.aircraft, FOCUS)
 
 
+@query
+def s100_affinity_matrix(t):
+    ends = [f"A00{i}-A00{j}" for i in range(5) for j in range(5)]
+    return rotation.affinity_matrix(rotation.route_affinity(t.flights, t.aircraft, FOCUS), ends)
+
+
 @query
 def s101_preceding_routes(t):
     return rotation.preceding_routes(t.flights, t.aircraft, FOCUS)
