@@ -4,7 +4,8 @@ The tokenizers library runs over Arrow batches. Its vocabulary and merges are de
 way to put a token together from two others is a merge, at the rank of the token. Bytes are mapped to printable
 characters for the library and back for decoding.
 
-A null text is an empty one and has no ids. Offsets are in characters; a token that holds a part of a character
+A null text is an empty one and has no ids; very long ones are encoded whole; no rows yield no rows. Clashing columns are
+replaced by encode and decode, others carried. Offsets are in characters; a token that holds a part of a character
 spans all of it. Decoding gives bytes, and text in which incomplete characters become U+FFFD.
 """
 
@@ -81,8 +82,8 @@ def _byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lens) - lens, lens
 
 
-def character_offsets(texts: list, ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Where each token begins and ends, in characters of its text. ids: those of all texts."""
+def character_offsets(texts: list, ids: np.ndarray, counts: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each token begins and ends, in characters of its text. ids: those of all texts, of which counts many are each one's."""
     raw = [t.encode() for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
     char = np.cumsum((data & 0xC0) != 0x80) - 1
@@ -90,8 +91,8 @@ def character_offsets(texts: list, ids: np.ndarray, path: str) -> tuple[np.ndarr
     begins = np.concatenate([[0], ends[:-1]])
     if not len(data):
         return begins, ends
-    bytes_of, chars_of = (np.concatenate([[0], np.cumsum([len(x) for x in xs])]) for xs in (raw, texts))
-    base = chars_of[np.searchsorted(bytes_of, begins, side="right") - 1]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    base = np.repeat(np.cumsum(sizes) - sizes, counts)
     return char[begins] - base, char[ends - 1] + 1 - base
 
 
@@ -104,7 +105,7 @@ def encoded(batches, path: str, made: list[str]):
             found = [PIECE.findall(t) for t in texts[a:b]]
             ids, counts = pieces.ids(pa.array(chain.from_iterable(found), pa.string()), np.fromiter(map(len, found), np.int64, b - a))
             bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-            columns = [ids, *(character_offsets(texts[a:b], ids, path) if len(made) > 1 else [])]
+            columns = [ids, *(character_offsets(texts[a:b], ids, counts, path) if len(made) > 1 else [])]
             lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in columns]
             part = batch.slice(a, b - a)
             yield pa.RecordBatch.from_arrays([*part.columns, *lists], [*part.schema.names, *made])

@@ -7,7 +7,8 @@ so what is broadcast has a fixed bound. Every document is then projected, its co
 blocks, and the neighbours vote with weights that rise with similarity. Each vote counts as much as its label is
 frequent among all labelled rows, so the sample doesn't shift the score.
 
-Null texts are empty; a text without terms gets the share of label 1. Rows whose quality is null teach nothing;
+Null texts are empty; a text without terms gets the share of label 1; very long texts are scored whole; no rows yield no
+rows. All labelled rows vote, by the POWER-th power of their cosine, so that near ones decide. Rows whose quality is null teach nothing;
 a doc_id that is labelled twice teaches twice. Of several documents of one doc_id that of the least text teaches.
 """
 
