@@ -15,12 +15,14 @@ a doc_id that is labelled twice teaches twice. Of several documents of one doc_i
 from __future__ import annotations
 
 import re
+import zlib
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .common import batches_of
 
@@ -82,11 +84,11 @@ def weighted(texts: list[str]) -> np.ndarray:
 class Model:
     """The latent space and the labelled vectors in it: at most 2 * per_label rows of DIMS numbers."""
 
-    def __init__(self, texts: list[str], labels: np.ndarray, share: float, dims: int = DIMS):
-        x = np.concatenate([weighted(texts[a:b]) for a, b in batches_of(texts)]) if texts else np.zeros((0, TERMS), np.float32)
+    def __init__(self, x: np.ndarray, labels: np.ndarray, share: float, dims: int = DIMS):
+        """x: a row of `weighted` per label."""
         self.share, self.labels = share, labels.astype(np.float32)
         seen = (x > 0).sum(0)
-        self.idf = np.log((1 + len(texts)) / (1 + seen)).astype(np.float32) + 1
+        self.idf = np.log((1 + len(x)) / (1 + seen)).astype(np.float32) + 1
         x = x * self.idf
         rng = np.random.default_rng(7)
         basis = rng.standard_normal((TERMS, dims)).astype(np.float32)
@@ -112,10 +114,18 @@ class Model:
         return np.where(x.any(1), np.clip(vote, 0, 1), self.share).astype(np.float64)
 
 
+@F.pandas_udf(BinaryType())
+def _packed(texts: pd.Series) -> pd.Series:
+    """The rows of `weighted`, compressed."""
+    found = texts.tolist()
+    return pd.Series([zlib.compress(row.tobytes(), 1) for a, b in batches_of(found, 1 << 20) for c in range(a, b, 512) for row in weighted(found[c : min(b, c + 512)])], dtype=object)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Learns from the rows of labels (doc_id, quality) whose documents are in docs.
 
-    The sample is a documented bound; the labels' shares are counted over all of labels.
+    The sample is a documented bound; the labels' shares are counted over all of labels. Executors weigh the sampled
+    texts; the driver gets TERMS numbers a label, however long the texts are.
     """
     labels = labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality")
     counts = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -125,8 +135,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
     # one text a sampled label, as often as it is labelled: 2 * per_label rows at most
     one = rows.groupBy("doc_id", "quality", "times").agg(F.min("text").alias("text"))
-    got = one.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).toPandas().sort_values(["doc_id", "text", "quality"])
-    return Model(got["text"].tolist(), got["quality"].to_numpy(np.int64), share)
+    got = one.select("doc_id", "quality", "times", _packed("text").alias("x")).toPandas().sort_values(["doc_id", "quality"])
+    times = got["times"].to_numpy(np.int64)
+    x = np.frombuffer(b"".join(map(zlib.decompress, got["x"])), np.float32).reshape(-1, TERMS)
+    return Model(np.repeat(x, times, axis=0), np.repeat(got["quality"].to_numpy(np.int64), times), share)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -381,6 +381,42 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert sorted(single, key=repr) == sorted([(None, first), (None, ""), (None, None), (7, far), (8, "of its own"), (None, "alone")], key=repr)
 
 
+def test_quality_odd_rows_are_scored_by_a_plain_vote(spark):
+    """Null, empty, very long and repeated texts, clashing columns: each row's score is that of a vote written out a document at a time."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    long = BASE * 4000
+    texts = [None, "", " ", BASE, BASE, long, *[r.text for r in docs.orderBy("doc_id").limit(40).collect()]]
+    odd = spark.createDataFrame([(i // 2 or None, t, -1.0, "kept", 7) for i, t in enumerate(texts)], "doc_id long, text string, score double, k string, predicted int")
+    found = quality.score(odd, model)
+    assert sorted(found.columns) == sorted(odd.columns)
+
+    def vote(text):
+        x = quality.weighted([text or ""])[0]
+        if not x.any():
+            return model.share
+        y = (x * model.idf) @ model.basis
+        sums = [0.0, 0.0]
+        for near, label in zip(model.near, model.labels, strict=True):
+            cosine = max(0.0, float(y @ near) / float(np.linalg.norm(y)))
+            sums[int(label)] += cosine**quality.POWER * float(model.weight[model.labels == label][0])
+        return sums[1] / sum(sums)
+
+    rows = found.collect()
+    assert len(rows) == len(texts) and {r.k for r in rows} == {"kept"}
+    for r in rows:
+        assert math.isclose(r.score, vote(r.text), abs_tol=2e-3) and r.predicted == (r.score >= 0.5)
+
+
+def test_quality_takes_vectors_of_a_fixed_size_to_the_driver(spark):
+    """The model of very long texts is that of weighing them here, and no text reaches the driver."""
+    rows = [(i, ("good words " if i % 2 else "poor TEXT! ") * (20_000 + i)) for i in range(6)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    own = quality.Model(quality.weighted([t for _, t in rows]), np.array([i % 2 for i in range(6)]), 0.5)
+    assert model.labels.tolist() == own.labels.tolist() and np.allclose(model.idf, own.idf) and np.allclose(model.near, own.near, atol=1e-5)
+
+
 def test_quality_learns_from_all_labels_where_an_id_is_repeated(spark):
     docs = spark.createDataFrame([(0, f"poor text {i}") for i in range(40)] + [(i, f"good words {i}") for i in (1, 2)] + [(3, "poor text of its own")], "doc_id long, text string")
     labels = spark.createDataFrame([(0, 0), (3, 0), (1, 1), (2, 1)], "doc_id long, quality int")
