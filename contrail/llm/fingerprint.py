@@ -6,13 +6,14 @@ each bin are packed into a hex string. The likeness of two fingerprints is their
 bits that agree by chance.
 
 Texts that are null or have no words have the empty fingerprint "": like to itself (1), unlike anything else (0). Very
-long texts are hashed whole. Rows of one doc_id are ordered by their texts. No rows yield no rows. Columns other than
+long texts are hashed whole. Rows of one doc_id are ordered by their texts' hashes. No rows yield no rows. Columns other than
 doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -84,32 +85,46 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
 
 
 def ranges(docs: DataFrame, n: int) -> DataFrame:
-    """docs with `part`, rising as doc_id falls (null ids last); each part is about an n-th of the rows."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("c")).first()["c"] if n > 1 else []
-    cuts = sorted(set(cuts or []))
+    """docs with `part`, rising as doc_id falls (null ids last) and, within one id, as the text's `hash` falls; each part is about an n-th of the rows.
+
+    An id that fills several n-ths, null included, is cut into as many parts by the hashes of its texts. Only copies
+    of one text under one id stay together.
+    """
+    found = docs.agg(F.count("*").alias("rows"), F.count("doc_id").alias("known"), F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000).alias("cuts")).first()
+    times = Counter(found["cuts"] or []) if n > 1 else {}
+    cuts = sorted(times)
+    # parts in falling order: the ids above all cuts, those up to each cut, null
+    shares = [1, *(times[c] for c in reversed(cuts)), max(1, round(n * (found["rows"] - found["known"]) / max(1, found["rows"])))]
+    begins = [sum(shares[:i]) for i in range(len(shares))]
     above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0)
-    return docs.withColumn("part", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(above).cast("int"))
+    docs = docs.withColumn("place", F.when(F.col("doc_id").isNull(), len(shares) - 1).otherwise(above).cast("int"))
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("place") + 1)
+    # the cut itself comes first among the ids of its place, in falling order of hashes; smaller ids go to the last part
+    whole = F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") == at([None, *reversed(cuts), None]).cast("long"), F.lit(False))
+    nth = F.least(F.floor((2.0**63 - F.col("hash").cast("double")) / 2.0**64 * at(shares)), at(shares) - 1)
+    return docs.withColumn("part", (at(begins) + F.when(whole, nth).otherwise(at(shares) - 1)).cast("int")).drop("place")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """fingerprints of docs (doc_id, text) and of their edited texts, as the query op7 returns them.
 
-    The next document is that of the next smaller doc_id (equal ids: by text); the first follows the last. Ranges
+    The next document is that of the next smaller doc_id (equal ids: by hash and text); the first follows the last. Ranges
     of ids are dealt to tasks once, each with the first row of the next range; these borders are one row a task.
     """
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = ranges(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), n)
-    key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    rows = ranges(docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("hash")), n)
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "hash", "text")
     borders = stage(rows.groupBy("part").agg(F.max(key).alias("first")), "fingerprint-borders")
     parts = sorted(r["part"] for r in borders.select("part").collect())  # at most one a shuffle partition
     before = {p: parts[i - 1] for i, p in enumerate(parts)}
     if not parts:
         before = {0: 0}
     back = F.element_at(F.create_map(*[F.lit(x) for p in before.items() for x in p]), F.col("part"))
-    halo = borders.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text").alias("text"), back.alias("part"), F.lit(True).alias("halo"))
+    halo = borders.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text").alias("text"), F.col("first.hash").alias("hash"), back.alias("part"), F.lit(True).alias("halo"))
     dealt = rows.withColumn("halo", F.lit(False)).unionByName(halo).repartitionById(max([0, *parts]) + 1, F.col("part"))
-    ordered = dealt.sortWithinPartitions("halo", F.desc_nulls_last("doc_id"), F.desc("text"))
+    ordered = dealt.sortWithinPartitions("halo", F.desc_nulls_last("doc_id"), F.desc("hash"), F.desc("text"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches):

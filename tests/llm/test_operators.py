@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -219,6 +220,22 @@ def test_fingerprints(spark, odd):
     assert by_id[5].near_next > 0.6 and by_id[3].near_next == 0.0
 
 
+@pytest.mark.parametrize("ids", [[None] * 300, [7] * 300, [None] * 80 + [5] * 120 + [6] * 80 + list(range(20)), [4, 4, None]])
+def test_fingerprints_with_hot_ids_follow_the_order(spark, ids):
+    """Rows of one id, or of none, are many: each row still meets the next one, and no task takes them all."""
+    rows = [(i, f"text {n} " + "é" * (n % 5)) for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (xxhash.xxh64_intdigest(r[1].encode(), 42) + 2**63) % 2**64), reverse=True)
+    wanted = Counter()
+    for (i, t), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        half = len(t) // 2
+        wanted[i, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprint.with_next(docs).collect()) == wanted
+    if len(ids) == 300:
+        parts = fingerprint.ranges(docs.withColumn("hash", F.xxhash64("text")), 8).groupBy("part").count().collect()
+        assert max(r["count"] for r in parts) < 80
+
+
 def test_likeness_is_near_jaccard(spark):
     """Over all of sf0.01: fingerprints of each document and the next one against their exact shingle sets."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
