@@ -90,8 +90,51 @@ o(
     f"SELECT icao24, session_no, {T} FROM r JOIN y USING (icao24, session_no) WHERE nth = 1 AND (ground OR (climbing AND altitude_m < 3000))",
     SESSIONS + ", r AS (SELECT *, row_number() OVER (PARTITION BY icao24, session_no ORDER BY captured_at) AS nth FROM s), y AS (SELECT icao24, session_no, arg_max(altitude_m, captured_at) FILTER (altitude_m IS NOT NULL) > arg_min(altitude_m, captured_at) FILTER (altitude_m IS NOT NULL) AS climbing FROM r WHERE nth <= 5 GROUP BY ALL)",
 )
+def landing_sign(frame: str, order: str) -> str:
+    """The landing sign of a row from the rows up to it; the windows' names."""
+    same = " AND ".join(f"lag({c}, {k}) OVER {order} IS NOT DISTINCT FROM {c}" for k in (1, 2) for c in ("latitude", "longitude", "altitude_m"))
+    falls = f"count(altitude_m) OVER {frame} >= 2 AND last_value(altitude_m IGNORE NULLS) OVER {frame} < first_value(altitude_m IGNORE NULLS) OVER {frame}"
+    return f"CASE WHEN ground THEN 'ground' WHEN altitude_m < 500 AND (({falls}) OR (count(*) OVER {frame} >= 3 AND {same})) THEN 'low' END"
+
+
+BY = "PARTITION BY icao24, session_no ORDER BY captured_at"
+ENDS = ("first", "last", "d", "da", "fa", "before")
+o(
+    "s42_session_features",
+    "SELECT f.icao24, f.session_no, n, starts, callsign, coalesce(d_cs, callsign) AS d_callsign, coalesce(starts, FALSE) OR coalesce(heights >= 2 AND high > low AND start_m < 3000, FALSE) AS departs, "
+    + ", ".join(f"epoch_us({p}_at) AS {p}_at, CASE WHEN n_{p}.km <= 50 THEN n_{p}.code END AS {p}_airport" for p in ENDS)
+    + ", coalesce(tail = 'ground' OR (tail = 'low' AND n_last.km <= 8), FALSE) AS tail_lands, coalesce(before_sign = 'ground' OR (before_sign = 'low' AND n_before.km <= 8), FALSE) AS before_lands FROM f "
+    + " ".join(f"LEFT JOIN near n_{p} ON n_{p}.latitude = f.{p}_lat AND n_{p}.longitude = f.{p}_lon" for p in ENDS),
+    f"{SESSIONS}, {NEAR}, sg AS (SELECT *, {landing_sign('af', 'a')} AS sign, {landing_sign('tf', 't')} AS tail, row_number() OVER t AS nth, row_number() OVER ({BY} DESC) AS back FROM s WINDOW a AS (PARTITION BY icao24 ORDER BY captured_at), af AS (PARTITION BY icao24 ORDER BY captured_at ROWS BETWEEN 14 PRECEDING AND CURRENT ROW), t AS ({BY}), tf AS ({BY} ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)), "
+    "bf AS (SELECT *, lag(captured_at) OVER a AS b_at, lag(latitude) OVER a AS b_lat, lag(longitude) OVER a AS b_lon, lag(sign) OVER a AS b_sign FROM sg WINDOW a AS (PARTITION BY icao24 ORDER BY captured_at)), "
+    f"kn AS (SELECT icao24, captured_at, lag(ground) OVER t AS pg, lag(captured_at) OVER t AS pt, lag(latitude) OVER t AS plat, lag(longitude) OVER t AS plon FROM s WHERE ground IS NOT NULL WINDOW t AS ({BY})), "
+    "ed AS (SELECT bf.*, pt, plat, plon, coalesce(pg AND NOT ground, FALSE) AS up, coalesce(NOT pg AND ground, FALSE) AS down FROM bf LEFT JOIN kn USING (icao24, captured_at)), "
+    "df AS (SELECT *, min(CASE WHEN up THEN pt END) OVER (PARTITION BY icao24, session_no) AS d0 FROM ed), "
+    "f AS (SELECT icao24, session_no, count(*) AS n, bool_or(ground) FILTER (nth = 1) AS starts, arg_min(cs, captured_at) FILTER (cs IS NOT NULL) AS callsign, arg_min(cs, captured_at) FILTER (cs IS NOT NULL AND captured_at >= d0) AS d_cs, "
+    "count(altitude_m) FILTER (nth <= 5) AS heights, arg_min(altitude_m, captured_at) FILTER (nth <= 5 AND altitude_m IS NOT NULL) AS low, arg_max(altitude_m, captured_at) FILTER (nth <= 5 AND altitude_m IS NOT NULL) AS high, max(altitude_m) FILTER (nth = 1) AS start_m, max(tail) FILTER (back = 1) AS tail, max(b_sign) FILTER (nth = 1) AS before_sign, "
+    + ", ".join(
+        f"arg_min({at}, captured_at) FILTER ({rows}) AS {p}_at, arg_min({lat}, captured_at) FILTER ({rows}) AS {p}_lat, arg_min({lon}, captured_at) FILTER ({rows}) AS {p}_lon"
+        for p, at, lat, lon, rows in (("first", "captured_at", "latitude", "longitude", "nth = 1"), ("last", "captured_at", "latitude", "longitude", "back = 1"), ("d", "pt", "plat", "plon", "up"), ("da", "captured_at", "latitude", "longitude", "down AND captured_at > d0"), ("fa", "captured_at", "latitude", "longitude", "down"), ("before", "b_at", "b_lat", "b_lon", "nth = 1"))
+    )
+    + " FROM df GROUP BY ALL)",
+)
 o("s50_covered_sessions", "SELECT icao24, session_no, epoch_us(first_at) AS first_at FROM (SELECT icao24, session_no, min(captured_at) AS first_at FROM s GROUP BY ALL) JOIN (SELECT icao24, last_seen FROM flight_seed WHERE arrival_airport_icao IS NOT NULL) USING (icao24) WHERE first_at <= last_seen", SESSIONS)
 o("s52_close_stale", "SELECT f.icao24, epoch_us(first_seen) AS first_seen, epoch_us(coalesce(captured_at, first_seen)) AS last_seen, coalesce(CASE WHEN altitude_m < 500 AND km <= 8 THEN code END, 'UNKN') AS arrival_airport_icao, coalesce(p.callsign, f.callsign) AS callsign, TRUE AS needs_review FROM flight_seed f LEFT JOIN (SELECT * FROM positions QUALIFY row_number() OVER (PARTITION BY icao24 ORDER BY captured_at DESC) = 1) p ON f.icao24 = p.icao24 LEFT JOIN near USING (latitude, longitude) WHERE arrival_airport_icao IS NULL AND first_seen < TIMESTAMP '2024-01-30'", NEAR)
+o(
+    "s53_backfill_open_flights",
+    "SELECT icao24, epoch_us(opened) AS opened, action, callsign, dep AS departure_airport_icao, arr AS arrival_airport_icao, epoch_us(first_seen) AS first_seen, epoch_us(last_seen) AS last_seen, coalesce(dep = arr, FALSE) AS needs_review FROM "
+    "(SELECT x.*, coalesce(f_dep, CASE WHEN nd.km <= 50 THEN nd.code END) AS dep, CASE WHEN na.km <= 50 THEN na.code END AS arr FROM x LEFT JOIN near nd ON nd.latitude = dlat AND nd.longitude = dlon LEFT JOIN near na ON na.latitude = alat AND na.longitude = alon)",
+    f"{G}, {NEAR}, op AS (SELECT icao24, first_seen AS opened, callsign AS f_callsign, departure_airport_icao AS f_dep FROM flight_seed WHERE arrival_airport_icao IS NULL), "
+    "lt AS (SELECT icao24, opened, max(captured_at) AS latest FROM g JOIN op USING (icao24) WHERE captured_at >= opened GROUP BY ALL), "
+    "r0 AS (SELECT g.*, opened, f_callsign, f_dep, lag(ground) OVER (PARTITION BY icao24, opened ORDER BY captured_at) AS pg FROM g JOIN op USING (icao24) WHERE captured_at >= opened AND ground IS NOT NULL), "
+    "ld AS (SELECT icao24, opened, min(captured_at) AS landed_at FROM r0 WHERE ground AND NOT pg GROUP BY ALL), "
+    "r1 AS (SELECT r0.*, landed_at FROM r0 JOIN ld USING (icao24, opened) WHERE captured_at >= landed_at), "
+    "r2 AS (SELECT icao24, opened, captured_at, latitude, longitude, callsign, ground, lag(ground) OVER w AS pg, lag(captured_at) OVER w AS pt, lag(latitude) OVER w AS plat, lag(longitude) OVER w AS plon, lag(callsign) OVER w AS pcs FROM r1 WHERE captured_at > landed_at WINDOW w AS (PARTITION BY icao24, opened ORDER BY captured_at)), "
+    # a take-off belongs to the first landing after it
+    "ups AS (SELECT *, coalesce(callsign, pcs) AS up_cs FROM r2 WHERE pg AND NOT ground), downs AS (SELECT icao24, opened, captured_at AS down_at, latitude AS alat, longitude AS alon, callsign AS down_cs FROM r2 WHERE ground AND NOT pg), "
+    "x AS (SELECT icao24, opened, 'close' AS action, coalesce(callsign, f_callsign) AS callsign, f_dep, opened AS first_seen, captured_at AS last_seen, NULL::DOUBLE AS dlat, NULL::DOUBLE AS dlon, latitude AS alat, longitude AS alon FROM r1 WHERE captured_at = landed_at "
+    "UNION ALL SELECT icao24, opened, CASE WHEN down_at IS NULL THEN 'pending' ELSE 'new' END, coalesce(up_cs, down_cs), NULL, pt, coalesce(down_at, latest), plat, plon, alat, alon FROM (SELECT ups.*, down_at, alat, alon, down_cs FROM ups ASOF LEFT JOIN downs ON ups.icao24 = downs.icao24 AND ups.opened = downs.opened AND ups.captured_at < down_at) JOIN lt USING (icao24, opened))",
+)
 o("s54_compare_flights", "SELECT * FROM (SELECT icao24, coalesce(o, 0) AS old_flights, coalesce(orv, 0) AS old_review, coalesce(os, 0) AS old_same, coalesce(n, 0) AS new_flights, coalesce(nrv, 0) AS new_review, coalesce(ns, 0) AS new_same FROM (SELECT icao24, count(*) AS o, count(*) FILTER (needs_review) AS orv, count(*) FILTER (d = r AND d <> 'UNKN') AS os FROM a GROUP BY 1) FULL JOIN (SELECT icao24, count(*) AS n, count(*) FILTER (needs_review) AS nrv, count(*) FILTER (d = r AND d <> 'UNKN') AS ns FROM b GROUP BY 1) USING (icao24))", SIDES)
 MERGED = f"SELECT * FROM (SELECT icao24, first_seen, coalesce(u.last_seen, f.last_seen) AS last_seen, CASE WHEN u.icao24 IS NULL THEN f.callsign ELSE u.callsign END AS callsign, CASE WHEN f.icao24 IS NULL THEN u.departure_airport_icao ELSE f.departure_airport_icao END AS departure_airport_icao, CASE WHEN u.icao24 IS NULL THEN f.arrival_airport_icao ELSE u.arrival_airport_icao END AS arrival_airport_icao, coalesce(u.needs_review, f.needs_review) AS needs_review FROM flights f FULL JOIN u USING (icao24, first_seen))"  # noqa: S608
 o("s60_upsert_flights", f"SELECT {FK} FROM ({MERGED})", UPDATES)
