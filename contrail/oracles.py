@@ -33,11 +33,11 @@ POS = "SELECT {} FROM positions"
 T = "epoch_us(captured_at) AS captured_at"
 
 
-def oracle(name: str, body: str, chain: str = "") -> None:
+def oracle(name: str, body: str, chain: str = "", recursive: bool = False) -> None:
     """body over the chain's views and the test tables it needs."""
     text = f"{chain} {body}"
     used = [v for v in VIEWS if f" {v}" in text.replace("(", " ").replace(",", " ")]
-    ORACLES[name] = "WITH " + ", ".join([*(f"{v} AS ({VIEWS[v]})" for v in used), *([chain] if chain else [])]) + f" {body}"
+    ORACLES[name] = ("WITH RECURSIVE " if recursive else "WITH ") + ", ".join([*(f"{v} AS ({VIEWS[v]})" for v in used), *([chain] if chain else [])]) + f" {body}"
 
 
 o = oracle
@@ -98,26 +98,92 @@ def landing_sign(frame: str, order: str) -> str:
 
 
 BY = "PARTITION BY icao24, session_no ORDER BY captured_at"
+OF_AIRCRAFT = "PARTITION BY icao24 ORDER BY captured_at"
 ENDS = ("first", "last", "d", "da", "fa", "before")
-o(
-    "s42_session_features",
-    "SELECT f.icao24, f.session_no, n, starts, callsign, coalesce(d_cs, callsign) AS d_callsign, coalesce(starts, FALSE) OR coalesce(heights >= 2 AND high > low AND start_m < 3000, FALSE) AS departs, "
-    + ", ".join(f"epoch_us({p}_at) AS {p}_at, CASE WHEN n_{p}.km <= 50 THEN n_{p}.code END AS {p}_airport" for p in ENDS)
-    + ", coalesce(tail = 'ground' OR (tail = 'low' AND n_last.km <= 8), FALSE) AS tail_lands, coalesce(before_sign = 'ground' OR (before_sign = 'low' AND n_before.km <= 8), FALSE) AS before_lands FROM f "
-    + " ".join(f"LEFT JOIN near n_{p} ON n_{p}.latitude = f.{p}_lat AND n_{p}.longitude = f.{p}_lon" for p in ENDS),
-    f"{SESSIONS}, {NEAR}, sg AS (SELECT *, {landing_sign('af', 'a')} AS sign, {landing_sign('tf', 't')} AS tail, row_number() OVER t AS nth, row_number() OVER ({BY} DESC) AS back FROM s WINDOW a AS (PARTITION BY icao24 ORDER BY captured_at), af AS (PARTITION BY icao24 ORDER BY captured_at ROWS BETWEEN 14 PRECEDING AND CURRENT ROW), t AS ({BY}), tf AS ({BY} ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)), "
-    "bf AS (SELECT *, lag(captured_at) OVER a AS b_at, lag(latitude) OVER a AS b_lat, lag(longitude) OVER a AS b_lon, lag(sign) OVER a AS b_sign FROM sg WINDOW a AS (PARTITION BY icao24 ORDER BY captured_at)), "
-    f"kn AS (SELECT icao24, captured_at, lag(ground) OVER t AS pg, lag(captured_at) OVER t AS pt, lag(latitude) OVER t AS plat, lag(longitude) OVER t AS plon FROM s WHERE ground IS NOT NULL WINDOW t AS ({BY})), "
-    "ed AS (SELECT bf.*, pt, plat, plon, coalesce(pg AND NOT ground, FALSE) AS up, coalesce(NOT pg AND ground, FALSE) AS down FROM bf LEFT JOIN kn USING (icao24, captured_at)), "
-    "df AS (SELECT *, min(CASE WHEN up THEN pt END) OVER (PARTITION BY icao24, session_no) AS d0 FROM ed), "
-    "f AS (SELECT icao24, session_no, count(*) AS n, bool_or(ground) FILTER (nth = 1) AS starts, arg_min(cs, captured_at) FILTER (cs IS NOT NULL) AS callsign, arg_min(cs, captured_at) FILTER (cs IS NOT NULL AND captured_at >= d0) AS d_cs, "
-    "count(altitude_m) FILTER (nth <= 5) AS heights, arg_min(altitude_m, captured_at) FILTER (nth <= 5 AND altitude_m IS NOT NULL) AS low, arg_max(altitude_m, captured_at) FILTER (nth <= 5 AND altitude_m IS NOT NULL) AS high, max(altitude_m) FILTER (nth = 1) AS start_m, max(tail) FILTER (back = 1) AS tail, max(b_sign) FILTER (nth = 1) AS before_sign, "
-    + ", ".join(
+
+
+def features(lookback: int, since: str = "TRUE") -> str:
+    """Views up to sf, a row a session with all that the walk asks for."""
+    ends = ", ".join(
         f"arg_min({at}, captured_at) FILTER ({rows}) AS {p}_at, arg_min({lat}, captured_at) FILTER ({rows}) AS {p}_lat, arg_min({lon}, captured_at) FILTER ({rows}) AS {p}_lon"
         for p, at, lat, lon, rows in (("first", "captured_at", "latitude", "longitude", "nth = 1"), ("last", "captured_at", "latitude", "longitude", "back = 1"), ("d", "pt", "plat", "plon", "up"), ("da", "captured_at", "latitude", "longitude", "down AND captured_at > d0"), ("fa", "captured_at", "latitude", "longitude", "down"), ("before", "b_at", "b_lat", "b_lon", "nth = 1"))
     )
-    + " FROM df GROUP BY ALL)",
-)
+    airports = ", ".join(f"{p}_at, CASE WHEN n_{p}.km <= 50 THEN n_{p}.code END AS {p}_airport" for p in ENDS)
+    joins = " ".join(f"LEFT JOIN near n_{p} ON n_{p}.latitude = f.{p}_lat AND n_{p}.longitude = f.{p}_lon" for p in ENDS)
+    return f"""{G}, {NEAR},
+sg AS (SELECT *, {landing_sign('af', 'a')} AS sign FROM g WINDOW a AS ({OF_AIRCRAFT}), af AS ({OF_AIRCRAFT} ROWS BETWEEN {lookback - 1} PRECEDING AND CURRENT ROW)),
+bf AS (SELECT *, lag(captured_at) OVER a AS b_at, lag(latitude) OVER a AS b_lat, lag(longitude) OVER a AS b_lon, lag(sign) OVER a AS b_sign FROM sg WINDOW a AS ({OF_AIRCRAFT})),
+br AS (SELECT *, coalesce(captured_at - lag(captured_at) OVER ({OF_AIRCRAFT}) > INTERVAL 24 HOUR, FALSE)::INT AS brk FROM bf WHERE {since}),
+se AS (SELECT *, (sum(brk) OVER ({OF_AIRCRAFT}))::INT AS session_no FROM br),
+tl AS (SELECT *, {landing_sign('tf', 't')} AS tail, row_number() OVER t AS nth, row_number() OVER ({BY} DESC) AS back FROM se WINDOW t AS ({BY}), tf AS ({BY} ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)),
+kn AS (SELECT icao24, captured_at, lag(ground) OVER t AS pg, lag(captured_at) OVER t AS pt, lag(latitude) OVER t AS plat, lag(longitude) OVER t AS plon FROM se WHERE ground IS NOT NULL WINDOW t AS ({BY})),
+eg AS (SELECT tl.*, pt, plat, plon, coalesce(pg AND NOT ground, FALSE) AS up, coalesce(NOT pg AND ground, FALSE) AS down FROM tl LEFT JOIN kn USING (icao24, captured_at)),
+dp AS (SELECT *, min(CASE WHEN up THEN pt END) OVER (PARTITION BY icao24, session_no) AS d0 FROM eg),
+f AS (SELECT icao24, session_no, count(*) AS n, bool_or(ground) FILTER (nth = 1) AS starts, arg_min(cs, captured_at) FILTER (cs IS NOT NULL) AS callsign, arg_min(cs, captured_at) FILTER (cs IS NOT NULL AND captured_at >= d0) AS d_cs,
+ count(altitude_m) FILTER (nth <= 5) AS heights, arg_min(altitude_m, captured_at) FILTER (nth <= 5 AND altitude_m IS NOT NULL) AS low, arg_max(altitude_m, captured_at) FILTER (nth <= 5 AND altitude_m IS NOT NULL) AS high,
+ max(altitude_m) FILTER (nth = 1) AS start_m, max(tail) FILTER (back = 1) AS tail, max(b_sign) FILTER (nth = 1) AS before_sign, {ends} FROM dp GROUP BY ALL),
+sf AS MATERIALIZED (SELECT f.icao24, f.session_no, n, starts, callsign, coalesce(d_cs, callsign) AS d_callsign, coalesce(starts, FALSE) OR coalesce(heights >= 2 AND high > low AND start_m < 3000, FALSE) AS departs, {airports},
+ coalesce(tail = 'ground' OR (tail = 'low' AND n_last.km <= 8), FALSE) AS tail_lands, coalesce(before_sign = 'ground' OR (before_sign = 'low' AND n_before.km <= 8), FALSE) AS before_lands FROM f {joins})"""
+
+
+o("s42_session_features", "SELECT * REPLACE (" + ", ".join(f"epoch_us({p}_at) AS {p}_at" for p in ENDS) + ") FROM sf", features(15))
+
+
+def walk(stored: str, replay: bool) -> str:
+    """Views up to fw, the flights written by a walk over sf: a step a session carries the flight in the air and what each step writes.
+
+    A write 'o' opens the flight of that first_seen anew, a write 'u' changes it if it has no arrival yet.
+    """
+    write = "{{'kind': '{}', 'key': {}, 'until': {}, 'cs': {}, 'dep': {}, 'arr': {}, 'review': {}, 'step': {}}}".format
+    same = "coalesce({} = {}, FALSE)".format
+    # modes: s covered, D take-off, 2 missed departure, z unknown start, t turn-round, n unknown in the air, 5 goes on, 6 another callsign
+    return f"""
+st AS (SELECT icao24, first_seen, last_seen, callsign, departure_airport_icao, arrival_airport_icao, needs_review FROM {stored}),
+wk AS (
+ SELECT a.icao24, -1 AS step, p.first_seen AS fly, nullif(trim(p.callsign), '') AS own, p.departure_airport_icao AS dep, c.last_seen AS done_at, c.arrival_airport_icao AS done_arr, FALSE AS p_lands, NULL::TIMESTAMP AS p_at, NULL::VARCHAR AS p_arr,
+  CASE WHEN p.icao24 IS NULL THEN [] ELSE [{write('o', 'p.first_seen', 'p.last_seen', 'p.callsign', 'p.departure_airport_icao', 'NULL::VARCHAR', 'p.needs_review', "''")}] END AS writes
+ FROM (SELECT DISTINCT icao24 FROM sf) a LEFT JOIN (SELECT * FROM st WHERE arrival_airport_icao IS NULL) p USING (icao24) LEFT JOIN (SELECT * FROM st WHERE arrival_airport_icao IS NOT NULL) c ON c.icao24 = a.icao24
+ UNION ALL
+ SELECT icao24, step,
+  CASE WHEN mode IN ('D', 't', '2', '6') THEN CASE WHEN l_at IS NULL THEN o_at END WHEN mode = '5' AND l_at IS NOT NULL THEN NULL ELSE fly END,
+  CASE WHEN mode IN ('D', 't', '2', '6') THEN o_cs ELSE own END, CASE WHEN mode IN ('D', 't', '2', '6') THEN o_dep ELSE dep END,
+  CASE WHEN NOT {replay} THEN done_at WHEN l_at IS NOT NULL THEN l_at WHEN mode = 't' THEN t_at WHEN mode = '6' THEN first_at ELSE done_at END,
+  CASE WHEN NOT {replay} THEN done_arr WHEN l_at IS NOT NULL THEN l_arr WHEN mode = 't' THEN t_arr WHEN mode = '6' THEN 'UNKN' ELSE done_arr END,
+  CASE WHEN mode = 's' THEN p_lands ELSE tail_lands END, CASE WHEN mode = 's' THEN p_at ELSE last_at END, CASE WHEN mode = 's' THEN p_arr ELSE last_airport END,
+  list_filter([
+   CASE WHEN ended IS NOT NULL THEN {write('u', 'ended', 'p_at', 'own', 'NULL', 'p_arr', same('p_arr', 'dep'), "'e'")} END,
+   CASE WHEN mode = 't' THEN {write('u', 'fly', 't_at', 'coalesce(callsign, own)', 'NULL', 't_arr', same('t_arr', 'dep'), "CASE WHEN before_lands THEN '4' ELSE '3' END")} END,
+   CASE WHEN mode = '6' THEN {write('u', 'fly', 'first_at', 'own', 'NULL', "'UNKN'", 'TRUE', "'6'")} END,
+   CASE WHEN mode IN ('5', 'n') THEN {write('u', 'fly', 'last_at', 'coalesce(callsign, own)', 'NULL', 'NULL', 'FALSE', 'mode')} END,
+   CASE WHEN o_at IS NOT NULL THEN {write('o', 'o_at', 'last_at', 'o_cs', 'o_dep', 'NULL', 'o_review', "CASE WHEN mode = 't' THEN 'D' ELSE mode END")} END,
+   CASE WHEN l_at IS NOT NULL THEN {write('u', 'coalesce(o_at, fly)', 'l_at', "CASE WHEN mode = '5' THEN coalesce(callsign, own) ELSE o_cs END", 'NULL', 'l_arr', "o_review OR " + same('l_arr', "CASE WHEN mode = '5' THEN dep ELSE o_dep END"), "'a'")} END
+  ], lambda w: w IS NOT NULL)
+ FROM (
+  SELECT *, CASE WHEN mode IN ('D', 't') THEN d_at WHEN mode IN ('2', '6') THEN first_at END AS o_at, CASE WHEN mode = 't' THEN d_callsign ELSE callsign END AS o_cs,
+   CASE WHEN mode IN ('D', 't') THEN d_airport WHEN mode = '2' THEN m_dep END AS o_dep, mode = '6' OR (mode = '2' AND NOT m_own AND coalesce(m_dep, 'UNKN') = 'UNKN') AS o_review,
+   CASE WHEN mode IN ('D', 't') THEN da_at WHEN mode IN ('2', '5', '6') THEN fa_at END AS l_at, CASE WHEN mode IN ('D', 't') THEN da_airport ELSE fa_airport END AS l_arr,
+   CASE WHEN before_lands THEN before_at ELSE first_at END AS t_at, CASE WHEN before_lands THEN before_airport ELSE first_airport END AS t_arr
+  FROM (
+   SELECT *, CASE WHEN fly IS NULL AND NOT {replay} AND done_at >= first_at THEN 's' WHEN fly IS NULL AND starts THEN 'D' WHEN fly IS NULL AND NOT starts THEN '2' WHEN fly IS NULL THEN 'z' WHEN starts THEN 't' WHEN starts IS NULL THEN 'n' WHEN coalesce(own = callsign, TRUE) THEN '5' ELSE '6' END AS mode,
+    departs AND first_airport IS NOT NULL AS m_own, CASE WHEN departs AND first_airport IS NOT NULL THEN first_airport WHEN first_at - done_at <= INTERVAL 48 HOUR THEN nullif(trim(done_arr), '') END AS m_dep
+   FROM (
+    SELECT sf.*, wk.step + 1 AS step, CASE WHEN p_lands THEN fly END AS ended, CASE WHEN NOT p_lands THEN fly END AS fly, own, dep, p_lands, p_at, p_arr,
+     CASE WHEN {replay} AND p_lands AND fly IS NOT NULL THEN p_at ELSE done_at END AS done_at, CASE WHEN {replay} AND p_lands AND fly IS NOT NULL THEN p_arr ELSE done_arr END AS done_arr
+    FROM wk JOIN sf ON sf.icao24 = wk.icao24 AND sf.session_no = wk.step + 1)))),
+ew AS (SELECT icao24, step, unnest(writes) AS w, generate_subscripts(writes, 1) AS nth FROM wk
+ UNION ALL SELECT wk.icao24, step + 1, {write('u', 'fly', 'last_at', 'coalesce(callsign, own)', 'NULL::VARCHAR', 'CASE WHEN tail_lands THEN last_airport END', 'tail_lands AND ' + same('last_airport', 'dep'), "CASE WHEN tail_lands THEN 'E' ELSE 'x' END")}, 1
+  FROM wk JOIN sf ON sf.icao24 = wk.icao24 AND sf.session_no = wk.step WHERE fly IS NOT NULL AND (wk.icao24, step) IN (SELECT (icao24, max(step)) FROM wk GROUP BY icao24)),
+nw AS (SELECT icao24, w.*, row_number() OVER (PARTITION BY icao24, w.key ORDER BY step, nth) AS pos FROM (SELECT icao24, step, nth, w FROM ew)),
+ow AS (SELECT *, max(CASE WHEN kind = 'o' THEN pos END) OVER (PARTITION BY icao24, key) AS opened, first_value(dep) OVER (PARTITION BY icao24, key ORDER BY pos) AS first_dep FROM nw),
+aw AS (SELECT *, coalesce(sum((arr IS NOT NULL)::INT) OVER (PARTITION BY icao24, key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed FROM ow WHERE pos >= opened),
+fw AS (SELECT icao24, key AS first_seen, max(until) FILTER (latest) AS last_seen, arg_max(cs, pos) FILTER (cs IS NOT NULL) AS callsign, any_value(first_dep) AS departure_airport_icao, max(arr) AS arrival_airport_icao,
+ coalesce(bool_or(review) FILTER (arr IS NOT NULL), bool_or(review) FILTER (kind = 'o')) AS needs_review, string_agg(step, '' ORDER BY pos) AS path
+ FROM (SELECT *, pos = max(pos) OVER (PARTITION BY icao24, key) AS latest FROM aw WHERE closed = 0) GROUP BY ALL)"""
+
+
+FOUND = "SELECT icao24, callsign, departure_airport_icao, arrival_airport_icao, epoch_us(first_seen) AS first_seen, epoch_us(last_seen) AS last_seen, needs_review, path FROM fw"
+o("s43_detect_flights", FOUND, features(15) + "," + walk("flight_seed", replay=False), recursive=True)
+o("s54_replay_detector", FOUND, features(5) + "," + walk("flight_seed WHERE FALSE", replay=True), recursive=True)
 o("s50_covered_sessions", "SELECT icao24, session_no, epoch_us(first_at) AS first_at FROM (SELECT icao24, session_no, min(captured_at) AS first_at FROM s GROUP BY ALL) JOIN (SELECT icao24, last_seen FROM flight_seed WHERE arrival_airport_icao IS NOT NULL) USING (icao24) WHERE first_at <= last_seen", SESSIONS)
 o("s52_close_stale", "SELECT f.icao24, epoch_us(first_seen) AS first_seen, epoch_us(coalesce(captured_at, first_seen)) AS last_seen, coalesce(CASE WHEN altitude_m < 500 AND km <= 8 THEN code END, 'UNKN') AS arrival_airport_icao, coalesce(p.callsign, f.callsign) AS callsign, TRUE AS needs_review FROM flight_seed f LEFT JOIN (SELECT * FROM positions QUALIFY row_number() OVER (PARTITION BY icao24 ORDER BY captured_at DESC) = 1) p ON f.icao24 = p.icao24 LEFT JOIN near USING (latitude, longitude) WHERE arrival_airport_icao IS NULL AND first_seen < TIMESTAMP '2024-01-30'", NEAR)
 o(
