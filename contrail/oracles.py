@@ -184,6 +184,15 @@ fw AS (SELECT icao24, key AS first_seen, max(until) FILTER (latest) AS last_seen
 FOUND = "SELECT icao24, callsign, departure_airport_icao, arrival_airport_icao, epoch_us(first_seen) AS first_seen, epoch_us(last_seen) AS last_seen, needs_review, path FROM fw"
 o("s43_detect_flights", FOUND, features(15) + "," + walk("flight_seed", replay=False), recursive=True)
 o("s54_replay_detector", FOUND, features(5) + "," + walk("flight_seed WHERE FALSE", replay=True), recursive=True)
+o(
+    "s51_incremental_detect",
+    "SELECT mg.icao24, epoch_us(mg.first_seen) AS first_seen, CASE WHEN stale THEN coalesce(epoch_us(captured_at), epoch_us(mg.first_seen)) ELSE epoch_us(mg.last_seen) END AS last_seen, CASE WHEN stale THEN coalesce(lp.callsign, mg.callsign) ELSE mg.callsign END AS callsign, "
+    "mg.departure_airport_icao, CASE WHEN stale THEN coalesce(CASE WHEN altitude_m < 500 AND km <= 8 THEN code END, 'UNKN') ELSE mg.arrival_airport_icao END AS arrival_airport_icao, stale OR mg.needs_review AS needs_review FROM mg LEFT JOIN lp ON lp.icao24 = mg.icao24 LEFT JOIN near USING (latitude, longitude)",
+    features(15, "captured_at >= TIMESTAMP '2024-01-10'") + "," + walk("flight_seed", replay=False) + ", lp AS (SELECT icao24, callsign, captured_at, latitude, longitude, altitude_m FROM positions QUALIFY row_number() OVER (PARTITION BY icao24 ORDER BY captured_at DESC) = 1), "
+    "mg AS (SELECT *, arrival_airport_icao IS NULL AND first_seen < TIMESTAMP '2024-01-30' AS stale FROM (SELECT icao24, first_seen, coalesce(u.last_seen, s.last_seen) AS last_seen, CASE WHEN u.path IS NULL THEN s.callsign ELSE u.callsign END AS callsign, CASE WHEN s.needs_review IS NULL THEN u.departure_airport_icao ELSE s.departure_airport_icao END AS departure_airport_icao, "
+    "CASE WHEN u.path IS NULL THEN s.arrival_airport_icao ELSE u.arrival_airport_icao END AS arrival_airport_icao, coalesce(u.needs_review, s.needs_review) AS needs_review FROM flight_seed s FULL JOIN fw u USING (icao24, first_seen)))",
+    recursive=True,
+)
 o("s50_covered_sessions", "SELECT icao24, session_no, epoch_us(first_at) AS first_at FROM (SELECT icao24, session_no, min(captured_at) AS first_at FROM s GROUP BY ALL) JOIN (SELECT icao24, last_seen FROM flight_seed WHERE arrival_airport_icao IS NOT NULL) USING (icao24) WHERE first_at <= last_seen", SESSIONS)
 o("s52_close_stale", "SELECT f.icao24, epoch_us(first_seen) AS first_seen, epoch_us(coalesce(captured_at, first_seen)) AS last_seen, coalesce(CASE WHEN altitude_m < 500 AND km <= 8 THEN code END, 'UNKN') AS arrival_airport_icao, coalesce(p.callsign, f.callsign) AS callsign, TRUE AS needs_review FROM flight_seed f LEFT JOIN (SELECT * FROM positions QUALIFY row_number() OVER (PARTITION BY icao24 ORDER BY captured_at DESC) = 1) p ON f.icao24 = p.icao24 LEFT JOIN near USING (latitude, longitude) WHERE arrival_airport_icao IS NULL AND first_seen < TIMESTAMP '2024-01-30'", NEAR)
 o(
