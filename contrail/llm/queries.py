@@ -64,6 +64,7 @@ QUERIES = {f.__name__: f for f in (op1_token_store, op2_byte_bpe, op3_exact_top_
 ORACLES = {
     "op3_exact_top_k": vafile.SQL,
     "op4_chat_format": chat.SQL,
+    "op5_near_dedup": near_dedup.SQL,
     "op10_warc": warc.SQL,
     "op9_mix_sources": f"SELECT doc_id, size, source_size, target, size * copies AS taken FROM ({mixing.SQL.format(docs='documents')})",
 }
