@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, fingerprint, hmm_lm, mixing, near_dedup, quality, token_store, vafile, warc
+from . import byte_bpe, chat, collocations, fingerprint, hmm_lm, mixing, near_dedup, quality, ranked_search, token_counts, token_store, vafile, warc
 from .common import crc32_mod, new_path, stage, table
 
 
@@ -59,12 +59,26 @@ def op10_warc(spark, sf_dir):
     return rows.select("metadata.page_id", "response.payload_bytes", "response.payload_digest", "response.record_type", "response.refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_byte_bpe, op3_exact_top_k, op4_chat_format, op5_near_dedup, op6_quality, op7_fingerprints, op8_hmm_lm, op9_mix_sources, op10_warc)}
+def op11_token_counts(spark, sf_dir):
+    return token_counts.count(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_ranked_search(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_byte_bpe, op3_exact_top_k, op4_chat_format, op5_near_dedup, op6_quality, op7_fingerprints, op8_hmm_lm, op9_mix_sources, op10_warc, op11_token_counts, op12_ranked_search, op13_collocations)}
 
 ORACLES = {
     "op3_exact_top_k": vafile.SQL,
     "op4_chat_format": chat.SQL,
     "op5_near_dedup": near_dedup.SQL,
     "op10_warc": warc.SQL,
+    "op12_ranked_search": ranked_search.SQL,
+    "op13_collocations": collocations.SQL,
     "op9_mix_sources": f"SELECT doc_id, size, source_size, target, size * copies AS taken FROM ({mixing.SQL.format(docs='documents')})",
 }

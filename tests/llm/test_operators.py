@@ -39,7 +39,7 @@ def empty(odd):
 
 def _compare(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found, wanted = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLES[name])
     columns = sorted(found.columns)
