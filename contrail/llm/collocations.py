@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 LEAST, LONGEST, CONTAINED = 30, 4, 80  # least count; words of the longest phrase; per cent of a phrase's count that a longer one has to have
-SHARD, PACK, MOST_BITS = 1 << 20, 1 << 18, 24  # phrases of a trie, words of a pack, binary logarithm of the buckets
+SHARD, PACK, MOST_BITS = 1 << 19, 1 << 18, 24  # phrases of a trie, words of a pack, binary logarithm of the buckets
 PART = 1 << 16  # buckets that are summed together
 
 #: Bytes of a piece's words, A-Z lower-cased; marks and line ends become a word of their own.
@@ -117,8 +117,8 @@ def bucket_counts(found: DataFrame, sieves: list, bits: int, least: int) -> np.n
         for p in _positions(batches):
             for sieve in sieves:
                 p.deeper(_bit(sieve.value, p.buckets(bits)))
-            total += np.bincount(p.buckets(bits), minlength=1 << bits).astype(np.int32)
-            np.minimum(total, least, out=total)  # more is as good as enough
+            np.add.at(total, p.buckets(bits), 1)
+        np.minimum(total, least, out=total)  # more is as good as enough
         for part in range(0, 1 << bits, PART):
             own = total[part : part + PART]
             if own.any():
@@ -265,24 +265,26 @@ class Trie:
         return total[1:]
 
 
-def built(rows: list, longest: int) -> tuple[Trie, dict, np.ndarray]:
+def built(rows: pa.Table, longest: int) -> tuple[Trie, dict, np.ndarray]:
     """The trie of phrases (no, lang, phrase); each language's words and their numbers; each phrase's no. Words of many phrases get small numbers."""
-    split = [[(r["lang"], w) for w in r["phrase"].split(" ")] for r in rows]
-    often: dict = {}
-    for own in split:
-        for w in own:
-            often[w] = often.get(w, 0) + 1
-    number = {w: i for i, w in enumerate(sorted(often, key=lambda w: -often[w]))}
+    langs, split = rows["lang"].combine_chunks().dictionary_encode(), pc.split_pattern(rows["phrase"].combine_chunks(), " ")
+    lens, flat = split.value_lengths().to_numpy(), split.flatten()
+    lang = np.repeat(langs.indices.to_numpy(), lens)
+    number, names, made = np.zeros(len(flat), np.int64), [], 0
+    for i in range(len(langs.dictionary)):
+        own = np.flatnonzero(lang == i)
+        coded = flat.take(pa.array(own)).dictionary_encode()
+        number[own] = made + coded.indices.to_numpy()
+        names.append(coded.dictionary)
+        made += len(coded.dictionary)
+    place = np.empty(made, np.int64)
+    place[np.argsort(-np.bincount(number, minlength=made), kind="stable")] = np.arange(made)
     matrix = np.full((len(rows), longest), -1, np.int64)
-    for i, own in enumerate(split):
-        matrix[i, : len(own)] = [number[w] for w in own]
-    words: dict = {}
-    for (lang, w), i in number.items():
-        words.setdefault(lang, ([], []))
-        words[lang][0].append(w)
-        words[lang][1].append(i)
-    named = {lang: (pa.array(names, pa.string()), np.array(numbers, np.int32)) for lang, (names, numbers) in words.items()}
-    return Trie(matrix, max(1, len(number))), named, np.array([r["no"] for r in rows], np.int64)
+    row = np.repeat(np.arange(len(rows)), lens)
+    matrix[row, np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = place[number]
+    ends = np.cumsum([len(n) for n in names])
+    named = {la: (own, place[end - len(own) : end].astype(np.int32)) for la, own, end in zip(langs.dictionary.to_pylist(), names, ends, strict=True)}
+    return Trie(matrix, max(1, made)), named, rows["no"].to_numpy()
 
 
 def counted(found: DataFrame, phrases: DataFrame, longest: int, least: int, shard: int) -> DataFrame:
@@ -291,8 +293,8 @@ def counted(found: DataFrame, phrases: DataFrame, longest: int, least: int, shar
     shards = max(1, math.ceil(phrases.count() / shard))
     parts = []
     for s in range(shards):
-        rows = phrases.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)) == s).select("no", "lang", "phrase").collect()  # about `shard` of them
-        if not rows:
+        rows = phrases.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)) == s).select("no", "lang", "phrase").toArrow()  # about `shard` of them
+        if not len(rows):
             continue
         held = sc.broadcast(built(rows, longest))
 
