@@ -33,7 +33,8 @@ from .common import stage
 
 LEAST, LONGEST, CONTAINED = 30, 4, 80  # least count; words of the longest phrase; per cent of a phrase's count that a longer one has to have
 SHARD, PACK, MOST_BITS = 1 << 19, 1 << 18, 24  # phrases of a trie, words of a pack, binary logarithm of the buckets
-PART = 1 << 16  # buckets that are summed together
+PART = 1 << 16  # buckets or phrases that are summed together
+SEEN, KNOWN = 20, 1 << 21  # binary logarithm of the phrases, and phrases, that a task remembers as given out
 
 #: Bytes of a piece's words, A-Z lower-cased; marks and line ends become a word of their own.
 _BREAK = b"\n"
@@ -157,25 +158,40 @@ def candidates(found: DataFrame, longest: int, least: int, most_bits: int) -> Da
     for _ in range(longest):
         sieves.append(sc.broadcast(bucket_counts(found, sieves, bits, least)))
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((longest, 1 << 20), np.uint64)  # phrases that the task has given out lately, by their hash's first bits
-        for p in _positions(batches):
-            names = pa.array(p.words, pa.string())
-            for k in range(1, longest + 1):
-                possible = _bit(sieves[k - 1].value, p.buckets(bits))
-                at, hashes = p.at[possible], p.hash[possible]
-                slots = (hashes >> np.uint64(44)).astype(np.int64)
-                new = np.flatnonzero(seen[k - 1][slots] != hashes)
-                new = new[np.unique(hashes[new], return_index=True)[1]]
-                seen[k - 1][slots[new]] = hashes[new]
-                if len(new):
-                    at = at[new]
-                    columns = [names.take(pa.array(p.ids[at + j])) for j in range(k)]
-                    yield pa.RecordBatch.from_arrays([pa.array([p.lang] * len(at), pa.string()), pa.array([k] * len(at), pa.int32()), pc.binary_join_element_wise(*columns, " ")], ["lang", "k", "phrase"])
-                if k < longest:
-                    p.deeper(possible)
-
-    rows = found.mapInArrow(run, "lang string, k int, phrase string").distinct()
+    def given(known: np.ndarray | None):
+        held = sc.broadcast(known)
+
+        def run(batches) -> Iterator[pa.RecordBatch]:
+            skipped = held.value
+            seen = np.zeros(1 << SEEN, np.uint64)  # phrases that are out already, by their hash's first bits
+            if skipped is not None:
+                seen[(skipped >> np.uint64(64 - SEEN)).astype(np.int64)] = skipped
+            for p in _positions(batches):
+                names = pa.array(p.words, pa.string())
+                for k in range(1, longest + 1):
+                    possible = _bit(sieves[k - 1].value, p.buckets(bits))
+                    at, hashes = p.at[possible], p.hash[possible]
+                    slots = (hashes >> np.uint64(64 - SEEN)).astype(np.int64)
+                    new = np.flatnonzero(seen[slots] != hashes)
+                    new = new[np.unique(hashes[new], return_index=True)[1]]
+                    if skipped is not None and len(skipped):
+                        new = new[skipped[np.minimum(np.searchsorted(skipped, hashes[new]), len(skipped) - 1)] != hashes[new]]
+                    seen[slots[new]] = hashes[new]
+                    if len(new):
+                        at = at[new]
+                        columns = [names.take(pa.array(p.ids[at + j])) for j in range(k)]
+                        lists = [pa.array([p.lang] * len(at), pa.string()), pa.array([k] * len(at), pa.int32()), pc.binary_join_element_wise(*columns, " "), pa.array(hashes[new].view(np.int64))]
+                        yield pa.RecordBatch.from_arrays(lists, ["lang", "k", "phrase", "hash"])
+                    if k < longest:
+                        p.deeper(possible)
+
+        return run
+
+    # the phrases of some packs first, so that the tasks don't all give out the same frequent ones
+    kind, first = "lang string, k int, phrase string, hash long", F.pmod(F.xxhash64("ids"), F.lit(8)) == 0
+    some = stage(found.where(first).mapInArrow(given(None), kind).distinct(), "phrase-some")
+    known = np.sort(some.select("hash").limit(KNOWN).toArrow()["hash"].to_numpy().view(np.uint64))
+    rows = some.unionByName(found.where(~first).mapInArrow(given(known), kind)).select("lang", "k", "phrase").distinct()
     return stage(rows.withColumn("no", F.monotonically_increasing_id()), "phrase-candidates")
 
 
@@ -185,6 +201,7 @@ class Trie:
     def __init__(self, phrases: np.ndarray, words: int):
         """phrases: a row each of word numbers, filled up with -1."""
         n, longest = phrases.shape
+        self.phrases = n
         node, depth_of = np.zeros(n, np.int64), (phrases >= 0).sum(1)
         parents, symbols, ends, made = [], [], np.zeros(n, np.int64), 1
         for depth in range(longest):
@@ -250,7 +267,7 @@ class Trie:
 
     def counts(self, symbols: np.ndarray, longest: int) -> np.ndarray:
         """How often each phrase occurs in a row of word numbers, in which -1 stands for words of no phrase and for borders."""
-        n = int(self.accepts.max(initial=-1)) + 1
+        n = self.phrases
         total = np.zeros(n + 1, np.int64)
         at, state = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
         for depth in range(longest):
@@ -265,8 +282,8 @@ class Trie:
         return total[1:]
 
 
-def built(rows: pa.Table, longest: int) -> tuple[Trie, dict, np.ndarray]:
-    """The trie of phrases (no, lang, phrase); each language's words and their numbers; each phrase's no. Words of many phrases get small numbers."""
+def built(rows: pa.Table, longest: int) -> tuple[Trie, dict]:
+    """The trie of phrases (lang, phrase), and each language's words and their numbers. Words of many phrases get small numbers."""
     langs, split = rows["lang"].combine_chunks().dictionary_encode(), pc.split_pattern(rows["phrase"].combine_chunks(), " ")
     lens, flat = split.value_lengths().to_numpy(), split.flatten()
     lang = np.repeat(langs.indices.to_numpy(), lens)
@@ -284,7 +301,7 @@ def built(rows: pa.Table, longest: int) -> tuple[Trie, dict, np.ndarray]:
     matrix[row, np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = place[number]
     ends = np.cumsum([len(n) for n in names])
     named = {la: (own, place[end - len(own) : end].astype(np.int32)) for la, own, end in zip(langs.dictionary.to_pylist(), names, ends, strict=True)}
-    return Trie(matrix, max(1, made)), named, rows["no"].to_numpy()
+    return Trie(matrix, max(1, made)), named
 
 
 def counted(found: DataFrame, phrases: DataFrame, longest: int, least: int, shard: int) -> DataFrame:
@@ -299,8 +316,8 @@ def counted(found: DataFrame, phrases: DataFrame, longest: int, least: int, shar
         held = sc.broadcast(built(rows, longest))
 
         def run(batches, held=held) -> Iterator[pa.RecordBatch]:
-            trie, named, numbers = held.value
-            total = np.zeros(len(numbers), np.int64)
+            trie, named = held.value
+            total = np.zeros(trie.phrases, np.int64)
             for batch in batches:
                 for i in range(batch.num_rows):
                     lang = batch.column("lang")[i].as_py()
@@ -310,17 +327,33 @@ def counted(found: DataFrame, phrases: DataFrame, longest: int, least: int, shar
                     own = pc.fill_null(pc.index_in(batch.column("words")[i].values, value_set=names), -1).to_numpy()
                     number = np.append(np.where(own >= 0, symbols[own], -1), -1)  # the last stands for id -1
                     total += trie.counts(number[np.frombuffer(batch.column("ids")[i].as_py(), np.int32)], longest)
-            seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers[seen]), pa.array(total[seen])], ["no", "f"])
+            for part in range(0, len(total), PART):
+                own = total[part : part + PART]
+                if own.any():
+                    raw = zlib.compress(np.packbits(own > 0).tobytes() + own[own > 0].tobytes(), 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([raw], pa.binary())], ["part", "counts"])
 
-        parts.append(found.select("lang", "words", "ids").mapInArrow(run, "no long, f long"))
+        numbers = sc.broadcast(rows["no"].to_numpy())
+
+        def add(batches, numbers=numbers) -> Iterator[pa.RecordBatch]:
+            totals: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for part, raw in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                    size = min(PART, len(numbers.value) - part)
+                    raw = np.frombuffer(zlib.decompress(raw), np.uint8)
+                    where = np.flatnonzero(np.unpackbits(raw[: -(-size // 8)], count=size))
+                    totals.setdefault(part, np.zeros(size, np.int64))[where] += np.frombuffer(raw[-(-size // 8) :].tobytes(), np.int64)
+            for part, total in totals.items():
+                often = np.flatnonzero(total >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers.value[part + often]), pa.array(total[often])], ["no", "f"])
+
+        parts.append(found.select("lang", "words", "ids").mapInArrow(run, "part long, counts binary").repartition("part").mapInArrow(add, "no long, f long"))
     if not parts:
         return stage(phrases.select("lang", "k", "phrase", F.lit(0).cast("long").alias("f")), "phrase-counts")
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    sums = rows.groupBy("no").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return stage(phrases.join(sums, "no").select("lang", "k", "phrase", "f"), "phrase-counts")
+    return stage(phrases.join(rows, "no").select("lang", "k", "phrase", "f"), "phrase-counts")
 
 
 def scored(frequent: DataFrame) -> DataFrame:
