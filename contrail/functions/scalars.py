@@ -64,7 +64,12 @@ def unit_sphere(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
 
 def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Distance over a sphere by the chord between two points, to metres."""
-    chord = F.sqrt(sum(((a - b) * (a - b) for a, b in zip(unit_sphere(lat1, lon1), unit_sphere(lat2, lon2), strict=True)), F.lit(0.0)))
+    return chord_km(unit_sphere(lat1, lon1), unit_sphere(lat2, lon2))
+
+
+def chord_km(one, other) -> Column:
+    """great_circle_km of two points of the unit sphere."""
+    chord = F.sqrt(sum(((a - b) * (a - b) for a, b in zip(one, other, strict=True)), F.lit(0.0)))
     return F.round(F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(chord / 2, F.lit(1.0))) / 1000, 3)
 
 

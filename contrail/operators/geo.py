@@ -3,48 +3,80 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contrail.functions.scalars import EARTH_RADIUS_M, great_circle_km, unit_sphere
+from contrail.functions.scalars import EARTH_RADIUS_M, chord_km, unit_sphere
+
+
+#: Airports up to which their cells are broadcast, and parts that each cell is dealt to beyond.
+BROADCAST_AIRPORTS, SALTS = 200_000, 32
 
 
 def _cells(lat, lon, size: float) -> list:
     return [F.floor(c / size) for c in unit_sphere(lat, lon)]
 
 
-def airports_around(points: DataFrame, airports: DataFrame, max_km: float, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """points with `airport` and `airport_km`, a row per airport within max_km, or one with nulls where there is none.
+def airport_cells(airports: DataFrame, max_km: float) -> DataFrame:
+    """A row per cell (cx, cy, cz) with `near`, the airports that can be within max_km of a point in it.
 
-    Points and airports meet on cubes of the unit sphere whose edge is the chord of max_km; an airport stands in
-    its own and the 26 cubes around it, so poles and the date line need no care.
+    Cells are cubes of the unit sphere whose edge is the chord of max_km; an airport stands in its own and the 26 around
+    it, so a point's nearest airport is in its own cell's row, and poles and the date line need no care.
     """
-    size = 2 * math.sin(min(math.pi / 2, max_km * 1000 * 1.001 / (2 * EARTH_RADIUS_M)))
-    x, y, z = _cells(F.col("latitude"), F.col("longitude"), size)
+    x, y, z = _cells(F.col("latitude"), F.col("longitude"), _edge(max_km))
     step = F.array(*map(F.lit, (-1, 0, 1)))
-    near = airports.select("icao_code", F.col("latitude").alias("alat"), F.col("longitude").alias("alon"), x.alias("cx"), y.alias("cy"), z.alias("cz"))
+    rows = airports.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(F.struct("icao_code", *(c.alias(n) for n, c in zip("xyz", unit_sphere(F.col("latitude"), F.col("longitude")), strict=True))).alias("a"), x.alias("cx"), y.alias("cy"), z.alias("cz"))
     for axis in ("cx", "cy", "cz"):
-        near = near.withColumn("step", F.explode(step)).withColumn(axis, F.col(axis) + F.col("step")).drop("step")
-    px, py, pz = _cells(F.col(lat), F.col(lon), size)
-    km = great_circle_km(F.col(lat), F.col(lon), F.col("alat"), F.col("alon"))
-    met = points.join(near, (px == F.col("cx")) & (py == F.col("cy")) & (pz == F.col("cz")) & (km <= max_km), "left")
-    return met.withColumns({"airport": F.col("icao_code"), "airport_km": km}).drop("icao_code", "alat", "alon", "cx", "cy", "cz")
+        rows = rows.withColumn("step", F.explode(step)).withColumn(axis, F.col(axis) + F.col("step")).drop("step")
+    return rows.groupBy("cx", "cy", "cz").agg(F.collect_list("a").alias("near"))
+
+
+def _edge(max_km: float) -> float:
+    return 2 * math.sin(min(math.pi / 2, max_km * 1000 * 1.001 / (2 * EARTH_RADIUS_M)))
+
+
+def _distance(point: list[Column], airport: Column) -> Column:
+    """great_circle_km and the airport's code, from points of the unit sphere."""
+    return F.struct(chord_km(point, [airport[n] for n in "xyz"]).alias("airport_km"), airport["icao_code"].alias("airport"))
 
 
-def nearest_airport(points: DataFrame, airports: DataFrame, max_km: float = 50.0, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """points with `airport` and `airport_km`: the nearest airport within max_km, ties to the smaller code.
+def nearest_airports(rows: DataFrame, airports: DataFrame, max_km: float, points: dict[str, tuple], most: int = BROADCAST_AIRPORTS) -> DataFrame:
+    """rows with a column (airport_km, airport) per point: the nearest airport within max_km, ties to the smaller code, or null.
 
-    Only distinct points are joined with airports, and points without coordinates not at all.
+    points: by the new column's name, the point's latitude and longitude. Each point meets the one row of its cell, so rows
+    are read once and neither grouped nor joined back. Up to `most` airports the cells are broadcast; beyond, cells and
+    points are dealt by cell and salt, so that points at a hub, or without coordinates, don't meet in one task.
     """
-    fixed = F.col(lat).isNotNull() & F.col(lon).isNotNull()
-    distinct = points.where(fixed).select(F.col(lat).alias("plat"), F.col(lon).alias("plon")).distinct()
-    met = airports_around(distinct, airports, max_km, "plat", "plon").where("airport IS NOT NULL")
-    best = met.groupBy("plat", "plon").agg(F.min(F.struct("airport_km", "airport")).alias("best"))
-    joined = points.where(fixed).join(best, (F.col(lat) == F.col("plat")) & (F.col(lon) == F.col("plon")), "left")
-    found = joined.withColumns({"airport": F.col("best.airport"), "airport_km": F.col("best.airport_km")}).drop("plat", "plon", "best")
-    return found.unionByName(points.where(~fixed), allowMissingColumns=True)
+    size, cells = _edge(max_km), airport_cells(airports, max_km)
+    small = airports.limit(most + 1).count() <= most
+    keys, carried = ["cx", "cy", "cz"], rows.columns
+    if small:
+        cells = F.broadcast(cells)
+    else:
+        cells = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        keys.append("salt")
+    for name, (lat, lon) in points.items():
+        px, py, pz = _cells(lat, lon, size)
+        if small:
+            at = {"cx": px, "cy": py, "cz": pz}
+        else:
+            spread = F.xxhash64(*carried)
+            at = {"cx": F.coalesce(px, F.pmod(spread, F.lit(1 << 20)) + 10_000_000), "cy": F.coalesce(py, F.lit(0)), "cz": F.coalesce(pz, F.lit(0)), "salt": F.pmod(spread, F.lit(SALTS)).cast("int")}
+        met = rows.select("*", *(v.alias(f"p_{k}") for k, v in at.items()), *(c.alias(f"u_{n}") for n, c in zip("xyz", unit_sphere(lat, lon), strict=True)))
+        met = met.join(cells.select(*(F.col(k).alias(f"c_{k}") for k in keys), "near"), [F.col(f"p_{k}") == F.col(f"c_{k}") for k in keys], "left")
+        found = F.transform("near", partial(_distance, [F.col(f"u_{n}") for n in "xyz"]))
+        best = F.array_min(F.filter(found, lambda a: a["airport_km"] <= max_km))
+        rows = met.withColumn(name, best).drop("near", "u_x", "u_y", "u_z", *(f"{side}_{k}" for side in "pc" for k in keys))
+    return rows
+
+
+def nearest_airport(points: DataFrame, airports: DataFrame, max_km: float = 50.0, lat: str = "latitude", lon: str = "longitude", most: int = BROADCAST_AIRPORTS) -> DataFrame:
+    """points with `airport` and `airport_km`: the nearest airport within max_km, ties to the smaller code; null without coordinates."""
+    found = nearest_airports(points, airports, max_km, {"nearest": (F.col(lat), F.col(lon))}, most)
+    return found.withColumns({"airport": F.col("nearest.airport"), "airport_km": F.col("nearest.airport_km")}).drop("nearest")
 
 
 def flights_with_aircraft(flights: DataFrame, aircraft: DataFrame) -> DataFrame:

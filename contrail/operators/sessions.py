@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from contrail.config import DetectorConfig
 from contrail.functions.scalars import clean_code, is_on_ground
-from contrail.operators.geo import airports_around, nearest_airport
+from contrail.operators.geo import nearest_airport, nearest_airports
 
 POINT = ("captured_at", "latitude", "longitude")
 
@@ -131,12 +131,7 @@ def session_features(positions: DataFrame, airports: DataFrame, cfg: DetectorCon
         departure_sign(cfg).alias("departs"),
     )
     names = ("first", "last", "d", "da", "fa", "before")
-    # the points of a session meet the airports as rows beside it, so that sessions aren't made twice
-    points = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"{n}.latitude").alias("latitude"), F.col(f"{n}.longitude").alias("longitude")) for n in names)))
-    rows = sessions.select("icao24", "session_no", F.struct(*(c for c in sessions.columns if c not in ("icao24", "session_no"))).alias("session"), points.alias("p"))
-    near = airports_around(rows.select("icao24", "session_no", "session", "p.*"), airports, cfg.airport_radius_km)
-    best = lambda n: F.min(F.when((F.col("name") == n) & F.col("airport").isNotNull(), F.struct("airport_km", "airport"))).alias(f"{n}_airport")
-    out = near.groupBy("icao24", "session_no").agg(F.first("session").alias("session"), *map(best, names)).select("icao24", "session_no", "session.*", *(f"{n}_airport" for n in names))
+    out = nearest_airports(sessions, airports, cfg.airport_radius_km, {f"{n}_airport": (F.col(f"{n}.latitude"), F.col(f"{n}.longitude")) for n in names})
     close = lambda n: F.coalesce(F.col(f"{n}_airport.airport_km") <= cfg.proximity_radius_km, F.lit(False))
     lands_at = lambda sign, n: F.coalesce((sign == "ground") | ((sign == "low") & close(n)), F.lit(False))
     return out.select(
