@@ -33,6 +33,13 @@ def merge(target: DataFrame, src: DataFrame, keys: list[str], update: dict[str,
     return rows.select(*out)
 
 
+def one_row_a_key(rows: DataFrame, keys: list[str], order: str = "last_seen") -> DataFrame:
+    """Of the rows of each key that of the greatest `order`; ties are broken by the other columns, so reruns agree."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = [order, *(c for c in rest if c != order)]
+    return rows.groupBy(*keys).agg(F.max(F.struct(*first)).alias("row")).select(*(c if c in keys else F.col(f"row.{c}") for c in rows.columns))
+
+
 def replace(_old: Column, new: Column) -> Column:
     return new
 
@@ -116,7 +123,7 @@ def apply_review(aircraft: DataFrame, flights: DataFrame, edits: DataFrame) -> t
 
 
 def expire_positions(positions: DataFrame, as_of, days: int = 30) -> DataFrame:
-    """The positions to keep; with a date partitioning whole partitions are pruned."""
+    """The positions to keep, as rows. sources.payloads.expire_folders does it to a table of daily folders without reading them."""
     return positions.where(F.col("captured_at") >= F.lit(as_of) - F.expr(f"INTERVAL {days} DAYS"))
 
 

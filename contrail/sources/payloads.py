@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrail.functions.scalars import clean_code, strip
-from contrail.operators.merge import upsert_flights
+from contrail.operators.merge import KEY, one_row_a_key, upsert_flights
 
 SNAPSHOT = "time BIGINT, states ARRAY<ARRAY<STRING>>"
 FEED = "ARRAY<STRUCT<icao24: STRING, callsign: STRING, estDepartureAirport: STRING, estArrivalAirport: STRING, firstSeen: BIGINT, lastSeen: BIGINT>>"
@@ -96,31 +96,88 @@ def load_review_edits(rows: DataFrame) -> DataFrame:
     return out.withColumn("known", F.col("action").isin("PENDING", "DISMISS", "UPDATE"))
 
 
+def _fs(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _fs(spark, path)
+    return fs.exists(where)
+
+
+def list_paths(spark: SparkSession, path: str) -> list[str]:
+    """The folders of partitions, as in date=2024-01-01, right below path."""
+    fs, where = _fs(spark, path)
+    found = [f.getPath() for f in fs.listStatus(where) if f.isDirectory()] if fs.exists(where) else []
+    return [f.toString() for f in found if "=" in f.getName()]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
+
+
 def write_positions(positions: DataFrame, path: str) -> None:
     """Appends, a folder per day."""
     positions.withColumn("date", F.to_date("captured_at")).repartition("date", F.pmod(F.xxhash64("icao24"), F.lit(8))).write.mode("append").partitionBy("date").parquet(path)
 
 
+def read_positions(spark: SparkSession, path: str, since=None, until=None) -> DataFrame:
+    """The positions that write_positions has written, of since <= captured_at <= until; only the folders of those days are read."""
+    rows = spark.read.parquet(path)
+    for bound, keep in ((since, lambda c, b: c >= b), (until, lambda c, b: c <= b)):
+        if bound is not None:
+            rows = rows.where(keep(F.col("captured_at"), F.lit(bound)) & keep(F.col("date"), F.to_date(F.lit(bound))))
+    return rows
+
+
+def expire_folders(spark: SparkSession, path: str, as_of, days: int = 30) -> int:
+    """Deletes the positions older than `days` from write_positions' table and returns how many they were.
+
+    Whole days go as folders, after one count that reads no column of them. Only the day of the boundary is read; what
+    stays of it is written beside the table and then takes the folder's place. Running it again deletes nothing.
+    """
+    edge = F.lit(as_of) - F.expr(f"INTERVAL {days} DAYS")
+    day = spark.range(1).select(F.to_date(edge).cast("string")).first()[0]
+    folders = {p.rsplit("=", 1)[1]: p for p in list_paths(spark, path)}
+    old = [p for d, p in folders.items() if d < day and not d.startswith("__")]
+    gone = spark.read.parquet(*old).count() if old else 0
+    for folder in old:
+        delete_path(spark, folder)
+    if day in folders:
+        rows = spark.read.parquet(folders[day])
+        late = rows.where(F.col("captured_at") < edge).count()
+        if late:
+            beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+            rows.where((F.col("captured_at") >= edge) | F.col("captured_at").isNull()).write.parquet(beside)
+            fs, where = _fs(spark, folders[day])
+            fs.delete(where, True)
+            if not fs.rename(_fs(spark, beside)[1], where):
+                raise OSError(f"{beside} holds what stays of {folders[day]} but couldn't take its place")
+        gone += late
+    return gone
+
+
 def write_flights(flights: DataFrame, path: str) -> None:
     """Upserts by (icao24, first_seen) into a table with a folder per day; only the days that flights holds are rewritten.
 
-    A day's new content is written beside the table first, since a folder can't be read and replaced at once.
+    Of several rows of one key that of the latest last_seen is written, so writing a batch again changes nothing. A day's new
+    content is written beside the table first, since a folder can't be read and replaced at once.
     """
     spark = flights.sparkSession
-    fresh = flights.withColumn("date", F.to_date("first_seen"))
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(where):
+    fresh = one_row_a_key(flights, KEY).withColumn("date", F.to_date("first_seen"))
+    if not path_exists(spark, path):
         fresh.write.partitionBy("date").parquet(path)
         return
     days = fresh.select("date").distinct()
-    old = spark.read.parquet(path).join(days, "date", "left_semi").select(*fresh.columns)
+    old = spark.read.schema(fresh.schema).parquet(path).join(days, "date", "left_semi").select(*fresh.columns)
     beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     try:
         upsert_flights(old, fresh).write.parquet(beside)
         spark.read.parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
     finally:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(beside), True)
+        delete_path(spark, beside)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict) -> None:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrail.config import DetectorConfig
-from contrail.functions.scalars import clean_code
+from contrail.functions.scalars import clean_code, is_on_ground
 from contrail.operators import detector, merge
-from contrail.operators.geo import open_flights
-from contrail.sources.payloads import parse_state_snapshots, write_flights
+from contrail.operators.geo import nearest_airport
+from contrail.sources.payloads import delete_path, list_paths, parse_state_snapshots, path_exists, write_flights
+from contrail.streaming.detect import on_aircraft
 
 
 def stream_positions(raw: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -30,55 +31,79 @@ def stream_sessions(positions: DataFrame, cfg: DetectorConfig, delay: str = "10
 
 
 def stream_activity(positions: DataFrame, width: str = "2 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Distinct aircraft seen and in the air per window of time; estimates while streaming, exact in batch."""
+    """Distinct aircraft seen and in the air per window of time, exact: aircraft of a window first, then their number.
+
+    While streaming these are two chained aggregations under one watermark, and a window comes out once it is over.
+    """
     if positions.isStreaming:
         positions = positions.withWatermark("captured_at", delay)
-    count = F.approx_count_distinct if positions.isStreaming else F.count_distinct
-    grouped = positions.groupBy(F.window("captured_at", width).alias("w"))
-    return grouped.agg(count("icao24").alias("seen"), count(F.when(~F.col("on_ground"), F.col("icao24"))).alias("airborne")).select(F.col("w.start").alias("window_start"), "seen", "airborne")
+    flies = F.max(F.coalesce(~F.col("on_ground"), F.lit(False)).cast("int"))
+    each = positions.where("icao24 IS NOT NULL").groupBy(F.window("captured_at", width).alias("w"), "icao24").agg(flies.alias("flies"))
+    return each.groupBy("w").agg(F.count("*").alias("seen"), F.sum("flies").alias("airborne")).select(F.col("w.start").alias("window_start"), "seen", "airborne")
 
 
-def stream_detect(positions: DataFrame, store: str, flights: str, airports: DataFrame, cfg: DetectorConfig, checkpoint: str):
-    """A query that keeps `flights` the detector's result over all positions so far.
+def detect_statefully(positions: DataFrame, airports: DataFrame, cfg: DetectorConfig, delay: str = "10 minutes") -> DataFrame:
+    """Streamed flights as they change: what detect_flights finds over all rows so far, except in sessions that aren't over.
 
-    Each micro-batch is appended to the store; the aircraft in it, and those with flights open for too long at the
-    batch's last moment, are detected again over their stored positions, stale flights closed, and their flights
-    replaced. Both writes are keyed by the batch, so a repeated batch changes nothing.
+    State is kept per aircraft (see contrail.streaming.detect), so a batch costs what its rows and due timers cost,
+    however long the history. Several versions of a flight may come out over time, at most one a batch, and the last one
+    counts. A flight without arrival for cfg.stale_hours comes out closed for review; should the walk close it after all, that version follows.
     """
-    spark: SparkSession = positions.sparkSession
-
-    def on_batch(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
-        rows = spark.read.parquet(f"{store}/epoch={epoch}")
-        as_of = rows.agg(F.max("captured_at")).first()[0]
-        if as_of is None:
-            return
-        touched = rows.select("icao24")
-        if epoch:
-            earlier = latest_flights(spark, flights, epoch)
-            stale = open_flights(earlier).where(F.col("first_seen") < F.lit(as_of) - F.expr(f"INTERVAL {cfg.stale_hours} HOURS"))
-            touched = touched.union(stale.select("icao24"))
-        known = spark.read.parquet(store).drop("epoch").join(touched.distinct(), "icao24", "left_semi").dropDuplicates(["icao24", "captured_at"])
-        found = detector.detect_flights(known, airports, None, cfg)
-        closed = merge.update_open_flights(found, detector.close_stale(found, known, airports, as_of, cfg))
-        closed.write.mode("overwrite").parquet(f"{flights}/epoch={epoch}")
+    rows = positions.withWatermark("captured_at", delay)
+    ground = is_on_ground(F.col("on_ground"), F.col("velocity_ms"), F.col("altitude_m"), cfg)
+    near = nearest_airport(rows.where("icao24 IS NOT NULL"), airports, cfg.airport_radius_km)
+    near = near.select("icao24", "captured_at", F.unix_micros("captured_at").alias("ts"), "latitude", "longitude", F.col("altitude_m").cast("double"), ground.alias("ground"), clean_code(F.col("callsign"), "keep").alias("cs"), "airport", "airport_km")
+    found = near.groupBy("icao24").applyInPandasWithState(on_aircraft(cfg), detector.FLIGHT, "state string", "append", "EventTimeTimeout")
+    return found.withColumns({n: F.timestamp_micros(n) for n in ("first_seen", "last_seen")})
 
-    return positions.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-def latest_flights(spark: SparkSession, flights: str, before: int | None = None) -> DataFrame:
-    """What stream_detect has written (before an epoch, if given): for each aircraft the flights of its last epoch."""
-    rows = spark.read.parquet(flights)
-    if before is not None:
-        rows = rows.where(F.col("epoch") < before)
-    last = rows.groupBy("icao24").agg(F.max("epoch").alias("epoch"))
-    return rows.join(last, ["icao24", "epoch"], "left_semi").drop("epoch")
+def stream_detect(positions: DataFrame, flights: str, airports: DataFrame, cfg: DetectorConfig, checkpoint: str, delay: str = "10 minutes"):
+    """A query that keeps the table `flights` the detector's result over all positions so far; a repeated batch changes nothing."""
+    found = detect_statefully(positions, airports, cfg, delay).drop("path")
+    return found.writeStream.outputMode("append").foreachBatch(merge_sink(flights)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def merge_sink(path: str):
     """A foreachBatch function that upserts batches of flights into the table at path; a repeated batch changes nothing."""
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
-        write_flights(batch, path)
+        held = batch.persist()  # else the query's state is worked out once for each use
+        if not held.isEmpty():
+            write_flights(held, path)
+        held.unpersist()
 
     return on_batch
+
+
+def action_sink(path: str):
+    """A foreachBatch function for flight actions: rows of flights with `kind`, 'open' (an upsert) or 'update' (guarded: only where there is no arrival yet).
+
+    A batch's openings go before its updates, and of several actions of one kind and flight the one of the latest last_seen counts.
+    The number of the last batch is written with the table, so a batch that comes again, or after a later one, is skipped.
+    Each batch writes a new version of the table beside the last one, which readers see whole; see read_actions.
+    """
+
+    def on_batch(batch: DataFrame, epoch: int) -> None:
+        done = versions(batch.sparkSession, path)
+        if done and done[-1] >= epoch:
+            return
+        held = batch.persist()
+        one = merge.one_row_a_key(held, ["kind", *merge.KEY])
+        opened, updates = (one.where(F.col("kind") == kind).drop("kind") for kind in ("open", "update"))
+        old = read_actions(batch.sparkSession, path) if done else opened.limit(0)
+        merge.merge_flight_actions(old, opened, updates).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        for version in done[:-1]:  # the last one may still be read
+            delete_path(batch.sparkSession, f"{path}/batch={version}")
+        held.unpersist()
+
+    return on_batch
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The whole versions that an action sink has written."""
+    return sorted(int(p.rsplit("=", 1)[1]) for p in list_paths(spark, path) if path_exists(spark, f"{p}/_SUCCESS"))
+
+
+def read_actions(spark: SparkSession, path: str) -> DataFrame:
+    """The table that an action sink keeps, as of its last whole batch."""
+    return spark.read.parquet(f"{path}/batch={versions(spark, path)[-1]}")
