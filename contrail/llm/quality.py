@@ -130,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     labels = labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality")
     counts = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    parts = [labels.where(F.col("quality") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for v in (0, 1)]
+    present = labels.join(docs.select("doc_id"), "doc_id", "left_semi")  # only what can teach is sampled
+    parts = [present.where(F.col("quality") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for v in (0, 1)]
     sample = parts[0].union(parts[1]).groupBy("doc_id", "quality").agg(F.count("*").alias("times"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
     # one text a sampled label, as often as it is labelled: 2 * per_label rows at most

@@ -12,12 +12,18 @@ holds a number of components, so wide vectors make blocks of fewer rows. No vect
 Vectors that are null or hold a null or non-finite component take no part; only vectors of equal dimension are
 compared. Repeated vec_ids are rows of their own, and each query row gets its own ranking, but a query never meets a
 row with its own id; a null vec_id is no query and ranks last among ties. No vectors or queries yield no rows. Other
-columns are ignored, whatever their names. Scores are exact while they fit in 53 bits.
+columns are ignored, whatever their names.
+
+Scores are exact at any size. Vectors with a component of `NARROW` or more, or of over `WIDE_DIM` components, are set apart, since
+bounds in double precision could be wrong for them: their scores with all others are computed in blocks with Python's
+integers, and each block's k best join the ranking. A score beyond 64 bits counts, and comes out, as the nearest 64-bit integer.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -28,17 +34,24 @@ from pyspark.sql import functions as F
 from .common import stage
 
 BLOCK, QUERIES, CELLS = 1 << 19, 1 << 16, 64  # components in a block of vectors, in one of queries; cells a dimension
+NARROW, WIDE_DIM = 1 << 20, 1 << 13  # so that scores of what is below fit in 53 bits
 NO_ID = 2**63 - 1  # stands for a null id
+WIDE = "q_no long, query_id long, vec_id long, score long"
 VA_FILE = "dim int, block long, nos array<long>, ids array<long>, grid binary, low array<long>, width array<long>"
 
 
 def integers(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
-    """no (a number per row), id, dim and the integer vector v of the rows that take part, as a written table."""
+    """no (a number per row), id, dim and the integer vector v of the rows that take part, as a written table.
+
+    Where wide holds, v is null and x, the scaled vector in double precision, stands for it.
+    """
     good = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    v = F.transform(vec_col, lambda x: F.floor(x.cast("double") * F.lit(scale)))
+    x = F.transform(vec_col, lambda c: c.cast("double"))
+    wide = F.exists(vec_col, lambda c: F.abs(c.cast("double") * F.lit(scale)) >= NARROW) | (F.size(vec_col) > WIDE_DIM)
+    v = F.when(~wide, F.transform(vec_col, lambda c: F.floor(c.cast("double") * F.lit(scale))))
     rows = vectors.where(F.col(vec_col).isNotNull() & good)
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id")
-    return stage(rows.select(F.monotonically_increasing_id().alias("no"), ids, F.size(vec_col).alias("dim"), v.alias("v")), "va-exact")
+    return stage(rows.select(F.monotonically_increasing_id().alias("no"), ids, F.size(vec_col).alias("dim"), v.alias("v"), F.when(wide, x).alias("x"), wide.alias("wide")), "va-exact")
 
 
 def packs(rows: DataFrame, components: int) -> DataFrame:
@@ -49,6 +62,36 @@ def packs(rows: DataFrame, components: int) -> DataFrame:
     return placed.groupBy("dim", "block").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "dim"))).alias("rows"))
 
 
+def wide_scores(exact: DataFrame, asked: DataFrame, k: int, scale: float) -> DataFrame:
+    """q_no, query_id, vec_id and score of each block's k best pairs in which one vector or both are wide."""
+
+    def whole(row) -> list[int]:
+        if row["x"] is None:
+            return list(map(int, row["v"]))
+        size = Fraction(scale)
+        return [math.floor(c * scale) if abs(c * scale) < 2**1000 else math.floor(Fraction(c) * size) for c in row["x"]]
+
+    def run(frames):
+        for frame in frames:
+            for row in frame.itertuples():
+                vectors = list(map(whole, row.rows))
+                for q in row.asked:
+                    own, best = whole(q), []
+                    for r, v in zip(row.rows, vectors, strict=True):
+                        if r["id"] != q["id"] and (q["wide"] or r["wide"]):
+                            score = sum(a * b for a, b in zip(own, v, strict=True))
+                            best.append((-max(-(2**63), min(2**63 - 1, score)), r["id"]))
+                    best = sorted(best)[:k]
+                    yield pd.DataFrame({"q_no": [q["no"]] * len(best), "query_id": [q["id"]] * len(best), "vec_id": [b[1] for b in best], "score": np.array([-b[0] for b in best], np.int64)})
+
+    def met(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+        blocks = packs(vectors, BLOCK).select("dim", "block", "rows")
+        dealt = packs(queries, QUERIES).select("dim", F.col("block").alias("q_block"), F.col("rows").alias("asked"))
+        return dealt.join(blocks, "dim").repartition("dim", "block", "q_block").mapInPandas(run, WIDE)
+
+    return met(asked.where("wide"), exact).unionByName(met(asked.where("NOT wide"), exact.where("wide")))
+
+
 def _matrix(rows, dim: int) -> np.ndarray:
     return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), dim)
 
@@ -144,10 +187,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     """query_id, rank, vec_id and score: the k best vectors of each query row, ties to the smaller vec_id."""
     exact = integers(vectors, id_col, vec_col, scale)
     asked = integers(queries.where(F.col(id_col).isNotNull()), id_col, vec_col, scale)
-    near = candidates(va_file(exact, cells), asked, k)
-    first = stage(scored(near.where(F.col("nth") <= k), exact, asked), "va-first")
+    if cells > 256:
+        raise ValueError("a cell is a byte, so there are at most 256 a dimension")
+    narrow, narrow_asked = (t.where("NOT wide").drop("x", "wide") for t in (exact, asked))
+    near = candidates(va_file(narrow, cells), narrow_asked, k)
+    first = stage(scored(near.where(F.col("nth") <= k), narrow, narrow_asked), "va-first")
     rest = near.where(F.col("nth") > k).join(kth(first, "score", k), "q_no").where("bound >= floor")
-    rows = first.unionByName(scored(rest, exact, asked))
+    rows = first.unionByName(scored(rest, narrow, narrow_asked))
+    if not exact.where("wide").isEmpty() or not asked.where("wide").isEmpty():
+        rows = rows.unionByName(wide_scores(exact, asked, k, scale))
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("q_no").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")
 

@@ -3,13 +3,14 @@
 import math
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from contrail.llm import collocations, ranked_search, token_counts
+from contrail.llm import collocations, quality, ranked_search, token_counts, vafile
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", None, " ", "\n\n \t", "a", "<|endoftext|>", "x  <|endoftext|> y<|endoftext|><|endoftext|>'s", "it's we'll DON'T 'tis", "é ß 中文字 😀 \x85 ​　x", "\x00\x1c", "." * 300, "the the the. The, the; the\tthe"]
@@ -134,3 +135,28 @@ def test_trie_counts_overlapping_phrases():
     assert trie.counts(text, 4).tolist() == [want[p] for p in phrases]
     slots = np.flatnonzero(trie.check >= 0)
     assert (trie.check[slots] < len(trie.base)).all()
+
+
+def test_huge_components_rank_exactly(spark):
+    rng = np.random.default_rng(6)
+    vectors = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(120)]
+    for i, value in ((3, 1e10), (20, -1e300), (40, 1.7e308), (41, 3e15), (60, 20_000.0), (77, -9.1e18)):
+        vectors[i][1][i % 4] = value
+    vectors += [(200, None), (201, [1.0, None, 2.0, 3.0]), (202, [1.0, math.inf, 2.0, 3.0]), (203, [1.0, 2.0])]
+    rows = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    got = vafile.top_k(rows, rows.where("vec_id % 20 = 0"), k=5)
+    good = {i: [math.floor(64 * Fraction(x)) if abs(x) > 1e6 else math.floor(64 * x) for x in v] for i, v in vectors if v and all(x is not None and math.isfinite(x) for x in v)}
+    want = []
+    for q in (i for i in good if i % 20 == 0):
+        clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+        scores = sorted((-clip(sum(a * b for a, b in zip(good[q], v, strict=True))), i) for i, v in good.items() if i != q and len(v) == len(good[q]))
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:5])]
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
+    with pytest.raises(ValueError):
+        vafile.top_k(rows, rows, cells=1024)
+
+
+def test_only_labels_with_documents_are_sampled(spark):
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat('some words of ', id) AS text")
+    labels = spark.range(10_000, 20_000).unionAll(spark.range(200)).selectExpr("id AS doc_id", "int(id % 2) AS quality")
+    assert len(quality.fit(docs, labels, per_label=100).labels) == 200
