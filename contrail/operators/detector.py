@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from contrail.config import DetectorConfig
 from contrail.functions.scalars import dep_equals_arr
 from contrail.operators import merge
-from contrail.operators.geo import last_completed_flight, latest_position, nearest_airport, open_flights
+from contrail.operators.geo import last_completed_flight, latest_position, nearest_airport, nearest_airports, open_flights
 from contrail.operators.sessions import session_features, with_ground
+from contrail.shared import stage
 
 FLIGHT = "icao24 string, callsign string, departure_airport_icao string, arrival_airport_icao string, first_seen long, last_seen long, needs_review boolean, path string"
 UNKNOWN = "UNKN"
@@ -195,41 +196,71 @@ def close_stale(flights: DataFrame, positions: DataFrame, airports: DataFrame, a
     return rows.select("icao24", "first_seen", F.coalesce("captured_at", "first_seen").alias("last_seen"), F.coalesce("near", F.lit(UNKNOWN)).alias("arrival_airport_icao"), callsign.alias("callsign"), F.lit(True).alias("needs_review"))
 
 
-def incremental_detect(positions: DataFrame, flights: DataFrame, airports: DataFrame, since, as_of, cfg: DetectorConfig) -> DataFrame:
-    """flights after a run over the positions since `since`, with stale flights closed."""
-    found = detect_flights(positions, airports, flights, cfg, since).drop("path")
-    merged = merge.upsert_flights(flights, found)
-    return merge.update_open_flights(merged, close_stale(merged, positions, airports, as_of, cfg))
+def tails(positions: DataFrame, before, cfg: DetectorConfig, tail: DataFrame | None = None) -> DataFrame:
+    """Each aircraft's last rows earlier than `before`, as many as a look-back asks for.
+
+    Given the tail of an earlier time, positions need to hold the rows since then only: so a job keeps the table up to date
+    by reading what is new, and incremental_detect never reads history.
+    """
+    rows = positions.where(F.col("captured_at") < F.lit(before))
+    if tail is not None:
+        rows = rows.unionByName(tail.select(*positions.columns)).dropDuplicates(["icao24", "captured_at"])
+    nth = F.row_number().over(W.partitionBy("icao24").orderBy(F.desc("captured_at")))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= max(3, cfg.lookback_rows)).drop("nth")
+
+
+def incremental_detect(positions: DataFrame, flights: DataFrame, airports: DataFrame, since, as_of, cfg: DetectorConfig, tail: DataFrame | None = None) -> DataFrame:
+    """flights after a run over the positions since `since`, with stale flights closed.
+
+    tail: each aircraft's rows just before `since` (see tails); with it positions are read from `since` on only, and once,
+    else all of them are. The rows of the run and the flights it finds are written in the shared folder, as both are used twice.
+    """
+    if tail is None:
+        recent = positions
+    else:
+        new = positions.where(F.col("captured_at") >= F.lit(since))
+        if "date" in positions.columns:  # a table of daily folders
+            new = new.where(F.col("date") >= F.to_date(F.lit(since)))
+        recent = stage(new.unionByName(tail, allowMissingColumns=True), "recent")
+    found = detect_flights(recent, airports, flights, cfg, since).drop("path")
+    merged = stage(merge.upsert_flights(flights, found), "merged")
+    return merge.update_open_flights(merged, close_stale(merged, recent, airports, as_of, cfg))
 
 
 def backfill_open_flights(flights: DataFrame, positions: DataFrame, airports: DataFrame, cfg: DetectorConfig) -> DataFrame:
     """What a look over each open flight's later positions gives: `action` 'close', 'new' or 'pending' rows.
 
-    Sessions play no part. The landing closes the flight; only rows after it make new flights.
+    Sessions play no part. The landing closes the flight; only rows after it make new flights. Positions are read once: rows
+    up to the landing are leg -1 of the flight, later ones legs from 0, and each leg becomes one row at most.
     """
-    ground = with_ground(positions, cfg).where("ground IS NOT NULL").select("icao24", "callsign", "captured_at", "latitude", "longitude", "ground")
     opened = open_flights(flights).select("icao24", F.col("first_seen").alias("opened"), F.col("callsign").alias("f_callsign"), F.col("departure_airport_icao").alias("f_dep"))
-    rows = ground.join(opened, "icao24").where("captured_at >= opened")
-    w = W.partitionBy("icao24", "opened").orderBy("captured_at")
+    own = W.partitionBy("icao24", "opened")
+    w, ts = own.orderBy("captured_at"), F.col("captured_at")
+    rows = positions.join(opened, "icao24").where("captured_at >= opened").withColumn("latest", F.max("captured_at").over(own))
+    rows = with_ground(rows, cfg).where("ground IS NOT NULL")
     rows = rows.withColumn("previous", F.lag(F.struct("captured_at", "latitude", "longitude", "callsign", "ground")).over(w))
-    rows = rows.withColumn("landed_at", F.min(F.when(~F.col("previous.ground") & F.col("ground"), F.col("captured_at"))).over(W.partitionBy("icao24", "opened")))
-    close = rows.where("captured_at = landed_at").select("icao24", "opened", F.lit("close").alias("action"), F.coalesce("callsign", "f_callsign").alias("callsign"), F.col("f_dep").alias("dep"), F.col("opened").alias("first_seen"), F.col("captured_at").alias("last_seen"), F.lit(None).cast("double").alias("dlat"), F.lit(None).cast("double").alias("dlon"), F.col("latitude").alias("alat"), F.col("longitude").alias("alon"))
-    late = rows.where("captured_at > landed_at")
-    late = late.withColumn("previous", F.lag(F.struct("captured_at", "latitude", "longitude", "callsign", "ground")).over(w))
-    takes_off, lands = F.col("previous.ground") & ~F.col("ground"), ~F.col("previous.ground") & F.col("ground")
-    late = late.withColumn("lands", F.coalesce(lands.cast("int"), F.lit(0)))
-    late = late.withColumn("leg", F.sum("lands").over(w) - F.col("lands"))  # a landing belongs to the leg it ends
-    departure = F.when(takes_off, F.struct(F.col("previous.captured_at").alias("at"), F.col("previous.latitude").alias("lat"), F.col("previous.longitude").alias("lon"), F.coalesce("callsign", "previous.callsign").alias("cs")))
-    legs = late.withColumn("departure", departure).groupBy("icao24", "opened", "leg").agg(
-        F.max_by("departure", F.when(takes_off, F.col("captured_at"))).alias("d"), F.max_by(F.struct("captured_at", "latitude", "longitude", "callsign"), F.when(lands, F.col("captured_at"))).alias("a")
+    rows = rows.withColumn("landed_at", F.min(F.when(~F.col("previous.ground") & F.col("ground"), ts)).over(own))
+    late = F.coalesce(F.col("previous.captured_at") > F.col("landed_at"), F.lit(False))  # the landing row itself is no row before
+    takes_off, lands = late & F.col("previous.ground") & ~F.col("ground"), late & ~F.col("previous.ground") & F.col("ground")
+    rows = rows.withColumns({"takes_off": takes_off, "lands": lands.cast("int")})
+    leg = F.when(ts > F.col("landed_at"), F.sum("lands").over(w) - F.col("lands")).otherwise(-1)  # a landing belongs to the leg it ends
+    point = F.struct("captured_at", "latitude", "longitude", "callsign")
+    start = F.struct(F.col("previous.captured_at").alias("at"), F.col("previous.latitude").alias("lat"), F.col("previous.longitude").alias("lon"), F.coalesce("callsign", "previous.callsign").alias("cs"))
+    legs = rows.withColumn("leg", leg).groupBy("icao24", "opened", "leg").agg(
+        F.max_by(start, F.when(F.col("takes_off"), ts)).alias("d"),
+        F.max_by(point, F.when((F.col("lands") == 1) | (ts == F.col("landed_at")), ts)).alias("a"),
+        *(F.max(c).alias(c) for c in ("f_callsign", "f_dep", "latest")),
     )
-    ends = positions.join(opened, "icao24").where("captured_at >= opened").groupBy("icao24", "opened").agg(F.max("captured_at").alias("latest"))
-    legs = legs.where("d IS NOT NULL").join(ends, ["icao24", "opened"])
-    done = F.col("a").isNotNull()
-    new = legs.select("icao24", "opened", F.when(done, "new").otherwise("pending").alias("action"), F.coalesce("d.cs", "a.callsign").alias("callsign"), F.lit(None).cast("string").alias("dep"), F.col("d.at").alias("first_seen"), F.coalesce("a.captured_at", "latest").alias("last_seen"), F.col("d.lat").alias("dlat"), F.col("d.lon").alias("dlon"), F.col("a.latitude").alias("alat"), F.col("a.longitude").alias("alon"))
-    both = nearest_airport(close.unionByName(new), airports, cfg.airport_radius_km, "dlat", "dlon").withColumn("dep", F.coalesce("dep", "airport")).drop("airport", "airport_km")
-    both = nearest_airport(both, airports, cfg.airport_radius_km, "alat", "alon")
-    return both.select("icao24", "opened", "action", "callsign", F.col("dep").alias("departure_airport_icao"), F.col("airport").alias("arrival_airport_icao"), "first_seen", "last_seen", dep_equals_arr(F.col("dep"), F.col("airport")).alias("needs_review"))
+    closes, done = F.col("leg") < 0, F.col("a").isNotNull()
+    legs = legs.where((closes & done) | (~closes & F.col("d").isNotNull()))
+    found = nearest_airports(legs, airports, cfg.airport_radius_km, {"dep": (F.when(~closes, F.col("d.lat")), F.when(~closes, F.col("d.lon"))), "arr": (F.col("a.latitude"), F.col("a.longitude"))})
+    dep, arr = F.when(closes, F.col("f_dep")).otherwise(F.col("dep.airport")), F.col("arr.airport")
+    return found.select(
+        "icao24", "opened", F.when(closes, "close").when(done, "new").otherwise("pending").alias("action"),
+        F.when(closes, F.coalesce("a.callsign", "f_callsign")).otherwise(F.coalesce("d.cs", "a.callsign")).alias("callsign"),
+        dep.alias("departure_airport_icao"), arr.alias("arrival_airport_icao"),
+        F.when(closes, F.col("opened")).otherwise(F.col("d.at")).alias("first_seen"), F.coalesce("a.captured_at", "latest").alias("last_seen"), dep_equals_arr(dep, arr).alias("needs_review"),
+    )
 
 
 def replay_detector(positions: DataFrame, airports: DataFrame, cfg: DetectorConfig) -> DataFrame:

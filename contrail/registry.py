@@ -14,6 +14,7 @@ from contrail.fixtures import Tables
 from contrail.functions import scalars as S
 from contrail.operators import detector, fleet, geo, merge, sessions
 from contrail.plans import reports, rotation
+from contrail.shared import shared_path, stage
 from contrail.sources import payloads
 from contrail.streaming import jobs
 
@@ -158,7 +159,7 @@ def s12_aircraft_from_flight_pages(t):
 
 @query
 def s13_write_positions(t):
-    path = payloads.shared_path(t.spark, "positions")
+    path = shared_path(t.spark, "positions")
     payloads.write_positions(t.positions.where("latitude < 0"), path)
     payloads.write_positions(t.positions.where("latitude >= 0"), path)
     return t.spark.read.parquet(path).select("icao24", "captured_at", "callsign", "altitude_m", C("date").cast("string").alias("day"))
@@ -166,7 +167,7 @@ def s13_write_positions(t):
 
 @query
 def s13_write_flights(t):
-    path = payloads.shared_path(t.spark, "flights")
+    path = shared_path(t.spark, "flights")
     payloads.write_flights(_flight_rows(t.flights), path)
     payloads.write_flights(_flight_rows(_updates(t)), path)
     return _flight_rows(t.spark.read.parquet(path))
@@ -371,7 +372,9 @@ def s50_covered_sessions(t):
 
 @query
 def s51_incremental_detect(t):
-    return detector.incremental_detect(t.positions, t.flight_seed, t.airports, datetime(2024, 1, 10, tzinfo=timezone.utc), LIVE, SPARSE)
+    since = datetime(2024, 1, 10, tzinfo=timezone.utc)
+    tail = stage(detector.tails(t.positions, since, SPARSE), "tails")
+    return detector.incremental_detect(t.positions, t.flight_seed, t.airports, since, LIVE, SPARSE, tail)
 
 
 @query
@@ -534,7 +537,7 @@ def s77_job_run_record(t):
     seen = Observation("run")
     changed = F.count_if(C("needs_review"))
     counted = t.flights.observe(seen, F.count("*").alias("aircraft_total"), changed.alias("aircraft_error"), (F.count("*") - changed).alias("aircraft_ok"), F.count("arrival_airport_icao").alias("flights_upserted"))
-    counted.write.parquet(payloads.shared_path(t.spark, "run"))
+    counted.write.parquet(shared_path(t.spark, "run"))
     rows = payloads.job_run_record(t.spark, "flight_detector", AS_OF, LIVE, seen.get)
     return rows.withColumn("error_detail", F.coalesce("error_detail", F.lit("none")))
 

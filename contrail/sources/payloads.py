@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -168,14 +167,14 @@ def write_flights(flights: DataFrame, path: str) -> None:
     spark = flights.sparkSession
     fresh = one_row_a_key(flights, KEY).withColumn("date", F.to_date("first_seen"))
     if not path_exists(spark, path):
-        fresh.write.partitionBy("date").parquet(path)
+        fresh.hint("rebalance", "date").write.partitionBy("date").parquet(path)  # few files a day, and large days split
         return
     days = fresh.select("date").distinct()
     old = spark.read.schema(fresh.schema).parquet(path).join(days, "date", "left_semi").select(*fresh.columns)
     beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     try:
         upsert_flights(old, fresh).write.parquet(beside)
-        spark.read.parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+        spark.read.parquet(beside).hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
     finally:
         delete_path(spark, beside)
 
@@ -188,17 +187,3 @@ def job_run_record(spark: SparkSession, run_type: str, started_at, finished_at,
     """One audit row of a job; counters come from DataFrame.observe."""
     row = [run_type, started_at, finished_at, *(int(counters.get(c, 0)) for c in ("aircraft_total", "aircraft_ok", "aircraft_error", "flights_upserted")), error, "error" if error else "ok"]
     return spark.createDataFrame([tuple(row)], "run_type string, started_at timestamp, finished_at timestamp, aircraft_total int, aircraft_ok int, aircraft_error int, flights_upserted int, error_detail string, status string")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster names in spark.checkpoint.dir; a local session without one gets a temporary folder."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-    path = f"{found}/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path

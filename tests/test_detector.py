@@ -5,10 +5,12 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from contrail.config import DetectorConfig
-from contrail.operators.detector import detect_flights
+from contrail.operators.detector import detect_flights, incremental_detect, tails
 from contrail.operators.geo import nearest_airport
+from contrail.sources.payloads import write_positions
 
 START = datetime(2024, 1, 1, 12)
 AIRPORTS = [("AAAA", "A", 10.0, 10.0), ("BBBB", "B", 20.0, 20.0)]
@@ -119,3 +121,39 @@ def test_nearest_airport_equals_brute_force(spark):
     rows = found.collect()
     assert len(rows) == len(points)
     assert all(r.airport == (nearest((r.latitude, r.longitude)) if r.latitude is not None else None) for r in rows)
+
+
+def test_salted_cells_give_the_same_airports(spark, airports):
+    rng = random.Random(5)
+    points = [(i, 10.0, 10.0) for i in range(300)] + [(i, None, 1.0) for i in range(300)] + [(i, rng.uniform(9, 21), rng.uniform(9, 21)) for i in range(300)]
+    rows = spark.createDataFrame(points, "id int, latitude double, longitude double")
+    plain, salted = (nearest_airport(rows, airports, 50.0, most=most) for most in (1000, 0))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect()))
+    assert "airport" in salted.columns and salted.where("airport IS NOT NULL").count() >= 300
+    plan = plain._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("BroadcastHashJoin") == 1 and plan.count("Scan") == 2  # points once, airports once
+
+
+def test_a_run_with_tails_equals_one_over_all_history(spark, airports, tmp_path):
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        minute, ground = 0, True
+        for _ in range(60):
+            minute += rng.choice((2, 2, 4, 9, 60))
+            ground = ground if rng.random() < 0.8 else not ground
+            spot = rng.choice((10.0, 20.0)) if ground else rng.choice((10.0, 15.0, 20.0))
+            rows.append((f"{i:06x}", "DLH1", START + timedelta(minutes=minute), spot, spot, 100.0 if ground else 4000.0, 5.0 if ground else 200.0, 0.0, ground))
+    positions = spark.createDataFrame(rows, "icao24 string, callsign string, captured_at timestamp, latitude double, longitude double, altitude_m float, velocity_ms float, heading float, on_ground boolean")
+    cfg, cut = DetectorConfig(stale_hours=3), START + timedelta(minutes=200)
+    stored = detect_flights(positions.where(F.col("captured_at") < F.lit(cut)), airports, None, cfg).drop("path")
+    as_of = START + timedelta(days=1)
+    path = str(tmp_path / "positions")
+    write_positions(positions, path)
+    early = tails(positions, START + timedelta(minutes=100), cfg)
+    between = positions.where(F.col("captured_at") >= F.lit(START + timedelta(minutes=100)))
+    tail = tails(between, cut, cfg, early)
+    assert sorted(map(tuple, tail.collect())) == sorted(map(tuple, tails(positions, cut, cfg).collect()))
+    whole = incremental_detect(positions, stored, airports, cut, as_of, cfg)
+    found = incremental_detect(spark.read.parquet(path), stored, airports, cut, as_of, cfg, tail)
+    assert sorted(map(str, found.select(*whole.columns).collect())) == sorted(map(str, whole.collect())) and whole.count() > 40
