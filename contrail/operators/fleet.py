@@ -128,6 +128,13 @@ def compare_fleets(external: DataFrame, aircraft: DataFrame) -> DataFrame:
     )
 
 
+def fleet_totals(diff: DataFrame) -> DataFrame:
+    """compare_fleets in one row: aircraft of each side, in both and on one side only, and what would be changed."""
+    external, ours = F.col("side") != "fleet", F.col("side") != "external"
+    counts = {"external": external, "fleet": ours, "both": external & ours, "only_external": ~ours, "only_fleet": ~external, "mismatches": F.col("mismatch"), "fillable": F.col("fillable"), "reactivations": F.col("reactivate")}
+    return diff.agg(*(F.count_if(c).alias(n) for n, c in counts.items()))
+
+
 def apply_fleet_fixes(aircraft: DataFrame, diff: DataFrame) -> DataFrame:
     src = diff.where("fillable OR reactivate").select("icao24", "fillable", "reactivate", F.col("their_type").alias("aircraft_type"), F.lit(True).alias("is_active"))
     fill = lambda old, new: F.when(F.col("s.fillable"), F.coalesce(F.nullif(old, F.lit("")), new)).otherwise(old)

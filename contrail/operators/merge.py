@@ -88,6 +88,12 @@ def fill_departure(target: DataFrame, src: DataFrame) -> DataFrame:
     return merge(target, src, KEY, {"departure_airport_icao": fill}, insert=False)
 
 
+def changed_departures(target: DataFrame, src: DataFrame) -> DataFrame:
+    """How many flights fill_departure changes."""
+    given = src.where("departure_airport_icao IS NOT NULL").select(*KEY)
+    return target.where("departure_airport_icao IS NULL").join(given, KEY, "left_semi").agg(F.count("*").alias("changed"))
+
+
 def upsert_aircraft(target: DataFrame, src: DataFrame) -> DataFrame:
     names = ("registration", "aircraft_type", "aircraft_subtype", "needs_review", "is_active")
     return merge(target, src.withColumn("is_active", F.lit(True)), ["icao24"], dict.fromkeys(names, replace), insert=True)

@@ -216,6 +216,9 @@ o("s60_upsert_flights", f"SELECT {FK} FROM ({MERGED})", UPDATES)
 ORACLES["s13_write_flights"] = ORACLES["s60_upsert_flights"]  # the same upsert, through the sink
 o("s55_merge_flight_actions", f"SELECT {FK} FROM (SELECT m.icao24, m.first_seen, CASE WHEN g THEN u.last_seen ELSE m.last_seen END AS last_seen, CASE WHEN g THEN coalesce(u.callsign, m.callsign) ELSE m.callsign END AS callsign, m.departure_airport_icao, CASE WHEN g THEN coalesce(u.arrival_airport_icao, m.arrival_airport_icao) ELSE m.arrival_airport_icao END AS arrival_airport_icao, CASE WHEN g AND u.arrival_airport_icao IS NOT NULL THEN u.needs_review ELSE m.needs_review END AS needs_review FROM (SELECT m.*, m.arrival_airport_icao IS NULL AND u0.icao24 IS NOT NULL AS g FROM ({MERGED.replace(' u USING', ' v AS u USING')}) m LEFT JOIN (SELECT DISTINCT icao24, first_seen FROM u) u0 USING (icao24, first_seen)) m LEFT JOIN u USING (icao24, first_seen))", UPDATES + ", v AS (SELECT * FROM u WHERE arrival_airport_icao IS NULL)")
 o("s61_update_open_flights", f"SELECT {FK} FROM (SELECT f.icao24, f.first_seen, CASE WHEN g THEN u.last_seen ELSE f.last_seen END AS last_seen, CASE WHEN g THEN coalesce(u.callsign, f.callsign) ELSE f.callsign END AS callsign, f.departure_airport_icao, CASE WHEN g THEN u.arrival_airport_icao ELSE f.arrival END AS arrival_airport_icao, CASE WHEN g AND u.arrival_airport_icao IS NOT NULL THEN u.needs_review ELSE f.needs_review END AS needs_review FROM (SELECT f.*, CASE WHEN id % 5 > 0 THEN arrival_airport_icao END AS arrival, (CASE WHEN id % 5 > 0 THEN arrival_airport_icao END) IS NULL AND w.icao24 IS NOT NULL AS g FROM flights f LEFT JOIN (SELECT icao24, first_seen FROM u) w USING (icao24, first_seen)) f LEFT JOIN u USING (icao24, first_seen))", UPDATES)
+o("s12_flight_page_counts", "SELECT count(*) FILTER (id % 7 > 0 AND id % 5 > 0) AS registered, count(*) FILTER (id % 7 = 0 OR id % 5 = 0) AS unregistered FROM flights JOIN aircraft USING (icao24)")
+o("s62_changed_departures", "SELECT count(*) AS changed FROM flights f JOIN u USING (icao24, first_seen) WHERE f.departure_airport_icao IS NULL", UPDATES)
+o("s69_fleet_totals", "SELECT count(*) FILTER (side <> 'fleet') AS external, count(*) FILTER (side <> 'external') AS fleet, count(*) FILTER (side = 'both') AS both, count(*) FILTER (side = 'external') AS only_external, count(*) FILTER (side = 'fleet') AS only_fleet, count(*) FILTER (mismatch) AS mismatches, count(*) FILTER (fillable) AS fillable, count(*) FILTER (reactivate) AS reactivations FROM df", EXTERNAL)
 o("s62_fill_departure", f"SELECT {FK} FROM (SELECT f.icao24, f.first_seen, f.last_seen, f.callsign, coalesce(f.departure_airport_icao, u.departure_airport_icao) AS departure_airport_icao, f.arrival_airport_icao, f.needs_review FROM flights f LEFT JOIN u USING (icao24, first_seen))", UPDATES)
 o("s63_upsert_aircraft", "SELECT icao24, coalesce(u.registration, a.registration) AS registration, CASE WHEN u.registration IS NULL THEN a.aircraft_type ELSE u.aircraft_type END AS aircraft_type, coalesce(u.aircraft_subtype, a.aircraft_subtype) AS aircraft_subtype, u.registration IS NOT NULL OR a.is_active AS is_active, CASE WHEN u.registration IS NULL THEN a.needs_review ELSE FALSE END AS needs_review FROM aircraft a FULL JOIN (SELECT CASE WHEN icao24 < '000400' THEN icao24 ELSE 'x' || icao24 END AS icao24, 'D-UPS' AS registration, aircraft_type, 'up' AS aircraft_subtype FROM aircraft WHERE NOT is_active) u USING (icao24)")
 o("s64_discover_aircraft", "SELECT icao24, coalesce(r.registration, upper(icao24)) AS registration, CASE WHEN r.registration IS NOT NULL THEN r.aircraft_type ELSE t.t END AS aircraft_type, CASE WHEN r.registration IS NOT NULL THEN r.aircraft_subtype ELSE t.s END AS aircraft_subtype, CASE WHEN r.registration IS NOT NULL THEN r.aircraft_type ELSE t.t END IS NULL OR coalesce(r.registration, upper(icao24)) = upper(icao24) AS needs_review FROM n LEFT JOIN (SELECT * FROM x WHERE (SELECT count(DISTINCT icao24) FROM x) < (SELECT count(*) FROM n) OR row_no <= (SELECT max(m) FROM (SELECT min(row_no) AS m FROM x GROUP BY icao24)) QUALIFY row_number() OVER (PARTITION BY icao24 ORDER BY row_no DESC) = 1) r USING (icao24) LEFT JOIN (SELECT icao24, 'LOOK' AS t, aircraft_subtype AS s FROM aircraft WHERE aircraft_subtype IS NOT NULL) t USING (icao24)", REGISTER + ", n AS (SELECT DISTINCT icao24 FROM positions WHERE icao24 NOT IN (SELECT icao24 FROM aircraft WHERE is_active)), x AS (SELECT * FROM cr WHERE icao24 IN (SELECT icao24 FROM n))")
@@ -263,7 +266,7 @@ o("s98_route_transitions", "SELECT * FROM tr", TRANS)
 o("s99_transition_probabilities", "SELECT *, round(n / sum(n) OVER (PARTITION BY from_route), 6) AS share FROM tr", TRANS)
 AFFINITY = "SELECT *, round(n / max(n) OVER (), 6) AS intensity FROM (SELECT registration, route, count(*) AS n FROM fr WHERE route IN (SELECT route FROM fr GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20) GROUP BY ALL)"
 o("s100_route_affinity", AFFINITY, FLOWN)
-o("s100_affinity_matrix", "SELECT registration, " + ", ".join(f"""coalesce(max(intensity) FILTER (route = 'A00{i}-A00{j}'), 0) AS "A00{i}-A00{j}\"""" for i in range(5) for j in range(5)) + f" FROM ({AFFINITY}) GROUP BY 1", FLOWN)
+o("s100_affinity_matrix", f"SELECT registration, route, coalesce(intensity, 0) AS intensity FROM (SELECT DISTINCT registration FROM ({AFFINITY})) CROSS JOIN (SELECT DISTINCT route FROM ({AFFINITY})) LEFT JOIN ({AFFINITY}) USING (registration, route)", FLOWN)
 o("s101_preceding_routes", "SELECT step, earlier, count(*) AS n FROM (SELECT 1 AS step, r1 AS earlier FROM w WHERE route = 'A001-A002' UNION ALL SELECT 2, r2 FROM w WHERE route = 'A001-A002' UNION ALL SELECT 3, r3 FROM w WHERE route = 'A001-A002') WHERE earlier IS NOT NULL GROUP BY ALL", FLOWN + ", w AS (SELECT *, lag(route, 1) OVER z AS r1, lag(route, 2) OVER z AS r2, lag(route, 3) OVER z AS r3 FROM fr WINDOW z AS (PARTITION BY icao24 ORDER BY first_seen, id))")
 o("s102_last_known_airport", "SELECT registration, arrival_airport_icao AS airport, epoch_us(last_seen) AS last_seen FROM fr WHERE is_active QUALIFY row_number() OVER (PARTITION BY registration ORDER BY last_seen DESC, id DESC) = 1", FLOWN)
 o("s103_focus_route_history", "SELECT id, registration, callsign, epoch_us(first_seen) AS first_seen, epoch_us(last_seen) AS last_seen, duration_minutes FROM fl WHERE route = 'A001-A002'", FLOWN)

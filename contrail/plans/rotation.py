@@ -53,7 +53,7 @@ def dow_counts(flights: DataFrame, aircraft: DataFrame, focus: Focus) -> DataFra
 
 
 def dow_heatmap(flights: DataFrame, aircraft: DataFrame, focus: Focus) -> DataFrame:
-    counts = dow_counts(flights, aircraft, focus).withColumn("intensity", F.round(F.col("n") / F.max("n").over(W.partitionBy()), 6))
+    counts = _intensity(dow_counts(flights, aircraft, focus))
     return counts.groupBy("registration").pivot("dow", list(range(7))).agg(F.first("intensity")).na.fill(0.0).select("registration", *(F.col(str(d)).alias(f"d{d}") for d in range(7)))
 
 
@@ -90,10 +90,17 @@ def route_affinity(flights: DataFrame, aircraft: DataFrame, focus: Focus, k: int
     rows = _flown(flights, aircraft, focus)
     top = rows.groupBy("route").agg(F.count("*").alias("t")).orderBy(F.desc("t"), "route").limit(k)
     counts = rows.join(F.broadcast(top), "route", "left_semi").groupBy("registration", "route").agg(F.count("*").alias("n"))  # top: k rows
-    return counts.withColumn("intensity", F.round(F.col("n") / F.max("n").over(W.partitionBy()), 6))
+    return _intensity(counts)
 
 
-def affinity_matrix(affinity: DataFrame, routes: list[str]) -> DataFrame:
+def _intensity(counts: DataFrame) -> DataFrame:
+    """counts with n's share of the greatest n, which is one aggregate and gathers no rows."""
+    return counts.withColumn("intensity", F.round(F.col("n") / counts.agg(F.max("n")).scalar(), 6))
+
+
+def affinity_matrix(affinity: DataFrame) -> DataFrame:
+    """A row per registration and a column per route of route_affinity, which has k of them at most."""
+    routes = [r["route"] for r in affinity.select("route").distinct().orderBy("route").collect()]
     return affinity.groupBy("registration").pivot("route", routes).agg(F.first("intensity")).na.fill(0.0)
 
 

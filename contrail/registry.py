@@ -149,12 +149,21 @@ def s11_parse_type_record(t):
     return payloads.parse_type_record(raw).drop("value")
 
 
-@query
-def s12_aircraft_from_flight_pages(t):
+def _pages(t: Tables, registration) -> DataFrame:
     f = t.flights.join(t.aircraft.select("icao24", "registration", "aircraft_type"), "icao24")
-    entry = F.struct(F.lower("registration").alias("registration"), "aircraft_type", C("callsign").alias("ident"), F.struct(C("departure_airport_icao").alias("code_icao")).alias("origin"), F.struct(C("arrival_airport_icao").alias("code_icao")).alias("destination"))
+    entry = F.struct(registration.alias("registration"), "aircraft_type", C("callsign").alias("ident"), F.struct(C("departure_airport_icao").alias("code_icao")).alias("origin"), F.struct(C("arrival_airport_icao").alias("code_icao")).alias("destination"))
     lists = f.groupBy(C("flight_date").alias("page_no")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", entry.alias("e")))), lambda x: x["e"]).alias("arrivals"))
-    return payloads.aircraft_from_flight_pages(lists.select("page_no", F.to_json(F.struct("arrivals")).alias("value")))
+    return lists.select("page_no", F.to_json(F.struct("arrivals")).alias("value"))
+
+
+@query
+def s12_aircraft_from_flight_pages(t):
+    return payloads.aircraft_from_flight_pages(_pages(t, F.lower("registration")))
+
+
+@query
+def s12_flight_page_counts(t):
+    return payloads.flight_page_counts(_pages(t, F.when(C("id") % 7 == 0, " ").when(C("id") % 5 > 0, F.lower("registration"))))
 
 
 @query
@@ -441,6 +450,11 @@ def s62_fill_departure(t):
     return _flight_rows(merge.fill_departure(t.flights, _updates(t)))
 
 
+@query
+def s62_changed_departures(t):
+    return merge.changed_departures(t.flights, _updates(t))
+
+
 @query
 def s63_upsert_aircraft(t):
     src = t.aircraft.where("NOT is_active").select(F.when(C("icao24") < "000400", C("icao24")).otherwise(F.concat(F.lit("x"), "icao24")).alias("icao24"), F.lit("D-UPS").alias("registration"), "aircraft_type", F.lit("up").alias("aircraft_subtype"), F.lit(False).alias("needs_review"))
@@ -485,6 +499,11 @@ def s69_compare_fleets(t):
     return fleet.compare_fleets(_external(t), t.aircraft)
 
 
+@query
+def s69_fleet_totals(t):
+    return fleet.fleet_totals(fleet.compare_fleets(_external(t), t.aircraft))
+
+
 @query
 def s70_apply_fleet_fixes(t):
     return fleet.apply_fleet_fixes(t.aircraft, fleet.compare_fleets(_external(t), t.aircraft)).select("icao24", "aircraft_type", "is_active")
@@ -679,8 +698,8 @@ def s100_route_affinity(t):
 
 @query
 def s100_affinity_matrix(t):
-    ends = [f"A00{i}-A00{j}" for i in range(5) for j in range(5)]
-    return rotation.affinity_matrix(rotation.route_affinity(t.flights, t.aircraft, FOCUS), ends)
+    wide = rotation.affinity_matrix(rotation.route_affinity(t.flights, t.aircraft, FOCUS))
+    return wide.unpivot("registration", wide.columns[1:], "route", "intensity")
 
 
 @query

@@ -77,16 +77,25 @@ def parse_type_record(raw: DataFrame, col: str = "value") -> DataFrame:
     return out.drop("one")
 
 
-def aircraft_from_flight_pages(pages: DataFrame, col: str = "value", order: str = "page_no") -> DataFrame:
-    """Aircraft of operator pages by registration: flights, and what their first record says."""
+def _page_flights(pages: DataFrame, col: str, order: str) -> DataFrame:
     j = pages.select(order, F.from_json(col, PAGES).alias("j"))
     empty = F.expr(f"CAST(array() AS {PAGE_FLIGHT})")
     everything = F.concat(*(F.coalesce(f"j.{k}", empty) for k in ("arrivals", "enroute", "scheduled")))
-    rows = j.select(order, F.posexplode(everything).alias("pos", "f")).withColumn("registration", clean_code(F.col("f.registration")))
+    return j.select(order, F.posexplode(everything).alias("pos", "f")).withColumn("registration", clean_code(F.col("f.registration")))
+
+
+def aircraft_from_flight_pages(pages: DataFrame, col: str = "value", order: str = "page_no") -> DataFrame:
+    """Aircraft of operator pages by registration: flights, and what their first record says."""
+    rows = _page_flights(pages, col, order)
     first = F.min_by(F.struct(clean_code(F.col("f.aircraft_type")).alias("aircraft_type"), clean_code(F.coalesce("f.ident_icao", "f.ident")).alias("callsign"), F.col("f.origin.code_icao").alias("origin"), F.col("f.destination.code_icao").alias("destination")), F.struct(order, "pos"))
     return rows.where("registration IS NOT NULL").groupBy("registration").agg(F.count("*").alias("flight_count"), first.alias("a")).select("registration", "flight_count", "a.*")
 
 
+def flight_page_counts(pages: DataFrame, col: str = "value", order: str = "page_no") -> DataFrame:
+    """How many records of operator pages name a registration, and how many aircraft_from_flight_pages leaves out because they don't."""
+    return _page_flights(pages, col, order).agg(F.count("registration").alias("registered"), F.count_if(F.col("registration").isNull()).alias("unregistered"))
+
+
 def load_review_edits(rows: DataFrame) -> DataFrame:
     """Edits with cleaned fields; `known` is false for actions that aren't understood."""
     blank = lambda c: clean_code(F.col(c), "keep").alias(c)
