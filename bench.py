@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from contrail.registry import QUERIES
 
 HEADLINE = (
-    "s28_nearest_airport", "s33_positions_before", "s35_split_sessions", "s37_ground_transitions", "s42_session_features", "s43_detect_flights", "s54_replay_detector",
+    "s28_nearest_airport", "s33_positions_before", "s35_split_sessions", "s37_ground_transitions", "s42_session_features", "s43_detect_flights", "s51_incremental_detect", "s53_backfill_open_flights", "s54_replay_detector",
     "s60_upsert_flights", "s69_compare_fleets", "s86_top_routes", "s88_fleet_list", "s98_route_transitions", "s101_preceding_routes",
 )
 
