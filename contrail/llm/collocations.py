@@ -6,13 +6,14 @@ each position's phrase whose two shorter parts can be frequent is hashed to a bu
 buckets below the threshold rule out all their phrases. The distinct phrases that no level rules out are the candidates.
 They are dealt to shards of a bounded number of phrases; each shard's trie over word numbers is a double array, which is
 broadcast. Numpy moves the states of all positions of a pack one word deeper at a time and bincounts the accepting ones;
-the sums over all tasks are the exact counts, since the trie compares words, not hashes.
+the sums over all tasks are the exact counts, since the trie compares words, not hashes. Hashes of 64 bits
+tell phrases apart only while candidates are gathered.
 
 What is broadcast are one bit a bucket (at most 2**MOST_BITS buckets) and tries of at most `shard` phrases, so both are
 bounded; more candidates make more shards, of which each reads the packs once.
 
-A null text is empty, a null language is `und`; very long texts count whole, a piece may span packs' bounds but never does
-a phrase get lost, since packs are cut between documents. Repeated rows count each. No rows give no rows. Other columns are ignored.
+A null text is empty, a null language is `und`; very long texts count whole, since packs are cut
+between documents only. Repeated rows count each. No rows give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
