@@ -18,6 +18,7 @@ cut; a pack ends with the text that fills it. No rows yield no rows. Other colum
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -91,16 +92,18 @@ def word_counts(packed: DataFrame, buckets: int) -> DataFrame:
     """Each word's count in all training documents, given back to the packs that hold it, as a written table.
 
     Rows with `pack` hold the counts of its words in one bucket; the others, by class, the counts and the number of words.
-    A pack gives each bucket of words one row, so words that all packs hold are no hot keys.
+    A pack gives each bucket that its words fall into one row, so words that all packs hold are no hot keys, and there
+    are at most as many rows as the packs have distinct words, however many buckets there are.
     """
 
     def deal(batches):
         for batch in batches:
             for row, words, counts in zip(batch.select(["pack", "hashes"]).to_pylist(), batch.column("words"), batch.column("counts"), strict=True):
                 order, sizes = in_buckets(row["hashes"], buckets)
-                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                some = np.flatnonzero(sizes)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes[some])]), pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, x.values.take(pa.array(order))) for x in (words, counts)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(buckets, row["pack"])), pa.array(np.arange(buckets), pa.int32()), *lists], ["pack", "bucket", "words", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), row["pack"])), pa.array(some, pa.int32()), *lists], ["pack", "bucket", "words", "counts"])
 
     names = ["pack", "bucket", "known", "class", "c", "v"]
 
@@ -153,40 +156,54 @@ class Hmm:
         for docs in np.split(order, np.flatnonzero(np.diff(group)) + 1):
             yield docs, begins[docs], lens[docs]
 
-    def forward(self, classes: np.ndarray, begins: np.ndarray, lens: np.ndarray, keep: bool):
-        """log10 likelihood over that of the class shares, per document; with keep also the states and scales by token."""
+    def forward(self, classes: np.ndarray, begins: np.ndarray, lens: np.ndarray, keep: bool, before: np.ndarray | None = None):
+        """log10 likelihood over that of the class shares, per document; with keep also the states and scales by token; the longest documents' last states.
+
+        before: the documents' states at the token before, where they begin inside texts.
+        """
         active = np.searchsorted(-lens, -np.arange(lens[0]), side="left")  # how many are longer than t
-        state, total = np.tile(self.start, (len(lens), 1)), np.zeros(len(lens))
+        state, total = np.tile(self.start, (len(lens), 1)) if before is None else before, np.zeros(len(lens))
         states, scales = (np.empty((len(classes), len(self.start))), np.ones(len(classes))) if keep else (None, None)
         for t, n in enumerate(active):
             at = begins[:n] + t
-            state = (state[:n] @ self.move if t else state[:n]) * self.ratio[classes[at]]
+            state = (state[:n] @ self.move if t or before is not None else state[:n]) * self.ratio[classes[at]]
             scale = state.sum(1)
             state /= scale[:, None]
             total[:n] += np.log10(scale)
             if keep:
                 states[at], scales[at] = state, scale
-        return total, states, scales, active
+        return total, states, scales, active, state
+
+    def expect(self, classes: np.ndarray, lens: np.ndarray, steps: int = WAVE):
+        """Baum-Welch counts over whole documents: first states, moves, and classes by state.
 
-    def expect(self, classes: np.ndarray, lens: np.ndarray):
-        """Baum-Welch counts over whole documents: first states, moves, and classes by state."""
+        Documents of more than `steps` tokens are gone through in parts: forward once for the states at the cuts, then
+        part by part from the end, so the states of one part are held at a time. The counts are the same.
+        """
         start, move, emit = np.zeros(len(self.start)), np.zeros_like(self.move), np.zeros_like(self.ratio)
         for _, begins, ls in self.waves(classes, lens):
-            local = np.concatenate([[0], np.cumsum(ls)[:-1]])
-            own = np.concatenate([classes[b : b + n] for b, n in zip(begins, ls, strict=True)])
-            _, states, scales, active = self.forward(own, local, ls, keep=True)
-            back = np.ones((len(ls), len(self.start)))
-            for t in range(len(active) - 2, -1, -1):
-                n = active[t + 1]
-                at = local[:n] + t + 1
-                ahead = self.ratio[own[at]] * back[:n] / scales[at][:, None]
-                move += states[at - 1].T @ ahead
-                states[at] *= back[:n]
-                back[:n] = ahead @ self.move.T
-            states[local] *= back
+            parts = []
+            for cut in range(0, ls[0], steps):
+                n = np.searchsorted(-ls, -cut, side="left")  # how many are longer than cut
+                parts.append((begins[:n] + cut, np.minimum(ls[:n] - cut, steps)))
+            entering = [None]
+            for part, after in pairwise(parts):
+                entering.append(self.forward(classes, *part, keep=False, before=entering[-1])[-1][: len(after[0])])
+            ahead = np.zeros((0, len(self.start)))
+            for (b, n), before in zip(reversed(parts), reversed(entering), strict=True):
+                local = np.cumsum(n) - n
+                own = np.concatenate([classes[i : i + k] for i, k in zip(b, n, strict=True)])
+                _, states, scales, active, _ = self.forward(own, local, n, keep=True, before=before)
+                back = np.ones((len(n), len(self.start)))
+                for t in range(len(active) - 1, -1, -1):
+                    at = local[: active[t]] + t
+                    move += states[at[: len(ahead)]].T @ ahead
+                    back[: len(ahead)] = ahead @ self.move.T
+                    states[at] *= back[: len(at)]
+                    ahead = self.ratio[own[at]] * back[: len(at)] / scales[at][:, None]
+                for s in range(len(self.start)):
+                    emit[:, s] += np.bincount(own, states[:, s], len(emit))
             start += states[local].sum(0)
-            for s in range(len(self.start)):
-                emit[:, s] += np.bincount(own, states[:, s], len(emit))
         return start, move * self.move, emit
 
 

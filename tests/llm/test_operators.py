@@ -279,6 +279,55 @@ def test_forward_is_exact():
     assert math.isclose(start.sum(), 2) and math.isclose(move.sum(), 7) and math.isclose(emit.sum(), 9)
 
 
+@pytest.mark.parametrize("steps", [1, 2, 3, 4, 100])
+def test_expected_counts_are_those_of_all_paths(steps):
+    """Also where documents are gone through in parts that are shorter than they are."""
+    rng = np.random.default_rng(4)
+    model = hmm_lm.Hmm(np.full(5, 0.2), states=3)
+    model.start, model.move = rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3)
+    lens = np.array([4, 1, 7, 2, 7, 3])
+    classes = rng.integers(0, 5, lens.sum()).astype(np.int32)
+    start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
+    for at, n in zip(np.cumsum(lens) - lens, lens, strict=True):
+        doc, paths = classes[at : at + n], list(np.ndindex(*[3] * n))
+        odds = np.array([model.start[p[0]] * np.prod([model.ratio[c, s] for c, s in zip(doc, p, strict=True)]) * np.prod([model.move[a, b] for a, b in zip(p, p[1:])]) for p in paths])
+        for path, odd in zip(paths, odds / odds.sum(), strict=True):
+            start[path[0]] += odd
+            np.add.at(move, (path[:-1], path[1:]), odd)
+            np.add.at(emit, (doc, path), odd)
+    found = model.expect(classes, lens, steps)
+    assert all(np.allclose(a, b) for a, b in zip(found, (start, move, emit), strict=True))
+
+
+def test_language_model_deals_no_empty_buckets(spark, odd):
+    """As many rows as the packs have distinct words at most, and the same counts in one bucket or in thousands."""
+    docs = odd.select("doc_id", F.lit(False).alias("held"), F.coalesce("text", F.lit("")).alias("text")).repartition(3)
+    packed = hmm_lm.stage(hmm_lm.packs(docs), "test-packs")
+    words = packed.agg(F.sum(F.size("words"))).first()[0]
+    sums = []
+    for buckets in (1, 5000):
+        counts = hmm_lm.word_counts(packed, buckets)
+        assert counts.where("pack IS NOT NULL").count() <= words
+        sums.append(sorted(map(tuple, counts.where("pack IS NULL").groupBy("class").agg(F.sum("c"), F.sum("v")).collect())))
+    assert sums[0] == sums[1]
+
+
+def test_language_model_score_of_a_row_is_the_sum_over_all_paths(spark, monkeypatch):
+    """A whole query row by brute force: words drawn from their classes by smoothed counts, classes from the states of the model."""
+    models, begin = [], hmm_lm.starting_values
+    monkeypatch.setattr(hmm_lm, "starting_values", lambda packed, model: models.append(model) or begin(packed, model))
+    docs = spark.createDataFrame([(0, "a b a c"), (1, "b b C"), (2, "a unseen c"), (3, "")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in hmm_lm.score(docs, F.col("doc_id") == 2).collect()}
+    counts, words = Counter(["a", "b", "a", "c", "", "b", "b", "c", "", ""]), ["a", "unseen", "c", ""]
+    model, mass = models[0], np.full(hmm_lm.CLASSES, 0.5)
+    for w, c in counts.items():
+        mass[hmm_lm.word_classes([w.encode()])[0]] += c + 0.5
+    classes = hmm_lm.word_classes([w.encode() for w in words])
+    emit = model.ratio[classes] * (mass / mass.sum())[classes, None] * (np.array([counts[w] + 0.5 for w in words]) / mass[classes])[:, None]
+    total = sum(model.start[p[0]] * np.prod([model.move[a, b] for a, b in zip(p, p[1:])]) * np.prod(emit[range(4), p]) for p in np.ndindex(*[hmm_lm.STATES] * 4))
+    assert math.isclose(rows[2].score, math.log10(total)) and rows[2].held_out and (rows[2].n_tokens, rows[2].n_known) == (4, 3)
+
+
 def test_mixing_comes_near_targets_with_null_and_repeated_ids(spark):
     """Within one document of each source's target, also where all ids are null or rows are equal; other columns stay."""
     texts = [" ".join(["w"] * (1 + i * 7 % 50)) for i in range(400)]
