@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from contrail.config import DetectorConfig
 from contrail.functions.scalars import dep_equals_arr
 from contrail.operators import merge
-from contrail.operators.geo import last_completed_flight, latest_position, nearest_airport, nearest_airports, open_flights
+from contrail.operators.geo import captured, last_completed_flight, latest_position, nearest_airport, nearest_airports, open_flights
 from contrail.operators.sessions import session_features, with_ground
 from contrail.shared import stage
 
@@ -218,9 +218,7 @@ def incremental_detect(positions: DataFrame, flights: DataFrame, airports: DataF
     if tail is None:
         recent = positions
     else:
-        new = positions.where(F.col("captured_at") >= F.lit(since))
-        if "date" in positions.columns:  # a table of daily folders
-            new = new.where(F.col("date") >= F.to_date(F.lit(since)))
+        new = captured(positions, F.lit(since))
         recent = stage(new.unionByName(tail, allowMissingColumns=True), "recent")
     found = detect_flights(recent, airports, flights, cfg, since).drop("path")
     merged = stage(merge.upsert_flights(flights, found), "merged")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contrail.functions.scalars import aircraft_needs_review, clean_code, strip
+from contrail.operators.geo import captured
 from contrail.operators.merge import merge, replace
 
 SEEN_DAYS, LEAST_FLEET = 7, 50
@@ -70,7 +71,7 @@ def discover_aircraft(states: DataFrame, aircraft: DataFrame, register: DataFram
 
 
 def seen_lately(positions: DataFrame, as_of, days: int = SEEN_DAYS) -> DataFrame:
-    return positions.where(F.col("captured_at") >= F.lit(as_of) - F.expr(f"INTERVAL {days} DAYS")).select("icao24").distinct()
+    return captured(positions, F.lit(as_of) - F.expr(f"INTERVAL {days} DAYS")).select("icao24").distinct()
 
 
 def reactivate_seen(aircraft: DataFrame, positions: DataFrame, as_of) -> DataFrame:

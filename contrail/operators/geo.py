@@ -116,10 +116,18 @@ def positions_before(events: DataFrame, positions: DataFrame, n: int = 15) -> Da
     return counted.withColumn("before", frame).where("kind = 0").select("icao24", "at", F.when(F.col("nth") > 0, F.array_sort("before")).otherwise(F.col("before")).alias("before"))
 
 
+def captured(positions: DataFrame, since: Column, until: Column | None = None) -> DataFrame:
+    """The positions of since <= captured_at <= until; where they lie in a folder per day, `date`, only the folders of those days are read."""
+    at, day = F.col("captured_at"), dict(positions.dtypes).get("date") == "date"
+    rows = positions.where((at >= since) & (F.col("date") >= F.to_date(since))) if day else positions.where(at >= since)
+    if until is None:
+        return rows
+    return rows.where((at <= until) & (F.col("date") <= F.to_date(until))) if day else rows.where(at <= until)
+
+
 def positions_range(positions: DataFrame, icao24: str, start, end) -> DataFrame:
-    c = F.col("captured_at")
-    return positions.where((F.col("icao24") == icao24) & (c >= F.lit(start)) & (c <= F.lit(end))).orderBy("captured_at")
+    return captured(positions, F.lit(start), F.lit(end)).where(F.col("icao24") == icao24).orderBy("captured_at")
 
 
 def positions_since(positions: DataFrame, since) -> DataFrame:
-    return positions.where(F.col("captured_at") >= F.lit(since)).orderBy("icao24", "captured_at")
+    return captured(positions, F.lit(since)).orderBy("icao24", "captured_at")

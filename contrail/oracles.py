@@ -54,6 +54,7 @@ o("s10_register_lookup", "SELECT icao24, registration, aircraft_type, aircraft_s
 o("s11_parse_type_record", f"SELECT icao24, aircraft_type, coalesce(CASE WHEN {HEX} % 2 > 0 THEN aircraft_subtype END, 'Model') AS aircraft_subtype FROM aircraft")
 o("s12_aircraft_from_flight_pages", "SELECT upper(registration) AS registration, count(*) AS flight_count, arg_min(t, (flight_date, id)) AS aircraft_type, nullif(arg_min(coalesce(c, '~'), (flight_date, id)), '~') AS callsign, nullif(arg_min(coalesce(d, '~'), (flight_date, id)), '~') AS origin, nullif(arg_min(coalesce(r, '~'), (flight_date, id)), '~') AS destination FROM (SELECT f.id, f.flight_date, registration, upper(aircraft_type) AS t, callsign AS c, departure_airport_icao AS d, arrival_airport_icao AS r FROM flights f JOIN aircraft USING (icao24)) GROUP BY 1".replace("arg_min(t, (flight_date, id))", "nullif(arg_min(coalesce(t, '~'), (flight_date, id)), '~')"))
 o("s13_write_positions", f"SELECT icao24, {T}, callsign, altitude_m, strftime(captured_at, '%Y-%m-%d') AS day FROM positions")
+o("s13_bucketed_positions", "SELECT icao24, count(*) AS n, epoch_us(min(captured_at)) AS first_at, epoch_us(max(captured_at)) AS last_at, count(DISTINCT CAST(captured_at AS DATE)) AS days FROM positions GROUP BY icao24")
 o("s14_load_review_edits", "SELECT kind, key, CASE act WHEN 0 THEN 'UPDATE' WHEN 1 THEN 'DISMISS' WHEN 2 THEN 'PENDING' ELSE 'MAYBE' END AS action, registration, type, subtype, dep, arr, act < 3 AS known FROM ed", EDITS)
 o("s15_is_on_ground", f"SELECT icao24, {T}, ground FROM g", G)
 o("s16_clean_code", "SELECT row_no, icao24, registration, operator FROM rg", REGISTER)
@@ -238,6 +239,7 @@ o("s56_stream_positions", f"SELECT icao24, epoch_us(date_trunc('second', capture
 o("s57_stream_sessions", "SELECT icao24, epoch_us(min(captured_at)) AS first_seen, epoch_us(max(captured_at)) AS last_seen, count(*) AS n, arg_min(cs, captured_at) FILTER (cs IS NOT NULL) AS callsign FROM s GROUP BY icao24, session_no", SESSIONS)
 o("s59_stream_activity", "SELECT epoch_us(time_bucket(INTERVAL 2 MINUTE, captured_at)) AS window_start, count(DISTINCT icao24) AS seen, count(DISTINCT icao24) FILTER (NOT on_ground) AS airborne FROM positions GROUP BY 1")
 o("s77_job_run_record", "SELECT 'flight_detector' AS run_type, epoch_us(TIMESTAMP '2001-08-01') AS started_at, epoch_us(TIMESTAMP '2024-01-31') AS finished_at, count(*)::INT AS aircraft_total, count(*) FILTER (NOT needs_review)::INT AS aircraft_ok, count(*) FILTER (needs_review)::INT AS aircraft_error, count(arrival_airport_icao)::INT AS flights_upserted, 'none' AS error_detail, 'ok' AS status FROM flights")
+o("s77_audited_runs", "SELECT 'flight_detector' AS run_type, epoch_us(TIMESTAMP '2001-08-01') AS started_at, 0 AS aircraft_error, count(*)::INT AS flights_upserted, 'none' AS error_detail, 'ok' AS status FROM flights UNION ALL SELECT 'fleet_refresh', epoch_us(TIMESTAMP '2001-08-01'), count(*) FILTER (needs_review)::INT, 0, 'flights to be reviewed', 'error' FROM flights")
 o("s78_fleet_counts", "SELECT count(*) FILTER (is_active) AS active, count(*) AS total, count(*) FILTER (NOT is_active) AS retired FROM aircraft")
 GOOD = "departure_airport_icao IS NOT NULL AND NOT needs_review"
 o("s79_flight_counts", f'SELECT count(*) FILTER ({GOOD} AND flight_date = DATE \'2001-08-01\') AS today, count(*) FILTER ({GOOD} AND flight_date >= DATE \'2001-07-25\') AS week, count(*) FILTER ({GOOD}) AS "all", count(*) FILTER (arrival_airport_icao IS NULL) AS pending FROM flights')

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contrail.functions.scalars import route_label
+from contrail.operators.geo import captured
 
 RUN_TYPES = ("state_poller", "flight_detector", "fleet_discovery", "fleet_refresh")
 DEP, ARR = "departure_airport_icao", "arrival_airport_icao"
@@ -98,7 +99,7 @@ def flights_per_day(flights: DataFrame, as_of, days: int = 14) -> DataFrame:
 
 def fleet_list(aircraft: DataFrame, flights: DataFrame, positions: DataFrame, as_of) -> DataFrame:
     per = flights.groupBy("icao24").agg(F.count("*").alias("total_flights"), F.count_if(F.col("flight_date") >= _day(as_of, 7)).alias("flights_7d"), F.max("flight_date").alias("last_flight_date"))
-    live = positions.where(F.col("captured_at") >= F.lit(as_of) - F.expr("INTERVAL 5 MINUTES")).select("icao24").distinct().withColumn("currently_tracking", F.lit(True))
+    live = captured(positions, F.lit(as_of) - F.expr("INTERVAL 5 MINUTES")).select("icao24").distinct().withColumn("currently_tracking", F.lit(True))
     return aircraft.join(per, "icao24", "left").join(live, "icao24", "left").na.fill(0, ["total_flights", "flights_7d"]).na.fill(False, ["currently_tracking"])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from contrail.audit import audited
 from contrail.config import SPARSE, SPARSE_REPLAY
 from contrail.fixtures import Tables
 from contrail.functions import scalars as S
@@ -174,6 +175,16 @@ def s13_write_positions(t):
     return t.spark.read.parquet(path).select("icao24", "captured_at", "callsign", "altitude_m", C("date").cast("string").alias("day"))
 
 
+@query
+def s13_bucketed_positions(t):
+    """Appended twice, and read by aircraft: rows and the moments of each."""
+    path, north = shared_path(t.spark, "bucketed"), C("latitude") >= 0
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    payloads.append_bucketed(t.positions.where(north), table, path)
+    payloads.append_bucketed(t.positions.where(~north | C("latitude").isNull()), table, path)
+    return t.spark.table(table).groupBy("icao24").agg(F.count("*").alias("n"), F.unix_micros(F.min("captured_at")).alias("first_at"), F.unix_micros(F.max("captured_at")).alias("last_at"), F.count_distinct("date").alias("days"))
+
+
 @query
 def s13_write_flights(t):
     path = shared_path(t.spark, "flights")
@@ -561,6 +572,22 @@ def s77_job_run_record(t):
     return rows.withColumn("error_detail", F.coalesce("error_detail", F.lit("none")))
 
 
+@query
+def s77_audited_runs(t):
+    """A run over all flights that ends well, and one that finds those to be reviewed and raises; both leave a row."""
+    path = shared_path(t.spark, "runs")
+    clock = lambda: AS_OF
+    with audited(t.spark, path, "flight_detector", clock) as run:
+        run["flights_upserted"] = t.flights.count()
+    try:
+        with audited(t.spark, path, "fleet_refresh", clock) as run:
+            run["aircraft_error"] = t.flights.where("needs_review").count()
+            raise ValueError("flights to be reviewed")
+    except ValueError:
+        pass
+    return t.spark.read.parquet(path).select("run_type", C("started_at"), "aircraft_error", "flights_upserted", F.coalesce("error_detail", F.lit("none")).alias("error_detail"), "status")
+
+
 @query
 def s78_fleet_counts(t):
     return reports.fleet_counts(t.aircraft)

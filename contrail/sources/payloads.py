@@ -131,6 +131,17 @@ def write_positions(positions: DataFrame, path: str) -> None:
     positions.withColumn("date", F.to_date("captured_at")).repartition("date", F.pmod(F.xxhash64("icao24"), F.lit(8))).write.mode("append").partitionBy("date").parquet(path)
 
 
+def append_bucketed(positions: DataFrame, table: str, path: str | None = None, buckets: int = 64) -> None:
+    """Appends to a catalog table of folders per day and buckets by aircraft, sorted by aircraft and time; path: where a new table lies.
+
+    Jobs that group or walk by aircraft read it without shuffling positions, since a bucket is a task. Rows are
+    shuffled once here instead, to a file a day and bucket of each batch.
+    """
+    rows = positions.withColumn("date", F.to_date("captured_at")).repartition(buckets, "icao24")
+    writer = rows.write.format("parquet").mode("append").partitionBy("date").bucketBy(buckets, "icao24").sortBy("icao24", "captured_at")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def read_positions(spark: SparkSession, path: str, since=None, until=None) -> DataFrame:
     """The positions that write_positions has written, of since <= captured_at <= until; only the folders of those days are read."""
     rows = spark.read.parquet(path)
@@ -188,10 +199,6 @@ def write_flights(flights: DataFrame, path: str) -> None:
         delete_path(spark, beside)
 
 
-def write_jdbc(df: DataFrame, url: str, table: str, properties: dict) -> None:
-    df.write.jdbc(url, table, mode="append", properties=properties)
-
-
 def job_run_record(spark: SparkSession, run_type: str, started_at, finished_at, counters: dict[str, int], error: str | None = None) -> DataFrame:
     """One audit row of a job; counters come from DataFrame.observe."""
     row = [run_type, started_at, finished_at, *(int(counters.get(c, 0)) for c in ("aircraft_total", "aircraft_ok", "aircraft_error", "flights_upserted")), error, "error" if error else "ok"]
