@@ -180,8 +180,9 @@ def s13_bucketed_positions(t):
     """Appended twice, and read by aircraft: rows and the moments of each."""
     path, north = shared_path(t.spark, "bucketed"), C("latitude") >= 0
     table = path.rsplit("/", 1)[1].replace("-", "_")
-    payloads.append_bucketed(t.positions.where(north), table, path)
-    payloads.append_bucketed(t.positions.where(~north | C("latitude").isNull()), table, path)
+    buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    payloads.append_bucketed(t.positions.where(north), table, path, buckets)
+    payloads.append_bucketed(t.positions.where(~north | C("latitude").isNull()), table, path, buckets)
     return t.spark.table(table).groupBy("icao24").agg(F.count("*").alias("n"), F.unix_micros(F.min("captured_at")).alias("first_at"), F.unix_micros(F.max("captured_at")).alias("last_at"), F.count_distinct("date").alias("days"))
 
 
