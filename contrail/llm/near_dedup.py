@@ -7,6 +7,9 @@ against one of them (the bucket's hub); then, where nodes of different component
 are held against each other as matrices (all of them against those outside the bucket's largest component). Blocks
 are bounded by nodes and by shingles. Only confirmed links leave a task. No bucket is capped, no pair of a bucket left
 out but those whose nodes are known to be in one component; so all pairs inside a group of copies are never made.
+Texts meet nodes before these are dealt to jobs, so a hub of many members is one row of that join; its text is then
+copied to its jobs in two steps. A bucket of n nodes of which most are unlike costs about (n / BLOCK)^2 jobs, and each
+text is sent once to each block that it is held against.
 
 Bands and rows follow from the similarity: with 30 bands of 6 coordinates two sets of Jaccard 0.85, and with 36 bands
 of 5 two sets of Jaccard 0.8, share no bucket with odds of 7 in 10^7.
@@ -31,7 +34,7 @@ from .common import batches_of, join_hot, slices, stage
 from .components import components
 from .shingles import mix32, mix64, shingles
 
-MISSED, MOST_BANDS, BLOCK, BLOCK_SHINGLES = 7e-7, 42, 128, 1 << 20
+MISSED, MOST_BANDS, BLOCK, BLOCK_SHINGLES, FAN_OUT = 7e-7, 42, 128, 1 << 20, 64
 
 
 def bands_and_rows(percent: int) -> tuple[int, int]:
@@ -93,7 +96,7 @@ def sets(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], step: int = 1 << 15) -> np.ndarray:
     """Sizes of the intersections of all left with all right sets, by products of incidence matrices."""
     known = np.unique(np.concatenate(left))
-    out = np.zeros((len(left), len(right)), np.float32)
+    out = np.zeros((len(left), len(right)), np.int64)
 
     def cells(group):
         owner = np.repeat(np.arange(len(group)), [len(h) for h in group])
@@ -111,16 +114,25 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], step: int = 1 << 1
             m = np.zeros((n, width), np.float32)
             m[owner[here], at[here] - a] = 1
             matrices.append(m)
-        out += matrices[0] @ matrices[1].T
+        out += (matrices[0] @ matrices[1].T).astype(np.int64)  # at most `step` each, which single precision holds exactly
     return out
 
 
-def confirm(work: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links a, b among the rows of work (job, side, node, label): side 0 against side 1 of each job.
+def copied(rows: DataFrame, times: str, by: list[str]) -> DataFrame:
+    """rows with `other`, a copy each of 0 <= other < times. More than FAN_OUT copies are made in two steps, by many tasks.
+
+    by: what tells rows apart.
+    """
+    few = rows.where(F.col(times) <= FAN_OUT).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(times) - 1)))
+    many = rows.where(F.col(times) > FAN_OUT).withColumn("step", F.explode(F.sequence(F.lit(0), F.col(times) - 1, F.lit(FAN_OUT)))).repartition(*by, "step")
+    return few.unionByName(many.withColumn("other", F.explode(F.sequence("step", F.least(F.col("step") + FAN_OUT, times) - 1))).drop("step"))
+
+
+def confirm(rows: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links a, b among rows (job, side, node, label, text): side 0 against side 1 of each job.
 
     Rows of one label are in one component already.
     """
-    rows = work.join(texts, "node").select("job", "side", "node", "label", "text")
 
     def links(job: list):
         sides = [[r for r in job if r[0] == s] for s in (0, 1)]
@@ -172,11 +184,13 @@ def labelled_nodes(held: DataFrame, percent: int, width: int) -> DataFrame:
     texts = stage(full.select("row", "text").join(picked, "row").select("node", "text"), "near-texts")
 
     pairs = members.where("node <> hub").select("hub", "node", "size").distinct()
-    chunks = pairs.groupBy("hub").agg(blocks(F.count("*"), F.sum("size")).alias("chunks"), F.count("*").alias("n"))
-    placed = join_hot(pairs, chunks, "hub").withColumn("job", F.concat_ws(":", "hub", F.pmod(F.xxhash64("node"), F.col("chunks"))))
-    first = placed.select("job", F.lit(0).alias("side"), F.col("hub").alias("node")).distinct()
-    work = first.union(placed.select("job", F.lit(1), "node")).withColumn("label", F.col("node"))
-    links = stage(confirm(work, texts, percent, width), "near-links")
+    chunks = stage(pairs.groupBy("hub").agg(blocks(F.count("*"), F.sum("size")).alias("chunks"), F.count("*").alias("n")), "near-chunks")
+    job = lambda key, *of: F.concat_ws(":", key, *of).alias("job")
+    placed = join_hot(pairs, chunks, "hub").select(job("hub", F.pmod(F.xxhash64("node"), F.col("chunks"))), "node").join(texts, "node")
+    first = copied(chunks.select(F.col("hub").alias("node"), "chunks").join(texts, "node"), "chunks", ["node"])
+    first = first.select(job("node", "other"), F.lit(0).alias("side"), "node", F.col("node").alias("label"), "text")
+    work = first.union(placed.select("job", F.lit(1), "node", F.col("node").alias("label"), "text"))
+    links = stage(confirm(work, percent, width), "near-links")
 
     known = stage(components(links), "near-components")
     left = members.where("node <> hub").select("bucket", "node", "size").join(known, "node", "left")
@@ -189,15 +203,14 @@ def labelled_nodes(held: DataFrame, percent: int, width: int) -> DataFrame:
     mixed = mixed.where("labels > 1").groupBy("all", "x1", "x2").agg(F.min(F.struct("bucket", "major", "size")).alias("one"))
     ones = blocks(F.col("all") - F.col("one.major.n"), F.col("one.size") - F.col("one.major.size"))
     mixed = mixed.select("one.bucket", F.col("one.major.label").alias("major"), ones.alias("ones"), blocks(F.col("all"), F.col("one.size")).alias("every"), F.col("all").alias("n"))
-    left = join_hot(left, mixed, "bucket").where("major IS NOT NULL")
+    left = stage(join_hot(left, mixed, "bucket").where("major IS NOT NULL"), "near-mixed").join(texts, "node")  # a node has a row a band at most
     # nodes outside the bucket's largest component against all of the bucket, in blocks
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    job = lambda i, j: F.concat_ws(":", F.col("bucket"), i, j).alias("job")
-    low = left.where("label <> major").select("*", F.explode(F.sequence(F.lit(0), F.col("every") - 1)).alias("other"))
-    high = left.select("*", F.explode(F.sequence(F.lit(0), F.col("ones") - 1)).alias("other"))
-    work = low.select(job(block("ones"), "other"), F.lit(0).alias("side"), "node", "label")
-    work = work.union(high.select(job("other", block("every")), F.lit(1), "node", "label"))
-    links = links.union(confirm(work, texts, percent, width))
+    low = copied(left.where("label <> major"), "every", ["bucket", "node"])
+    high = copied(left, "ones", ["bucket", "node"])
+    work = low.select(job("bucket", block("ones"), "other"), F.lit(0).alias("side"), "node", "label", "text")
+    work = work.union(high.select(job("bucket", "other", block("every")), F.lit(1), "node", "label", "text"))
+    links = links.union(confirm(work, percent, width))
 
     labels = stage(components(links), "near-labels")
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))

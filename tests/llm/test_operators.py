@@ -153,8 +153,26 @@ def test_near_dedup(spark, odd):
     assert rows[7].n_shingles == 1 and rows[0].n_shingles == 0 and rows[3].n_shingles == 56
 
 
-def test_near_dedup_finds_links_between_copies_of_copies(spark):
-    """A chain in which only neighbours are alike, among many texts that share a long passage."""
+def test_copies_in_two_steps(spark):
+    """More copies than FAN_OUT, as many, and one."""
+    fan = near_dedup.FAN_OUT
+    rows = spark.createDataFrame([("a", 1), ("b", fan), ("c", fan + 1), ("d", 3 * fan + 5)], "node string, n int")
+    found = sorted((r.node, r.other) for r in near_dedup.copied(rows, "n", ["node"]).collect())
+    assert found == [(node, i) for node, n in (("a", 1), ("b", fan), ("c", fan + 1), ("d", 3 * fan + 5)) for i in range(n)]
+
+
+def test_overlaps_of_huge_sets_are_whole_numbers():
+    big = np.arange(1 << 18, dtype=np.uint64)
+    found = near_dedup.overlaps([big, big[:7]], [big, big[5:9]])
+    assert found.dtype == np.int64 and found.tolist() == [[1 << 18, 4], [7, 2]]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_near_dedup_finds_links_between_copies_of_copies(spark, monkeypatch, small):
+    """A chain in which only neighbours are alike, among many texts that share a long passage; also with blocks so small that each bucket takes many."""
+    if small:
+        monkeypatch.setattr(near_dedup, "BLOCK", 2)
+        monkeypatch.setattr(near_dedup, "FAN_OUT", 3)
     words = [f"w{i}" for i in range(400)]
     chain = []
     for k in range(20):
