@@ -151,19 +151,30 @@ def read_positions(spark: SparkSession, path: str, since=None, until=None) -> Da
     return rows
 
 
+def _boundary(spark: SparkSession, as_of, days: int):
+    """The moment `days` before as_of as a column, and its day as a folder names it."""
+    edge = F.lit(as_of) - F.expr(f"INTERVAL {days} DAYS")
+    return edge, spark.range(1).select(F.to_date(edge).cast("string")).first()[0]
+
+
+def _drop_days(spark: SparkSession, folders: dict[str, str], day: str) -> int:
+    """Deletes the folders of the days before `day` and returns how many rows they held."""
+    old = [p for d, p in folders.items() if d < day and not d.startswith("__")]
+    gone = spark.read.parquet(*old).count() if old else 0
+    for folder in old:
+        delete_path(spark, folder)
+    return gone
+
+
 def expire_folders(spark: SparkSession, path: str, as_of, days: int = 30) -> int:
     """Deletes the positions older than `days` from write_positions' table and returns how many they were.
 
     Whole days go as folders, after one count that reads no column of them. Only the day of the boundary is read; what
     stays of it is written beside the table and then takes the folder's place. Running it again deletes nothing.
     """
-    edge = F.lit(as_of) - F.expr(f"INTERVAL {days} DAYS")
-    day = spark.range(1).select(F.to_date(edge).cast("string")).first()[0]
+    edge, day = _boundary(spark, as_of, days)
     folders = {p.rsplit("=", 1)[1]: p for p in list_paths(spark, path)}
-    old = [p for d, p in folders.items() if d < day and not d.startswith("__")]
-    gone = spark.read.parquet(*old).count() if old else 0
-    for folder in old:
-        delete_path(spark, folder)
+    gone = _drop_days(spark, folders, day)
     if day in folders:
         rows = spark.read.parquet(folders[day])
         late = rows.where(F.col("captured_at") < edge).count()
@@ -178,6 +189,25 @@ def expire_folders(spark: SparkSession, path: str, as_of, days: int = 30) -> int
     return gone
 
 
+def expire_bucketed(spark: SparkSession, table: str, as_of, days: int = 30) -> int:
+    """expire_folders for append_bucketed's table: the day of the boundary is written anew in the table's buckets."""
+    edge, day = _boundary(spark, as_of, days)
+    about = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    gone = _drop_days(spark, {p.rsplit("=", 1)[1]: p for p in list_paths(spark, about["Location"])}, day)
+    spark.catalog.refreshTable(table)
+    rows = spark.table(table).where(F.col("date") == F.lit(day).cast("date")).drop("date")
+    late = rows.where(F.col("captured_at") < edge).count()
+    if late:
+        beside = f"{about['Location'].rstrip('/')}-{uuid.uuid4().hex}"
+        try:
+            rows.where(F.col("captured_at") >= edge).write.parquet(beside)
+            kept = spark.read.schema(rows.schema).parquet(beside).repartition(int(about["Num Buckets"]), "icao24")
+            spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (date = DATE'{day}') SELECT * FROM {{kept}}", kept=kept)
+        finally:
+            delete_path(spark, beside)
+    return gone + late
+
+
 def write_flights(flights: DataFrame, path: str) -> None:
     """Upserts by (icao24, first_seen) into a table with a folder per day; only the days that flights holds are rewritten.
 

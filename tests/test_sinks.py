@@ -64,6 +64,23 @@ def test_sessions_of_bucketed_positions_need_no_shuffle(spark, tmp_path):
     spark.sql("DROP TABLE bucketed_positions")
 
 
+def test_retention_of_bucketed_positions_keeps_the_buckets(spark, tmp_path):
+    rows = [(f"a{i % 5}", START + timedelta(hours=6 * i)) for i in range(40)]
+    payloads.append_bucketed(spark.createDataFrame(rows, "icao24 string, captured_at timestamp"), "kept_positions", str(tmp_path / "positions"), 4)
+    as_of = START + timedelta(days=9)
+    for gone in (20, 0):  # a rerun deletes nothing
+        assert payloads.expire_bucketed(spark, "kept_positions", as_of, 4) == gone
+        table = spark.table("kept_positions")
+        assert sorted((r.icao24, r.captured_at) for r in table.collect()) == sorted(rows[20:])
+        counted = table.groupBy("icao24").count()
+        assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+        assert {r.icao24: r["count"] for r in counted.collect()} == dict.fromkeys((f"a{i}" for i in range(5)), 4)
+    days = {p.name for p in (tmp_path / "positions").iterdir() if p.name.startswith("date=")}
+    assert days == {f"date=2024-01-{d:02}" for d in range(6, 12)}
+    assert payloads.expire_bucketed(spark, "kept_positions", as_of + timedelta(days=99), 4) == 20 and spark.table("kept_positions").count() == 0
+    spark.sql("DROP TABLE kept_positions")
+
+
 def test_recent_aircraft_read_recent_folders_only(spark, tmp_path):
     rows = spark.createDataFrame([(f"a{d}", START + timedelta(days=d)) for d in range(20)], "icao24 string, captured_at timestamp")
     payloads.write_positions(rows, str(tmp_path / "positions"))
