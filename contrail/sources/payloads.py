@@ -59,14 +59,17 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"')
 
 
-def load_airports(rows: DataFrame, order: str = "row_no") -> DataFrame:
-    """Large and medium airports with a four-letter code and readable coordinates; later rows replace earlier."""
+def load_airports(rows: DataFrame, order: str = "row_no", lists: tuple[str, ...] = ()) -> DataFrame:
+    """Large and medium airports with a four-letter code and readable coordinates; later rows replace earlier.
+
+    lists: columns that tell lists of airports apart, if rows hold several; each list keeps its own row of a code.
+    """
     code, kind = F.upper(strip(F.col("ident"))), strip(F.col("type"))
     out = rows.where(kind.isin("large_airport", "medium_airport") & (F.length(code) == 4)).select(
-        code.alias("icao_code"), F.substring(strip(F.col("name")), 1, 200).alias("name"), F.expr("try_cast(latitude_deg AS DOUBLE)").alias("latitude"), F.expr("try_cast(longitude_deg AS DOUBLE)").alias("longitude"), F.col(order).alias("row_no")
+        code.alias("icao_code"), F.substring(strip(F.col("name")), 1, 200).alias("name"), F.expr("try_cast(latitude_deg AS DOUBLE)").alias("latitude"), F.expr("try_cast(longitude_deg AS DOUBLE)").alias("longitude"), F.col(order).alias("row_no"), *lists
     )
     out = out.where("latitude IS NOT NULL AND longitude IS NOT NULL")
-    return out.groupBy("icao_code").agg(F.max_by(F.struct("name", "latitude", "longitude"), "row_no").alias("a")).select("icao_code", "a.*")
+    return out.groupBy("icao_code", *lists).agg(F.max_by(F.struct("name", "latitude", "longitude"), "row_no").alias("a")).select("icao_code", "a.*")
 
 
 def parse_type_record(raw: DataFrame, col: str = "value") -> DataFrame:
