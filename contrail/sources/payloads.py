@@ -16,15 +16,16 @@ PAGE_FLIGHT = "ARRAY<STRUCT<registration: STRING, aircraft_type: STRING, ident_i
 PAGES = f"arrivals {PAGE_FLIGHT}, enroute {PAGE_FLIGHT}, scheduled {PAGE_FLIGHT}"
 
 
-def parse_state_snapshots(raw: DataFrame, col: str = "value") -> DataFrame:
-    """A row per aircraft of each JSON snapshot; all take the snapshot's time."""
-    rows = raw.select(F.from_json(col, SNAPSHOT).alias("j")).select(F.timestamp_seconds("j.time").alias("captured_at"), F.explode("j.states").alias("s")).where("s IS NOT NULL")
+def parse_state_snapshots(raw: DataFrame, col: str = "value", place: str | None = None) -> DataFrame:
+    """A row per aircraft of each JSON snapshot; all take the snapshot's time. place: a column for the state's place in its snapshot."""
+    rows = raw.select(F.from_json(col, SNAPSHOT).alias("j")).select(F.timestamp_seconds("j.time").alias("captured_at"), F.posexplode("j.states").alias("place", "s")).where("s IS NOT NULL")
     at = lambda i: F.try_element_at(F.col("s"), F.lit(i + 1))
     number = lambda i, kind: F.expr(f"try_cast(try_element_at(s, {i + 1}) AS {kind})")
     return rows.select(
         F.lower(strip(at(0))).alias("icao24"), clean_code(at(1)).alias("callsign"), "captured_at",
         number(6, "DOUBLE").alias("latitude"), number(5, "DOUBLE").alias("longitude"), number(7, "FLOAT").alias("altitude_m"),
         number(9, "FLOAT").alias("velocity_ms"), number(10, "FLOAT").alias("heading"), number(8, "BOOLEAN").alias("on_ground"),
+        *([F.col("place").alias(place)] if place else []),
     )
 
 
