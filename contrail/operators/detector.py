@@ -15,7 +15,7 @@ from contrail.config import DetectorConfig
 from contrail.functions.scalars import dep_equals_arr
 from contrail.operators import merge
 from contrail.operators.geo import captured, last_completed_flight, latest_position, nearest_airport, nearest_airports, open_flights
-from contrail.operators.sessions import session_features, with_ground
+from contrail.operators.sessions import session_features, tasks_for, with_ground
 from contrail.shared import stage
 
 FLIGHT = "icao24 string, callsign string, departure_airport_icao string, arrival_airport_icao string, first_seen long, last_seen long, needs_review boolean, path string"
@@ -129,15 +129,15 @@ def walk(sessions: Iterable[tuple], cfg: DetectorConfig, replay: bool = False) -
         yield flight | {"icao24": s.icao24}
 
 
-def walk_all(sessions: DataFrame, cfg: DetectorConfig, replay: bool) -> DataFrame:
+def walk_all(sessions: DataFrame, cfg: DetectorConfig, replay: bool, tasks: int = 0) -> DataFrame:
     """The walks of all aircraft, over batches of sorted sessions.
 
-    The number of partitions is the session's own, as the walk's time isn't in proportion to its bytes, by which
-    partitions would be merged.
+    The number of partitions is `tasks`, else the session's own, as the walk's time isn't in proportion to its bytes, by
+    which partitions would be merged. Sessions that are dealt to as many tasks already aren't shuffled again.
     """
     times = [n for n, t in sessions.dtypes if t == "timestamp"]
     rows = sessions.withColumns({n: F.unix_micros(n) for n in times})
-    rows = rows.repartition(int(sessions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "icao24").sortWithinPartitions("icao24", "session_no")
+    rows = rows.repartition(tasks or int(sessions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "icao24").sortWithinPartitions("icao24", "session_no")
     names = [c.split()[0] for c in FLIGHT.split(", ")]
     types = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[c.split()[1]] for c in FLIGHT.split(", ")]
     columns = rows.columns
@@ -161,13 +161,14 @@ def walk_all(sessions: DataFrame, cfg: DetectorConfig, replay: bool) -> DataFram
     return found.withColumns({n: F.timestamp_micros(n) for n in ("first_seen", "last_seen")})
 
 
-def detect_flights(positions: DataFrame, airports: DataFrame, stored: DataFrame | None, cfg: DetectorConfig, since=None, replay: bool = False) -> DataFrame:
+def detect_flights(positions: DataFrame, airports: DataFrame, stored: DataFrame | None, cfg: DetectorConfig, since=None, replay: bool = False, tasks: int | None = None) -> DataFrame:
     """Flights written or changed by a run over positions, given the stored flights (None: none).
 
     The walk is the only Python here: it sees a row a session, dealt and sorted by aircraft.
-    Of several open flights of an aircraft the one with the latest first_seen is taken up.
+    Of several open flights of an aircraft the one with the latest first_seen is taken up. tasks: as in session_features.
     """
-    sessions = session_features(positions, airports, cfg, since)
+    tasks = tasks_for(positions) if tasks is None else tasks
+    sessions = session_features(positions, airports, cfg, since, tasks)
     if stored is not None:
         rest = F.struct("first_seen", "last_seen", "callsign", "departure_airport_icao", "needs_review")
         flying = open_flights(stored).groupBy("icao24").agg(F.max_by(rest, "first_seen").alias("o"))
@@ -177,7 +178,7 @@ def detect_flights(positions: DataFrame, airports: DataFrame, stored: DataFrame
     else:
         none = {n: F.lit(None).cast(t) for n, t in (("open_first_seen", "timestamp"), ("open_last_seen", "timestamp"), ("open_callsign", "string"), ("open_departure", "string"), ("open_review", "boolean"), ("done_last_seen", "timestamp"), ("done_arrival", "string"))}
         sessions = sessions.withColumns(none)
-    return walk_all(sessions, cfg, replay)
+    return walk_all(sessions, cfg, replay, tasks)
 
 
 def covered_sessions(sessions: DataFrame, completed: DataFrame) -> DataFrame:

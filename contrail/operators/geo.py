@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,17 +21,24 @@ def _cells(lat, lon, size: float) -> list:
 
 
 def airport_cells(airports: DataFrame, max_km: float) -> DataFrame:
-    """A row per cell (cx, cy, cz) with `near`, the airports that can be within max_km of a point in it.
+    """A row per `cell` with `near`, the airports that can be within max_km of a point in it.
 
-    Cells are cubes of the unit sphere whose edge is the chord of max_km; an airport stands in its own and the 26 around
-    it, so a point's nearest airport is in its own cell's row, and poles and the date line need no care.
+    Cells are cubes of the unit sphere whose edge is the chord of max_km; an airport stands in its own and those of the 26
+    around it that the sphere meets within the edge of the airport, so a point's nearest airport is in its own cell's row,
+    and poles and the date line need no care. A cell is the hash of its place: should two share one, their airports do too.
     """
-    x, y, z = _cells(F.col("latitude"), F.col("longitude"), _edge(max_km))
-    step = F.array(*map(F.lit, (-1, 0, 1)))
+    size = _edge(max_km)
+    x, y, z = _cells(F.col("latitude"), F.col("longitude"), size)
     rows = airports.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(F.struct("icao_code", *(c.alias(n) for n, c in zip("xyz", unit_sphere(F.col("latitude"), F.col("longitude")), strict=True))).alias("a"), x.alias("cx"), y.alias("cy"), z.alias("cz"))
-    for axis in ("cx", "cy", "cz"):
-        rows = rows.withColumn("step", F.explode(step)).withColumn(axis, F.col(axis) + F.col("step")).drop("step")
-    return rows.groupBy("cx", "cy", "cz").agg(F.collect_list("a").alias("near"))
+    axes = ("cx", "cy", "cz")
+    for axis in axes:
+        rows = rows.withColumn(axis, F.explode(F.array(*(F.col(axis) + step for step in (-1, 0, 1)))))
+    sides = [(F.col(axis) * size, (F.col(axis) + 1) * size, F.col(f"a.{n}")) for axis, n in zip(axes, "xyz", strict=True)]
+    square = lambda lengths: reduce(Column.__add__, (c * c for c in lengths))
+    apart = square(F.greatest(low - a, a - high, F.lit(0.0)) for low, high, a in sides)
+    nearest, farthest = square(F.greatest(low, -high, F.lit(0.0)) for low, high, _ in sides), square(F.greatest(-low, high) for low, high, _ in sides)
+    rows = rows.where((apart <= (size * 1.001) ** 2) & (nearest <= 1.000001) & (farthest >= 0.999999))
+    return rows.groupBy(F.xxhash64(*axes).alias("cell")).agg(F.collect_list("a").alias("near"))
 
 
 def _edge(max_km: float) -> float:
@@ -52,23 +59,24 @@ def nearest_airports(rows: DataFrame, airports: DataFrame, max_km: float, points
     """
     size, cells = _edge(max_km), airport_cells(airports, max_km)
     small = airports.limit(most + 1).count() <= most
-    keys, carried = ["cx", "cy", "cz"], rows.columns
+    keys, carried = ["cell"], rows.columns
     if small:
         cells = F.broadcast(cells)
     else:
         cells = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         keys.append("salt")
     for name, (lat, lon) in points.items():
-        px, py, pz = _cells(lat, lon, size)
+        known = lat.isNotNull() & lon.isNotNull()
+        cell = F.when(known, F.xxhash64(*_cells(lat, lon, size)))
         if small:
-            at = {"cx": px, "cy": py, "cz": pz}
+            at = {"cell": cell}
         else:
             spread = F.xxhash64(*carried)
-            at = {"cx": F.coalesce(px, F.pmod(spread, F.lit(1 << 20)) + 10_000_000), "cy": F.coalesce(py, F.lit(0)), "cz": F.coalesce(pz, F.lit(0)), "salt": F.pmod(spread, F.lit(SALTS)).cast("int")}
+            at = {"cell": F.coalesce(cell, spread), "salt": F.pmod(spread, F.lit(SALTS)).cast("int")}
         met = rows.select("*", *(v.alias(f"p_{k}") for k, v in at.items()), *(c.alias(f"u_{n}") for n, c in zip("xyz", unit_sphere(lat, lon), strict=True)))
         met = met.join(cells.select(*(F.col(k).alias(f"c_{k}") for k in keys), "near"), [F.col(f"p_{k}") == F.col(f"c_{k}") for k in keys], "left")
         found = F.transform("near", partial(_distance, [F.col(f"u_{n}") for n in "xyz"]))
-        best = F.array_min(F.filter(found, lambda a: a["airport_km"] <= max_km))
+        best = F.when(known, F.array_min(F.filter(found, lambda a: a["airport_km"] <= max_km)))
         rows = met.withColumn(name, best).drop("near", "u_x", "u_y", "u_z", *(f"{side}_{k}" for side in "pc" for k in keys))
     return rows
 

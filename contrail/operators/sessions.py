@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from contrail.functions.scalars import clean_code, is_on_ground
 from contrail.operators.geo import nearest_airport, nearest_airports
 
 POINT = ("captured_at", "latitude", "longitude")
+#: Positions that a task of session_features sorts: its windows hold some kilobytes a row.
+TASK_ROWS = 1 << 17
 
 
 def by_aircraft() -> W:
@@ -100,12 +104,22 @@ def detect_departure(sessions: DataFrame, cfg: DetectorConfig) -> DataFrame:
     return found.where("departs").select("icao24", "session_no", "p.*")
 
 
-def session_features(positions: DataFrame, airports: DataFrame, cfg: DetectorConfig, since=None) -> DataFrame:
+def tasks_for(positions: DataFrame) -> int:
+    """How many tasks positions are dealt to, by aircraft, so that each has about TASK_ROWS; 0: one could take them all."""
+    rows = positions.count()
+    return max(int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_ROWS)) if rows > TASK_ROWS else 0
+
+
+def session_features(positions: DataFrame, airports: DataFrame, cfg: DetectorConfig, since=None, tasks: int | None = None) -> DataFrame:
     """A row per session with all that the session walk asks for, airports resolved.
 
-    Positions are read and shuffled once, by aircraft, which every window and aggregate over them reuses.
+    Positions are counted, then read and shuffled once, by aircraft, which every window and aggregate over them reuses.
     since: sessions are made of later rows only, while the rows just before a session may be older.
+    tasks: what tasks_for gives, where it is known; 0 leaves positions as they are dealt, for large tables in buckets.
     """
+    tasks = tasks_for(positions) if tasks is None else tasks
+    if tasks:
+        positions = positions.repartition(tasks, "icao24")
     rows = with_ground(positions, cfg).withColumn("sign", landing_sign(by_aircraft(), cfg.lookback_rows, cfg))
     rows = rows.withColumn("before", F.lag(F.struct(*POINT, "sign")).over(by_aircraft())).drop("sign")
     if since is not None:
