@@ -124,14 +124,16 @@ def bucket_counts(found: DataFrame, sieves: list, bits: int, least: int) -> np.n
         for part in range(0, 1 << bits, PART):
             own = total[part : part + PART]
             if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([zlib.compress(own.astype(np.int8).tobytes(), 1)], pa.binary())], ["part", "counts"])
+                raw = zlib.compress(np.packbits(own > 0).tobytes() + own[own > 0].astype(np.int8).tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([raw], pa.binary())], ["part", "counts"])
 
     def add(batches) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, raw in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 total = totals.setdefault(part, np.zeros(PART, np.int32))
-                total += np.frombuffer(zlib.decompress(raw), np.int8)
+                raw = np.frombuffer(zlib.decompress(raw), np.uint8)
+                total[np.flatnonzero(np.unpackbits(raw[: PART // 8]))] += raw[PART // 8 :]
                 np.minimum(total, least, out=total)
         bits_of = [np.packbits(total >= least).tobytes() for total in totals.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(bits_of, pa.binary())], ["part", "bits"])
@@ -155,12 +157,13 @@ def candidates(found: DataFrame, longest: int, least: int, most_bits: int) -> Da
     sc = found.sparkSession.sparkContext
     n_words = found.agg(F.sum("n")).first()[0] or 0
     bits = min(most_bits, max(16, math.ceil(math.log2(n_words + 1))))
-    sieves = []
+    sieves, held_of = [], []
     for _ in range(longest):
         sieves.append(sc.broadcast(bucket_counts(found, sieves, bits, least)))
 
     def given(known: np.ndarray | None):
         held = sc.broadcast(known)
+        held_of.append(held)
 
         def run(batches) -> Iterator[pa.RecordBatch]:
             skipped = held.value
@@ -193,7 +196,10 @@ def candidates(found: DataFrame, longest: int, least: int, most_bits: int) -> Da
     some = stage(found.where(first).mapInArrow(given(None), kind).distinct(), "phrase-some")
     known = np.sort(some.select("hash").limit(KNOWN).toArrow()["hash"].to_numpy().view(np.uint64))
     rows = some.unionByName(found.where(~first).mapInArrow(given(known), kind)).select("lang", "k", "phrase").distinct()
-    return stage(rows.withColumn("no", F.monotonically_increasing_id()), "phrase-candidates")
+    out = stage(rows.withColumn("no", F.monotonically_increasing_id()), "phrase-candidates")
+    for b in sieves + held_of:  # the driver and each executor hold it as a file
+        b.destroy()
+    return out
 
 
 class Trie:
@@ -348,7 +354,9 @@ def counted(found: DataFrame, phrases: DataFrame, longest: int, least: int, shar
                 often = np.flatnonzero(total >= least)
                 yield pa.RecordBatch.from_arrays([pa.array(numbers.value[part + often]), pa.array(total[often])], ["no", "f"])
 
-        parts.append(found.select("lang", "words", "ids").mapInArrow(run, "part long, counts binary").repartition("part").mapInArrow(add, "no long, f long"))
+        parts.append(stage(found.select("lang", "words", "ids").mapInArrow(run, "part long, counts binary").repartition("part").mapInArrow(add, "no long, f long"), "phrase-shard"))
+        for b in (held, numbers):  # the driver and each executor hold a trie as a file: one shard's at a time
+            b.destroy()
     if not parts:
         return stage(phrases.select("lang", "k", "phrase", F.lit(0).cast("long").alias("f")), "phrase-counts")
     rows = parts[0]
