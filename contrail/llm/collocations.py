@@ -2,15 +2,17 @@
 
 Texts become packs: all words of some documents of one language as numbers, with -1 between pieces. Phrases of one to
 `LONGEST` words are then found level by level, by the Apriori rule that no part of a frequent phrase is rarer than it:
-each position's phrase whose two shorter parts can be frequent is hashed to a bucket, tasks' bucket counts are summed, and
-buckets below the threshold rule out all their phrases. The distinct phrases that no level rules out are the candidates.
-They are dealt to shards of a bounded number of phrases; each shard's trie over word numbers is a double array, which is
-broadcast. Numpy moves the states of all positions of a pack one word deeper at a time and bincounts the accepting ones;
-the sums over all tasks are the exact counts, since the trie compares words, not hashes. Hashes of 64 bits
-tell phrases apart only while candidates are gathered.
-
-What is broadcast are one bit a bucket (at most 2**MOST_BITS buckets) and tries of at most `shard` phrases, so both are
-bounded; more candidates make more shards, of which each reads the packs once.
+the phrases at positions whose two shorter parts can be frequent are hashed, each task sorts and counts its hashes, and their
+counts are summed by ranges of hashes. A level's sieve has one bit a bucket, set where the hash of a frequent phrase falls, and rules
+out all other phrases; it holds frequent phrases only, so rare ones don't fill it, however many there are. The distinct
+phrases that no level rules out are the candidates. Tries over word numbers, double arrays, hold them: those that some packs
+show, at most about `KNOWN`, are dealt to shards of a bounded number of phrases, whose tries are broadcast in turn; a task counts
+all others with tries of its own, of the candidates in its next positions. Numpy moves the states of all positions of a pack one word
+deeper at a time and bincounts the accepting ones; the sums over all tasks are the exact counts, since the trie compares
+words, not hashes. Hashes tell phrases apart only while candidates are gathered.
+
+What is broadcast are one bit a bucket (at most 2**MOST_BITS buckets), `KNOWN` hashes and tries of about `shard` phrases, so all
+are bounded. The number of times that packs are read is bounded too: once a level, once for the others and once a shard.
 
 A null text is empty, a null language is `und`; very long texts count whole, since packs are cut
 between documents only. Repeated rows count each. No rows give no rows. Other columns are ignored.
@@ -33,9 +35,10 @@ from pyspark.sql import functions as F
 from .common import stage
 
 LEAST, LONGEST, CONTAINED = 30, 4, 80  # least count; words of the longest phrase; per cent of a phrase's count that a longer one has to have
-SHARD, PACK, MOST_BITS = 1 << 19, 1 << 18, 24  # phrases of a trie, words of a pack, binary logarithm of the buckets
+SHARD, PACK, MOST_BITS = 1 << 19, 1 << 18, 27  # phrases of a trie, words of a pack, binary logarithm of the buckets
 PART = 1 << 16  # buckets or phrases that are summed together
-SEEN, KNOWN = 20, 1 << 21  # binary logarithm of the phrases, and phrases, that a task remembers as given out
+RUN = 1 << 22  # positions that a task counts together
+SEEN, KNOWN = 20, 1_000_000  # binary logarithm of the phrases that a task remembers as given out; phrases that are counted in shared tries
 
 #: Bytes of a piece's words, A-Z lower-cased; marks and line ends become a word of their own.
 _BREAK = b"\n"
@@ -111,38 +114,68 @@ def _positions(batches) -> Iterator[Positions]:
             yield Positions(batch.column("lang")[i].as_py(), batch.column("words")[i].as_py(), batch.column("ids")[i].as_py())
 
 
-def bucket_counts(found: DataFrame, sieves: list, bits: int, least: int) -> np.ndarray:
-    """One bit a bucket of phrases of len(sieves) + 1 words: whether they are `least` or more together. sieves: the bits of fewer words."""
+def sieved(found: DataFrame, sieves: list, bits: int, least: int) -> np.ndarray:
+    """One bit a bucket: whether a phrase of len(sieves) + 1 words that falls into it occurs `least` times or more. sieves: the bits of fewer words."""
+    shift, low_bits = np.uint64(48 - bits), np.uint64(32)  # a key: the bucket and 16 bits more, of which the last 32 are told apart within a part
+
+    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(held))
+        begins = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
+        times = np.minimum(np.diff(begins, append=len(keys)), least).astype(np.uint8)  # more is as good as enough
+        keys = keys[begins]
+        parts = (keys >> low_bits).astype(np.int64)
+        cuts = np.append(np.flatnonzero(np.diff(parts, prepend=-1)), len(keys))
+        low = keys.astype(np.uint32)
+        steps = np.diff(low, prepend=np.uint32(0))
+        steps[cuts[:-1]] = low[cuts[:-1]]
+        raw = [steps[i:j].view(np.uint8).reshape(-1, 4).T.tobytes() + times[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]  # by bytes' places, which compress
+        return pa.RecordBatch.from_arrays([pa.array(parts[cuts[:-1]]), pa.array(raw, pa.binary())], ["part", "counts"])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int32)
+        held, size = [], 0
         for p in _positions(batches):
             for sieve in sieves:
                 p.deeper(_bit(sieve.value, p.buckets(bits)))
-            np.add.at(total, p.buckets(bits), 1)
-        np.minimum(total, least, out=total)  # more is as good as enough
-        for part in range(0, 1 << bits, PART):
-            own = total[part : part + PART]
-            if own.any():
-                raw = zlib.compress(np.packbits(own > 0).tobytes() + own[own > 0].astype(np.int8).tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([raw], pa.binary())], ["part", "counts"])
-
-    def add(batches) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
+            held.append(p.hash >> shift)
+            size += len(p.hash)
+            if size >= RUN:
+                yield summed(held)
+                held, size = [], 0
+        if size:
+            yield summed(held)
+
+    def often(held: list[bytes]) -> bytes:
+        each = []
+        for raw in held:
+            n = len(raw) // 5
+            steps = np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n).T.copy().view(np.uint32).ravel()
+            each.append((np.cumsum(steps, dtype=np.uint32).astype(np.uint64) << np.uint64(8)) | np.frombuffer(raw, np.uint8, n, 4 * n))
+        keys = np.sort(np.concatenate(each))
+        low = keys >> np.uint64(8)
+        begins = np.append(0, np.flatnonzero(low[1:] != low[:-1]) + 1)
+        enough = np.add.reduceat(keys & np.uint64(255), begins) >= least
+        own = np.zeros(PART, bool)
+        own[(low[begins[enough]] >> np.uint64(16)).astype(np.int64)] = True
+        return np.packbits(own).tobytes()
+
+    def add(batches) -> Iterator[pa.RecordBatch]:  # sorted by part, of which one is held at a time
+        part, held = -1, []
+        give = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([often(held)], pa.binary())], ["part", "bits"])
         for batch in batches:
-            for part, raw in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                total = totals.setdefault(part, np.zeros(PART, np.int32))
-                raw = np.frombuffer(zlib.decompress(raw), np.uint8)
-                total[np.flatnonzero(np.unpackbits(raw[: PART // 8]))] += raw[PART // 8 :]
-                np.minimum(total, least, out=total)
-        bits_of = [np.packbits(total >= least).tobytes() for total in totals.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(bits_of, pa.binary())], ["part", "bits"])
-
-    summed = found.mapInArrow(run, "part long, counts binary").repartition("part").mapInArrow(add, "part long, bits binary")
+            for at, raw in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if at != part and held:
+                    yield give()
+                    held = []
+                part = at
+                held.append(raw)
+        if held:
+            yield give()
+
+    dealt = found.mapInArrow(run, "part long, counts binary").repartition("part").sortWithinPartitions("part")
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in summed.collect():  # a bit a bucket
+    for row in dealt.mapInArrow(add, "part long, bits binary").collect():  # a bit a bucket
         own = np.frombuffer(row["bits"], np.uint8)
-        out[row["part"] // 8 : row["part"] // 8 + len(own)] = own
+        out[row["part"] * len(own) : (row["part"] + 1) * len(own)] = own
     return out
 
 
@@ -150,56 +183,79 @@ def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def candidates(found: DataFrame, longest: int, least: int, most_bits: int) -> DataFrame:
-    """no, lang, k and phrase of all phrases that no level rules out, as a written table."""
-    if least > 127:  # counts of a task are kept as bytes
+def frequent(found: DataFrame, longest: int, least: int, shard: int, most_bits: int) -> DataFrame:
+    """lang, k, phrase and f, the exact count, of all phrases that occur `least` times or more, from written tables."""
+    if least > 127:  # counts of a run of positions are kept as bytes
         raise ValueError("least is at most 127")
     sc = found.sparkSession.sparkContext
     n_words = found.agg(F.sum("n")).first()[0] or 0
-    bits = min(most_bits, max(16, math.ceil(math.log2(n_words + 1))))
-    sieves, held_of = [], []
+    bits = min(most_bits, max(16, math.ceil(math.log2(n_words / 8 + 1))))
+    sieves = []
     for _ in range(longest):
-        sieves.append(sc.broadcast(bucket_counts(found, sieves, bits, least)))
-
-    def given(known: np.ndarray | None):
-        held = sc.broadcast(known)
-        held_of.append(held)
-
-        def run(batches) -> Iterator[pa.RecordBatch]:
-            skipped = held.value
-            seen = np.zeros(1 << SEEN, np.uint64)  # phrases that are out already, by their hash's first bits
-            if skipped is not None:
-                seen[(skipped >> np.uint64(64 - SEEN)).astype(np.int64)] = skipped
-            for p in _positions(batches):
-                names = pa.array(p.words, pa.string())
-                for k in range(1, longest + 1):
-                    possible = _bit(sieves[k - 1].value, p.buckets(bits))
-                    at, hashes = p.at[possible], p.hash[possible]
-                    slots = (hashes >> np.uint64(64 - SEEN)).astype(np.int64)
-                    new = np.flatnonzero(seen[slots] != hashes)
-                    new = new[np.unique(hashes[new], return_index=True)[1]]
-                    if skipped is not None and len(skipped):
-                        new = new[skipped[np.minimum(np.searchsorted(skipped, hashes[new]), len(skipped) - 1)] != hashes[new]]
-                    seen[slots[new]] = hashes[new]
-                    if len(new):
-                        at = at[new]
-                        columns = [names.take(pa.array(p.ids[at + j])) for j in range(k)]
-                        lists = [pa.array([p.lang] * len(at), pa.string()), pa.array([k] * len(at), pa.int32()), pc.binary_join_element_wise(*columns, " "), pa.array(hashes[new].view(np.int64))]
-                        yield pa.RecordBatch.from_arrays(lists, ["lang", "k", "phrase", "hash"])
-                    if k < longest:
-                        p.deeper(possible)
-
-        return run
-
-    # the phrases of some packs first, so that the tasks don't all give out the same frequent ones
-    kind, first = "lang string, k int, phrase string, hash long", F.pmod(F.xxhash64("ids"), F.lit(8)) == 0
-    some = stage(found.where(first).mapInArrow(given(None), kind).distinct(), "phrase-some")
-    known = np.sort(some.select("hash").limit(KNOWN).toArrow()["hash"].to_numpy().view(np.uint64))
-    rows = some.unionByName(found.where(~first).mapInArrow(given(known), kind)).select("lang", "k", "phrase").distinct()
-    out = stage(rows.withColumn("no", F.monotonically_increasing_id()), "phrase-candidates")
-    for b in sieves + held_of:  # the driver and each executor hold it as a file
+        sieves.append(sc.broadcast(sieved(found, sieves, bits, least)))
+
+    def new(p: Positions, seen: np.ndarray, skipped: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        """A pack's phrases that no sieve rules out, each about once, without those seen and skipped."""
+        names = pa.array(p.words, pa.string())
+        for k in range(1, longest + 1):
+            possible = _bit(sieves[k - 1].value, p.buckets(bits))
+            at, hashes = p.at[possible], p.hash[possible]
+            slots = (hashes >> np.uint64(64 - SEEN)).astype(np.int64)
+            fresh = np.flatnonzero(seen[slots] != hashes)
+            fresh = fresh[np.unique(hashes[fresh], return_index=True)[1]]
+            if skipped is not None and len(skipped):
+                fresh = fresh[skipped[np.minimum(np.searchsorted(skipped, hashes[fresh]), len(skipped) - 1)] != hashes[fresh]]
+            seen[slots[fresh]] = hashes[fresh]
+            if len(fresh):
+                at = at[fresh]
+                columns = [names.take(pa.array(p.ids[at + j])) for j in range(k)]
+                lists = [pa.array([p.lang] * len(at), pa.string()), pa.array([k] * len(at), pa.int32()), pc.binary_join_element_wise(*columns, " "), pa.array(hashes[fresh].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(lists, ["lang", "k", "phrase", "hash"])
+            if k < longest:
+                p.deeper(possible)
+
+    def given(batches) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << SEEN, np.uint64)  # phrases that are out already, by their hash's first bits
+        for p in _positions(batches):
+            yield from new(p, seen, None)
+
+    # the phrases of some packs first: most tasks meet them, so they are counted in tries that all share
+    some = found.where(F.pmod(F.xxhash64("ids"), F.lit(max(8, n_words >> 24))) == 0).mapInArrow(given, "lang string, k int, phrase string, hash long").distinct()
+    some = stage(some.withColumn("no", F.monotonically_increasing_id()), "phrase-some")
+    many = some.count()
+    shared = some.where(F.col("hash") < F.lit(int(2**64 * KNOWN / many) - 2**63)) if many > KNOWN else some  # hashes are spread evenly
+    known = sc.broadcast(np.sort(shared.select("hash").toArrow()["hash"].to_numpy().view(np.uint64)))
+
+    def others(batches) -> Iterator[pa.RecordBatch]:
+        skipped = known.value
+        first = np.zeros(1 << SEEN, np.uint64)
+        first[(skipped >> np.uint64(64 - SEEN)).astype(np.int64)] = skipped
+        seen, held, rows, size = first.copy(), [], [], 0
+
+        def counts() -> pa.RecordBatch:
+            own = pa.Table.from_batches(rows).select(["lang", "k", "phrase"])
+            trie, named = built(own, longest)
+            total = sum(occurrences(trie, named, *h, longest) for h in held)
+            often = np.flatnonzero(total)  # a phrase that was given twice has its count once
+            return own.take(pa.array(often)).append_column("f", pa.array(total[often])).combine_chunks()
+
+        for p in _positions(batches):
+            held.append((p.lang, pa.array(p.words, pa.string()), p.ids))
+            rows += new(p, seen, skipped)
+            size += len(p.ids)
+            if size >= RUN or sum(map(len, rows)) >= shard:
+                if rows:
+                    yield from counts().to_batches()
+                seen, held, rows, size = first.copy(), [], [], 0
+        if rows:
+            yield from counts().to_batches()
+
+    kind = "lang string, k int, phrase string, f long"
+    rest = found.mapInArrow(others, kind).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    rest = stage(rest, "phrase-rest")
+    for b in (*sieves, known):  # the driver and each executor hold it as a file
         b.destroy()
-    return out
+    return rest.unionByName(counted(found, shared, longest, least, shard))
 
 
 class Trie:
@@ -311,6 +367,16 @@ def built(rows: pa.Table, longest: int) -> tuple[Trie, dict]:
     return Trie(matrix, max(1, made)), named
 
 
+def occurrences(trie: Trie, named: dict, lang: str, words: pa.Array, ids: np.ndarray, longest: int) -> np.ndarray:
+    """How often each of a trie's phrases occurs in a pack."""
+    if lang not in named:
+        return np.zeros(trie.phrases, np.int64)
+    names, symbols = named[lang]
+    own = pc.fill_null(pc.index_in(words, value_set=names), -1).to_numpy()
+    number = np.append(np.where(own >= 0, symbols[own], -1), -1)  # the last stands for id -1
+    return trie.counts(number[ids], longest)
+
+
 def counted(found: DataFrame, phrases: DataFrame, longest: int, least: int, shard: int) -> DataFrame:
     """lang, k, phrase and f, the exact count, of the candidates that are frequent, as a written table."""
     sc = found.sparkSession.sparkContext
@@ -327,13 +393,7 @@ def counted(found: DataFrame, phrases: DataFrame, longest: int, least: int, shar
             total = np.zeros(trie.phrases, np.int64)
             for batch in batches:
                 for i in range(batch.num_rows):
-                    lang = batch.column("lang")[i].as_py()
-                    if lang not in named:
-                        continue
-                    names, symbols = named[lang]
-                    own = pc.fill_null(pc.index_in(batch.column("words")[i].values, value_set=names), -1).to_numpy()
-                    number = np.append(np.where(own >= 0, symbols[own], -1), -1)  # the last stands for id -1
-                    total += trie.counts(number[np.frombuffer(batch.column("ids")[i].as_py(), np.int32)], longest)
+                    total += occurrences(trie, named, batch.column("lang")[i].as_py(), batch.column("words")[i].values, np.frombuffer(batch.column("ids")[i].as_py(), np.int32), longest)
             for part in range(0, len(total), PART):
                 own = total[part : part + PART]
                 if own.any():
@@ -387,9 +447,9 @@ def uncontained(found: DataFrame, longest: int, contained: int) -> DataFrame:
 def mine(docs: DataFrame, top: int = 2000, least: int = LEAST, longest: int = LONGEST, contained: int = CONTAINED, shard: int = SHARD, pack: int = PACK, most_bits: int = MOST_BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's `top` collocations."""
     found = packs(docs, size=pack)
-    frequent = counted(found, candidates(found, longest, least, most_bits), longest, least, shard)
+    often = frequent(found, longest, least, shard, most_bits)
     sizes = found.groupBy("lang").agg(F.sum("n").alias("n"))
-    kept = uncontained(scored(frequent), longest, contained)
+    kept = uncontained(scored(often), longest, contained)
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     first = kept.withColumn("rank", rank).where(F.col("rank") <= top)
     return first.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
