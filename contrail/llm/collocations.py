@@ -38,6 +38,7 @@ LEAST, LONGEST, CONTAINED = 30, 4, 80  # least count; words of the longest phras
 SHARD, PACK, MOST_BITS = 1 << 19, 1 << 18, 27  # phrases of a trie, words of a pack, binary logarithm of the buckets
 PART = 1 << 16  # buckets or phrases that are summed together
 RUN = 1 << 22  # positions that a task counts together
+HELD = 16  # packs of a file, since Spark's reader holds some thousands of a file's rows at once
 SEEN, KNOWN = 20, 1_000_000  # binary logarithm of the phrases that a task remembers as given out; phrases that are counted in shared tries
 
 #: Bytes of a piece's words, A-Z lower-cased; marks and line ends become a word of their own.
@@ -80,7 +81,7 @@ def packs(docs: DataFrame, lang: str = "lang", text: str = "text", size: int = P
         for name, own in held.items():
             yield pack(name, own)
 
-    return stage(rows.mapInArrow(run, "lang string, words array<string>, ids binary, n long"), "phrase-packs")
+    return stage(rows.mapInArrow(run, "lang string, words array<string>, ids binary, n long"), "phrase-packs", rows=HELD)
 
 
 class Positions:

@@ -40,11 +40,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: it cuts the lineage, survives lost executors and has a known size."""
+def stage(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
+    """df as a written table: it cuts the lineage, survives lost executors and has a known size. rows: of a file at most (0: any number)."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,3 +20,9 @@ def test_full_buckets_make_no_more_passes(spark, monkeypatch):
     assert mine() == wanted and len(made) <= 10
     monkeypatch.setattr(collocations, "KNOWN", 300)  # of more phrases in the first packs
     assert mine() == wanted
+
+
+def test_files_hold_few_packs(spark):
+    docs = spark.range(200).selectExpr("'en' AS lang", "'a b c d e' AS text").coalesce(1)
+    sizes = [r["count"] for r in collocations.packs(docs, size=10).selectExpr("input_file_name() AS file").groupBy("file").count().collect()]
+    assert max(sizes) <= collocations.HELD < sum(sizes)
